@@ -23,7 +23,7 @@ def parse_feed_date(c: Column) -> Column:
 
 def estimate_delivery(year: Column, quarter: Column) -> Column:
     """Last day of the quarter; the fourth one if it is not given."""
-    month = F.coalesce(F.least(F.greatest(quarter, F.lit(1)), F.lit(4)), F.lit(4)) * 3
+    month = F.least(F.greatest(F.coalesce(quarter, F.lit(4)), F.lit(1)), F.lit(4)) * 3
     return F.when(year.isNotNull(), F.last_day(F.make_date(year, month, F.lit(1))))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from listing_radar import fixed_values as V
 from listing_radar.functions.dates import estimate_delivery
-from listing_radar.functions.text import clean_evidence
+from listing_radar.functions.text import clean_evidence, let
 
 _MARK = "\u0001"
 
@@ -24,7 +24,7 @@ def first_groups(text: Column, pattern: str, *groups: str) -> Column:
     rewritten = F.regexp_replace(
         text, F.lit(V.FLAGS + "(?s)^.*?(?:" + pattern + ").*$"), F.lit(_MARK + _MARK.join(groups))
     )
-    return F.when(rewritten.startswith(_MARK), F.slice(F.split(rewritten, _MARK), 2, len(groups)))
+    return let(rewritten, lambda r: F.when(r.startswith(_MARK), F.slice(F.split(r, _MARK), 2, len(groups))))
 
 
 def _group(found: Column, position: int) -> Column:
@@ -34,59 +34,75 @@ def _group(found: Column, position: int) -> Column:
 
 def parse_spanish_decimal(c: Column) -> Column:
     """Euro amount with a decimal comma or thousands dots."""
-    text = F.trim(F.regexp_replace(c, r"(?i)€|eur(os|o)?| ", ""))
-    comma, dot = F.length(F.substring_index(text, ",", -1)), F.length(F.substring_index(text, ".", -1))
-    has_comma, has_dot = text.contains(","), text.contains(".")
-    plain = (
-        F.when(has_comma & (~has_dot | (comma < dot)), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(has_dot & (dot == 3), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("")))
-        .otherwise(F.replace(text, F.lit(","), F.lit("")))
+    def read(text: Column) -> Column:
+        comma, dot = F.length(F.substring_index(text, ",", -1)), F.length(F.substring_index(text, ".", -1))
+        has_comma, has_dot = text.contains(","), text.contains(".")
+        return (
+            F.when(has_comma & (~has_dot | (comma < dot)), F.translate(F.replace(text, F.lit("."), F.lit("")), ",", "."))
+            .when(has_dot & (dot == 3), F.translate(text, ".,", ""))
+            .otherwise(F.translate(text, ",", ""))
+        )
+
+    plain = let(F.trim(F.regexp_replace(c, r"(?i)€|eur(os|o)?| ", "")), read)
+    return let(plain, lambda p: F.when(p.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), p.try_cast("decimal(14,2)")))
+
+
+def _smallest_and_largest(values: Column, low: str, high: str) -> Column:
+    """struct of the first and, if there are two, the last of the distinct sorted values."""
+    return let(
+        F.array_sort(F.array_distinct(values)),
+        lambda v: F.struct(
+            F.try_element_at(v, F.lit(1)).alias(low),
+            F.when(F.size(v) > 1, F.try_element_at(v, F.lit(-1))).alias(high),
+        ),
     )
-    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("decimal(14,2)"))
 
 
 def _plausible_prices(text: Column) -> Column:
-    """Distinct sorted prices that are no monthly amounts. Works on the pieces around every match:
-    30 characters before it (70 in all around it) decide whether the amount is paid per month."""
+    """Prices that are no monthly amounts. Works on the pieces around every match: 30 characters before
+    it (70 in all around it) decide whether the amount is paid per month."""
     end = "\u0002"
-    pieces = F.split(
-        F.regexp_replace(text, F.lit(V.FLAGS + "(" + V.PAT_PRICE + ")"), F.lit(_MARK + "$2" + end + "$1" + end)), _MARK
+    marked = F.regexp_replace(
+        text, F.lit(V.FLAGS + "(" + V.PAT_PRICE + ")"), F.lit(_MARK + "$2" + end + "$1" + end)
     )
 
     def visible(part: Column) -> Column:
         return F.regexp_replace(part, "(?s)^[^" + end + "]*" + end + "|" + end, "")
 
-    def describe(i: Column) -> Column:
+    def describe(pieces: Column, i: Column) -> Column:
         here = F.element_at(pieces, i)
         start = F.greatest(i - 6, F.lit(1))
-        before = F.array_join(F.transform(F.slice(pieces, start, i - start), visible), "")
-        before = F.right(before, F.lit(30))
+        before = F.right(F.array_join(F.transform(F.slice(pieces, start, i - start), visible), ""), F.lit(30))
         after = F.array_join(F.transform(F.slice(pieces, i, F.lit(14)), visible), "")
         match_length = F.length(F.split_part(here, F.lit(end), F.lit(2)))
-        window = F.concat(before, F.left(after, match_length + 70 - F.length(before)))
+        window = let(before, lambda b: F.concat(b, F.left(after, match_length + 70 - F.length(b))))
         value = parse_spanish_decimal(F.split_part(here, F.lit(end), F.lit(1)))
         return F.when(~window.rlike(V.FLAGS + V.PAT_MONTHLY), value)
 
-    numbers = F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(2), F.size(pieces)), describe)).otherwise(
-        F.array().cast("array<decimal(14,2)>")
-    )
-    return F.array_sort(F.array_distinct(F.filter(numbers, lambda v: v.between(*V.PRICE_RANGE))))
+    def read(pieces: Column) -> Column:
+        return F.when(
+            F.size(pieces) > 1, F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: describe(pieces, i))
+        ).otherwise(F.array().cast("array<decimal(14,2)>"))
+
+    return F.filter(let(F.split(marked, _MARK), read), lambda v: v.between(*V.PRICE_RANGE))
 
 
 def price_range(text: Column) -> Column:
     """struct(price_from, price_to): smallest and, if there are two, largest plausible price."""
-    prices = _plausible_prices(text)
-    return F.struct(
-        F.try_element_at(prices, F.lit(1)).alias("price_from"),
-        F.when(F.size(prices) > 1, F.try_element_at(prices, F.lit(-1))).alias("price_to"),
-    )
+    return _smallest_and_largest(_plausible_prices(text), "price_from", "price_to")
 
 
 def _decimal_range(text: Column, pattern: str, groups: tuple[str, str], allowed: tuple[int, int]) -> Column:
-    found = first_groups(text, pattern, *groups)
-    low, high = parse_spanish_decimal(_group(found, 1)), parse_spanish_decimal(_group(found, 2))
-    ok = low.between(*allowed) & (high.isNull() | high.between(*allowed))
-    return F.struct(F.when(ok, low).alias("min"), F.when(ok, high).alias("max"))
+    def read(pair: Column) -> Column:
+        low, high = pair["min"], pair["max"]
+        ok = low.between(*allowed) & (high.isNull() | high.between(*allowed))
+        return F.struct(F.when(ok, low).alias("min"), F.when(ok, high).alias("max"))
+
+    def numbers(found: Column) -> Column:
+        return F.struct(
+            parse_spanish_decimal(_group(found, 1)).alias("min"), parse_spanish_decimal(_group(found, 2)).alias("max"))
+
+    return let(let(first_groups(text, pattern, *groups), numbers), read)
 
 
 def built_area(text: Column) -> Column:
@@ -95,22 +111,19 @@ def built_area(text: Column) -> Column:
 
 def plot_area(text: Column) -> Column:
     """First plot range; failing that the smallest and largest 'N metros de parcela'."""
-    first = _decimal_range(text, V.PAT_PLOT_AREA, ("$1", "$2"), V.PLOT_AREA_RANGE)
     texts = F.regexp_extract_all(text, F.lit(V.FLAGS + V.PAT_PLOT_VALUE), F.lit(1))
-    values = F.array_sort(
-        F.array_distinct(F.filter(F.transform(texts, parse_spanish_decimal), lambda v: v.between(*V.PLOT_AREA_RANGE)))
-    )
-    every = F.struct(
-        F.try_element_at(values, F.lit(1)).alias("min"),
-        F.when(F.size(values) > 1, F.try_element_at(values, F.lit(-1))).alias("max"),
-    )
-    return F.when(first["min"].isNotNull(), first).otherwise(every)
+    values = F.filter(F.transform(texts, parse_spanish_decimal), lambda v: v.between(*V.PLOT_AREA_RANGE))
+    every = _smallest_and_largest(values, "min", "max")
+    first = _decimal_range(text, V.PAT_PLOT_AREA, ("$1", "$2"), V.PLOT_AREA_RANGE)
+    return let(first, lambda f: F.when(f["min"].isNotNull(), f).otherwise(every))
 
 
 def _int_range(text: Column, pattern: str) -> Column:
-    found = first_groups(text, pattern, "$1", "$2")
-    low, high = _group(found, 1).try_cast("int"), _group(found, 2).try_cast("int")
-    return F.struct(low.alias("min"), F.when(low.isNotNull(), high).alias("max"))
+    def read(found: Column) -> Column:
+        low, high = _group(found, 1).try_cast("int"), _group(found, 2).try_cast("int")
+        return F.struct(low.alias("min"), F.when(low.isNotNull(), high).alias("max"))
+
+    return let(first_groups(text, pattern, "$1", "$2"), read)
 
 
 def bedrooms(text: Column) -> Column:
@@ -174,11 +187,13 @@ def licence_status(text: Column) -> Column:
 
 def delivery(text: Column) -> Column:
     """struct(text, date) of the first delivery statement."""
-    found = first_groups(text, V.PAT_DELIVERY, "$1", "$2", "$3")
-    return F.struct(
-        clean_evidence(_group(found, 1), 100).alias("text"),
-        estimate_delivery(_group(found, 3).try_cast("int"), _group(found, 2).try_cast("int")).alias("date"),
-    )
+    def read(found: Column) -> Column:
+        return F.struct(
+            F.when(found.isNotNull(), clean_evidence(_group(found, 1), 100)).alias("text"),
+            estimate_delivery(_group(found, 3).try_cast("int"), _group(found, 2).try_cast("int")).alias("date"),
+        )
+
+    return let(first_groups(text, V.PAT_DELIVERY, "$1", "$2", "$3"), read)
 
 
 def total_units(text: Column) -> Column:
@@ -192,12 +207,12 @@ def available_units(text: Column) -> Column:
 
 def developer_name(text: Column) -> Column:
     value = _group(first_groups(text, V.PAT_DEVELOPER, "$1"), 1)
-    return F.when(value.isNotNull(), clean_evidence(value, 120))
+    return let(value, lambda v: F.when(v.isNotNull(), clean_evidence(v, 120)))
 
 
 def brochure_title(text: Column) -> Column:
     value = _group(first_groups(text, V.PAT_BROCHURE_TITLE, "$1"), 1)
-    return F.when(value.isNotNull(), clean_evidence(value, 160))
+    return let(value, lambda v: F.when(v.isNotNull(), clean_evidence(v, 160)))
 
 
 def is_listing_text(text: Column) -> Column:
@@ -206,8 +221,10 @@ def is_listing_text(text: Column) -> Column:
 
 def evidence_fragment(text: Column, pattern: str) -> Column:
     """Excerpt with 60 characters on both sides of the first match; '' without a match."""
-    full = V.FLAGS + pattern
-    at = F.regexp_instr(text, F.lit(full)) - 1
-    size = F.length(F.regexp_substr(text, F.lit(full)))
-    start = F.greatest(at - 60, F.lit(0))
-    return F.when(at >= 0, clean_evidence(F.substring(text, start + 1, size + 120))).otherwise(F.lit(""))
+    full = F.lit(V.FLAGS + pattern)
+
+    def cut(at: Column) -> Column:
+        excerpt = F.substring(text, F.greatest(at - 60, F.lit(1)), F.length(F.regexp_substr(text, full)) + 120)
+        return F.when(at > 0, clean_evidence(excerpt)).otherwise(F.lit(""))
+
+    return let(F.regexp_instr(text, full), cut)

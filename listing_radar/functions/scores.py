@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from listing_radar import fixed_values as V
-from listing_radar.functions.text import contains_any, contains_location, historical_year, normalize_title
+from listing_radar.functions.text import contains_any, contains_location, historical_year, let, normalize_title
 from listing_radar.functions.urls import host_matches, host_of, public_admin_host
 
 
@@ -68,37 +68,49 @@ def triage_score(
     title: Column, summary: Column, url: Column, municipality: Column, confidence: Column, matched_terms: Column,
     published_at: Column, now: Column, excluded_hosts: Column,
 ) -> Column:
-    """struct(domain, score, band, priority, reasons). The band is chosen before the score is clamped."""
-    corpus = normalize_title(F.concat_ws(" ", title, summary, url))
-    title_url = normalize_title(F.concat_ws(" ", title, url))
-    place = normalize_title(municipality)
-    domain = host_of(url)
-    direct, administrative = contains_any(corpus, V.DIRECT_TERMS), contains_any(corpus, V.ADMINISTRATIVE_TERMS)
-    in_title = contains_location(title_url, place)
-    in_summary = ~in_title & contains_location(normalize_title(summary), place)
+    """struct(domain, score, reasons). The score is not clamped yet, because the priority is taken first."""
     terms = F.size(F.array_distinct(F.transform(matched_terms, F.lower)))
     recent = (published_at <= now) & (published_at >= now - F.expr("interval 60 days"))
     old = published_at.isNull() & historical_year(F.concat_ws(" ", title, url), F.year(now))
-    parts = [
-        ("directPromotionTerms", direct, 15),
-        ("administrativeTerms", administrative, 12),
-        ("publicAdministrationHost", public_admin_host(domain), 12),
-        ("multipleMatchedTerms", terms >= 2, 5),
-        ("recentlyPublished", recent, 4),
-        ("municipalityInTitleOrUrl", in_title, 10),
-        ("municipalityOnlyInSummary", in_summary, -8),
-        ("municipalityUnconfirmed", ~in_title & ~in_summary, -20),
-        ("historicalReference", old, -12),
-        ("genericAdministrativeReference", contains_any(normalize_title(title), V.GENERIC_ADMINISTRATIVE_TERMS), -20),
-        ("excludedListingHost", host_matches(domain, excluded_hosts), -40),
-    ]
-    hits = F.array_compact(
-        F.array(*[F.when(flag, F.struct(F.lit(n).alias("reason"), F.lit(p).alias("points"))) for n, flag, p in parts])
+    texts = F.struct(
+        normalize_title(F.concat_ws(" ", title, summary, url)).alias("corpus"),
+        normalize_title(F.concat_ws(" ", title, url)).alias("title_url"),
+        normalize_title(title).alias("title"), normalize_title(summary).alias("summary"),
+        normalize_title(municipality).alias("place"), host_of(url).alias("domain"),
     )
+
+    def with_places(t: Column) -> Column:
+        in_title = contains_location(t["title_url"], t["place"])
+        return F.struct(
+            t.alias("t"), in_title.alias("in_title"), (~in_title & contains_location(t["summary"], t["place"])).alias("in_summary"))
+
+    def hits(w: Column) -> Column:
+        t, in_title, in_summary = w["t"], w["in_title"], w["in_summary"]
+        parts = [
+            ("directPromotionTerms", contains_any(t["corpus"], V.DIRECT_TERMS), 15),
+            ("administrativeTerms", contains_any(t["corpus"], V.ADMINISTRATIVE_TERMS), 12),
+            ("publicAdministrationHost", public_admin_host(t["domain"]), 12),
+            ("multipleMatchedTerms", terms >= 2, 5),
+            ("recentlyPublished", recent, 4),
+            ("municipalityInTitleOrUrl", in_title, 10),
+            ("municipalityOnlyInSummary", in_summary, -8),
+            ("municipalityUnconfirmed", ~in_title & ~in_summary, -20),
+            ("historicalReference", old, -12),
+            ("genericAdministrativeReference", contains_any(t["title"], V.GENERIC_ADMINISTRATIVE_TERMS), -20),
+            ("excludedListingHost", host_matches(t["domain"], excluded_hosts), -40),
+        ]
+        found = [F.when(flag, F.struct(F.lit(n).alias("reason"), F.lit(p).alias("points"))) for n, flag, p in parts]
+        return F.struct(t["domain"].alias("domain"), F.array_compact(F.array(*found)).alias("hits"))
+
     base = F.round(confidence * 100, 0).cast("int")
-    score = F.aggregate(hits, base, lambda acc, hit: acc + hit["points"])
-    reasons = F.transform(hits, lambda h: h["reason"])
-    return F.struct(domain.alias("domain"), score.alias("score"), reasons.alias("reasons"))
+    return let(
+        let(let(texts, with_places), hits),
+        lambda h: F.struct(
+            h["domain"].alias("domain"),
+            F.aggregate(h["hits"], base, lambda acc, hit: acc + hit["points"]).alias("score"),
+            F.transform(h["hits"], lambda hit: hit["reason"]).alias("reasons"),
+        ),
+    )
 
 
 def triage_band(reasons: Column) -> Column:

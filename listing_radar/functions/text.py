@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -24,6 +25,11 @@ def _accent_map() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_map()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_accents(c: Column) -> Column:
     """Lower case without accents, for composed and for decomposed input."""
     return F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _PLAIN), r"\p{Mn}+", "")
@@ -53,9 +59,11 @@ def collapse_whitespace(c: Column) -> Column:
 
 def clean_evidence(c: Column, length: int = EVIDENCE_LENGTH) -> Column:
     """Collapse blanks; a longer text is cut and ends in an ellipsis (a display excerpt)."""
-    clean = collapse_whitespace(c)
-    return F.when(F.length(clean) <= length, clean).otherwise(
-        F.concat(F.substring(clean, 1, length - 1), F.lit("…"))
+    return let(
+        collapse_whitespace(c),
+        lambda clean: F.when(F.length(clean) <= length, clean).otherwise(
+            F.concat(F.substring(clean, 1, length - 1), F.lit("…"))
+        ),
     )
 
 
@@ -90,11 +98,13 @@ def historical_year(c: Column, year: Column | int) -> Column:
 
 def word_ngrams(normalized: Column, longest: int) -> Column:
     """Distinct runs of 1..``longest`` words of an already normalized text."""
-    words = F.filter(F.split(normalized, " "), lambda w: w != "")
-    grams = words
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        grams = F.concat(grams, F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.array_distinct(grams)
+    def grams(words: Column) -> Column:
+        out = words
+        for n in range(2, longest + 1):
+            starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
+                F.array().cast("array<int>")
+            )
+            out = F.concat(out, F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        return F.array_distinct(out)
+
+    return let(F.filter(F.split(normalized, " "), lambda w: w != ""), grams)

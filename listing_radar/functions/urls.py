@@ -14,6 +14,7 @@ from listing_radar.fixed_values import (
     TRACKING_PARAMETERS,
     TRACKING_PREFIX,
 )
+from listing_radar.functions.text import let
 
 _SPLIT = r"(?s)^([hH][tT][tT][pP][sS]?)://([^/?#\\]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 _NOT_ALLOWED = r"[^A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]"
@@ -23,6 +24,16 @@ def _part(c: Column, group: int) -> Column:
     return F.regexp_extract(F.trim(c), _SPLIT, group)
 
 
+def _parts(c: Column) -> Column:
+    """[_, scheme, authority, path, query] from one pass over the URL; a single element if it is none."""
+    mark = "\u0001"
+    return F.split(F.regexp_replace(F.trim(c), _SPLIT, mark + mark.join(("$1", "$2", "$3", "$4"))), mark)
+
+
+def _host(authority: Column) -> Column:
+    return F.lower(F.regexp_replace(authority, r"^.*@|:\d*$", ""))
+
+
 def is_http_url(c: Column) -> Column:
     return F.coalesce(F.trim(c).rlike(_SPLIT), F.lit(False))
 
@@ -37,7 +48,7 @@ def is_absolute_url(c: Column) -> Column:
 
 def host_of(c: Column) -> Column:
     """Lower-case host without user and port; '' if the value is not an http(s) URL."""
-    return F.lower(F.regexp_replace(F.regexp_replace(_part(c, 2), r"^.*@", ""), r":\d*$", ""))
+    return _host(_part(c, 2))
 
 
 def strip_www(host: Column) -> Column:
@@ -50,8 +61,7 @@ def domain_of(c: Column) -> Column:
 
 
 def path_of(c: Column) -> Column:
-    path = _part(c, 3)
-    return F.when(path == "", F.lit("/")).otherwise(path)
+    return F.regexp_replace(_part(c, 3), "^$", "/")
 
 
 def path_and_query(c: Column) -> Column:
@@ -63,8 +73,11 @@ def _escape(c: Column, pattern: str) -> Column:
     def encode(char: Column) -> Column:
         return F.when(char.rlike(pattern), F.replace(F.url_encode(char), F.lit("+"), F.lit("%20"))).otherwise(char)
 
-    pieces = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), encode)
-    return F.when(c.rlike(pattern), F.array_join(pieces, "")).otherwise(c)
+    def every(text: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), encode)
+        return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+    return let(c, every)
 
 
 def escape_data(c: Column) -> Column:
@@ -80,11 +93,9 @@ def unescape_data(c: Column) -> Column:
     ).otherwise(c)
 
 
-def _remove_dots(path: Column) -> Column:
+def _remove_dots(c: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
     empty = F.array().cast("array<string>")
-    parts = F.split(path, "/")
-    ends_in_folder = path.rlike(r"/\.\.?$")
 
     def step(acc: Column, part: Column) -> Column:
         return (
@@ -93,10 +104,13 @@ def _remove_dots(path: Column) -> Column:
             .otherwise(F.concat(acc, F.array(part)))
         )
 
-    folded = F.array_join(F.aggregate(parts, empty, step), "/")
-    folded = F.when(ends_in_folder, F.concat(folded, F.lit("/"))).otherwise(folded)
-    folded = F.when(folded.startswith("/"), folded).otherwise(F.concat(F.lit("/"), folded))
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), folded).otherwise(path)
+    def fold(path: Column) -> Column:
+        folded = F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
+        folded = F.concat(folded, F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+        folded = F.regexp_replace(folded, r"^(?!/)", "/")
+        return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), folded).otherwise(path)
+
+    return let(c, fold)
 
 
 def _clean_query(raw: Column) -> Column:
@@ -114,40 +128,46 @@ def _clean_query(raw: Column) -> Column:
     query = F.array_join(
         F.transform(F.array_sort(kept), lambda p: F.concat(escape_data(p["k"]), F.lit("="), escape_data(p["v"]))), "&"
     )
-    return F.when(raw == "", F.lit("")).when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
+    return F.when(raw == "", F.lit("")).otherwise(F.regexp_replace(query, r"(?s)^(.+)$", "?$1"))
 
 
 def normalize_url(c: Column) -> Column:
     """One spelling per page: https, lower host, no port, fragment, trailing slash or tracking keys."""
-    path = F.rtrim(_escape(_remove_dots(path_of(c)), _NOT_ALLOWED), F.lit("/"))
-    rebuilt = F.concat(
-        F.lit("https://"), host_of(c), F.when(path == "", F.lit("/")).otherwise(path), _clean_query(_part(c, 4))
-    )
-    return F.when(is_http_url(c), rebuilt).otherwise(F.trim(c))
+    def build(p: Column) -> Column:
+        path = F.rtrim(_escape(_remove_dots(p[3]), _NOT_ALLOWED), F.lit("/"))
+        return F.concat(F.lit("https://"), _host(p[2]), F.regexp_replace(path, "^$", "/"), _clean_query(p[4]))
+
+    return let(_parts(c), lambda p: F.when(F.size(p) == 5, build(p)).otherwise(F.trim(c)))
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of a link found on ``base``; '' unless it is http(s)."""
-    link = F.trim(F.coalesce(href, F.lit("")))
-    origin = F.concat(F.lower(_part(base, 1)), F.lit("://"), F.lower(_part(base, 2)))
-    no_fragment = F.regexp_replace(F.trim(base), r"#.*$", "")
-    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
-    target_path = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
-    target_rest = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
-    joined = F.when(
-        target_path.startswith("/"), _remove_dots(target_path)
-    ).otherwise(_remove_dots(F.concat(folder, target_path)))
-    host_only = F.regexp_replace(link, r"(?s)^([A-Za-z]+://[^/?#]+)$", "$1/")
-    resolved = (
-        F.when(is_http_url(link), host_only)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(""))
-        .when(link.startswith("//"), F.concat(F.lower(_part(base, 1)), F.lit(":"), link))
-        .when(link == "", no_fragment)
-        .when(link.startswith("#"), F.concat(no_fragment, link))
-        .when(link.startswith("?"), F.concat(origin, path_of(base), link))
-        .otherwise(F.concat(origin, joined, target_rest))
-    )
-    return F.when(is_http_url(base) | is_http_url(link), _escape(resolved, _NOT_ALLOWED)).otherwise(F.lit(""))
+    def absolute(link: Column) -> Column:
+        return _escape(F.regexp_replace(link, r"(?s)^([A-Za-z]+://[^/?#]+)$", "$1/"), _NOT_ALLOWED)
+
+    def relative(p: Column, link: Column) -> Column:
+        origin = F.concat(F.lower(p[1]), F.lit("://"), F.lower(p[2]))
+        page = F.concat(origin, F.regexp_replace(p[3], "^$", "/"))
+        target = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+        rest = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+        folder = F.regexp_replace(F.regexp_replace(p[3], "^$", "/"), r"[^/]*$", "")
+        path = F.when(target.startswith("/"), target).otherwise(F.concat(folder, target))
+        return (
+            F.when(link.startswith("//"), F.concat(F.lower(p[1]), F.lit(":"), link))
+            .when(link == "", F.concat(page, p[4]))
+            .when(link.startswith("#"), F.concat(page, p[4], link))
+            .when(link.startswith("?"), F.concat(page, link))
+            .otherwise(F.concat(origin, _remove_dots(path), rest))
+        )
+
+    def resolve(p: Column, link: Column) -> Column:
+        return (
+            F.when(is_http_url(link), absolute(link))
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (F.size(p) != 5), F.lit(""))
+            .otherwise(_escape(relative(p, link), _NOT_ALLOWED))
+        )
+
+    return let(F.trim(F.coalesce(href, F.lit(""))), lambda link: let(_parts(base), lambda p: resolve(p, link)))
 
 
 def strip_query(c: Column) -> Column:
@@ -156,9 +176,11 @@ def strip_query(c: Column) -> Column:
 
 def host_suffixes(host: Column) -> Column:
     """``a.b.c`` -> [a.b.c, b.c, c]: turns 'equal or sub-domain of' into equality."""
-    parts = F.split(F.rtrim(host, F.lit(".")), r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    return let(
+        F.split(F.rtrim(host, F.lit(".")), r"\."),
+        lambda parts: F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+        ),
     )
 
 
@@ -177,19 +199,21 @@ def path_words(c: Column) -> Column:
 
 
 def _public_ipv4(host: Column) -> Column:
-    byte = [F.try_element_at(F.split(host, r"\."), F.lit(i)).try_cast("int") for i in (1, 2, 3, 4)]
-    a, b, c = byte[0], byte[1], byte[2]
-    return (
-        a.between(1, 223)
-        & ~a.isin(10, 127)
-        & ~((a == 100) & b.between(64, 127))
-        & ~((a == 169) & (b == 254))
-        & ~((a == 172) & b.between(16, 31))
-        & ~((a == 192) & b.isin(0, 168))
-        & ~((a == 198) & b.isin(18, 19))
-        & ~((a == 198) & (b == 51) & (c == 100))
-        & ~((a == 203) & (b == 0) & (c == 113))
-    )
+    def check(byte: Column) -> Column:
+        a, b, c = byte[0], byte[1], byte[2]
+        return (
+            a.between(1, 223)
+            & ~a.isin(10, 127)
+            & ~((a == 100) & b.between(64, 127))
+            & ~((a == 169) & (b == 254))
+            & ~((a == 172) & b.between(16, 31))
+            & ~((a == 192) & b.isin(0, 168))
+            & ~((a == 198) & b.isin(18, 19))
+            & ~((a == 198) & (b == 51) & (c == 100))
+            & ~((a == 203) & (b == 0) & (c == 113))
+        )
+
+    return let(F.transform(F.split(host, r"\."), lambda part: part.try_cast("int")), check)
 
 
 _IPV4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"

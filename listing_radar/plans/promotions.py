@@ -272,10 +272,15 @@ def normalize_promotions(df: DataFrame, sources: DataFrame) -> DataFrame:
 
 @dataclass
 class PromotionRun:
+    """The snapshot, the change log, the checks and the report; the lists of merged listings also as
+    whole row tables (survivor_id is the row_id of a listing that was kept)."""
+
     state: DataFrame
     changes: DataFrame
     validated: DataFrame
     report: DataFrame
+    source_urls: DataFrame
+    evidence: DataFrame
 
 
 def promotion_run(extracted: DataFrame, source_runs: DataFrame, previous: DataFrame, sources: DataFrame,
@@ -301,7 +306,8 @@ def promotion_run(extracted: DataFrame, source_runs: DataFrame, previous: DataFr
     validated = quality.validate_promotions(diff, municipalities)
     log = changes.changes_of(diff, now)
     report = quality.run_report(source_runs, log, validated)
-    return PromotionRun(validated.where("is_valid").select(*previous.columns), log, validated, report)
+    return PromotionRun(validated.where("is_valid").select(*previous.columns), log, validated, report,
+                        dedupe.merged_values(assigned, "source_urls"), dedupe.merged_evidence(assigned))
 
 
 def with_bounded_lists(merged: DataFrame, assigned: DataFrame, limit: int = 1_000) -> DataFrame:

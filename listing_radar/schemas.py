@@ -34,52 +34,57 @@ PROMOTION_FIELDS = {
 }
 
 
+def struct(text: str) -> T.StructType:
+    """Parsed form of a schema text; needs a running session."""
+    return T.StructType.fromDDL(text)
+
+
 def ddl(fields: dict[str, str]) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in fields.items())
 
 
-PROMOTIONS = T.StructType.fromDDL(ddl(PROMOTION_FIELDS))
-CHANGES = T.StructType.fromDDL(
+PROMOTIONS = ddl(PROMOTION_FIELDS)
+CHANGES = (
     "id string, promotion_id string, promotion_name string, kind string, detected_at_utc timestamp, "
     "fields array<struct<field:string,previous_value:string,current_value:string>>"
 )
-FEED_ITEMS = T.StructType.fromDDL(
+FEED_ITEMS = (
     "source_id string, external_id string, title string, summary string, official_url string, "
     "related_urls array<string>, municipality_hint string, published_at timestamp, seq bigint"
 )
-CANDIDATES = T.StructType.fromDDL(
+CANDIDATES = (
     "id string, source_id string, source_name string, source_kind string, external_id string, title string, "
     "summary string, official_url string, related_urls array<string>, published_at_utc timestamp, municipality string, "
     "kind string, confidence decimal(5,2), matched_terms array<string>, first_seen_utc timestamp, "
     "last_seen_utc timestamp, status string"
 )
-SOURCE_HEALTH = T.StructType.fromDDL(
+SOURCE_HEALTH = (
     "source_id string, source_name string, source_kind string, cadence string, fixed_municipality string, "
     "first_checked_utc timestamp, last_attempt_utc timestamp, last_success_utc timestamp, last_failure_utc timestamp, "
     "last_non_empty_utc timestamp, next_check_due_utc timestamp, consecutive_failures int, consecutive_empty_runs int, "
     "last_items_read int, last_candidates_matched int, status string, issues array<string>"
 )
-SOURCE_RUNS = T.StructType.fromDDL(
+SOURCE_RUNS = (
     "source_id string, run_id bigint, checked_at timestamp, success boolean, items_read int, candidates_matched int, "
     "error string"
 )
-CENTROID_CSV = T.StructType.fromDDL(
+CENTROID_CSV = (
     "COD_GEO string, NOMBRE_ACTUAL string, LONGITUD_ETRS89 double, LATITUD_ETRS89 double, ORIGENCOOR string"
 )
 
 # named arrays of the catalog files
 CATALOGS = {
-    "municipalities": T.StructType.fromDDL(
+    "municipalities": (
         "municipalities array<struct<officialName:string,aliases:array<string>,localities:array<string>,latitude:double,"
         "longitude:double,boundingBox:array<double>,enabled:boolean,searchTerms:array<string>>>"),
-    "centroids": T.StructType.fromDDL(
+    "centroids": (
         "centroids array<struct<municipality:string,sourceRecordId:string,latitude:double,longitude:double,"
         "coordinateOrigin:string,sourceUrl:string,checkedAtUtc:timestamp>>"),
-    "domains": T.StructType.fromDDL("domains array<string>"),
-    "terms": T.StructType.fromDDL("terms array<struct<term:string,kind:string>>"),
-    "contextTerms": T.StructType.fromDDL("contextTerms array<string>"),
-    "exclusionTerms": T.StructType.fromDDL("exclusionTerms array<string>"),
-    "sources": T.StructType.fromDDL(
+    "domains": ("domains array<string>"),
+    "terms": ("terms array<struct<term:string,kind:string>>"),
+    "contextTerms": ("contextTerms array<string>"),
+    "exclusionTerms": ("exclusionTerms array<string>"),
+    "sources": (
         "sources array<struct<id:string,name:string,baseUrl:string,enabled:boolean,sourceKind:string,format:string,"
         "cadence:string,urlTemplate:string,allowedHosts:array<string>,startUrls:array<string>,itemSelectors:array<string>,"
         "sitemapIncludes:array<string>,includePatterns:array<string>,excludePatterns:array<string>,"

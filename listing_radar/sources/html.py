@@ -14,7 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-FACTS = T.StructType.fromDDL(
+FACTS = (
     "title string, h1 string, canonical string, meta map<string,string>, json_ld array<string>, "
     "links array<struct<pos:int,href:string,text:string>>, text string, roots array<string>, "
     "blocks array<struct<selector:int,pos:int,tag:string,title:string,href:string,marked_href:string,"
@@ -177,8 +177,9 @@ def html_facts(pages: DataFrame, blocks: list[str] | None = None, roots: list[st
     selectors whose first element's text is needed, ``overrides`` named selectors for single facts.
     """
     kept = [c for c in pages.columns if c != "html"]
-    schema = T.StructType([*[pages.schema[c] for c in kept], *FACTS.fields])
-    names = [f.name for f in FACTS.fields]
+    facts_schema = T.StructType.fromDDL(FACTS)
+    schema = T.StructType([*[pages.schema[c] for c in kept], *facts_schema.fields])
+    names = facts_schema.names
     wanted_blocks, wanted_roots, named = list(blocks or []), list(roots or []), dict(overrides or {})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from listing_radar.fixed_values import LISTING_NODE_TYPES
 from listing_radar.functions.patterns import parse_spanish_decimal
 
-NODE = T.StructType.fromDDL(
+NODE = (
     "node_no int, type string, name string, url string, brand string, seller string, provider string, "
     "address_text string, street string, locality string, postal_code string, latitude string, longitude string, "
     "rooms string, has_offers boolean, offer_prices array<string>, raw string"
@@ -71,7 +71,7 @@ def _row(number: int, node: dict, raw: str) -> tuple:
 def json_ld_nodes(facts: DataFrame, key: str) -> DataFrame:
     """Nodes of all scripts of a page that describe a listing; a script that is not JSON gives no row."""
     scripts = facts.select(key, F.posexplode("json_ld").alias("script_no", "script"))
-    schema = T.StructType([scripts.schema[key], scripts.schema["script_no"], *NODE.fields])
+    schema = T.StructType([scripts.schema[key], scripts.schema["script_no"], *T.StructType.fromDDL(NODE).fields])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from listing_radar import schemas
 from listing_radar.operators.candidates import upsert_candidates
 from listing_radar.plans.radar import RadarCatalog, match
 from listing_radar.sinks.tables import save_state
-from listing_radar.sources.tables import load_state
+from listing_radar.sources.tables import snapshot_folders
 
 
 def radar_stream(spark: SparkSession, items_path: str, state_path: str, checkpoint: str, catalog: RadarCatalog,
@@ -28,7 +28,7 @@ def radar_stream(spark: SparkSession, items_path: str, state_path: str, checkpoi
         session = batch.sparkSession
         previous = _before(session, state_path, number)
         matched = match(batch, catalog, now)
-        state = upsert_candidates(previous, matched, [F.col("seq")]).select(*schemas.CANDIDATES.names)
+        state = upsert_candidates(previous, matched, [F.col("seq")]).select(*schemas.struct(schemas.CANDIDATES).names)
         save_state(state, state_path, f"{number:012d}")
 
     writer = items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -36,8 +36,6 @@ def radar_stream(spark: SparkSession, items_path: str, state_path: str, checkpoi
 
 
 def _before(spark: SparkSession, path: str, number: int) -> DataFrame:
-    from listing_radar.sources.tables import snapshot_folders
-
     earlier = [f for f in snapshot_folders(spark, path) if int(f.rsplit("run_id=", 1)[1]) < number]
     return spark.read.parquet(earlier[0]) if earlier else spark.createDataFrame([], schemas.CANDIDATES)
 
@@ -63,13 +61,14 @@ class HealthProcessor(StatefulProcessor):
                 had_data = had_data or run.items_read > 0
             out.append((key[0], run.run_id, failures, empties, status))
         self.state.update((failures, empties, had_data))
-        yield pd.DataFrame(out, columns=HEALTH_ROWS.names)
+        yield pd.DataFrame(out, columns=HEALTH_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-HEALTH_ROWS = T.StructType.fromDDL(
+HEALTH_COLUMNS = ["source_id", "run_id", "consecutive_failures", "consecutive_empty_runs", "status"]
+HEALTH_ROWS = (
     "source_id string, run_id bigint, consecutive_failures int, consecutive_empty_runs int, status string")
 
 
@@ -78,5 +77,3 @@ def health_stream(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source_id").transformWithStateInPandas(
         HealthProcessor(), HEALTH_ROWS, outputMode="Update", timeMode="None")
 
-
-__all__ = ["HEALTH_ROWS", "health_stream", "load_state", "radar_stream"]

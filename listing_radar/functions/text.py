@@ -32,7 +32,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def fold_accents(c: Column) -> Column:
     """Lower case without accents, for composed and for decomposed input."""
-    return F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+    def fold(low: Column) -> Column:
+        return F.regexp_replace(F.translate(low, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+
+    # most texts have no accent at all and skip the character map
+    return let(F.lower(c), lambda low: F.when(low.rlike(r"[^\x00-\x7F]"), fold(low)).otherwise(low))
 
 
 def normalize_text(c: Column) -> Column:
@@ -98,13 +102,13 @@ def historical_year(c: Column, year: Column | int) -> Column:
 
 def word_ngrams(normalized: Column, longest: int) -> Column:
     """Distinct runs of 1..``longest`` words of an already normalized text."""
+    def runs(words: Column, n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
     def grams(words: Column) -> Column:
-        out = words
-        for n in range(2, longest + 1):
-            starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-                F.array().cast("array<int>")
-            )
-            out = F.concat(out, F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-        return F.array_distinct(out)
+        return F.array_distinct(F.concat(words, *[runs(words, n) for n in range(2, longest + 1)]))
 
     return let(F.filter(F.split(normalized, " "), lambda w: w != ""), grams)

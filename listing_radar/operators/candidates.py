@@ -45,7 +45,7 @@ def commercial_filter(items: DataFrame, sources: DataFrame) -> DataFrame:
     allowed = sources.select("source_id", F.explode("allowed_hosts").alias("_host")).select(
         "source_id", F.lower("_host").alias("_host")).distinct()
     hosted = items.where(is_https_url(F.col("official_url"))).withColumn("_host", host_of(F.col("official_url")))
-    return hosted.join(broadcast_if_small(allowed), ["source_id", "_host"], "left_semi").drop("_host")
+    return hosted.join(broadcast_if_small(allowed, sources), ["source_id", "_host"], "left_semi").drop("_host")
 
 
 def search_filter(items: DataFrame, excluded: Column) -> DataFrame:

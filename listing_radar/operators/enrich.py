@@ -46,7 +46,7 @@ def find_source_by_host(promotions: DataFrame, sources: DataFrame) -> DataFrame:
         "ord", "source_id",
         F.explode(F.concat(F.transform("allowed_hosts", F.lower), F.array(host_of(F.col("base_url"))))).alias("_host"),
     ).where("_host != ''").groupBy("_host").agg(F.min_by("source_id", "ord").alias("source_id"))
-    out = promotions.withColumn("_host", host_of(F.col("canonical_url"))).join(broadcast_if_small(hosts), "_host", "left")
+    out = promotions.withColumn("_host", host_of(F.col("canonical_url"))).join(broadcast_if_small(hosts, sources), "_host", "left")
     return out.withColumn("source_error", F.col("source_id").isNull()).drop("_host")
 
 

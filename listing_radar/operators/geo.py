@@ -58,7 +58,7 @@ def geocode_centroid(promotions: DataFrame, municipalities: DataFrame, now: Colu
         F.col("longitude").alias("_lon"), F.col("official_name").alias("_official"), "ord",
     ).groupBy("_place").agg(*[F.min_by(c, "ord").alias(c) for c in ("_lat", "_lon", "_official")])
     out = promotions.withColumn("_key", normalize_text(F.col("municipality")))
-    out = out.join(broadcast_if_small(centroids), F.col("_key") == F.col("_place"), "left")
+    out = out.join(broadcast_if_small(centroids, municipalities), F.col("_key") == F.col("_place"), "left")
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     placed = ~located & F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
     proof = _evidence(

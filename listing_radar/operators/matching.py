@@ -10,17 +10,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_radar import fixed_values as V
 from listing_radar.functions import ids, scores
-from listing_radar.functions.text import clean_evidence, normalize_text, word_ngrams
+from listing_radar.functions.text import clean_evidence, let, normalize_text, word_ngrams
 from listing_radar.functions.urls import is_https_url, normalize_url
-from listing_radar.operators.scale import broadcast_if_small, is_small, join_unique
+from listing_radar.operators.scale import broadcast_if_small, is_small, join_unique, small_rows
 
 LITERAL_ROWS = 5_000
+SCANNED_PHRASES = 100
 
 
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def phrase_hits(text: Column, phrases: list[str]) -> Column:
+    """Those of the normalized phrases that occur in a normalized text as whole words. Single words are
+    looked up in a hash set; a few longer phrases are searched, many are looked up as word runs."""
+    words = sorted({p for p in phrases if " " not in p})
+    runs = sorted({p for p in phrases if " " in p})
+    if len(runs) > SCANNED_PHRASES:
+        longest = max(len(p.split(" ")) for p in runs)
+        return F.array_intersect(word_ngrams(text, longest), _strings(words + runs))
+    hits = F.array_intersect(F.split(text, " "), _strings(words))
+    if not runs:
+        return hits
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    found = let(padded, lambda p: F.filter(_strings(runs), lambda r: p.contains(F.concat(F.lit(" "), r, F.lit(" ")))))
+    return F.concat(hits, found)
+
+
 def alias_terms(municipalities: DataFrame) -> DataFrame:
     """(term, official, ord, place) of every spelling, for raw containment. Official name, aliases and
     localities register in catalog order; a spelling met again keeps its place and takes the later name."""
@@ -56,8 +73,9 @@ def match_catalog(items: DataFrame, key: str, text: Column, municipalities: Data
     """Official name of the longest spelling that occurs anywhere in the text (also inside a word)."""
     terms = alias_terms(municipalities)
     normalized = normalize_text(text)
-    if is_small(terms, literal_rows):
-        ranked = terms.orderBy(F.length("term").desc(), "place").collect()
+    rows = small_rows(terms, literal_rows)
+    if rows is not None:
+        ranked = sorted(rows, key=lambda r: (-len(r.term), tuple(r.place)))
         spellings, officials = _strings([r.term for r in ranked]), _strings([r.official for r in ranked])
         first = F.try_element_at(F.filter(spellings, lambda t: F.col("_text").contains(t)), F.lit(1))
         found = F.try_element_at(officials, F.nullif(F.array_position(spellings, first), F.lit(0)).cast("int"))
@@ -80,17 +98,30 @@ def match_catalog(items: DataFrame, key: str, text: Column, municipalities: Data
     return items.join(best, items[key] == best["_id"], "left").drop("_id")
 
 
+def ranked_terms(terms: DataFrame, literal_rows: int = LITERAL_ROWS) -> tuple[list[str], list[str]] | None:
+    """Terms and their places, the longest first, catalog order within one length; None if too many."""
+    rows = small_rows(terms, literal_rows)
+    if rows is None:
+        return None
+    rows = sorted(rows, key=lambda r: (-len(r.term), r.ord, r.term))
+    return [r.term for r in rows], [r.official for r in rows]
+
+
+def place_of_hits(hits: Column, spellings: list[str], officials: list[str]) -> Column:
+    ranks = F.filter(F.transform(hits, lambda t: F.array_position(_strings(spellings), t)), lambda r: r > 0)
+    return F.try_element_at(_strings(officials), F.array_min(ranks).cast("int"))
+
+
 def match_words(items: DataFrame, key: str, normalized: Column, municipalities: DataFrame, name: str,
                 literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """Official name of the longest term that occurs as whole words; catalog order decides ties."""
     terms = word_terms(municipalities)
+    ranked = ranked_terms(terms, literal_rows)
+    if ranked is not None:
+        spellings, officials = ranked
+        place = let(normalized, lambda text: place_of_hits(phrase_hits(text, spellings), spellings, officials))
+        return items.withColumn(name, place)
     longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    if is_small(terms, literal_rows):
-        ranked = terms.orderBy(F.length("term").desc(), "ord", "term").collect()
-        spellings, officials = _strings([r.term for r in ranked]), _strings([r.official for r in ranked])
-        hits = F.array_intersect(word_ngrams(normalized, longest), spellings)
-        rank = F.array_min(F.transform(hits, lambda t: F.array_position(spellings, t)))
-        return items.withColumn(name, F.try_element_at(officials, rank.cast("int")))
     grams = items.select(F.col(key).alias("_id"), F.explode(word_ngrams(normalized, longest)).alias("term"))
     best = (
         grams.join(broadcast_if_small(terms), "term")
@@ -100,59 +131,73 @@ def match_words(items: DataFrame, key: str, normalized: Column, municipalities:
     return items.join(best, items[key] == best["_id"], "left").drop("_id")
 
 
-def resolve_municipality(items: DataFrame, key: str, normalized: Column, municipalities: DataFrame) -> DataFrame:
-    """Hint, else the source's fixed place, else the text. A hint that is not known ends the search."""
+def resolve_municipality(items: DataFrame, by_text: Column, municipalities: DataFrame) -> DataFrame:
+    """Hint, else the source's fixed place, else the place found in the text. A hint that is not known
+    ends the search."""
     known = municipalities.where("enabled").groupBy(F.lower("official_name").alias("_place")).agg(
         F.min_by("official_name", "ord").alias("_official"))
     hint, fixed = F.trim(F.coalesce("municipality_hint", F.lit(""))), F.trim(F.coalesce("fixed_municipality", F.lit("")))
     stated = F.when(hint != "", F.lower("municipality_hint")).when(fixed != "", F.lower("fixed_municipality"))
-    out = match_words(items, key, F.when(stated.isNull(), normalized).otherwise(F.lit("")), municipalities, "_by_text")
-    out = out.withColumn("_stated", stated)
-    known = broadcast_if_small(known)
-    out = out.join(known, F.col("_stated") == F.col("_place"), "left")
-    chosen = F.when(F.col("_stated").isNotNull(), F.col("_official")).otherwise(F.col("_by_text"))
-    return out.withColumn("municipality", chosen).drop("_stated", "_place", "_official", "_by_text")
+    out = items.withColumn("_stated", stated)
+    out = out.join(broadcast_if_small(known, municipalities), F.col("_stated") == F.col("_place"), "left")
+    chosen = F.when(F.col("_stated").isNotNull(), F.col("_official")).otherwise(by_text)
+    return out.withColumn("municipality", chosen).drop("_stated", "_place", "_official")
+
+
+class TermMatcher:
+    """Rule, context and exclusion words as literals. Word lists are catalogs of limited size."""
+
+    def __init__(self, terms: DataFrame, context_terms: DataFrame, exclusion_terms: DataFrame):
+        self.rules = [r for r in _norm_terms(terms, "term") if r[0]]
+        self.context = [r[0] for r in _norm_terms(context_terms, "term") if r[0]]
+        self.excluded = [r[0] for r in _norm_terms(exclusion_terms, "term") if r[0]]
+
+    @property
+    def phrases(self) -> list[str]:
+        return [r[0] for r in self.rules] + self.context + self.excluded
+
+    def facts(self, hits: Column) -> dict[str, Column]:
+        rules = F.array(*[
+            F.struct(F.lit(r[0]).alias("n"), F.lit(r[1]).alias("term"), F.lit(r[2]).alias("kind")) for r in self.rules])
+        matched = F.transform(
+            F.filter(rules, lambda r: F.array_contains(hits, r["n"])),
+            lambda r: F.struct(r["term"].alias("term"), r["kind"].alias("kind")),
+        )
+        return {
+            "matched_rules": matched,
+            "has_context": F.arrays_overlap(hits, _strings(self.context)),
+            "is_excluded": F.arrays_overlap(hits, _strings(self.excluded)),
+        }
 
 
 def _norm_terms(df: DataFrame, column: str) -> list[tuple]:
-    """Small word lists (checked) as (normalized, original) pairs."""
-    if not is_small(df, LITERAL_ROWS):
+    """Small word lists (checked) as (normalized, original, ...) tuples."""
+    rows = small_rows(df.select(normalize_text(F.col(column)).alias("n"), *df.columns), LITERAL_ROWS)
+    if rows is None:
         raise ValueError(f"{column}: the word list is a catalog of at most {LITERAL_ROWS} entries")
-    return [tuple(r) for r in df.select(normalize_text(F.col(column)).alias("n"), *df.columns).collect()]
+    return [tuple(r) for r in rows]
 
 
 def match_terms(items: DataFrame, normalized: Column, terms: DataFrame, context_terms: DataFrame,
                 exclusion_terms: DataFrame) -> DataFrame:
     """Adds matched_rules (array of term and kind), has_context and is_excluded, all by whole words."""
-    rules = [r for r in _norm_terms(terms, "term") if r[0]]
-    context = [r[0] for r in _norm_terms(context_terms, "term") if r[0]]
-    excluded = [r[0] for r in _norm_terms(exclusion_terms, "term") if r[0]]
-    every = sorted({r[0] for r in rules} | set(context) | set(excluded))
-    longest = max([len(t.split(" ")) for t in every], default=1)
-    rule_array = F.array(*[F.struct(F.lit(r[0]).alias("n"), F.lit(r[1]).alias("term"), F.lit(r[2]).alias("kind"))
-                           for r in rules])
-    out = items.withColumn("_hits", F.array_intersect(word_ngrams(normalized, longest), _strings(every)))
-    matched = F.transform(
-        F.filter(rule_array, lambda r: F.array_contains(F.col("_hits"), r["n"])),
-        lambda r: F.struct(r["term"].alias("term"), r["kind"].alias("kind")),
-    )
-    return out.withColumns(
-        {
-            "matched_rules": matched,
-            "has_context": F.arrays_overlap("_hits", _strings(context)),
-            "is_excluded": F.arrays_overlap("_hits", _strings(excluded)),
-        }
-    ).drop("_hits")
+    matcher = TermMatcher(terms, context_terms, exclusion_terms)
+
+    def facts(hits: Column) -> Column:
+        return F.struct(*[c.alias(n) for n, c in matcher.facts(hits).items()])
+
+    found = let(let(normalized, lambda text: phrase_hits(text, matcher.phrases)), facts)
+    return items.select("*", F.inline(F.array(found)))
 
 
 def dominant_kind(matched_rules: Column) -> Column:
     """Most frequent kind of the matched rules; the lower ordinal wins a tie."""
+    def count(kind: str) -> Column:
+        return F.size(F.filter(matched_rules, lambda r: r["kind"] == kind))
+
     ranked = F.array(
         *[
-            F.struct(
-                F.size(F.filter(matched_rules, lambda r, k=kind: r["kind"] == k)).alias("n"),
-                F.lit(-position).alias("o"), F.lit(kind).alias("kind"),
-            )
+            F.struct(count(kind).alias("n"), F.lit(-position).alias("o"), F.lit(kind).alias("kind"))
             for position, kind in enumerate(V.OPPORTUNITY_KIND)
         ]
     )
@@ -179,7 +224,7 @@ def mark_known_urls(items: DataFrame, url: str, known_urls: DataFrame, row_key:
     """Adds ``is_known``: the normalized URL belongs to a known listing."""
     known = known_urls.select(F.lower(normalize_url(F.col("url"))).alias("_url")).distinct().withColumn("_known", F.lit(True))
     keyed = items.withColumn("_url", F.lower(normalize_url(F.col(url))))
-    if is_small(known):
+    if is_small(known_urls):
         out = keyed.join(F.broadcast(known), "_url", "left")
     else:
         out = join_unique(keyed, known, ["_url"], F.col(row_key))
@@ -200,13 +245,26 @@ def match_items(items: DataFrame, sources: DataFrame, municipalities: DataFrame,
     config = sources.select(
         "source_id", "source_name", "source_kind", "fixed_municipality", "ignore_exclusion_terms", "review_rules")
     out = items.join(broadcast_if_small(config), "source_id")
+    matcher, places = TermMatcher(terms, context_terms, exclusion_terms), word_terms(municipalities)
+    text = normalize_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
+    ranked = ranked_terms(places)
+    literal, (spellings, officials) = ranked is not None, ranked or ([], [])
+
+    def facts(hits: Column) -> Column:
+        place = place_of_hits(hits, spellings, officials) if literal else F.lit(None).cast("string")
+        return F.struct(*[c.alias(n) for n, c in matcher.facts(hits).items()], place.alias("_by_text"))
+
+    def wanted(found: Column) -> Column:
+        return ((F.size(found["matched_rules"]) > 0) & found["has_context"]
+                & (F.col("ignore_exclusion_terms") | ~found["is_excluded"]))
+
+    # a generator keeps the filter and the columns on one evaluation of the text
+    found = let(let(text, lambda t: phrase_hits(t, matcher.phrases + spellings)), facts)
+    out = out.select("*", F.inline(F.filter(F.array(found), wanted)))
     out = out.withColumn("_row", F.concat_ws("|", "source_id", "external_id", "official_url"))
-    out = out.withColumn("_searchable", normalize_text(F.concat_ws(" ", F.coalesce("title", F.lit("")),
-                                                                     F.coalesce("summary", F.lit("")))))
-    out = match_terms(out, F.col("_searchable"), terms, context_terms, exclusion_terms)
-    out = out.where((F.size("matched_rules") > 0) & F.col("has_context")
-                    & (F.col("ignore_exclusion_terms") | ~F.col("is_excluded")))
-    out = resolve_municipality(out, "_row", F.col("_searchable"), municipalities).where("municipality is not null")
+    if not literal:
+        out = match_words(out.drop("_by_text"), "_row", text, municipalities, "_by_text")
+    out = resolve_municipality(out, F.col("_by_text"), municipalities).where("municipality is not null")
     if known_urls is None:
         out = out.withColumn("is_known", F.lit(False))
     else:

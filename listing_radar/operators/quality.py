@@ -18,7 +18,7 @@ def validate_promotions(promotions: DataFrame, municipalities: DataFrame) -> Dat
     """Adds ``errors``, ``warnings_found`` and ``is_valid``."""
     known = municipalities.select(normalize_text(F.col("official_name")).alias("_place")).distinct()
     out = promotions.withColumn("_key", normalize_text(F.col("municipality")))
-    out = out.join(broadcast_if_small(known), F.col("_key") == F.col("_place"), "left")
+    out = out.join(broadcast_if_small(known, municipalities), F.col("_key") == F.col("_place"), "left")
     errors = F.array_compact(
         F.array(
             F.when(F.trim(F.coalesce("name", F.lit(""))) == "", F.lit(V.ERR_NAME)),

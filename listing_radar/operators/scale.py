@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 HEAVY_ROWS = 1_000_000
 SALTS = 1024
@@ -20,9 +20,16 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint after a size check; beyond it the join stays a shuffle join under AQE."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def small_rows(df: DataFrame, rows: int = SMALL_ROWS) -> list[Row] | None:
+    """The rows of a catalog of at most ``rows`` rows, None if it is larger."""
+    found = df.limit(rows + 1).collect()
+    return found if len(found) <= rows else None
+
+
+def broadcast_if_small(df: DataFrame, size_of: DataFrame | None = None, rows: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast hint after a size check; beyond it the join stays a shuffle join under AQE. ``size_of``
+    is the catalog ``df`` was reduced from, if counting that is cheaper."""
+    return F.broadcast(df) if is_small(df if size_of is None else size_of, rows) else df
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "urls", "radar"]
+MODULES = ["text", "urls", "radar", "changes", "listings"]
 
 
 def _load():

@@ -274,10 +274,18 @@ def proposals(d) -> str:
       l_returnflag, l_linestatus from lineitem"""
 
 
+def _spread(df: DataFrame, name: str) -> DataFrame:
+    """Texts in fewer file splits than there are cores go to all of them; never so with large inputs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if name not in ("documents", "pages") or len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def logical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Logical (or base) table as a DataFrame."""
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), name)
     text = TABLES[name](Spark)
     used = [t for t in [*BASE, *TABLES] if t != name and re.search(rf"\b(from|join)\s+{t}\b", text)]
     if used:

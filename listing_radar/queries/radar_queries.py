@@ -95,7 +95,8 @@ def _(t):
     from listing_radar.functions.text import normalize_text
 
     rows = t.items.join(t.doc_sources.select("source_id", "fixed_municipality"), "source_id")
-    return M.resolve_municipality(rows, "seq", normalize_text(F.concat_ws(" ", "title", "summary")), t.places).select("seq", "municipality")
+    rows = M.match_words(rows, "seq", normalize_text(F.concat_ws(" ", "title", "summary")), t.places, "by_text")
+    return M.resolve_municipality(rows, F.col("by_text"), t.places).select("seq", "municipality")
 
 
 @query("match_terms", "select n.seq, coalesce(l.terms, '') as terms, k.kind, f.ctx as has_context, f.excl as is_excluded from norm_items n left join term_lists l using (seq) left join top_kind k using (seq) join flags f using (seq)")

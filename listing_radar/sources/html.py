@@ -191,7 +191,7 @@ def html_facts(pages: DataFrame, blocks: list[str] | None = None, roots: list[st
                 reader = _Reader(tests[0], tests[1], override_tests, link_mark)
                 reader.feed(html or "")
                 facts = reader.finish()
-                found.append([list(v.items()) if isinstance(v, dict) else v for v in (facts[n] for n in names)])
+                found.append([facts[n] for n in names])
             out = batch[kept].copy()
             for i, name in enumerate(names):
                 out[name] = [row[i] for row in found]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "urls", "radar", "changes", "listings", "dedupe", "health"]
+MODULES = ["text", "urls", "radar", "changes", "listings", "dedupe", "health", "triage", "enrichment", "pages"]
 
 
 def _load():

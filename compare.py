@@ -72,8 +72,8 @@ def main() -> None:
             print(f"DIFF {name}: columns {sorted(df.columns)} vs {sorted(names)}", flush=True)
         elif left != right:
             bad.append(name)
-            only_left = [r for r in left if r not in set(right)][:2]
-            only_right = [r for r in right if r not in set(left)][:2]
+            only_left = sorted(set(left) - set(right))[:2]
+            only_right = sorted(set(right) - set(left))[:2]
             print(f"DIFF {name}: {len(left)} vs {len(right)} rows\n   spark  {str(only_left)[:700]}\n   duckdb {str(only_right)[:700]}", flush=True)
         else:
             flag = "" if rows else "  EMPTY"

@@ -229,7 +229,7 @@ def _(t):
     return N.budget_admission(rows, ["o_custkey", "k"], "cost", Decimal("2000000.00"), 25).select("k", "decision")
 
 
-@query("max_cost", """select doc_id, cast(round((octet_length(encode(text)) + 256) * (case doc_id % 3 when 0 then 1.0 when 1 then 2.5 else 5.0 end) / 1000000.0 + 800 * (case doc_id % 3 when 0 then 6.0 when 1 then 15.0 else 30.0 end) / 1000000.0, 6) as double) as usd from documents""")
+@query("max_cost", """select doc_id, cast(round((octet_length(encode(text)) + 256) * (case doc_id % 3 when 0 then 1.0 when 1 then 2.5 else 5.0 end) + 800 * (case doc_id % 3 when 0 then 6.0 when 1 then 15.0 else 30.0 end), 0) as double) / 1000000 as usd from documents""")
 def _(t):
     model = F.element_at(F.array(F.lit("gpt-5.6-luna"), F.lit("gpt-5.6-terra"), F.lit("gpt-5.6-sol")), (F.col("doc_id") % 3 + 1).cast("int"))
     return t.documents.select("doc_id", scores.max_cost(model, F.col("text"), F.lit(800)).cast("double").alias("usd"))
@@ -238,7 +238,7 @@ def _(t):
 _TOK = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint) * 100 as i, cast(l_quantity as bigint) * 10 as c, l_linenumber as w, l_partkey % 50 as o from lineitem"
 
 
-@query("usage_cost", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round((greatest(i - c - w, 0) * 1.0 + c * 0.1 + w * 1.25 + o * 6.0) / 1000000.0, 6) as double) as usd from ({_TOK})")
+@query("usage_cost", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(greatest(i - c - w, 0) * 1.0 + c * 0.1 + w * 1.25 + o * 6.0, 0) as double) / 1000000 as usd from ({_TOK})")
 def _(t):
     rows = t.lineitem.withColumns({"i": F.col("l_quantity").cast("long") * 100, "c": F.col("l_quantity").cast("long") * 10, "o": F.col("l_partkey") % 50})
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", scores.usage_cost(F.lit("gpt-5.6-luna"), F.col("i"), F.col("c"), F.col("l_linenumber"), F.col("o")).cast("double").alias("usd"))

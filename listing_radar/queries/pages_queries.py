@@ -13,9 +13,9 @@ from listing_radar.sources import feeds as S
 from listing_radar.sources.html import html_facts
 
 
-def files(t):
+def files(t, html=None):
     return t.pages.select((F.col("page_id") % 20).cast("string").alias("source_id"), F.col("url").alias("source_url"), F.lit("2024-01-01").cast("date").alias("document_date"),
-                          F.col("html").alias("content"))
+                          (F.col("html") if html is None else html).alias("content"))
 
 
 @query("html_titles", """select page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) as title,
@@ -43,18 +43,25 @@ def _(t):
 
 @query("detail_page")
 def _(t):
-    items, _ = S.scan_detail_page(files(t), ["article", "h1"], ["nav a", "a"][1:], ["none.example.org"])
+    items, _ = S.scan_detail_page(files(t), ["article", "h1"], ["a"], ["none.example.org"])
     return items.select("source_id", "official_url", "title", F.size("related_urls").alias("n"))
 
 
-@query("notice_table")
+_ROW = """concat(html, '<table><tr><td>1</td><td> Anuncio ', cast(page_id as string), '</td><td><a href="/Tablon.do?action=verAnuncio&amp;id=', cast(page_id as string), '">ver</a> 0', cast(1 + page_id % 9 as string), '/01/2024</td></tr><tr><td>none</td></tr></table>')"""
+
+
+@query("notice_table", """select regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/Tablon.do?action=verAnuncio&id=' || cast(page_id as varchar) as official_url, 'Anuncio ' || cast(page_id as varchar) as title, '2024-01-0' || cast(1 + page_id % 9 as varchar) as day from pages""")
 def _(t):
-    return S.scan_notice_table(files(t)).select("source_id", "official_url", "title")
+    rows = S.scan_notice_table(files(t, F.expr(_ROW)))
+    return rows.select("official_url", "title", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
+
+
+_CAL = """concat(html, '<p><a href="/CM_Boletin_BOCM/', cast(page_id as string), '.pdf">a</a><a href="/CM_Boletin_BOCM/2024/', cast(page_id as string), '.xml">b</a><a href="/cm_boletin_bocm/z.XML">c</a></p>')"""
 
 
-@query("calendar_summary")
+@query("calendar_summary", "select url as source_url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/CM_Boletin_BOCM/2024/' || cast(page_id as varchar) || '.xml' as url from pages")
 def _(t):
-    return S.find_calendar_summary(files(t))
+    return S.find_calendar_summary(files(t, F.expr(_CAL))).select("source_url", "url")
 
 
 @query("canonical_url", "select page_id, case when page_id % 2 = 0 then regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/c/' || cast(page_id as varchar) when page_id % 3 = 0 then 'https://og.example.org/x' else url end as url from pages")

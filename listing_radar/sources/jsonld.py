@@ -71,6 +71,8 @@ def _row(number: int, node: dict, raw: str) -> tuple:
 def json_ld_nodes(facts: DataFrame, key: str) -> DataFrame:
     """Nodes of all scripts of a page that describe a listing; a script that is not JSON gives no row."""
     scripts = facts.select(key, F.posexplode("json_ld").alias("script_no", "script"))
+    if key in T.StructType.fromDDL(NODE).names:
+        raise ValueError(f"the page key must not be called {key}: nodes have a column of that name")
     schema = T.StructType([scripts.schema[key], scripts.schema["script_no"], *T.StructType.fromDDL(NODE).fields])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

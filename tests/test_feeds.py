@@ -111,10 +111,10 @@ def test_html_facts_and_json_ld(spark):
     html = """<html><head><title>P</title><link rel=canonical href="/c?utm_source=1"><meta property="og:title" content="OG"><script type="application/ld+json">{"@graph":[{"@type":"Product","NAME":"Res","brand":{"name":"B"},
       "address":{"streetAddress":"C 1","addressLocality":"Villa"},"geo":{"latitude":40.5,"longitude":"-3,7"},"offers":[{"lowPrice":"625.000"},{"price":700000.5}]},{"@type":"Thing","name":"x"}]}</script>
       <script type="application/ld+json">{bad</script></head><body><h1>H</h1><p>uno<p>dos<script>no</script></body></html>"""
-    facts = html_facts(spark.createDataFrame([("u", html)], "url string, html string"))
+    facts = html_facts(spark.createDataFrame([("u", html)], "page_url string, html string"))
     row = facts.first()
     assert (row.title, row.h1, row.canonical, row.meta["og:title"], row.text) == ("P", "H", "/c?utm_source=1", "OG", "H uno dos")
-    nodes = json_ld_nodes(facts, "url")
+    nodes = json_ld_nodes(facts, "page_url")
     got = nodes.select("name", "brand", node_address(nodes).alias("a"), offer_range(F.col("offer_prices")).alias("o"), "longitude").collect()
     assert [(r.name, r.brand, r.a, float(r.o.price_from), float(r.o.price_to)) for r in got] == [("Res", "B", "C 1, Villa", 625000.0, 700000.5)]
 

@@ -13,6 +13,7 @@ from listing_radar.operators import changes, dedupe, enrich, geo, quality
 from listing_radar.operators.matching import match_catalog
 from listing_radar.operators.scale import broadcast_if_small
 from listing_radar.sources.html import html_facts
+from listing_radar.session import cut_lineage
 from listing_radar.sources.jsonld import json_ld_nodes, node_address, offer_range
 
 _EVIDENCE_ARRAY = f"array<{schemas.EVIDENCE}>"
@@ -296,14 +297,15 @@ def promotion_run(extracted: DataFrame, source_runs: DataFrame, previous: DataFr
     rows = rows.withColumn("id", identity)
     if accepted is not None:
         rows = enrich.apply_accepted(rows, accepted)
-    rows = geo.geocode(rows, municipalities, now, geocode_cache)
-    assigned = dedupe.assign_survivors(rows)
+    # read by every branch below: extracted and located once
+    rows = cut_lineage(geo.geocode(rows, municipalities, now, geocode_cache))
+    assigned = cut_lineage(dedupe.assign_survivors(rows))
     merged = dedupe.possible_duplicates(dedupe.merge_duplicates(assigned))
     current = with_bounded_lists(merged, assigned).withColumn("id", identity)
-    current = current.dropDuplicates(["id"]).select(*[c for c in previous.columns])
+    current = cut_lineage(current.dropDuplicates(["id"]).select(*previous.columns))
     old = geo.geocode(previous, municipalities, now, geocode_cache)
     diff = changes.state_diff(current, old, now, run_ok)
-    validated = quality.validate_promotions(diff, municipalities)
+    validated = cut_lineage(quality.validate_promotions(diff, municipalities))
     log = changes.changes_of(diff, now)
     report = quality.run_report(source_runs, log, validated)
     return PromotionRun(validated.where("is_valid").select(*previous.columns), log, validated, report,

@@ -57,12 +57,16 @@ def test_overrides_and_fixed_place(spark, places):
 
 def test_promotion_run(spark, places, tmp_path):
     rows, _ = P.extract_promotions(page(spark, LD, LD, "<h1>Residencial Sur</h1>Obra nueva en Cerro desde 450.000 €"), SOURCE, places)
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
     sources = spark.createDataFrame([("s", ["https://a.example.org/"])], "source_id string, start_urls array<string>")
     runs = spark.createDataFrame([("s", "success", 3, 3, 0, 3, NOW, NOW + timedelta(seconds=2))],
                                  "source_id string, status string, urls_discovered int, urls_fetched int, urls_skipped int, promotions_extracted int, started_at_utc timestamp, finished_at_utc timestamp")
     previous = spark.createDataFrame([], schemas.PROMOTIONS)
     run = P.promotion_run(rows, runs, previous, sources, places, F.lit(NOW), True)
-    state = run.state.collect()
+    run.state.write.parquet(str(tmp_path / "state"))
+    written = spark.read.parquet(str(tmp_path / "state"))
+    state = written.collect()
     assert len(state) == 2 and {r.location_precision for r in state} == {"municipalityCentroid"}
     pinos = next(r for r in state if r.name == "Los Pinos")
     assert pinos.source_urls == ["https://a.example.org/p0", "https://a.example.org/p1"]
@@ -70,11 +74,11 @@ def test_promotion_run(spark, places, tmp_path):
     assert {r.kind for r in run.changes.collect()} == {"added"}
     report = run.report.first()
     assert (report.status, report.publishable, report.new_promotions, report.duration_seconds) == ("success", True, 2, 2.0)
-    K.write_csv(run.state, str(tmp_path / "csv"))
+    K.write_csv(written, str(tmp_path / "csv"))
     lines = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("*.csv"))).splitlines()
     assert lines[0].startswith("id,name,municipality") and len([x for x in lines if x.startswith("sn-")]) == 2
-    K.write_geojson(run.state, str(tmp_path / "geo"))
-    K.write_dataset_json(run.state, str(tmp_path / "json"))
+    K.write_geojson(written, str(tmp_path / "geo"))
+    K.write_dataset_json(written, str(tmp_path / "json"))
     assert "coordinates" in "".join(p.read_text() for p in (tmp_path / "geo").glob("*.txt"))
 
 

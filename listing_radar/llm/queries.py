@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from listing_radar.llm.quality_rules import quality_rules
+from listing_radar.llm.minhash import minhash_dedup
+from listing_radar.llm.quality_rules import STOP_WORDS, quality_rules
+from listing_radar.llm.toxicity import toxicity
 from listing_radar.llm.url_filter import url_filter
 
 
@@ -23,9 +25,51 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"), size=4)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op6_url_filter": op6_url_filter}
+    return {f.__name__: f for f in (op3_quality_rules, op6_url_filter, op8_minhash, op10_toxicity)}
+
+
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end) as s from w),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select x, y from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+reach as (select doc_id as node, doc_id as seen from documents union select links.y, seen from reach join links on links.x = node)
+select d.doc_id, coalesce(any_value(sizes.n), 0) as n_shingles, min(seen) as component_id, min(seen) = d.doc_id as kept
+from documents d join reach on node = d.doc_id left join sizes on sizes.doc_id = d.doc_id group by d.doc_id"""
+
+OP3_SQL = r"""
+with w as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+windows as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from w where len(w) > 2),
+named as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from windows),
+covered as (select doc_id, count(distinct i + k) as n from named, (select unnest([0, 1, 2]) as k) where n > 1 group by doc_id),
+m as (
+  select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+    len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines, len(regexp_extract_all(t, '!')) as n_exclamations,
+    len(regexp_extract_all(t, '\p{Lu}')) as n_capitals, len(list_filter(w, lambda x: list_contains([STOPS], x))) as n_stop_words from w),
+b as (
+  select m.*, coalesce(covered.n, 0) as n_repeat_words, (n_words < 50 or 100 * coalesce(covered.n, 0) > 50 * n_words) as base_failed
+  from m left join covered using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and word_chars between 2.0 * n_words and 12.0 * n_words and n_symbols <= 0.1::double * n_words
+  and n_exclamations <= 0.3::double * n_words and n_capitals <= 0.3::double * word_chars and n_stop_words >= 0.02::double * n_words
+  and n_dup_lines <= 0.5 * n_lines as kept
+from b""".replace("STOPS", ", ".join(f"'{w}'" for word in STOP_WORDS for w in (word, word.capitalize())))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": OP3_SQL, "op8_minhash": OP8_SQL}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from listing_radar.llm.bpe import encode_digests
 from listing_radar.llm.minhash import minhash_dedup
+from listing_radar.llm.packing import pack
 from listing_radar.llm.quality_rules import STOP_WORDS, quality_rules
+from listing_radar.llm.token_output import segments, token_output
 from listing_radar.llm.toxicity import toxicity
 from listing_radar.llm.url_filter import url_filter
 
@@ -16,11 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the registered queries: word_bpe_49k.json in the folder TOKENIZER_DIR, by default the box's."""
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _piece_digests(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _piece_digests(pack(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -29,12 +50,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), size=4)
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _piece_digests(segments(token_output(table(spark, sf_dir, "documents"), vocabulary())))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op6_url_filter, op8_minhash, op10_toxicity)}
+    return {f.__name__: f for f in (op2_bpe, op3_quality_rules, op4_packing, op6_url_filter, op8_minhash, op9_token_output, op10_toxicity)}
 
 
 OP8_SQL = r"""

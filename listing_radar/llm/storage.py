@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Most rows and bytes that one Arrow batch hands to a Python task; a single longer text is still whole.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
@@ -41,3 +41,13 @@ def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for a Python worker, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Up to so many ids are sent to every task to pick their rows; beyond, the same join is shuffled.
+BROADCAST_IDS = 200_000
+
+
+def rows_of(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among the (distinct) ``ids``."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")

@@ -11,6 +11,7 @@ from listing_radar.llm.bpe import encode_digests
 from listing_radar.llm.minhash import minhash_dedup
 from listing_radar.llm.packing import pack
 from listing_radar.llm.quality_rules import STOP_WORDS, quality_rules
+from listing_radar.llm.suffix_dedup import repeat_digests
 from listing_radar.llm.token_output import segments, token_output
 from listing_radar.llm.toxicity import toxicity
 from listing_radar.llm.url_filter import url_filter
@@ -42,6 +43,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _piece_digests(pack(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -59,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_quality_rules, op4_packing, op6_url_filter, op8_minhash, op9_token_output, op10_toxicity)}
+    return {f.__name__: f for f in (op2_bpe, op3_quality_rules, op4_packing, op5_suffix_dedup, op6_url_filter, op8_minhash, op9_token_output, op10_toxicity)}
 
 
 OP8_SQL = r"""

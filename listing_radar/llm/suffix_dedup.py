@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_radar.llm import flat
@@ -157,6 +158,9 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, length: int)
 
 def _settle(table: pa.Table, length: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
     """Ranges of repeated windows of a chunk of whole blocks, and the distinct windows of frequent anchors' blocks."""
+    if pc.any(table.column("frequent")).as_py():  # blocks of one anchor may meet here: position must follow id, text and place
+        order = [(c, "ascending") for c in ("anchor", "id", "print", "place")]
+        table = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start"))
     data, offsets = flat.texts(table.column("context"))
     sizes = np.diff(offsets)
     windows = np.maximum(sizes - length + 1, 0)

@@ -161,7 +161,9 @@ def evidence_keywords(name: Column, municipality: Column, missing: Column) -> Co
         wanted = F.arrays_overlap(missing, F.array(*[F.lit(f) for f in fields]))
         none = F.array().cast("array<string>")
         words = F.concat(words, F.when(wanted, F.array(*[F.lit(k) for k in keywords])).otherwise(none))
-    return F.array_distinct(F.filter(words, lambda w: F.trim(F.coalesce(w, F.lit(""))) != ""))
+    words = F.filter(words, lambda w: F.trim(F.coalesce(w, F.lit(""))) != "")
+    folded = F.transform(words, F.lower)
+    return F.filter(words, lambda w, i: F.array_position(folded, F.lower(w)) == i + 1)
 
 
 def _price(model: Column, position: int) -> Column:

@@ -130,7 +130,10 @@ def apply_configured_reviews(candidates: DataFrame, sources: DataFrame) -> DataF
 
 def review_candidates(candidates: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Set statuses by id. Returns the new state and the decisions that name no candidate."""
-    wanted = decisions.select(F.col("candidate_id").alias("_id"), F.col("status").alias("_decision"))
+    # the last decision on a candidate counts; of simultaneous ones, or without times, the greatest status
+    at = F.col("decided_at_utc") if "decided_at_utc" in decisions.columns else F.lit(None).cast("timestamp")
+    last = F.max(F.struct(at.alias("at"), "status"))
+    wanted = decisions.groupBy(F.col("candidate_id").alias("_id")).agg(last.alias("_last")).select("_id", F.col("_last.status").alias("_decision"))
     out = candidates.join(wanted, candidates["id"] == wanted["_id"], "left")
     out = out.withColumn("status", F.coalesce("_decision", "status")).select(*candidates.columns)
     return out, decisions.join(candidates.select(F.col("id").alias("candidate_id")), "candidate_id", "left_anti")

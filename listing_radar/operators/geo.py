@@ -29,14 +29,14 @@ def _evidence(value: Column, url: Column, at: Column, extractor: str, confidence
 
 def geocode_from_cache(promotions: DataFrame, cache: DataFrame) -> DataFrame:
     """Street position of rows with an address and no latitude, from earlier answers."""
-    look_up = cache.select(
-        F.col("query").alias("_query"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"),
-        F.col("resolved_at_utc").alias("_at"),
-    )
+    answer = F.struct(F.col("resolved_at_utc").alias("_at"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    look_up = cache.where("query is not null").groupBy(F.col("query").alias("_query")).agg(F.max(answer).alias("_a")).select("_query", "_a.*")
     wanted = F.when(
         F.col("latitude").isNull() & (F.trim(F.coalesce("address", F.lit(""))) != ""), geocode_query()
     )
-    out = promotions.withColumn("_wanted", wanted)
+    # most rows want nothing; they get a key of their own each, so that they do not meet in one task
+    spread = F.concat(F.lit("\0"), F.xxhash64("canonical_url", "name").cast("string"))
+    out = promotions.withColumn("_wanted", F.coalesce(wanted, spread))
     out = out.join(broadcast_if_small(look_up), F.col("_wanted") == F.col("_query"), "left")
     hit = F.col("_query").isNotNull()
     proof = _evidence(F.concat_ws(", ", "_lat", "_lon"), F.col("canonical_url"), F.col("_at"), "NominatimGeocoder",

@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from listing_radar.session import cut_lineage
+
 HEAVY_ROWS = 1_000_000
 SALTS = 1024
 SMALL_ROWS = 50_000
@@ -137,3 +139,13 @@ def one_row(*rows: DataFrame) -> DataFrame:
     """Single-row frames side by side: stack them and keep the only value of every column."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
+def place_in_order(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds the place of every row in a total order: ranges of the order are numbered apart and shifted by the earlier ones."""
+    ranges = cut_lineage(df.repartitionByRange(*order).withColumn("_segment", F.spark_partition_id()))
+    sizes = ranges.groupBy("_segment").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    shift = sizes.select("_segment", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy("_segment").orderBy(*order))
+    return ranges.withColumn(name, inside).join(shift, "_segment").withColumn(name, F.col(name) + F.col("_shift")).drop("_segment", "_shift")

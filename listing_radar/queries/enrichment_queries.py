@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from listing_radar.functions import ids, scores
 from listing_radar.operators import enrich as N
 from listing_radar.plans.promotions import empty_facts
+from listing_radar.operators.scale import place_in_order
 from listing_radar.queries.logical import NOW
 from listing_radar.queries.registry import duck_clean, duck_ts, num, query, shared, ts
 
@@ -34,9 +35,9 @@ def _(t):
     return N.eligible(full(t)).select("id")
 
 
-@query("enrichment_priority", f"select id from promotions where active order by {_MISSING} desc, id limit 100")
+@query("enrichment_priority", f"select id, row_number() over (order by {_MISSING} desc, id) as place from promotions where active")
 def _(t):
-    return N.eligible(full(t)).orderBy(*N.enrichment_priority()).limit(100).select("id")
+    return place_in_order(N.eligible(full(t)), N.enrichment_priority()).select("id", "place")
 
 
 @query("find_source_by_host", """with h as (select user_id, lower(unnest(allowed_hosts)) as h from user_sources union all select user_id, 'www.site' || cast(user_id % 80 as varchar) || '.example.org' from user_sources), f as (select h, arg_min('u' || cast(user_id as varchar), user_id) as source_id from h group by 1)
@@ -68,9 +69,9 @@ def _(t):
     return rows.select("promotion_id", F.size("pages").alias("pages"), ids.content_hash(F.col("pages")).alias("content_hash"))
 
 
-@query("content_hash", """select doc_id % 97 as k, upper(sha256(string_agg('https://p/' || lpad(cast(doc_id as varchar), 9, '0') || chr(10) || left(text, 50), chr(10) order by doc_id))) as h from documents group by 1""")
+@query("content_hash", """select doc_id % 97 as k, upper(sha256(string_agg('https://p/' || lpad(cast(doc_id as varchar), 9, '0') || chr(10) || text, chr(10) order by doc_id))) as h from documents group by 1""")
 def _(t):
-    page = F.struct(F.concat(F.lit("https://p/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("url"), F.left("text", F.lit(50)).alias("text"))
+    page = F.struct(F.concat(F.lit("https://p/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("url"), "text")
     rows = t.documents.groupBy((F.col("doc_id") % 97).alias("k")).agg(F.array_sort(F.collect_list(page)).alias("p"))
     return rows.select("k", ids.content_hash(F.col("p")).alias("h"))
 
@@ -180,10 +181,10 @@ def _(t):
     return N.mark_stale_and_upsert(proposal_rows(t), fresh, now()).select("proposal_id", "status")
 
 
-@query("review_queue_order", "select proposal_id from proposal_rows join promotions on row_id = promotion_id order by case when status = 'pending' then 0 else 1 end, generated_at desc, upper(name), proposal_id limit 60")
+@query("review_queue_order", "select proposal_id, row_number() over (order by case when status = 'pending' then 0 else 1 end, generated_at desc, upper(name), proposal_id) as place from proposal_rows join promotions on row_id = promotion_id")
 def _(t):
     rows = proposal_rows(t).join(t.promotions.select(F.col("row_id").alias("promotion_id"), F.col("name").alias("promotion_name")), "promotion_id")
-    return rows.orderBy(*N.review_queue_order()).limit(60).select("proposal_id")
+    return place_in_order(rows, N.review_queue_order()).select("proposal_id", "place")
 
 
 _ACCEPT = """with p as (select proposal_id, promotion_id, bool_and(field_status = 'pending' and not field_reviewed) as legacy from field_rows group by 1, 2 having promotion_id % 4 <> 1 and promotion_id % 6 <> 2),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from listing_radar.functions import ids, scores
 from listing_radar.operators import explore as E, geo as G, quality as Q
 from listing_radar.plans.promotions import empty_facts, normalize_promotions
+from listing_radar.operators.scale import place_in_order
 from listing_radar.queries.logical import NOW
 from listing_radar.queries.registry import duck_norm, duck_ts, num, query, shared, ts
 from listing_radar.sinks import tables as S
@@ -125,9 +126,9 @@ def _(t):
     return out.drop("started_at_utc", "finished_at_utc", "valid_promotions", "invalid_promotions", "warnings", "errors")
 
 
-@query("duplicate_keys", "select lower(c_name) as key, count(*) as n from (select substr(c_name, 1, 16) as c_name from customer) group by 1 having count(*) > 1")
+@query("duplicate_keys", "select lower(o_orderpriority || o_orderdate::date) as key, count(*) as n from orders group by 1 having count(*) > 1")
 def _(t):
-    return Q.duplicate_keys(t.customer.select(F.substring("c_name", 1, 16).alias("c_name")), "c_name")
+    return Q.duplicate_keys(t.orders.select(F.concat("o_orderpriority", F.col("o_orderdate").cast("date").cast("string")).alias("name")), "name")
 
 
 _CENTROIDS = """select ord, case when ord % 6 = 5 then 'Unknown_' || cast(ord as string) else lower(official_name) end as municipality, case when ord % 8 = 1 then latitude + 1 else latitude end as latitude, longitude,
@@ -190,19 +191,12 @@ _SORTS = {
     "area-desc": "coalesce(built_area_max_sqm, built_area_min_sqm) desc nulls last", "confidence": "source_confidence desc", "municipality": "upper(municipality), upper(name)", "recent": "last_changed_utc desc, upper(name)",
 }
 for _mode, _order in _SORTS.items():
-    query(f"explorer_sort_{_mode.replace('-', '_')}", f"select id, row_number() over (order by {_order}, id) as place from promotions order by {_order}, id limit 50")(
-        lambda t, mode=_mode: t.promotions.select(*E_COLUMNS).orderBy(*E.explorer_sort(mode)).limit(50).select("id", F.row_number().over(_window(mode)).alias("place")))
+    query(f"explorer_sort_{_mode.replace('-', '_')}", f"select id, row_number() over (order by {_order}, id) as place from promotions")(
+        lambda t, mode=_mode: place_in_order(t.promotions.select(*E_COLUMNS), E.explorer_sort(mode)).select("id", "place"))
 
 E_COLUMNS = ["id", "price_from", "plot_area_max_sqm", "plot_area_min_sqm", "built_area_max_sqm", "built_area_min_sqm", "source_confidence", "municipality", "name", "last_changed_utc"]
 
 
-def _window(mode):
-    """Places inside the 50 rows that are left."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(*E.explorer_sort(mode))
-
-
 @query("explore_new_only", "select id from promotions where active and id in (select id from diff where kind = 'added')")
 def _(t):
     from listing_radar.queries.changes_queries import diff
@@ -211,9 +205,9 @@ def _(t):
     return E.explore(t.promotions, E.FilterSpec(), added).select("id")
 
 
-@query("dataset_order")
+@query("dataset_order", "select id, row_number() over (order by upper(municipality), upper(name), id) as place from promotions")
 def _(t):
-    return t.promotions.select("id", "municipality", "name").orderBy(*E.dataset_order()).limit(100)
+    return place_in_order(t.promotions.select("id", "municipality", "name"), E.dataset_order()).select("id", "place")
 
 
 @query("facet_values", "select arg_min(locality, id) as value, count(*) as n from promotions where coalesce(trim(locality), '') <> '' group by upper(locality)")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from listing_radar import schemas
 from listing_radar.operators import backfill as B, candidates as C, health as H, matching as M
+from listing_radar.operators.scale import place_in_order
 from listing_radar.queries.logical import NOW
 from listing_radar.queries.registry import duck_clean, duck_norm, duck_ts, num, query, shared, ts
 from listing_radar.queries.urls_queries import duck_url
@@ -190,9 +191,9 @@ def _(t):
     return C.review_candidates(state(rows), decided.unionByName(stray))[0].select("id", "status")
 
 
-@query("candidate_order", "select id, municipality from candidates order by municipality, published_at desc nulls last, id limit 200")
+@query("candidate_order", "select id, row_number() over (order by municipality, published_at desc nulls last, id) as place from candidates")
 def _(t):
-    return candidates(t).orderBy(*C.candidate_order()).limit(200).select("id", "municipality")
+    return place_in_order(candidates(t), C.candidate_order()).select("id", "place")
 
 
 @query("observed_within", "select id from candidates where status not in ('rejected', 'stale') and cast(coalesce(published_at, timestamp '2024-02-01') as date) between date '2024-01-05' and date '2024-01-20'")

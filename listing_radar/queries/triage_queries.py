@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from listing_radar.operators import audit as A, candidates as C, triage as T
 from listing_radar.plans.radar import excluded_listing_hosts
+from listing_radar.operators.scale import place_in_order
 from listing_radar.queries.health_queries import candidates as user_candidates, coverage
 from listing_radar.queries.logical import NOW
 from listing_radar.queries.radar_queries import candidates, state
@@ -63,9 +64,9 @@ def _(t):
 _RANK = "case priority when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end"
 
 
-@query("triage_order", f"select id from queue order by {_RANK}, priority_score desc, domain, municipality, title, id limit 40")
+@query("triage_order", f"select id, row_number() over (order by {_RANK}, priority_score desc, domain, municipality, title, id) as place from queue")
 def _(t):
-    return queue(t).orderBy(*T.triage_order()).limit(40).select("id")
+    return place_in_order(queue(t), T.triage_order()).select("id", "place")
 
 
 _COUNTS = "count(*) as candidates, count(*) filter (priority = 'high') as high_priority, count(*) filter (priority = 'medium') as medium_priority, count(*) filter (priority = 'low') as low_priority, count(*) filter (priority = 'duplicate') as possible_duplicates"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from listing_radar.functions import urls as U
 from listing_radar.operators import backfill as B, candidates as C, links as L
+from listing_radar.operators.scale import place_in_order
 from listing_radar.queries.registry import query, shared
 
 _Q = """list_sort(list_filter(list_transform(list_filter(string_split(ltrim(q, '?'), '&'), lambda s: s <> ''),
@@ -157,9 +158,10 @@ def _(t):
 
 
 @query("link_priority", f"""with u as (select o_orderkey, {_LURL} as url from orders), h as (select *, lower(regexp_extract(url, '^https?://[^/]+(.*)$', 1)) as p from u)
-  select o_orderkey, url from h order by len(list_filter({_REL}, lambda r: contains(p, r))) desc, url limit 500""")
+  select o_orderkey, row_number() over (order by len(list_filter({_REL}, lambda r: contains(p, r))) desc, url, o_orderkey) as place from h""")
 def _(t):
-    return t.orders.select("o_orderkey", F.expr(_LURL).alias("url")).orderBy(*L.link_priority(F.col("url"))).limit(500)
+    links = t.orders.select("o_orderkey", F.expr(_LURL).alias("url"))
+    return place_in_order(links, [*L.link_priority(F.col("url")), F.col("o_orderkey").asc()]).select("o_orderkey", "place")
 
 
 _SURL = """('https://s.example.org/' || case o_orderkey % 6 when 0 then 'sitemap-' when 1 then 'Promoci' || 'on/' when 2 then 'obra%2Dnueva/' when 3 then 'Ficha/' when 4 then 'chalets/old/' else 'x/' end

@@ -68,7 +68,7 @@ def word_terms(municipalities: DataFrame) -> DataFrame:
                                                        F.min("ord").alias("ord"))
 
 
-def match_catalog(items: DataFrame, key: str, text: Column, municipalities: DataFrame, name: str,
+def match_catalog(items: DataFrame, text: Column, municipalities: DataFrame, name: str,
                   literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """Official name of the longest spelling that occurs anywhere in the text (also inside a word)."""
     terms = alias_terms(municipalities)
@@ -80,22 +80,16 @@ def match_catalog(items: DataFrame, key: str, text: Column, municipalities: Data
         first = F.try_element_at(F.filter(spellings, lambda t: F.col("_text").contains(t)), F.lit(1))
         found = F.try_element_at(officials, F.nullif(F.array_position(spellings, first), F.lit(0)).cast("int"))
         return items.withColumn("_text", normalized).withColumn(name, found).drop("_text")
-    shortest = terms.agg(F.min(F.length("term"))).first()[0]
-    texts = items.select(F.col(key).alias("_id"), normalized.alias("_text"))
-    grams = F.when(
-        F.length("_text") >= shortest,
-        F.transform(F.sequence(F.lit(1), F.length("_text") - shortest + 1),
-                    lambda i: F.substring(F.col("_text"), i, F.lit(shortest))),
-    )
-    starts = texts.select("_id", F.explode(F.array_distinct(grams)).alias("_start"))
-    candidates = starts.join(terms, F.left("term", F.lit(shortest)) == F.col("_start")).drop("_start")
-    best = (
-        candidates.join(texts, "_id")
-        .where(F.col("_text").contains(F.col("term")))
-        .groupBy("_id")
-        .agg(F.min_by("official", F.struct(-F.length("term"), F.col("place"))).alias(name))
-    )
-    return items.join(best, items[key] == best["_id"], "left").drop("_id")
+    # every substring as long as some spelling is looked up by equality; equal texts are looked up once
+    lengths = sorted(r.n for r in terms.select(F.length("term").alias("n")).distinct().collect())
+    of_length = [F.when(F.length("_text") >= n, F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i, n=n: F.substring(F.col("_text"), i, F.lit(n))))
+                 for n in lengths]
+    none = F.array().cast("array<string>")
+    keyed = items.withColumn("_text", normalized).withColumn("_id", F.xxhash64("_text"))
+    parts = keyed.groupBy("_id").agg(F.min("_text").alias("_text")).select(
+        "_id", F.explode(F.array_distinct(F.concat(none, *[F.coalesce(part, none) for part in of_length]))).alias("term"))
+    best = parts.join(terms, "term").groupBy("_id").agg(F.min_by("official", F.struct(-F.length("term"), F.col("place"))).alias(name))
+    return keyed.drop("_text").join(best, "_id", "left").drop("_id")
 
 
 def ranked_terms(terms: DataFrame, literal_rows: int = LITERAL_ROWS) -> tuple[list[str], list[str]] | None:
@@ -112,7 +106,7 @@ def place_of_hits(hits: Column, spellings: list[str], officials: list[str]) -> C
     return F.try_element_at(_strings(officials), F.array_min(ranks).cast("int"))
 
 
-def match_words(items: DataFrame, key: str, normalized: Column, municipalities: DataFrame, name: str,
+def match_words(items: DataFrame, normalized: Column, municipalities: DataFrame, name: str,
                 literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """Official name of the longest term that occurs as whole words; catalog order decides ties."""
     terms = word_terms(municipalities)
@@ -122,13 +116,15 @@ def match_words(items: DataFrame, key: str, normalized: Column, municipalities:
         place = let(normalized, lambda text: place_of_hits(phrase_hits(text, spellings), spellings, officials))
         return items.withColumn(name, place)
     longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    grams = items.select(F.col(key).alias("_id"), F.explode(word_ngrams(normalized, longest)).alias("term"))
+    keyed = items.withColumn("_text", normalized).withColumn("_id", F.xxhash64("_text"))
+    texts = keyed.groupBy("_id").agg(F.min("_text").alias("_text"))
+    grams = texts.select("_id", F.explode(word_ngrams(F.col("_text"), longest)).alias("term"))
     best = (
         grams.join(broadcast_if_small(terms), "term")
         .groupBy("_id")
         .agg(F.min_by("official", F.struct(-F.length("term"), F.col("ord"))).alias(name))
     )
-    return items.join(best, items[key] == best["_id"], "left").drop("_id")
+    return keyed.drop("_text").join(best, "_id", "left").drop("_id")
 
 
 def resolve_municipality(items: DataFrame, by_text: Column, municipalities: DataFrame) -> DataFrame:
@@ -246,7 +242,8 @@ def match_items(items: DataFrame, sources: DataFrame, municipalities: DataFrame,
         "source_id", "source_name", "source_kind", "fixed_municipality", "ignore_exclusion_terms", "review_rules")
     out = items.join(broadcast_if_small(config), "source_id")
     matcher, places = TermMatcher(terms, context_terms, exclusion_terms), word_terms(municipalities)
-    text = normalize_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
+    whole = F.col("search_text") if "search_text" in items.columns else F.lit(None).cast("string")
+    text = normalize_text(F.coalesce(whole, F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))))
     ranked = ranked_terms(places)
     literal, (spellings, officials) = ranked is not None, ranked or ([], [])
 
@@ -263,7 +260,7 @@ def match_items(items: DataFrame, sources: DataFrame, municipalities: DataFrame,
     out = out.select("*", F.inline(F.filter(F.array(found), wanted)))
     out = out.withColumn("_row", F.concat_ws("|", "source_id", "external_id", "official_url"))
     if not literal:
-        out = match_words(out.drop("_by_text"), "_row", text, municipalities, "_by_text")
+        out = match_words(out.drop("_by_text"), text, municipalities, "_by_text")
     out = resolve_municipality(out, F.col("_by_text"), municipalities).where("municipality is not null")
     if known_urls is None:
         out = out.withColumn("is_known", F.lit(False))

@@ -14,7 +14,7 @@ from listing_radar.operators.matching import match_catalog
 from listing_radar.operators.scale import broadcast_if_small
 from listing_radar.sources.html import html_facts
 from listing_radar.session import cut_lineage
-from listing_radar.sources.jsonld import json_ld_nodes, node_address, offer_range
+from listing_radar.sources.jsonld import node_address, offer_range
 
 _EVIDENCE_ARRAY = f"array<{schemas.EVIDENCE}>"
 
@@ -138,46 +138,45 @@ def extract_promotions(pages: DataFrame, source: dict, municipalities: DataFrame
     """
     roots = [s for s in [source.get("content_selector"), *source.get("additional_content_selectors", [])] if s]
     custom = source.get("custom_selectors", {})
-    facts = html_facts(pages, roots=roots, overrides=custom).withColumnRenamed("url", "page_url")
-    complete = F.forall("roots", lambda r: r.isNotNull())
+    facts = html_facts(pages, roots=roots, overrides=custom, nodes=True).withColumnRenamed("url", "_page")
+    complete = F.forall("roots", lambda r: r.isNotNull()) & F.col("error").isNull()
     failed = facts.where(~complete).select(
-        F.lit(source["source_id"]).alias("source_id"), "page_url", F.lit("content selector not found").alias("error"))
+        F.lit(source["source_id"]).alias("source_id"), F.col("_page").alias("page_url"),
+        F.coalesce("error", F.lit("content selector not found")).alias("error"))
     text = F.array_join("roots", " ") if source.get("content_selector") else F.concat_ws(" ", "text", F.array_join("roots", " "))
-    url = canonical_url(F.col("page_url"), F.col("canonical"), F.try_element_at("meta", F.lit("og:url")))
-    facts = facts.where(complete).withColumns({"text": collapse_whitespace(text), "page_url": url})
+    url = canonical_url(F.col("_page"), F.col("canonical"), F.try_element_at("meta", F.lit("og:url")))
+    stated = F.coalesce(F.try_element_at("meta", F.lit("og:title")), "h1", "title")
+    facts = facts.where(complete).select(
+        "_page", url.alias("page_url"), collapse_whitespace(text).alias("text"), "links", "overrides", "fetched_at", stated.alias("_stated"), "nodes")
     fallback = F.coalesce(F.lit(source.get("fixed_municipality")), *[F.lit(h) for h in source.get("municipality_hints", [])[:1]])
 
-    nodes = json_ld_nodes(facts, "page_url")
-    shared = facts.select("page_url", "text", "links", "overrides", "fetched_at")
-    structured = nodes.join(shared, "page_url")
-    structured = match_catalog(structured.withColumn("_row", F.concat_ws("|", "page_url", "script_no", "node_no")), "_row",
-                               F.col("locality"), municipalities, "_by_locality")
-    structured = match_catalog(structured, "_row", node_address(structured), municipalities, "_by_address")
-    price = offer_range(F.col("offer_prices"))
+    # one row per structured listing, or one for a page without any: no join, the page stays with its rows
+    rows = facts.select("*", F.inline_outer("nodes")).drop("nodes")
+    from_node = F.col("node_no").isNotNull()
+    rows = match_catalog(rows, F.coalesce("locality", F.lit("")), municipalities, "_by_locality")
+    rows = match_catalog(rows, F.coalesce(node_address(rows), F.lit("")), municipalities, "_by_address")
+    rows = match_catalog(rows, F.when(from_node, "").otherwise(F.col("text")), municipalities, "_by_text")
+    price = offer_range(F.coalesce("offer_prices", F.array().cast("array<string>")))
     number = F.replace(F.col("latitude"), F.lit(","), F.lit(".")).try_cast("double")
-    structured = structured.select(
-        "name",
-        F.coalesce(F.nullif(U.resolve_url(F.col("page_url"), F.col("url")), F.lit("")), F.col("page_url")).alias("canonical_url"),
-        "page_url", F.coalesce("brand", "seller", "provider").alias("developer_name"),
-        node_address(structured).alias("address"), "locality", "postal_code", number.alias("latitude"),
+    place = F.when(from_node, F.coalesce("_by_locality", "_by_address", fallback, F.lit(""))).otherwise(F.coalesce("_by_text", fallback))
+    own_url = F.coalesce(F.nullif(U.resolve_url(F.col("page_url"), F.col("url")), F.lit("")), F.col("page_url"))
+    relevant = F.lit(bool(custom)) | P.is_listing_text(F.col("text"))
+    rows = rows.withColumn("municipality", place).where(from_node | (
+        relevant & (F.trim(F.coalesce("municipality", F.lit(""))) != "") & (F.trim(F.coalesce("_stated", F.lit(""))) != "")))
+    rows = rows.select(
+        F.when(from_node, F.col("name")).otherwise(clean_evidence(F.col("_stated"), 160)).alias("name"),
+        F.when(from_node, own_url).otherwise(F.col("page_url")).alias("canonical_url"), "page_url",
+        F.coalesce("brand", "seller", "provider").alias("developer_name"),
+        node_address(rows).alias("address"), "locality", "postal_code", number.alias("latitude"),
         F.replace(F.col("longitude"), F.lit(","), F.lit(".")).try_cast("double").alias("longitude"),
         F.when(number.isNotNull(), F.lit("exactCoordinates")).otherwise(F.lit("unknown")).alias("location_precision"),
         F.col("rooms").try_cast("int").alias("bedrooms_min"), price["price_from"].alias("price_from"),
-        price["price_to"].alias("price_to"),
-        F.coalesce("_by_locality", "_by_address", fallback, F.lit("")).alias("municipality"),
-        F.lit("JsonLdPromotionExtractor").alias("_extractor"), F.col("raw").alias("_raw"), "text", "links", "overrides", "fetched_at")
-
-    plain = facts.join(nodes.select("page_url").distinct(), "page_url", "left_anti")
-    plain = match_catalog(plain, "page_url", F.col("text"), municipalities, "_by_text")
-    name = F.coalesce(F.try_element_at("meta", F.lit("og:title")), "h1", "title")
-    relevant = F.lit(bool(custom)) | P.is_listing_text(F.col("text"))
-    plain = plain.withColumn("municipality", F.coalesce("_by_text", fallback)).where(
-        relevant & (F.trim(F.coalesce("municipality", F.lit(""))) != "") & (F.trim(F.coalesce(name, F.lit(""))) != ""))
-    plain = plain.select(
-        clean_evidence(name, 160).alias("name"), F.col("page_url").alias("canonical_url"), "page_url", "municipality",
-        F.lit("HtmlMetadataExtractor").alias("_extractor"), name.alias("_raw"), "text", "links", "overrides", "fetched_at")
+        price["price_to"].alias("price_to"), "municipality",
+        F.when(from_node, "JsonLdPromotionExtractor").otherwise("HtmlMetadataExtractor").alias("_extractor"),
+        F.when(from_node, F.col("raw")).otherwise(F.col("_stated")).alias("_raw"),
+        "text", "links", "overrides", "fetched_at", "_page", F.coalesce("script_no", F.lit(-1)).alias("_script"), F.coalesce("node_no", F.lit(-1)).alias("_node"))
 
-    out = empty_facts(structured.unionByName(plain, allowMissingColumns=True))
+    out = empty_facts(rows)
     out = out.withColumns({"source_kind": F.lit(source["source_kind"]), "source_urls": F.array("page_url"),
                            "location_precision": F.coalesce("location_precision", F.lit("unknown"))})
     from_json = F.col("_extractor") == "JsonLdPromotionExtractor"
@@ -190,8 +189,8 @@ def extract_promotions(pages: DataFrame, source: dict, municipalities: DataFrame
     out = apply_overrides(out, municipalities)
     out = apply_fixed_municipality(out, source.get("fixed_municipality"))
     out = out.withColumn("brochure_urls", brochure_urls(F.col("page_url"), F.col("links"), source.get("allowed_hosts", [])))
-    out = out.withColumn("row_id", F.xxhash64("page_url", "canonical_url", "name", F.col("price_from"), F.col("price_to")))
-    out = dedupe.distinct_on_page(out.select(*schemas.PROMOTION_FIELDS, "row_id"))
+    out = out.withColumn("row_id", F.xxhash64("_page", "_script", "_node", "canonical_url", "name", F.col("price_from"), F.col("price_to")))
+    out = dedupe.distinct_on_page(out.select(*schemas.PROMOTION_FIELDS, "row_id", "_page")).drop("_page")
     return out.withColumn("source_id", F.lit(source["source_id"])), failed
 
 
@@ -215,8 +214,8 @@ def apply_overrides(df: DataFrame, municipalities: DataFrame) -> DataFrame:
     def replaced(name: str, key: str, new: Column) -> Column:
         return F.when(value(key).isNotNull(), new).otherwise(F.col(name))
 
-    out = df.withColumn("_place_text", value("municipality")).withColumn("_row", F.xxhash64("page_url", "canonical_url", "name"))
-    out = match_catalog(out, "_row", F.coalesce("_place_text", F.lit("")), municipalities, "_place")
+    out = df.withColumn("_place_text", value("municipality"))
+    out = match_catalog(out, F.coalesce("_place_text", F.lit("")), municipalities, "_place")
     units = F.regexp_extract(value("totalunits"), r"\d+", 0).try_cast("int")
     proofs = F.transform(
         F.filter(F.map_entries("overrides"), lambda e: F.trim(e["value"]) != ""),
@@ -236,7 +235,7 @@ def apply_overrides(df: DataFrame, municipalities: DataFrame) -> DataFrame:
             "property_types": replaced("property_types", "propertytypes", P.property_types(value("propertytypes"))),
             "evidence": F.concat("evidence", F.coalesce(proofs, F.array().cast(_EVIDENCE_ARRAY))),
         }
-    ).drop("_place", "_place_text", "_row")
+    ).drop("_place", "_place_text")
 
 
 def apply_fixed_municipality(df: DataFrame, place: str | None) -> DataFrame:
@@ -301,7 +300,7 @@ def promotion_run(extracted: DataFrame, source_runs: DataFrame, previous: DataFr
     rows = cut_lineage(geo.geocode(rows, municipalities, now, geocode_cache))
     assigned = cut_lineage(dedupe.assign_survivors(rows))
     merged = dedupe.possible_duplicates(dedupe.merge_duplicates(assigned))
-    current = with_bounded_lists(merged, assigned).withColumn("id", identity)
+    current = with_merged_lists(merged, assigned).withColumn("id", identity)
     current = cut_lineage(current.dropDuplicates(["id"]).select(*previous.columns))
     old = geo.geocode(previous, municipalities, now, geocode_cache)
     diff = changes.state_diff(current, old, now, run_ok)
@@ -312,22 +311,31 @@ def promotion_run(extracted: DataFrame, source_runs: DataFrame, previous: DataFr
                         dedupe.merged_values(assigned, "source_urls"), dedupe.merged_evidence(assigned))
 
 
-def with_bounded_lists(merged: DataFrame, assigned: DataFrame, limit: int = 1_000) -> DataFrame:
-    """Give survivors of up to ``limit`` members their merged lists. A larger survivor keeps its own lists;
-    the whole lists of every survivor are in the row tables of ``dedupe``."""
-    few = assigned.join(merged.where(F.col("members") <= limit).select(F.col("row_id").alias("survivor_id")), "survivor_id", "left_semi")
-    lists = few.groupBy("survivor_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_urls")))).alias("_urls"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("brochure_urls")))).alias("_brochures"),
-        F.array_sort(F.flatten(F.collect_list("evidence"))).alias("_evidence"))
-    own = assigned.where("row_id = survivor_id").select(
-        F.col("row_id").alias("_own"), F.col("source_urls").alias("_o_urls"), F.col("brochure_urls").alias("_o_brochures"),
-        F.col("evidence").alias("_o_evidence"), F.col("tags"))
-    out = merged.join(own, merged["row_id"] == own["_own"]).join(lists, merged["row_id"] == lists["survivor_id"], "left")
+def with_merged_lists(merged: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Give survivors the merged source URLs, brochures, tags and evidence of all their members, by one rule for all sizes.
+
+    Values are made distinct with map-side combining before any list is built, so a survivor's lists are as long as its distinct
+    values, not as its members.
+    """
+    def lists(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        return rows.groupBy("survivor_id").agg(F.array_sort(F.collect_list(value)).alias(name))
+
+    evidence = dedupe.merged_evidence(assigned).distinct()
+    named = [
+        lists(dedupe.merged_values(assigned, "source_urls"), F.col("value"), "_urls"),
+        lists(dedupe.merged_values(assigned, "brochure_urls"), F.col("value"), "_brochures"),
+        lists(dedupe.first_spelling(assigned, "tags"), F.col("value"), "_tags"),
+        lists(evidence, F.struct(*[c for c in evidence.columns if c != "survivor_id"]), "_evidence"),
+    ]
+    own = assigned.where("row_id = survivor_id").select(F.col("row_id").alias("_own"))
+    out = merged.join(own, merged["row_id"] == own["_own"]).withColumn("survivor_id", F.col("_own"))
+    for each in named:
+        out = out.join(each, "survivor_id", "left")
     warned = F.when(F.col("possible_duplicate"), F.array_union("warnings", F.array(F.lit(V.WARN_DUPLICATE)))).otherwise(F.col("warnings"))
+    none = F.array().cast("array<string>")
     return out.withColumns(
         {
-            "source_urls": F.coalesce("_urls", "_o_urls"), "brochure_urls": F.coalesce("_brochures", "_o_brochures"),
-            "evidence": F.coalesce("_evidence", "_o_evidence"), "warnings": warned,
+            "source_urls": F.coalesce("_urls", none), "brochure_urls": F.coalesce("_brochures", none), "tags": F.coalesce("_tags", none),
+            "evidence": F.coalesce("_evidence", F.array().cast(_EVIDENCE_ARRAY)), "warnings": warned,
         }
-    ).drop("survivor_id", "_own", "_urls", "_brochures", "_evidence", "_o_urls", "_o_brochures", "_o_evidence")
+    ).drop("survivor_id", "_own", "_urls", "_brochures", "_tags", "_evidence")

@@ -74,7 +74,7 @@ def state(rows):
 def _(t):
     from listing_radar.functions.text import normalize_text
 
-    return M.match_words(t.items, "seq", normalize_text(F.concat_ws(" ", "title", "summary")), t.places, "municipality").select("seq", "municipality")
+    return M.match_words(t.items, normalize_text(F.concat_ws(" ", "title", "summary")), t.places, "municipality").select("seq", "municipality")
 
 
 @query("gazetteer_match_words_joined", "select n.seq, official_name as municipality from norm_items n left join word_hits using (seq)")
@@ -82,13 +82,13 @@ def _(t):
     """Same result through exploded word runs and a join, as for a catalog that is too large for literals."""
     from listing_radar.functions.text import normalize_text
 
-    return M.match_words(t.items, "seq", normalize_text(F.concat_ws(" ", "title", "summary")), t.places, "municipality", literal_rows=0).select("seq", "municipality")
+    return M.match_words(t.items, normalize_text(F.concat_ws(" ", "title", "summary")), t.places, "municipality", literal_rows=0).select("seq", "municipality")
 
 
 @query("gazetteer_match_catalog", """select seq, official as municipality from (select n.seq, g.official, row_number() over (partition by n.seq order by length(g.term) desc, g.place) as rn from norm_items n
   left join gaz_raw g on contains(n.s, g.term)) where rn = 1""")
 def _(t):
-    return M.match_catalog(t.items, "seq", F.concat_ws(" ", "title", "summary"), t.places, "municipality").select("seq", "municipality")
+    return M.match_catalog(t.items, F.concat_ws(" ", "title", "summary"), t.places, "municipality").select("seq", "municipality")
 
 
 @query("resolve_municipality", "select seq, municipality from resolved")
@@ -96,7 +96,7 @@ def _(t):
     from listing_radar.functions.text import normalize_text
 
     rows = t.items.join(t.doc_sources.select("source_id", "fixed_municipality"), "source_id")
-    rows = M.match_words(rows, "seq", normalize_text(F.concat_ws(" ", "title", "summary")), t.places, "by_text")
+    rows = M.match_words(rows, normalize_text(F.concat_ws(" ", "title", "summary")), t.places, "by_text")
     return M.resolve_municipality(rows, F.col("by_text"), t.places).select("seq", "municipality")
 
 

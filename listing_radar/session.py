@@ -18,6 +18,8 @@ def build_session(app: str = "listing-radar", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     if master:
@@ -34,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        if not (context.master or "").startswith("local"):
+        if not (context.master or "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = os.path.join(tempfile.mkdtemp(prefix="listing-radar-"), "checkpoints")
     context.setCheckpointDir(folder)

@@ -198,7 +198,7 @@ def scan_search_results(files: DataFrame, municipalities: DataFrame) -> DataFram
     rows = rows.withColumn("_query", F.col("a.query")).withColumn("_doc", F.xxhash64("content"))
     official = municipalities.select("official_name", "enabled", "ord", F.array().cast("array<string>").alias("aliases"),
                                      F.array().cast("array<string>").alias("localities"))
-    rows = match_words(rows, "_doc", normalize_text(F.col("_query")), official, "_hint")
+    rows = match_words(rows, normalize_text(F.col("_query")), official, "_hint")
     rows = rows.select("source_id", "_hint", F.posexplode("a.results").alias("seq", "r"))
     url, title = F.col("r.url"), F.col("r.title")
     rows = rows.where(U.is_https_url(url) & (F.trim(F.coalesce(title, F.lit(""))) != ""))

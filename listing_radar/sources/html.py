@@ -14,6 +14,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from listing_radar.sources.jsonld import NODE, listing_nodes
+
 FACTS = (
     "title string, h1 string, canonical string, meta map<string,string>, json_ld array<string>, "
     "links array<struct<pos:int,href:string,text:string>>, text string, roots array<string>, "
@@ -169,16 +171,30 @@ class _Reader(HTMLParser):
         return facts
 
 
+def _read_page(html: str | None, tests, override_tests, link_mark: str) -> tuple[dict, str | None]:
+    try:
+        reader = _Reader(*tests, override_tests, link_mark)
+        reader.feed(html or "")
+        return reader.finish(), None
+    except Exception as problem:  # whatever is wrong with one page must not end the job
+        return _Reader(*tests, override_tests, link_mark).finish(), f"{type(problem).__name__}: {problem}"[:200]
+
+
 def html_facts(pages: DataFrame, blocks: list[str] | None = None, roots: list[str] | None = None,
-               overrides: dict[str, str] | None = None, link_mark: str = "") -> DataFrame:
+               overrides: dict[str, str] | None = None, link_mark: str = "", nodes: bool = False) -> DataFrame:
     """Adds the markup facts of every page (column ``html``); the html itself is dropped.
 
     ``blocks`` are selectors whose elements are listed with title, first link, cells and text, ``roots``
-    selectors whose first element's text is needed, ``overrides`` named selectors for single facts.
+    selectors whose first element's text is needed, ``overrides`` named selectors for single facts. With ``nodes``
+    the listings of the page's JSON-LD scripts come along. A page that cannot be read has its facts empty and says so in
+    ``error``.
     """
     kept = [c for c in pages.columns if c != "html"]
     facts_schema = T.StructType.fromDDL(FACTS)
-    schema = T.StructType([*[pages.schema[c] for c in kept], *facts_schema.fields])
+    extra = [T.StructField("error", T.StringType())]
+    if nodes:
+        extra.append(T.StructField("nodes", T.ArrayType(T.StructType.fromDDL(f"script_no int, {NODE}"))))
+    schema = T.StructType([*[pages.schema[c] for c in kept], *facts_schema.fields, *extra])
     names = facts_schema.names
     wanted_blocks, wanted_roots, named = list(blocks or []), list(roots or []), dict(overrides or {})
 
@@ -188,12 +204,11 @@ def html_facts(pages: DataFrame, blocks: list[str] | None = None, roots: list[st
         for batch in batches:
             found = []
             for html in batch["html"]:
-                reader = _Reader(tests[0], tests[1], override_tests, link_mark)
-                reader.feed(html or "")
-                facts = reader.finish()
-                found.append([facts[n] for n in names])
+                facts, error = _read_page(html, tests, override_tests, link_mark)
+                row = [facts[n] for n in names] + [error]
+                found.append([*row, listing_nodes(facts["json_ld"])] if nodes else row)
             out = batch[kept].copy()
-            for i, name in enumerate(names):
+            for i, name in enumerate([*names, *(f.name for f in extra)]):
                 out[name] = [row[i] for row in found]
             yield out
 

@@ -68,6 +68,20 @@ def _row(number: int, node: dict, raw: str) -> tuple:
     )
 
 
+def _script_rows(script: str) -> list[tuple]:
+    """Rows of all nodes of a script; none if it is no JSON or too deep."""
+    try:
+        return [_row(i, node, script) for i, node in enumerate(_nodes(json.loads(script)))]
+    except (ValueError, RecursionError):
+        return []
+
+
+def listing_nodes(scripts: list[str]) -> list[tuple]:
+    """(script_no, *NODE) of the nodes of a page's scripts that describe a named listing."""
+    found = [(number, *row) for number, script in enumerate(scripts) for row in _script_rows(script)]
+    return [r for r in found if any(k in (r[2] or "").lower() for k in LISTING_NODE_TYPES) and (r[3] or "").strip(" ")]
+
+
 def json_ld_nodes(facts: DataFrame, key: str) -> DataFrame:
     """Nodes of all scripts of a page that describe a listing; a script that is not JSON gives no row."""
     scripts = facts.select(key, F.posexplode("json_ld").alias("script_no", "script"))
@@ -79,11 +93,7 @@ def json_ld_nodes(facts: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             rows = []
             for owner, number, script in batch.itertuples(index=False):
-                try:
-                    parsed = json.loads(script)
-                except ValueError:
-                    continue
-                rows += [(owner, number, *_row(i, node, script)) for i, node in enumerate(_nodes(parsed))]
+                rows += [(owner, number, *row) for row in _script_rows(script)]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return scripts.mapInPandas(read, schema).where(is_listing_node())

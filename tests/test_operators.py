@@ -113,9 +113,9 @@ def test_gazetteer_ways_agree(spark):
                                    "ord int, official_name string, aliases array<string>, localities array<string>, enabled boolean")
     texts = spark.createDataFrame([(1, "en villa alta hoy"), (2, "villas"), (3, "el soto y villa"), (4, "cerro gordo")], "i int, t string")
     for rows in (5000, 0):
-        got = {r.i: r.m for r in M.match_words(texts, "i", F.col("t"), places, "m", rows).collect()}
+        got = {r.i: r.m for r in M.match_words(texts, F.col("t"), places, "m", rows).collect()}
         assert got == {1: "Villa Alta", 2: None, 3: "Villa", 4: None}
-        got = {r.i: r.m for r in M.match_catalog(texts, "i", F.col("t"), places, "m", rows).collect()}
+        got = {r.i: r.m for r in M.match_catalog(texts, F.col("t"), places, "m", rows).collect()}
         assert got == {1: "Villa Alta", 2: "Villa", 3: "Villa", 4: "Cerro"}
 
 

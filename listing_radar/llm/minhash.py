@@ -5,8 +5,8 @@ every element into one of ``t`` bins per round and keeps the least value of a bi
 ``t`` rounds the bin is fixed, so that every coordinate is filled after 2t rounds at most, mostly after two or three. Two sets
 agree in a coordinate with the probability of their similarity.
 
-Equal sets are folded into one representative first. Documents that share a band are compared with the least one of the bucket;
-documents of one bucket that are not yet connected are then compared with each other, whatever the size of the bucket, so no
+Equal sets are folded into one representative first. Documents that share a band are compared with one of the bucket, the one that
+meets most others; documents of one bucket that are not yet connected are then compared with each other, whatever the size of the bucket, so no
 link between different sets is lost after banding. Every link is confirmed on the full sets.
 """
 
@@ -20,15 +20,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_radar.llm import flat
 from listing_radar.llm.components import connected_components
-from listing_radar.llm.storage import bound_batches, stage
+from listing_radar.llm.storage import bound_batches, rows_of, stage
 
 #: 44 bands of 6 coordinates: a pair at similarity 0.8 shares no band with probability 1.6e-6, one at 0.2 shares one with 0.003.
 BANDS, ROWS = 44, 6
-#: One bit of each of the first 256 coordinates; pairs at similarity 0.8 differ in 25.6 bits, with standard deviation 4.8.
-SIGN_BITS, MAX_DIFFERENT_BITS = 256, 60
-#: Up to so many ids of documents to verify are sent to every task; beyond, the same join is shuffled.
-BROADCAST_IDS = 200_000
-
+#: Coordinates of which four bits each are compared before a pair is verified: of the banded sketch for the first pairs, of a longer
+#: sketch for documents that are compared with many others.
+SIGNED, FINE = 256, 512
 U = np.uint64
 
 
@@ -70,6 +68,20 @@ def _sets(batches, size: int):
             yield batch.column(0).slice(lo, hi - lo), *unique_runs(*flat.shingles(flat.word_hashes(part, starts, ends), firsts, size))
 
 
+def sign_planes(sketch: np.ndarray, coordinates: int) -> np.ndarray:
+    """Four bits of each coordinate, bit by bit: 64 coordinates to a long, the longs of the first bit first."""
+    nibbles = np.zeros((len(sketch), coordinates), dtype=np.uint8)
+    nibbles[:, : sketch.shape[1]] = (flat.mix(sketch) & U(15)).astype(np.uint8)
+    return np.concatenate([np.packbits(nibbles >> p & 1, axis=1, bitorder="little") for p in range(4)], axis=1).view(np.uint64)
+
+
+def _fine_rows(batches, size: int):
+    for ids, elements, bounds in _sets(batches, size):
+        signs = sign_planes(fast_sketch(elements, bounds, FINE), FINE)
+        sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(elements.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), _lists(signs, signs.shape[1]), sets], names=["id", "n_shingles", "signs", "elements"])
+
+
 def _sketch_rows(batches, size: int, bands: int, rows: int):
     for ids, elements, bounds in _sets(batches, size):
         counts = np.diff(bounds)
@@ -77,12 +89,11 @@ def _sketch_rows(batches, size: int, bands: int, rows: int):
         key = np.arange(bands, dtype=np.uint64)[None, :] + U(1)
         for k in range(rows):
             key = flat.mix(key * U(0xD6E8FEB86659FD93) + sketch.reshape(len(ids), bands, rows)[:, :, k])
-        signs = np.packbits(flat.mix(sketch[:, :SIGN_BITS]).astype(np.uint8) & 1, axis=1, bitorder="little")
-        signs = np.ascontiguousarray(np.pad(signs, ((0, 0), (0, SIGN_BITS // 8 - signs.shape[1]))))
+        signs = sign_planes(sketch[:, :SIGNED], SIGNED)
         sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat.mix(elements + U(s)))]) for s in (1, 2)]
         prints = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(counts), *map(pa.array, prints), _lists(key, bands), _lists(signs.view(np.uint64), SIGN_BITS // 64)],
+            [ids, pa.array(counts), *map(pa.array, prints), _lists(key, bands), _lists(signs, signs.shape[1])],
             names=["id", "n_shingles", "print_1", "print_2", "bands", "signs"])
 
 
@@ -96,10 +107,16 @@ def similar(percent: int) -> Column:
     return F.expr(f"100 * size(array_intersect(a, b)) >= {percent} * (size(a) + size(b) - size(array_intersect(a, b)))")
 
 
-def _may_link(percent: int) -> Column:
-    """What any linked pair of sizes na, nb satisfies, and the sign bits of nearly every such pair."""
-    bits = " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(SIGN_BITS // 64))
-    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {bits} <= {MAX_DIFFERENT_BITS}")
+def _may_link(percent: int, coordinates: int) -> Column:
+    """What linked pairs of sizes na, nb satisfy: a bound on the sizes, and on the coordinates that agree.
+
+    A coordinate of a pair at the least similarity agrees in its four bits with probability p; 5.5 standard deviations are
+    allowed below the mean, so such a pair is lost with a probability of 2e-8.
+    """
+    p, words = percent / 100 + (1 - percent / 100) / 16, coordinates // 64
+    most = int(coordinates * (1 - p) + 5.5 * (coordinates * p * (1 - p)) ** 0.5)
+    unequal = " + ".join("bit_count(" + " | ".join(f"(sa[{k * words + g}] ^ sb[{k * words + g}])" for k in range(4)) + ")" for g in range(words))
+    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {unequal} <= {most}")
 
 
 def _described(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -114,8 +131,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     pairs = stage(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     needed = stage(needed, "needed")
-    few = needed.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", "body")
+    texts = rows_of(docs, needed).select("id", "body")
     sets = texts.mapInArrow(functools.partial(_set_rows, size=size), f"id {dict(docs.dtypes)['id']}, elements array<bigint>").dropDuplicates(["id"])
     sets = stage(sets, "sets")
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), "u")
@@ -146,10 +162,15 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = copies.where("id <> v").select(F.col("id").alias("u"), "v")
 
     slots = reps.select("id", F.explode("bands").alias("band"))
-    buckets = slots.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = stage(slots.join(buckets, "band"), "members")
+    buckets = slots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stage(slots.join(buckets, "band"), "shared-slots")
+    # the pivot of a bucket is the member that meets most others over all bands: in a group of copies, mostly their origin
+    popular = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    pivots = shared.join(popular, "id").groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("met"), F.col("id").alias("pivot"))).alias("p"))
+    pivots = pivots.select(F.col("band").alias("slot"), "p.pivot")
+    members = stage(shared.join(pivots, F.col("band") == F.col("slot")).select("band", "id", "pivot", "n"), "members")
     first = _described(members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), reps)
-    links = _verified(docs, first.where(_may_link(percent)).select("u", "v"), size, percent)
+    links = _verified(docs, first.where(_may_link(percent, SIGNED)).select("u", "v"), size, percent)
     comps = connected_components(links.unionByName(copies))
     comps = stage(comps, "components")
 
@@ -159,14 +180,23 @@ def minhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = apart.join(centre, "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
     outside = stage(apart.where("c <> pc").select("band", "id", "c", "pc"), "outside")
     open_bands = outside.select("band").distinct()
-    inside = apart.join(open_bands, "band", "left_semi").select("band", "id", "c")
-    side = reps.select("id", "n_shingles", "signs")
-    near = outside.join(side, "id").select("band", "pc", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n_shingles").alias("na"), F.col("signs").alias("sa"))
-    far = inside.join(side, "id").select("band", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n_shingles").alias("nb"), F.col("signs").alias("sb"))
-    rest = near.join(far, "band").where((F.expr("cu <> cv and (cv = pc or u < v)")) & _may_link(percent)).select("u", "v").distinct()
-    late = _verified(docs, rest, size, percent)
+    inside = stage(apart.join(open_bands, "band", "left_semi").select("band", "id", "c"), "inside")
+    side = rows_of(docs, inside.select("id").distinct()).select("id", "body").mapInArrow(
+        functools.partial(_fine_rows, size=size), f"id {id_type}, n_shingles long, signs array<bigint>, elements array<bigint>").dropDuplicates(["id"])
+    side = stage(side, "fine-sketches")
+    near = outside.join(side, "id").select("band", "pc", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n_shingles").alias("na"), F.col("signs").alias("sa"), F.col("elements").alias("a"))
+    far = inside.join(side, "id").select("band", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n_shingles").alias("nb"), F.col("signs").alias("sb"), F.col("elements").alias("b"))
+    # the exact test is part of the join's condition: no pair leaves the join that is not a link
+    late = near.join(far, (near["band"] == far["band"]) & F.expr("cu <> cv and (cv = pc or u < v)") & _may_link(percent, FINE) & similar(percent))
+    late = stage(late.select("u", "v").distinct(), "late-links")
     if not late.isEmpty():
         comps = connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late))
     return sketches.join(comps.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"),
         (F.coalesce("component", "id").eqNullSafe(F.col("id"))).alias("kept"))
+
+
+def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns."""
+    dropped = minhash_dedup(df, id_col, text_col, **settings).where("not kept").select(F.col(id_col).alias("_dropped")).distinct()
+    return df.join(dropped, df[id_col] == dropped["_dropped"], "left_anti")

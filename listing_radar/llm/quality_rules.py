@@ -109,3 +109,12 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     metrics = quality_metrics(df, id_col, text_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return metrics.withColumnRenamed("id", id_col).withColumn("base_failed", failed).withColumn("kept", ~failed & compile_rules(rules))
+
+
+def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns; one projection, no join."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), F.col(f"`{text_col}`").alias("body"))
+    judged = quality_rules(rows, "row", "body", rules)
+    # a generator, since the optimizer would copy the whole projection into a pushed-down filter
+    passed = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")).where("row is not null")
+    return passed.select("row.*").toDF(*df.columns)

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from listing_radar.llm import flat
 from listing_radar.llm.storage import bound_batches
@@ -135,8 +136,7 @@ def score_toxicity(docs: DataFrame, model: dict[int, float], bits: int = Ftrl.bi
     bound_batches(docs.sparkSession)
     sparse = np.array(list(model), dtype=np.int64), np.array(list(model.values()), dtype=np.float64)
     weights = docs.sparkSession.sparkContext.broadcast(sparse)
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"id {types['id']}", "score double", *[f"`{c}` {types[c]}" for c in docs.columns[2:]]])
+    schema = StructType([docs.schema["id"], StructField("score", DoubleType()), *docs.schema.fields[2:]])
     return docs.mapInArrow(functools.partial(_score_rows, weights=weights, bits=bits), schema)
 
 
@@ -147,14 +147,33 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     out. Labels and ids never enter a score. Empty and null texts get the score of the bias. Repeated labels of one id count
     once, as the largest. Other columns of both tables are not looked at.
     """
-    bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
-    remainder = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5))
+    model = learn_toxicity(docs, labels, id_col, label_col, s)
+    return score_toxicity(docs, model, s.bits).select(
+        F.col("id").alias(id_col), F.coalesce(_remainder() == 0, F.lit(True)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _remainder() -> Column:
+    return F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5))
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", s: Ftrl = Ftrl()) -> dict[int, float]:
+    """The model from the labelled rows of ``docs`` (id, body) that are not held out."""
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("label is not null and id is not null")
-    known = known.groupBy("id").agg(F.max("label").alias("label")).where(remainder != 0)
+    known = known.groupBy("id").agg(F.max("label").alias("label")).where(_remainder() != 0)
     share = min(1.0, s.training_rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    model = fit_toxicity(docs.join(F.broadcast(chosen), "id"), s)  # about training_rows ids of a few bytes
-    return score_toxicity(docs, model, s.bits).select(
-        F.col("id").alias(id_col), F.coalesce(remainder == 0, F.lit(True)).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return fit_toxicity(docs.join(F.broadcast(chosen), "id"), s)  # about training_rows ids of a few bytes
+
+
+def reject_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", s: Ftrl = Ftrl()) -> DataFrame:
+    """The rows of ``df`` that score below one half, with all their columns."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"), F.struct(*_columns(df)).alias("row"))
+    model = learn_toxicity(docs.select("id", "body"), labels, id_col, label_col, s)
+    return score_toxicity(docs, model, s.bits).where("score < 0.5").select("row.*").toDF(*df.columns)
+
+
+def _columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]

@@ -17,7 +17,7 @@ from listing_radar.functions.scores import ordinal
 from listing_radar.functions.text import normalize_text
 from listing_radar.functions.urls import normalize_url
 from listing_radar.operators.scale import HEAVY_ROWS, attach_group_values, join_unique
-from listing_radar.session import cut_lineage
+from listing_radar.session import cut_to_table
 
 
 def _keyed(promotions: DataFrame) -> DataFrame:
@@ -42,18 +42,54 @@ def _taken(edges: DataFrame, survivors: DataFrame, end: str, flag: str, heavy_ro
     return join_unique(edges, hit, [end], F.col("_o"), heavy_rows)
 
 
+def _second(ranked: DataFrame, end: str, first: str, name: str, heavy_rows: int) -> DataFrame:
+    """Attach to every edge the second place at one of its ends."""
+    later = ranked.where(F.col("_o") > F.col(first)).groupBy(end).agg(F.min("_o").alias(name))
+    return join_unique(ranked, later, [end], F.col("_o"), heavy_rows)
+
+
+def _along_chains(ranked: DataFrame, heavy_rows: int) -> DataFrame:
+    """Survivors among the first edges and the chains that hang on them.
+
+    An edge with one earlier neighbour only survives exactly if that neighbour does not. Pointer doubling takes every edge of such
+    a chain to its start, with the number of steps: from a first edge, those at even distance survive.
+    """
+    both = _second(_second(ranked, "_u", "_first_u", "_second_u", heavy_rows), "_f", "_first_f", "_second_f", heavy_rows)
+    place, node = F.col("_o"), F.col("_o.row_id")
+    first_u, first_f = place == F.col("_first_u"), place == F.col("_first_f")
+    up = F.when(first_f & (place == F.col("_second_u")), F.col("_first_u.row_id")).when(first_u & (place == F.col("_second_f")), F.col("_first_f.row_id"))
+    both = cut_to_table(both.select("_u", "_f", "_o", node.alias("_node"), up.alias("_up"), (first_u & first_f).alias("_starts")))
+    chain = both.select("_node", F.coalesce("_up", "_node").alias("_up"), F.col("_up").isNotNull().cast("long").alias("_steps"))
+    while True:
+        above = chain.select(F.col("_node").alias("_up"), F.col("_up").alias("_above"), F.col("_steps").alias("_more"))
+        chain = cut_to_table(chain.join(above, "_up").select(
+            "_node", F.col("_above").alias("_up"), (F.col("_steps") + F.col("_more")).alias("_steps"), (F.col("_more") > 0).alias("_moved")))
+        if not chain.agg(F.max("_moved")).first()[0]:
+            break
+        chain = chain.drop("_moved")
+    starts = both.where("_starts").select(F.col("_node").alias("_up"))
+    alive = chain.where("_steps % 2 = 0").join(starts, "_up", "left_semi").select("_node")
+    return both.join(alive, "_node", "left_semi").select("_u", "_f", "_o")
+
+
 def greedy_survivors(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Survivors (_u, _f, _o) among distinct (_u, _f) pairs that carry their first place ``_o``."""
-    remaining, survivors = cut_lineage(edges), None
+    """Survivors (_u, _f, _o) among distinct (_u, _f) pairs that carry their first place ``_o``.
+
+    The first round takes the edges that come first at both ends; later rounds also settle the chains that hang on such edges, so
+    an ordered chain of any length takes one round of a logarithmic number of joins.
+    """
+    remaining, survivors, rounds = cut_to_table(edges), None, 0
     while not remaining.isEmpty():
         ranked = _closest(_closest(remaining, "_u", "_first_u", heavy_rows), "_f", "_first_f", heavy_rows)
-        chosen = cut_lineage(
-            ranked.where((F.col("_o") == F.col("_first_u")) & (F.col("_o") == F.col("_first_f"))).select("_u", "_f", "_o")
-        )
+        if rounds:
+            chosen = _along_chains(cut_to_table(ranked), heavy_rows)
+        else:
+            chosen = ranked.where((F.col("_o") == F.col("_first_u")) & (F.col("_o") == F.col("_first_f"))).select("_u", "_f", "_o")
+        chosen, rounds = cut_to_table(chosen), rounds + 1
         survivors = chosen if survivors is None else survivors.unionByName(chosen)
         left = _taken(remaining, chosen, "_u", "_gone_u", heavy_rows).where("_gone_u is null").drop("_gone_u")
         left = _taken(left, chosen, "_f", "_gone_f", heavy_rows).where("_gone_f is null").drop("_gone_f")
-        remaining = cut_lineage(left)
+        remaining = cut_to_table(left)
     return edges.limit(0) if survivors is None else survivors
 
 

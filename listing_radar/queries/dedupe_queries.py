@@ -77,3 +77,14 @@ def _(t):
 @query("fingerprint", "select row_id, f as fingerprint from dup_rows")
 def _(t):
     return t.duplicates.select("row_id", fingerprint(F.col("name"), F.col("municipality"), F.col("developer_name")).alias("fingerprint"))
+
+
+@query("deduplicate_chain", "select p_partkey as row_id, p_partkey - (p_partkey - m) % 2 as survivor_id from part, (select min(p_partkey) as m from part)")
+def _(t):
+    """Listings that share the URL and the print in turn, in sort order: every second one survives."""
+    first = t.part.agg(F.min("p_partkey")).first()[0]
+    i = F.col("p_partkey") - first + 1
+    pad = lambda c: F.lpad(F.floor(c).cast("string"), 12, "0")
+    rows = t.part.select(F.col("p_partkey").cast("long").alias("row_id"), F.concat(F.lit("https://c.example.org/"), pad((i + 1) / 2)).alias("canonical_url"),
+                         F.concat(F.lit("n"), pad(i / 2)).alias("name"), F.lit("m").alias("municipality"), F.lit(None).cast("string").alias("developer_name"))
+    return D.assign_survivors(rows).select("row_id", "survivor_id")

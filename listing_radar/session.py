@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +30,33 @@ def build_session(app: str = "listing-radar", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the folder named by the cluster; a temporary one only on a local master."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by the cluster; a temporary one only on a local master."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if not (context.master or "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = os.path.join(tempfile.mkdtemp(prefix="listing-radar-"), "checkpoints")
-    context.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage, so that an iteration does not replay its history."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_to_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back. Unlike after a checkpoint the planner knows its true size,
+    which matters in loops, where assumed sizes multiply with every join."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,6 +33,14 @@ def test_dedupe_is_the_greedy_pass(spark, seed, urls, names, heavy):
     assert got == greedy(rows)
 
 
+def test_dedupe_settles_an_ordered_chain(spark):
+    """1, 2 share a URL, 2, 3 a print, 3, 4 a URL ... in sort order; a branch hangs on the chain."""
+    rows = [(i, f"https://x.example.org/{(i + 1) // 2:05d}", f"n{i // 2:05d}") for i in range(1, 200)] + [(900, "https://x.example.org/00020", "zz")]
+    df = spark.createDataFrame(rows, "row_id long, canonical_url string, name string").withColumns({"municipality": F.lit("m"), "developer_name": F.lit(None).cast("string")})
+    got = {r.row_id: r.survivor_id for r in D.assign_survivors(df).select("row_id", "survivor_id").collect()}
+    assert got == greedy([{"row_id": i, "canonical_url": u, "name": n, "municipality": "m"} for i, u, n in rows])
+
+
 def test_dedupe_chain_and_merge(spark):
     rows = [(1, "a", "https://x.example.org/1", None), (2, "b", "https://x.example.org/2", Decimal("5.00")), (3, "b", "https://x.example.org/1", Decimal("7.00"))]
     df = spark.createDataFrame(rows, "row_id long, name string, canonical_url string, price_from decimal(14,2)").withColumns({"municipality": F.lit("m"), "source_confidence": F.lit(Decimal("0.5"))})

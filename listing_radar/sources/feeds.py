@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,6 @@ from listing_radar.operators.candidates import first_per_key_capped, valid_feed_
 from listing_radar.operators.matching import match_words
 from listing_radar.sources.html import html_facts
 
-ARCHIVE_MEMBER_BYTES = 64 * 1024 * 1024
 _NO_LINKS = "array<string>"
 
 
@@ -41,6 +41,8 @@ def _elements(files: DataFrame, tag: str) -> DataFrame:
     plain = F.regexp_replace("content", r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>", "")
     plain = F.regexp_replace(plain, r"(</?)[A-Za-z][\w.-]*:", "$1")
     plain = F.regexp_replace(plain, r"\sxmlns(:[\w.-]+)?=(\"[^\"]*\"|'[^']*')", "")
+    # entities that XML does not know are text
+    plain = F.regexp_replace(plain, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;")
     plain = F.regexp_replace(plain, r"(\s)[A-Za-z][\w.-]*:([A-Za-z][\w.-]*=)", "$1$2")
     found = F.regexp_extract_all(plain, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?(?:/>|>.*?</{tag}>)"), F.lit(0))
     rows = files.select("*", F.posexplode(found).alias("seq", "xml")).drop("content")
@@ -53,17 +55,24 @@ def _child(name: str) -> Column:
     return F.trim(F.coalesce(F.xpath_string("xml", F.lit(f"/*/{name}[1]")), F.lit("")))
 
 
-def strip_html(c: Column) -> Column:
-    """Text of an HTML fragment."""
+def _plain_text(c: Column) -> Column:
+    """Whole text of an HTML fragment."""
     text = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return clean_evidence(text, 4_000)
+    return text
+
+
+def strip_html(c: Column) -> Column:
+    """Text of an HTML fragment, as stored."""
+    return clean_evidence(_plain_text(c), 4_000)
 
 
 def _items(df: DataFrame, external_id: Column, title: Column, summary: Column, url: Column,
-           published: Column | None = None, related: Column | None = None, hint: Column | None = None) -> DataFrame:
+           published: Column | None = None, related: Column | None = None, hint: Column | None = None,
+           search: Column | None = None) -> DataFrame:
+    """``search`` is the uncut text that matching reads; title and summary are excerpts."""
     return df.select(
         "source_id", external_id.alias("external_id"), title.alias("title"), summary.alias("summary"),
         url.alias("official_url"),
@@ -71,6 +80,7 @@ def _items(df: DataFrame, external_id: Column, title: Column, summary: Column, u
         (F.lit(None).cast("string") if hint is None else hint).alias("municipality_hint"),
         (F.lit(None).cast("timestamp") if published is None else published).alias("published_at"),
         F.col("seq").cast("long").alias("seq"),
+        (F.concat_ws(" ", title, summary) if search is None else search).alias("search_text"),
     )
 
 
@@ -79,7 +89,7 @@ def scan_rss(files: DataFrame) -> DataFrame:
     guid, link = _child("guid"), _child("link")
     resolved = U.resolve_url(F.col("source_url"), F.when(link != "", link).otherwise(guid))
     return _items(rows, F.when(guid != "", guid).otherwise(resolved), _child("title"), strip_html(_child("description")),
-                  resolved, parse_feed_date(_child("pubDate")))
+                  resolved, parse_feed_date(_child("pubDate")), search=F.concat_ws(" ", _child("title"), _plain_text(_child("description"))))
 
 
 def scan_atom(files: DataFrame) -> DataFrame:
@@ -96,12 +106,13 @@ def scan_atom(files: DataFrame) -> DataFrame:
         rows, F.when(folder != "", F.concat_ws("|", author, folder)).otherwise(identity), clean_evidence(_child("title"), 500),
         clean_evidence(F.concat_ws(" ", _child("summary"), context), 4_000),
         U.resolve_url(F.col("source_url"), F.when(link != "", link).otherwise(identity)),
-        parse_feed_date(F.when(published != "", published).otherwise(_child("updated"))))
+        parse_feed_date(F.when(published != "", published).otherwise(_child("updated"))),
+        search=F.concat_ws(" ", _child("title"), _child("summary"), context))
 
 
-def read_archives(archives: DataFrame, member_bytes: int = ARCHIVE_MEMBER_BYTES) -> DataFrame:
-    """Members of zip archives (column ``archive``) as documents, one at a time; a member that is too
-    large becomes a row with ``error``."""
+def read_archives(archives: DataFrame) -> DataFrame:
+    """Members of zip archives (column ``archive``) as documents, one at a time and whole. What cannot be read becomes a row with
+    ``error``."""
     kept = [c for c in archives.columns if c != "archive"]
     schema = T.StructType([*[archives.schema[c] for c in kept], T.StructField("member", T.StringType()),
                            T.StructField("seq_base", T.LongType()), T.StructField("content", T.StringType()), T.StructField("error", T.StringType())])
@@ -109,21 +120,31 @@ def read_archives(archives: DataFrame, member_bytes: int = ARCHIVE_MEMBER_BYTES)
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                with zipfile.ZipFile(io.BytesIO(row["archive"])) as archive:
-                    members = sorted((m for m in archive.infolist() if m.filename.lower().endswith(".atom")), key=lambda m: m.filename)
-                    for number, member in enumerate(members):
-                        large = member.file_size > member_bytes
-                        text = None if large else archive.read(member).decode("utf-8", "replace")
-                        out = row[kept].to_dict()
-                        out.update(member=member.filename, seq_base=number * 10_000_000, content=text, error="member too large" if large else None)
-                        yield pd.DataFrame([out], columns=schema.names)
+                def out(member=None, number=0, content=None, error=None, row=row):
+                    values = row[kept].to_dict() | {"member": member, "seq_base": number << 32, "content": content, "error": error}
+                    return pd.DataFrame([values], columns=schema.names)
+
+                try:
+                    with zipfile.ZipFile(io.BytesIO(row["archive"])) as archive:
+                        members = sorted((m for m in archive.infolist() if m.filename.lower().endswith(".atom")), key=lambda m: m.filename)
+                        for number, member in enumerate(members):
+                            yield out(member.filename, number, archive.read(member).decode("utf-8", "replace"))
+                except (zipfile.BadZipFile, OSError, EOFError, RuntimeError, NotImplementedError, zlib.error) as problem:
+                    yield out(error=f"{type(problem).__name__}: {problem}"[:200])
 
     return archives.mapInPandas(read, schema)
 
 
+def failed_archives(archives: DataFrame) -> DataFrame:
+    """(source_id, error) of archives that cannot be read; their sources count as failed."""
+    return read_archives(archives).where("error is not null").select("source_id", "error")
+
+
 def scan_zip_atom(archives: DataFrame, max_items: int) -> DataFrame:
-    """Entries of all members in name order; the item limit of a source is applied in this order."""
-    documents = read_archives(archives).where("error is null").drop("member", "error")
+    """Entries of all members in name order; the item limit of a source is applied in this order. A source with an archive
+    that cannot be read has no items, it is in ``failed_archives``."""
+    failed = failed_archives(archives).select("source_id").distinct()
+    documents = read_archives(archives).where("error is null").drop("member", "error").join(failed, "source_id", "left_anti")
     return first_per_key_capped(valid_feed_items(scan_atom(documents)), max_items)
 
 
@@ -166,19 +187,25 @@ def scan_gazette_xml(files: DataFrame) -> DataFrame:
     sections = sections.withColumn("_section", name).withColumnRenamed("xml", "content")
     bodies = _elements(sections, "organismo").withColumnRenamed("seq", "_b")
     bodies = bodies.withColumn("_authority", name).withColumnRenamed("xml", "content")
-    rows = _elements(bodies, "disposicion").withColumn("seq", F.col("_s") * 100_000_000 + F.col("_b") * 100_000 + F.col("seq"))
+    # entries without an authority above them stay, before those of the section's authorities
+    loose = sections.withColumn("content", F.regexp_replace("content", r"(?s)<organismo(?:\s[^>]*)?(?:/>|>.*?</organismo>)", ""))
+    bodies = bodies.unionByName(loose.withColumns({"_b": F.lit(-1), "_authority": F.lit("")}))
+    place = (F.col("_s").cast("long") * 2**20 + F.col("_b") + 1) * 2**20 + F.col("seq")
+    rows = _elements(bodies, "disposicion").withColumn("seq", place)
     title = _child("titulo")
     return _items(rows, _child("identificador"), clean_evidence(title, 500),
                   clean_evidence(F.concat_ws(" ", "_authority", "_section", _child("rango"), title), 4_000),
-                  _child("url_html"), F.col("document_date").cast("timestamp"))
+                  _child("url_html"), F.col("document_date").cast("timestamp"),
+                  search=F.concat_ws(" ", title, "_authority", "_section", _child("rango")))
 
 
 def scan_sitemap(files: DataFrame) -> DataFrame:
     rows = _elements(files, "url")
     resolved = U.resolve_url(F.col("source_url"), _child("loc"))
     titles = F.array_join(F.filter(F.xpath("xml", F.lit("//title/text()")), lambda t: F.trim(t) != ""), " ")
-    searchable = clean_evidence(F.concat_ws(" ", titles, U.path_words(resolved)), 2_000)
-    items = _items(rows, resolved, searchable, searchable, resolved, parse_feed_date(_child("lastmod")))
+    whole = F.concat_ws(" ", titles, U.path_words(resolved))
+    searchable = clean_evidence(whole, 2_000)
+    items = _items(rows, resolved, searchable, searchable, resolved, parse_feed_date(_child("lastmod")), search=whole)
     return items.where("official_url != ''")
 
 
@@ -221,7 +248,8 @@ def scan_html_blocks(files: DataFrame, selectors: list[str] | None = None) -> Da
     facts = html_facts(_pages(files), blocks=[", ".join(selectors or ["article", "li"])])
     rows = facts.select("source_id", "source_url", F.inline("blocks")).withColumnRenamed("title", "_title").withColumnRenamed("pos", "seq")
     resolved = F.when(F.col("href").isNotNull(), U.resolve_url(F.col("source_url"), F.col("href"))).otherwise(F.col("source_url"))
-    items = _items(rows, resolved, clean_evidence(F.coalesce("_title", "text"), 500), clean_evidence(F.col("text"), 4_000), resolved)
+    items = _items(rows, resolved, clean_evidence(F.coalesce("_title", "text"), 500), clean_evidence(F.col("text"), 4_000), resolved,
+                   search=F.concat_ws(" ", "_title", "text"))
     return items.where("official_url != ''")
 
 
@@ -234,7 +262,7 @@ def scan_notice_table(files: DataFrame) -> DataFrame:
     day = F.regexp_extract("text", r"\b(\d{2}/\d{2}/\d{4})\b", 1)
     published = F.try_to_timestamp(F.nullif(day, F.lit("")), F.lit("dd/MM/yyyy"))
     return _items(rows.where("marked_href is not null"), resolved, clean_evidence(title, 500),
-                  clean_evidence(F.col("text"), 4_000), resolved, published)
+                  clean_evidence(F.col("text"), 4_000), resolved, published, search=F.concat_ws(" ", title, "text"))
 
 
 def scan_link_index(files: DataFrame, source_name: str, selectors: list[str]) -> DataFrame:
@@ -247,7 +275,8 @@ def scan_link_index(files: DataFrame, source_name: str, selectors: list[str]) ->
     resolved = U.resolve_url(F.col("source_url"), F.coalesce("b.href", F.lit("")))
     searchable = clean_evidence(
         F.concat_ws(" ", F.lit(source_name), clean_evidence(F.col("_text"), 500), U.path_words(resolved)), 1_000)
-    return _items(rows, resolved, searchable, searchable, resolved).where("official_url != ''")
+    whole = F.concat_ws(" ", F.lit(source_name), "_text", U.path_words(resolved))
+    return _items(rows, resolved, searchable, searchable, resolved, search=whole).where("official_url != ''")
 
 
 def scan_detail_page(files: DataFrame, content_selectors: list[str], link_selectors: list[str],
@@ -273,7 +302,7 @@ def scan_detail_page(files: DataFrame, content_selectors: list[str], link_select
     title = clean_evidence(F.coalesce("h1", "_title", U.path_of(F.col("source_url"))), 500)
     good = rows.where(F.size("_parts") > 0)
     items = _items(good, F.col("source_url"), title, clean_evidence(F.array_join("_parts", " "), 8_000), F.col("source_url"),
-                   related=F.col("_related"))
+                   related=F.col("_related"), search=F.concat_ws(" ", title, F.array_join("_parts", " ")))
     return items, rows.where(F.size("_parts") == 0).select("source_id", "source_url")
 
 

@@ -46,7 +46,9 @@ def test_zip_members_in_name_order(spark):
     df = spark.createDataFrame([("s1", "https://h.example.org/z", date(2026, 7, 1), bytearray(data.getvalue()))],
                                "source_id string, source_url string, document_date date, archive binary")
     assert [r.title for r in S.scan_zip_atom(df, 2).orderBy("seq").collect()] == ["T 1", "T 2"]
-    assert S.read_archives(df, member_bytes=10).where("error is not null").count() == 3
+    broken = df.limit(1).withColumns({"archive": F.lit(b"no zip"), "source_id": F.lit("broken")})
+    assert [r.source_id for r in S.failed_archives(df.unionByName(broken)).collect()] == ["broken"]
+    assert S.scan_zip_atom(broken, 10).count() == 0
 
 
 def test_nested_json(files):

@@ -16,6 +16,12 @@ CONTENT = ["source_id", "source_name", "source_kind", "external_id", "title", "s
            "published_at_utc", "municipality", "kind", "confidence", "matched_terms"]
 
 
+def enabled_sources(sources: DataFrame, source_id: str | None = None) -> DataFrame:
+    """Sources that are switched on, or the one of the given id whatever its case, in ordinal order of the id."""
+    wanted = F.lit(True) if source_id is None else F.lower("source_id") == source_id.lower()
+    return sources.where(F.coalesce("enabled", F.lit(False)) & wanted).orderBy("source_id")
+
+
 def valid_feed_items(items: DataFrame) -> DataFrame:
     return items.where((F.trim(F.coalesce("title", F.lit(""))) != "") & is_absolute_url(F.col("official_url")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_radar.operators import audit, candidates as C, health as H, triage
 from listing_radar.operators.matching import match_items
+from listing_radar.session import cut_to_table
 
 
 @dataclass
@@ -30,19 +31,22 @@ class RadarRun:
     summary: DataFrame
 
 
-def match(items: DataFrame, catalog: RadarCatalog, now: Column) -> DataFrame:
+def match(items: DataFrame, catalog: RadarCatalog, now: Column, max_items: int = 2**31 - 1) -> DataFrame:
+    """Valid items, the first per source and key, the first ``max_items`` per source, matched."""
     enabled = catalog.sources.where("enabled")
-    return match_items(C.valid_feed_items(items), enabled, catalog.municipalities, catalog.terms, catalog.context_terms,
+    firsts = C.first_per_key_capped(C.valid_feed_items(items), max_items)
+    return match_items(firsts, enabled, catalog.municipalities, catalog.terms, catalog.context_terms,
                        catalog.exclusion_terms, catalog.known_urls, now)
 
 
 def radar_run(items: DataFrame, failures: DataFrame, previous: DataFrame, previous_health: DataFrame,
-              catalog: RadarCatalog, now: Column) -> RadarRun:
+              catalog: RadarCatalog, now: Column, max_items: int = 2**31 - 1) -> RadarRun:
     """``failures`` (source_id, error): sources whose feed could not be read. They keep their candidates,
     get a failed run and do not stop the others."""
     readable = items.join(failures.select("source_id"), "source_id", "left_anti")
-    matched = match(readable, catalog, now)
-    upserted = C.upsert_candidates(previous, matched, [F.col("seq")])
+    matched = match(readable, catalog, now, max_items)
+    # read by every branch below: texts are matched once
+    upserted = cut_to_table(C.upsert_candidates(previous, matched, [F.col("seq")]))
     state = C.apply_configured_reviews(upserted, catalog.sources)
     summary = H.radar_run_summary(readable, upserted)
     good = catalog.sources.where("enabled").select("source_id").join(failures.select("source_id"), "source_id", "left_anti")
@@ -52,7 +56,7 @@ def radar_run(items: DataFrame, failures: DataFrame, previous: DataFrame, previo
     ).unionByName(failures.select(
         "source_id", F.lit(False).alias("success"), F.lit(0).alias("items_read"), F.lit(0).alias("candidates_matched"), "error"))
     runs = runs.withColumns({"checked_at": now, "run_id": F.lit(0).cast("long")})
-    health = H.update_health(previous_health, runs, catalog.sources)
+    health = cut_to_table(H.update_health(previous_health, runs, catalog.sources))
     coverage = H.municipality_coverage(catalog.municipalities, health, state)
     snapshot = H.coverage_snapshot(catalog.sources, health, state, coverage)
     return RadarRun(state, runs, health, coverage, snapshot, summary)

@@ -229,3 +229,15 @@ def _(t):
     empty_health = t.spark.createDataFrame([], schemas.SOURCE_HEALTH)
     run = radar_run(t.items, failures, previous(t), empty_health, catalog(t), now())
     return run.snapshot
+
+
+@query("enabled_sources", "select source_id, row_number() over (order by source_id) as place from (select 'S' || cast(s_suppkey as varchar) as source_id, s_suppkey from supplier) where s_suppkey % 3 <> 0")
+def _(t):
+    sources = t.supplier.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("source_id"), F.when(F.col("s_suppkey") % 6 != 0, F.col("s_suppkey") % 3 != 0).alias("enabled"))
+    return place_in_order(C.enabled_sources(sources), [F.col("source_id")]).select("source_id", "place")
+
+
+@query("enabled_source_by_id", "select 'S' || cast(s_suppkey as varchar) as source_id from supplier where s_suppkey = 7")
+def _(t):
+    sources = t.supplier.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("source_id"), (F.col("s_suppkey") % 3 != 0).alias("enabled"))
+    return C.enabled_sources(sources, "s7").select("source_id")

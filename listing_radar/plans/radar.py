@@ -31,11 +31,9 @@ class RadarRun:
     summary: DataFrame
 
 
-def match(items: DataFrame, catalog: RadarCatalog, now: Column, max_items: int = 2**31 - 1) -> DataFrame:
-    """Valid items, the first per source and key, the first ``max_items`` per source, matched."""
+def match(items: DataFrame, catalog: RadarCatalog, now: Column) -> DataFrame:
     enabled = catalog.sources.where("enabled")
-    firsts = C.first_per_key_capped(C.valid_feed_items(items), max_items)
-    return match_items(firsts, enabled, catalog.municipalities, catalog.terms, catalog.context_terms,
+    return match_items(C.valid_feed_items(items), enabled, catalog.municipalities, catalog.terms, catalog.context_terms,
                        catalog.exclusion_terms, catalog.known_urls, now)
 
 
@@ -44,7 +42,8 @@ def radar_run(items: DataFrame, failures: DataFrame, previous: DataFrame, previo
     """``failures`` (source_id, error): sources whose feed could not be read. They keep their candidates,
     get a failed run and do not stop the others."""
     readable = items.join(failures.select("source_id"), "source_id", "left_anti")
-    matched = match(readable, catalog, now, max_items)
+    # the first item per source and key, then the first ``max_items`` of every source
+    matched = match(C.first_per_key_capped(C.valid_feed_items(readable), max_items), catalog, now)
     # read by every branch below: texts are matched once
     upserted = cut_to_table(C.upsert_candidates(previous, matched, [F.col("seq")]))
     state = C.apply_configured_reviews(upserted, catalog.sources)

@@ -263,6 +263,7 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = stage(docs.where(F.octet_length("body") >= length).mapInArrow(
         functools.partial(_run_rows, length=length, gram=gram), f"anchor long, content long, id {kind}, print long, run long"), "runs")
     met = runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1").drop("n")
+    met = stage(met, "met-anchors")  # read back, so that both sides of the join are shuffled for it and a frequent anchor can be split
     shared = stage(runs.join(met, "anchor"), "shared-runs")
     by_content = stage(shared.groupBy("anchor", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("id", "print", "run")).alias("first"), F.first("mixed").alias("mixed")), "contexts")

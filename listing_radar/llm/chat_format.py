@@ -2,7 +2,8 @@
 
 Records are JSON objects. The fingerprint is a hash of the sorted paths of all fields that hold a value (``messages[].role``);
 each declared layout lists the paths it must and may have, and its fingerprints are worked out beforehand, so finding the layout
-of a record is one look-up. Turns are then written between ``<|im_start|>`` and ``<|im_end|>``; the same strings inside texts are
+of a record is one look-up. A record with further fields takes the layout that leaves the least text out, and is marked instead
+of shortened if any is left out. Turns are then written between ``<|im_start|>`` and ``<|im_end|>``; the same strings inside texts are
 escaped reversibly, and the text of each assistant turn is under the loss mask.
 """
 
@@ -12,6 +13,7 @@ import functools
 import hashlib
 import itertools
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +32,8 @@ class Layout:
 
     ``turns`` lists (role, field) pairs, with fields of one record; or ``items`` names a list whose objects hold ``role_field``
     and ``text_field``, with roles renamed by ``roles``. ``order`` names a field with the place of the record's first turn.
+    ``system`` names a field that comes first, ``history`` a list of earlier turns that comes next: lists of user and assistant
+    texts in turn, or objects with role and content.
     """
 
     name: str
@@ -41,27 +45,67 @@ class Layout:
     text_field: str = "content"
     roles: tuple[tuple[str, str], ...] = ()
     order: str | None = None
-
-
+    system: str | None = None
+    history: str | None = None
+
+    def covers(self, path: str) -> bool:
+        """Whether the turns hold what is at ``path``; objects and lists in the place of a text are written as JSON."""
+        whole = [field for _, field in self.turns]
+        if not self.turns:
+            prefix = f"{self.items}[]." if self.items else ""
+            whole += [prefix + self.role_field, prefix + self.text_field]
+        if self.system:
+            whole.append(self.system)
+        if self.history:
+            whole += [f"{self.history}[][]", f"{self.history}[].role", f"{self.history}[].content"]
+        return any(path == w or path.startswith((w + ".", w + "[")) for w in whole)
+
+
+_EARLIER = ("system", "history[][]", "history[].role", "history[].content")
 LAYOUTS = (
-    Layout("prompt", ("prompt",), ("response", "completion", "system"), (("system", "system"), ("user", "prompt"), (LEARNT_ROLE, "response"), (LEARNT_ROLE, "completion"))),
-    Layout("instruction", ("instruction",), ("input", "output"), (("user", "instruction"), ("user", "input"), (LEARNT_ROLE, "output"))),
-    Layout("messages", ("messages[].role",), ("messages[].content",), items="messages"),
-    Layout("conversations", ("conversations[].from",), ("conversations[].value",), items="conversations", role_field="from", text_field="value",
-           roles=(("human", "user"), ("gpt", LEARNT_ROLE), ("system", "system"))),
+    Layout("prompt", ("prompt",), ("response", "completion", *_EARLIER), (("user", "prompt"), (LEARNT_ROLE, "response"), (LEARNT_ROLE, "completion")),
+           system="system", history="history"),
+    Layout("instruction", ("instruction",), ("input", "output", *_EARLIER), (("user", "instruction"), ("user", "input"), (LEARNT_ROLE, "output")),
+           system="system", history="history"),
+    Layout("messages", ("messages[].role",), ("messages[].content", *_EARLIER), items="messages", system="system", history="history"),
+    Layout("conversations", ("conversations[].from",), ("conversations[].value", *_EARLIER), items="conversations", role_field="from", text_field="value",
+           roles=(("human", "user"), ("gpt", LEARNT_ROLE), ("system", "system")), system="system", history="history"),
     Layout("turn", ("turn",), ("role", "text"), items=None, role_field="role", text_field="text", order="turn"),
 )
 
 
+#: Last names of fields that tell about a record and are no part of its conversation; names that end in ``_id`` are, too.
+METADATA = frozenset(("id", "uuid", "source", "lang", "language", "model", "dataset", "split", "timestamp", "created_at", "url", "license"))
+
+
+def _inside(prefix: str, key: str) -> str:
+    """A key with a mark of paths in it never looks like a path."""
+    key = re.sub(r"([.\[\\])", r"\\\1", key) if "." in key or "[" in key else key
+    return f"{prefix}.{key}" if prefix else key
+
+
 def field_paths(value, prefix: str = "") -> set[str]:
     """Paths of all fields that hold something other than null or an empty list or object."""
     if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{prefix}.{k}" if prefix else str(k)) for k, v in value.items()))
+        return set().union(*(field_paths(v, _inside(prefix, k)) for k, v in value.items()))
     if isinstance(value, list):
         return set().union(*(field_paths(v, prefix + "[]") for v in value))
     return set() if value is None else {prefix}
 
 
+def field_texts(value, prefix: str = "") -> Iterator[tuple[str, str]]:
+    """(path, text) of all strings that are not blank and no metadata."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            if k not in METADATA and not k.endswith("_id"):
+                yield from field_texts(v, _inside(prefix, k))
+    elif isinstance(value, list):
+        for v in value:
+            yield from field_texts(v, prefix + "[]")
+    elif isinstance(value, str) and value.strip():
+        yield prefix, value
+
+
 def fingerprint(paths: set[str] | tuple[str, ...]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
@@ -79,6 +123,15 @@ def known_fingerprints(layouts: tuple[Layout, ...]) -> dict[str, Layout]:
 def turns_of(record: dict, layout: Layout) -> Iterator[tuple[int | None, str, str]]:
     """(place, role, text) of a record; null text is empty, a missing place is None."""
     text = lambda value: "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if layout.system and record.get(layout.system) is not None:
+        yield None, "system", text(record[layout.system])
+    for item in (record.get(layout.history) or []) if layout.history else []:
+        if isinstance(item, dict):
+            yield None, text(item.get("role")), text(item.get("content"))
+        elif isinstance(item, list):
+            for k, said in enumerate(item):
+                if said is not None:
+                    yield None, ("user", LEARNT_ROLE)[k % 2], text(said)
     if layout.turns:
         for role, field in layout.turns:
             if record.get(field) is not None:
@@ -86,8 +139,27 @@ def turns_of(record: dict, layout: Layout) -> Iterator[tuple[int | None, str, st
         return
     names = dict(layout.roles)
     for item in record[layout.items] if layout.items else [record]:
-        role = text(item.get(layout.role_field))
-        yield record.get(layout.order) if layout.order else None, names.get(role, role), text(item.get(layout.text_field))
+        if isinstance(item, dict):
+            role = text(item.get(layout.role_field))
+            yield record.get(layout.order) if layout.order else None, names.get(role, role), text(item.get(layout.text_field))
+
+
+def whole_turns(record: dict, paths: set[str], layouts: tuple[Layout, ...]) -> tuple[Layout, list] | None:
+    """The layout that leaves no text out, the first declared of several, and its turns; None if there is none.
+
+    A text beside a layout's own fields is not left out if it is also the text of a turn.
+    """
+    texts = list(field_texts(record))
+    for layout in layouts:
+        # single values in the place of turns, or no list of them
+        lists = [name for name in (layout.items, layout.history) if name]
+        if not set(layout.required) <= paths or any(f"{name}[]" in paths or not isinstance(record.get(name) or [], list) for name in lists):
+            continue
+        turns = list(turns_of(record, layout))
+        said = {text for _, _, text in turns}
+        if all(layout.covers(path) or value in said for path, value in texts):
+            return layout, turns
+    return None
 
 
 def _turn_rows(batches, layouts: tuple[Layout, ...]):
@@ -103,14 +175,14 @@ def _turn_rows(batches, layouts: tuple[Layout, ...]):
             paths = field_paths(record) if isinstance(record, dict) else set()
             mark = fingerprint(paths)
             layout = known.get(mark) if paths else None
-            # extra fields beside a layout's own do not hide it
-            if layout is None and paths:
-                layout = next((x for x in layouts if set(x.required) <= paths), None)
-            if layout is None:
+            # extra fields beside a layout's own do not hide it, unless they hold text that no turn has
+            found = (layout, turns_of(record, layout)) if layout else whole_turns(record, paths, layouts)
+            if found is None:
                 at.append(i)
                 rows.append((None, None, None, mark, None))
                 continue
-            for k, (place, role, text) in enumerate(turns_of(record, layout)):
+            layout, turns = found
+            for k, (place, role, text) in enumerate(turns):
                 at.append(i)
                 rows.append((k if place is None else place, role, text, mark, layout.name))
         columns = [pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), types[1:], strict=True)] if rows else [pa.array([], t) for _, t in types[1:]]
@@ -120,7 +192,8 @@ def _turn_rows(batches, layouts: tuple[Layout, ...]):
 def canonical_turns(df: DataFrame, id_col: str, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(id, turn, role, text, fingerprint, layout), one row per turn of every JSON record.
 
-    A record that is null, no object, not readable or of no declared layout gives one row with a null layout, role and text.
+    A record that is null, no object, not readable or of no declared layout gives one row with a null layout, role and text; so
+    does one with text that the turns of no layout would hold, apart from ``METADATA``. Its conversation is never cut short.
     Records of one id may be several, as for a conversation whose turns are rows.
     """
     bound_batches(df.sparkSession)

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, with nulls, empty and long texts, ties and clashing columns."""
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -296,6 +297,29 @@ def test_chat_layouts_and_round_trip(spark):
     assert conversation_digests(format_turns(df.limit(0)), "conv_id").count() == 0
 
 
+def test_chat_records_with_further_text_stay_whole_or_are_marked(spark):
+    asked = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    said = [("user", "q"), ("assistant", "a")]
+    cases = [
+        ({"prompt": "q", "prompt_id": "x1", "messages": asked}, said),
+        ({"prompt": "other", "prompt_id": "x1", "messages": asked}, [(None, None)]),
+        ({"system": "s", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, [("system", "s"), *said]),
+        ({"system": "s", "messages": asked, "source": "web"}, [("system", "s"), *said]),
+        ({"instruction": "q2", "output": "a2", "history": [["q", "a"], ["q1", None]]}, [*said, ("user", "q1"), ("user", "q2"), ("assistant", "a2")]),
+        ({"system": "s", "prompt": "q2", "response": "a2", "history": asked}, [("system", "s"), *said, ("user", "q2"), ("assistant", "a2")]),
+        ({"instruction": "q", "output": "a", "history": ["h"]}, [(None, None)]),
+        ({"messages": [*asked, {"role": "assistant", "tool_calls": [{"name": "f"}]}]}, [(None, None)]),
+        ({"messages": [None, [], *asked], "score": 3}, said),
+        ({"messages": ["loose", *asked]}, [(None, None)]),
+        ({"messages[].role": "user"}, [(None, None)]),
+        ({"prompt": "q", "chosen": "a", "rejected": "b"}, [(None, None)]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(record)) for i, (record, _) in enumerate(cases)], "id long, record string")
+    got = by_id(canonical_turns(df, "id", "record"), "id")
+    assert {i: [(r.role, r.text) for r in sorted(v, key=lambda r: r.turn or 0)] for i, v in got.items()} == {i: turns for i, (_, turns) in enumerate(cases)}
+    assert {i for i, v in got.items() if v[0].layout is None} == {i for i, (_, turns) in enumerate(cases) if turns == [(None, None)]}
+
+
 @pytest.mark.parametrize("block", [1024, 5])
 def test_embeddings_by_all_pairs(spark, block, monkeypatch):
     monkeypatch.setattr("listing_radar.llm.embedding_dedup.BLOCK", block)

@@ -1,9 +1,9 @@
 """Feed files to feed items: (source_id, external_id, title, summary, official_url, related_urls,
 municipality_hint, published_at, seq).
 
-``files`` are raw documents as rows (source_id, source_url, document_date, content). Repeated elements are
-cut out by pattern and read with the built-in XPath functions, so that one document of any size becomes
-rows inside its task and a bad document or element gives nulls instead of failing the job.
+``files`` are raw documents as rows (source_id, source_url, document_date, content). Repeated elements of XML are
+taken out by a streaming parser and read with the built-in XPath functions; a document that cannot be read to its end has
+no items and is listed by ``failed_feeds``, which the radar run takes as its failures.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from listing_radar.functions.text import clean_evidence, normalize_text
 from listing_radar.operators.candidates import first_per_key_capped, valid_feed_items
 from listing_radar.operators.matching import match_words
 from listing_radar.sources.html import html_facts
+from listing_radar.sources.xml import element_rows, fault_rows
 
 _NO_LINKS = "array<string>"
 
@@ -36,16 +37,9 @@ def read_documents(spark: SparkSession, path: str, source_id: str, source_url: s
         F.lit(document_date).cast("date").alias("document_date"), "file", F.col("value").alias("content"))
 
 
-def _elements(files: DataFrame, tag: str) -> DataFrame:
+def _elements(files: DataFrame, tag: str, above: tuple[str, ...] = ()) -> DataFrame:
     """One row per element of the given local name, namespaces dropped, in document order."""
-    plain = F.regexp_replace("content", r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>", "")
-    plain = F.regexp_replace(plain, r"(</?)[A-Za-z][\w.-]*:", "$1")
-    plain = F.regexp_replace(plain, r"\sxmlns(:[\w.-]+)?=(\"[^\"]*\"|'[^']*')", "")
-    # entities that XML does not know are text
-    plain = F.regexp_replace(plain, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;")
-    plain = F.regexp_replace(plain, r"(\s)[A-Za-z][\w.-]*:([A-Za-z][\w.-]*=)", "$1$2")
-    found = F.regexp_extract_all(plain, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?(?:/>|>.*?</{tag}>)"), F.lit(0))
-    rows = files.select("*", F.posexplode(found).alias("seq", "xml")).drop("content")
+    rows = element_rows(files, tag, above)
     if "seq_base" in files.columns:
         rows = rows.withColumn("seq", F.col("seq_base") + F.col("seq"))
     return rows
@@ -136,8 +130,19 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def failed_archives(archives: DataFrame) -> DataFrame:
-    """(source_id, error) of archives that cannot be read; their sources count as failed."""
-    return read_archives(archives).where("error is not null").select("source_id", "error")
+    """(source_id, error) of archives that cannot be read, or with a member that cannot; their sources count as failed."""
+    members = read_archives(archives)
+    return members.where("error is not null").select("source_id", "error").unionByName(fault_rows(members.where("error is null")))
+
+
+#: Formats of XML, with the roots that a document must have.
+XML_ROOTS = {"rss": (), "atom": (), "gazetteXml": (), "sitemap": ("urlset", "sitemapindex")}
+
+
+def failed_feeds(files: DataFrame, feed_format: str) -> DataFrame:
+    """(source_id, error), one row per source with a document that is no whole XML document of the format; the failures of a radar
+    run."""
+    return fault_rows(files, XML_ROOTS[feed_format]).groupBy("source_id").agg(F.min("error").alias("error"))
 
 
 def scan_zip_atom(archives: DataFrame, max_items: int) -> DataFrame:
@@ -181,17 +186,9 @@ def scan_nested_json(files: DataFrame) -> DataFrame:
 
 
 def scan_gazette_xml(files: DataFrame) -> DataFrame:
-    """Dispositions with the section and the authority above them."""
-    sections = _elements(files, "seccion").withColumnRenamed("seq", "_s")
-    name = F.trim(F.coalesce(F.xpath_string("xml", F.lit("/*/@nombre")), F.lit("")))
-    sections = sections.withColumn("_section", name).withColumnRenamed("xml", "content")
-    bodies = _elements(sections, "organismo").withColumnRenamed("seq", "_b")
-    bodies = bodies.withColumn("_authority", name).withColumnRenamed("xml", "content")
-    # entries without an authority above them stay, before those of the section's authorities
-    loose = sections.withColumn("content", F.regexp_replace("content", r"(?s)<organismo(?:\s[^>]*)?(?:/>|>.*?</organismo>)", ""))
-    bodies = bodies.unionByName(loose.withColumns({"_b": F.lit(-1), "_authority": F.lit("")}))
-    place = (F.col("_s").cast("long") * 2**20 + F.col("_b") + 1) * 2**20 + F.col("seq")
-    rows = _elements(bodies, "disposicion").withColumn("seq", place)
+    """Dispositions with the nearest section and authority above them, empty if there is none."""
+    rows = _elements(files, "disposicion", ("organismo", "seccion"))
+    rows = rows.withColumns({"_authority": F.col("above")[0], "_section": F.col("above")[1]})
     title = _child("titulo")
     return _items(rows, _child("identificador"), clean_evidence(title, 500),
                   clean_evidence(F.concat_ws(" ", "_authority", "_section", _child("rango"), title), 4_000),
@@ -328,7 +325,8 @@ PARSERS = {
 
 
 def parse_feed(files: DataFrame, feed_format: str, max_items: int, **options) -> DataFrame:
-    """Items of one format, valid ones only, first per key, first ``max_items`` per source."""
+    """Items of one format, valid ones only, first per key, first ``max_items`` per source. Documents of XML that cannot be read
+    have none, see ``failed_feeds``."""
     if feed_format not in PARSERS:
         raise ValueError(f"unknown feed format: {feed_format}")
     return first_per_key_capped(valid_feed_items(PARSERS[feed_format](files, **options)), max_items)

@@ -72,6 +72,36 @@ def test_sitemap(files):
     assert {r.url for r in S.sitemap_children(files(index)).collect()} == {"https://h.example.org/a.xml", "https://o.example.org/b.xml"}
 
 
+def test_xml_of_any_depth_and_cdata(files):
+    xml = """\n<?xml version="1.0" encoding="ISO-8859-1"?><!-- <![CDATA[ --><!DOCTYPE rss><rss><x><y:item><title><![CDATA[A & B <!-- c --> </item>]]></title>
+      <link><![CDATA[https://h.example.org/?a=1&b=2]]></link><guid>ñ&nbsp;g & h</guid><item><title>in</title></item></y:item></x></rss>"""
+    rows = S.scan_rss(files(xml)).orderBy("seq").collect()
+    assert [(r.title, r.official_url) for r in rows] == [("A & B <!-- c --> </item>", "https://h.example.org/?a=1&b=2"), ("in", rows[1].official_url)]
+    assert rows[0].external_id == "ñ&nbsp;g & h" and S.failed_feeds(files(xml), "rss").count() == 0
+    gazette = """<s><disposicion><identificador>D0</identificador></disposicion><seccion nombre="S"><organismo nombre="O"><p><disposicion><identificador>D1</identificador></disposicion></p></organismo>
+      <disposicion><identificador>D2</identificador></disposicion></seccion></s>"""
+    assert [(r.external_id, r.summary.strip()) for r in S.scan_gazette_xml(files(gazette)).orderBy("seq").collect()] == [("D0", ""), ("D1", "O S"), ("D2", "S")]
+
+
+@pytest.mark.parametrize("bad", ["<rss><item><title>a</title><guid>g</guid></item><item><title>b", "<rss><item><title>a</titel></item></rss>", "<rss><item><guid>g</guid></item></rss><rss/>", "", None])
+def test_unreadable_xml_is_a_failure_not_a_short_feed(files, bad):
+    good = files("<rss><item><title>a</title><guid>https://h.example.org/g</guid></item></rss>").withColumn("source_id", F.lit("s2"))
+    both = files(bad).unionByName(good)
+    assert [(r.source_id, bool(r.error)) for r in S.failed_feeds(both, "rss").collect()] == [("s1", True)]
+    assert [r.source_id for r in S.parse_feed(both, "rss", 10).collect()] == ["s2"]
+
+
+def test_failed_xml_of_other_kinds(spark, files):
+    assert S.failed_feeds(files("<html/>"), "sitemap").count() == 1 and S.failed_feeds(files("<urlset/>"), "sitemap").count() == 0
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        archive.writestr("m1.atom", ATOM.format(n=1))
+        archive.writestr("m2.atom", ATOM.format(n=2)[:-20])
+    df = spark.createDataFrame([("s1", "https://h.example.org/z", date(2026, 7, 1), bytearray(data.getvalue()))],
+                               "source_id string, source_url string, document_date date, archive binary")
+    assert [r.source_id for r in S.failed_archives(df).collect()] == ["s1"] and S.scan_zip_atom(df, 10).count() == 0
+
+
 def test_search_results(spark, files):
     places = spark.createDataFrame([("Villa Alta", True, 0), ("Villa", True, 1)], "official_name string, enabled boolean, ord int")
     text = '{"query":"obra nueva Villa Alta","results":[{"url":"https://a.example.org/x?utm_source=1","title":"T","content":"C"},{"url":"http://b.example.org","title":"T"},{"url":"https://c.example.org","title":" "}]}'

@@ -9,6 +9,8 @@ weight table of bounded size, which is broadcast to the scoring tasks.
 from __future__ import annotations
 
 import functools
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,10 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Settings of the model; ``training_rows`` bounds the labelled rows used (chosen by hash of the id), in expectation."""
+    """Settings of the model; ``training_rows`` bounds the labelled rows used (chosen by hash of the id), in expectation.
+
+    The number of shards depends on rows only. A shard keeps ``shard_bytes`` of features in memory, the rest in a temporary file.
+    """
 
     bits: int = 22
     alpha: float = 3.0
@@ -52,7 +57,39 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return (flat.mix(np.concatenate(found)) >> U(64 - bits)).astype(np.int64), np.concatenate(owners)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, s: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+class FeatureRows:
+    """Feature numbers per text, in memory up to ``limit`` bytes; those of later texts wait in a file without a name."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held, self.rows, self.file, self.end = limit, 0, [], None, 0
+
+    def append(self, row: np.ndarray) -> None:
+        if self.held + row.nbytes <= self.limit:
+            self.held += row.nbytes
+            self.rows.append(row)
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.file.write(row)
+        self.rows.append((self.end, row.nbytes))
+        self.end += row.nbytes
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for row in self.rows:
+            if isinstance(row, tuple):
+                self.file.seek(row[0])
+                row = np.frombuffer(self.file.read(row[1]), dtype=np.int32)
+            yield row
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def train(rows: Iterable[np.ndarray], labels: np.ndarray, s: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and values of the weights that are not zero; number 2**bits is the bias, which has no L1 term."""
     z, n = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
     zb = nb = 0.0
@@ -72,11 +109,12 @@ def train(rows: list[np.ndarray], labels: np.ndarray, s: Ftrl) -> tuple[np.ndarr
 
 
 def _train_shard(batches, s: Ftrl):
-    """Rows (shard, label, body), a shard's rows together; the texts of one shard are bounded by the settings."""
-    current, rows, labels = None, [], []
+    """Rows (shard, label, body), a shard's rows together; features beyond the settings' bytes wait on disk."""
+    current, rows, labels = None, FeatureRows(s.shard_bytes), []
 
     def model():
         at, w = train(rows, np.array(labels, dtype=float), s)
+        rows.close()
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["feature", "weight"])
 
     for batch in batches:
@@ -87,13 +125,13 @@ def _train_shard(batches, s: Ftrl):
             order = np.argsort(owner, kind="stable")
             bounds = np.searchsorted(owner[order], np.arange(hi - lo + 1))
             for i in range(hi - lo):
-                if shards[lo + i] != current and rows:
+                if shards[lo + i] != current and labels:
                     yield model()
-                    rows, labels = [], []
+                    rows, labels = FeatureRows(s.shard_bytes), []
                 current = shards[lo + i]
                 rows.append(np.unique(found[order[bounds[i] : bounds[i + 1]]]).astype(np.int32))
                 labels.append(ys[lo + i])
-    if rows:
+    if labels:
         yield model()
 
 
@@ -103,10 +141,10 @@ def fit_toxicity(labelled: DataFrame, s: Ftrl = Ftrl()) -> dict[int, float]:
     Rows of one text and label train like any others. Without rows the model is empty and scores one half.
     """
     rows = labelled.where("label is not null").select("id", F.coalesce("body", F.lit("")).alias("body"), F.col("label").cast("int").alias("label"))
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("b")).first()
-    if not size.n:
+    n = rows.count()
+    if not n:
         return {}
-    shards = max(-(-size.n // s.shard_rows), -(-size.b // s.shard_bytes))
+    shards = -(-n // s.shard_rows)
     order = F.xxhash64("id", "label", F.lit(11))
     dealt = rows.select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), "label", "body", order.alias("o"))
     dealt = dealt.repartition(int(shards), "shard").sortWithinPartitions("shard", "o", "body").select("shard", "label", "body")

@@ -110,6 +110,18 @@ def test_toxicity_learns_and_holds_out(spark):
     assert [r.score for r in toxicity(docs.limit(1), labels.limit(0)).collect()] == [0.5]
 
 
+def test_toxicity_does_not_depend_on_the_length_of_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 250) + (" vile brute" if i % 4 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    whole = {r.doc_id: r for r in toxicity(docs, labels, s=Ftrl(bits=18, l1=2.0)).collect()}
+    spilled = {r.doc_id: r.score for r in toxicity(docs, labels, s=Ftrl(bits=18, l1=2.0, shard_bytes=100_000)).collect()}
+    assert spilled == {i: r.score for i, r in whole.items()}
+    held = [r for r in whole.values() if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)
+
+
 def shingle_set(text, size):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     return {tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, 1))} if w else set()

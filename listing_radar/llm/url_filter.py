@@ -28,7 +28,7 @@ RULES = (
 FEATURES = ("url_length", "path_depth", "digit_ratio", "entropy", "n_parameters", "host_labels", "suffix_blocked", "suffix_weight")
 #: Host suffixes are counted in so many hash buckets, which bounds what the driver receives.
 SUFFIX_BUCKETS = 512
-#: At most so many labelled URLs are used to fit the trees, chosen by hash.
+#: At most so many distinct labelled URLs are used to fit the trees, chosen by hash.
 TRAINING_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -121,8 +121,10 @@ def _tree_sql(described: str) -> str:
 
 
 def fit_trees(labelled: DataFrame, suffixes: dict[int, tuple[float, float]], rows: int = TRAINING_ROWS) -> Column:
-    """Boosted trees from at most ``rows`` labelled URLs (columns id, url, host, path, label); the label 1 means blocked."""
-    chosen = labelled.orderBy(F.xxhash64("url"), "url", "id").limit(rows)
+    """Boosted trees from at most ``rows`` distinct labelled URLs (columns id, url, host, path, label); the label 1 means blocked."""
+    # host, path and label follow from the URL
+    distinct = labelled.groupBy("url", "host", "path", "label").agg(F.min("id").alias("id"))
+    chosen = distinct.orderBy(F.xxhash64("url"), "url").limit(rows)
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(lexical_features(chosen, suffixes))
     table = table.select("features", F.col("label").cast("double").alias("label")).coalesce(4).cache()
     try:

@@ -110,6 +110,17 @@ def test_toxicity_learns_and_holds_out(spark):
     assert [r.score for r in toxicity(docs.limit(1), labels.limit(0)).collect()] == [0.5]
 
 
+def test_url_copies_do_not_fill_the_training_sample(spark):
+    by_hash = spark.createDataFrame([(f"http://h{i}.org/{i}",) for i in range(100)] + [(f"http://h{i}.com/de/{i}",) for i in range(100)], "url string").orderBy(F.xxhash64("url"))
+    urls = [r.url for r in by_hash.collect()]
+    hot = next(u for u in urls if ".org/" in u)
+    urls = urls[urls.index(hot):]  # nothing hashes lower than the hot URL
+    pages = [(i, u) for i, u in enumerate(urls)] + [(1000 + i, hot) for i in range(300)] + [(5000, "http://new.com/zz/7"), (5001, "http://new.org?7")]
+    got = {r.page_id: r for r in url_filter(spark.createDataFrame(pages, "page_id long, url string"), training_rows=150).collect()}
+    assert len(got) == len(pages) and (got[5000].rule, got[5001].rule) == (None, None)
+    assert (got[5000].verdict, got[5001].verdict) == ("block", "allow")
+
+
 def test_toxicity_does_not_depend_on_the_length_of_texts(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 250) + (" vile brute" if i % 4 == 0 else "")) for i in range(600)]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listing_radar.llm.bpe import encode_digests
 from listing_radar.llm.chat_format import canonical_turns, conversation_digests, format_turns
+from listing_radar.llm.conversation_repair import repair_digests
 from listing_radar.llm.embedding_dedup import embedding_dedup
 from listing_radar.llm.minhash import minhash_dedup
 from listing_radar.llm.packing import pack
@@ -78,8 +79,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations damaged by a hash of their place; ``dropped`` rows stay to name their conversation. Nulls are one blank."""
+    name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    case = F.crc32(F.concat_ws(":", *name)) % 20
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    text = F.when(case == 1, "").when(case == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    rows = conversations.select("conv_id", "turn", F.when(case == 4, "user").otherwise(role).alias("role"), text.alias("text"), (case == 0).alias("dropped"),
+                                F.explode(F.when(case == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(damaged(table(spark, sf_dir, "conversations")), dropped=F.col("dropped"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_quality_rules, op4_packing, op5_suffix_dedup, op6_url_filter, op7_chat_format, op8_minhash, op9_token_output, op10_toxicity)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_quality_rules, op4_packing, op5_suffix_dedup, op6_url_filter, op7_chat_format, op8_minhash, op9_token_output, op10_toxicity, op12_conversation_repair)}
 
 
 OP8_SQL = r"""
@@ -139,5 +155,61 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from c group by conv_id"""
 
 
+def _edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', t := {state}.t || {line})"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+#: A front-to-back program over the places (start z, after s, after u, after a); no cheapest edits of a place begin another one's.
+OP12_SQL = r"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+cased as (
+  select *, xor(list_reduce([4294967295::bigint] || list_transform(string_split(k, ''), lambda c: unicode(c)::bigint),
+    lambda x, c: list_reduce([xor(x, c), 1, 2, 3, 4, 5, 6, 7, 8], lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 20 as k20 from keyed),
+damaged as (
+  select conv_id, turn, case when k20 = 4 then 'user' else role end as role,
+    case when k20 = 1 then '' when k20 = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when k20 = 3 then [0, 1] else [0] end) as copy
+  from cased where k20 <> 0),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i from damaged),
+told as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 2 when row_number() over (partition by conv_id, role, text order by i) > 1 then 3
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 1 else 0 end as fault, left(role, 1) as initial,
+    left(role, 1) || lead(left(role, 1)) over (partition by conv_id order by i) as pair from numbered),
+counts as (
+  select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 2) as blank, count(*) filter (fault = 3) as duplicate,
+    count(*) filter (fault = 1) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from told group by conv_id),
+steps as (
+  select distinct conv_id, 0::bigint as i, struct_pack(c := 0::bigint, a := '', t := '') as z, struct_pack(c := 1000000000::bigint, a := '', t := '') as s,
+    struct_pack(c := 2::bigint, a := 'I', t := chr(10) || 'user:') as u, struct_pack(c := 4::bigint, a := 'II', t := chr(10) || 'user:' || chr(10) || 'assistant:') as a
+  from told
+  union all
+  select conv_id, i, z, s, u1 as u, LEAST_A as a from (select conv_id, i, z, s, a0, LEAST_U as u1 from (
+    select r.conv_id, r.i, DEL_Z as z, LEAST_S as s, LEAST_U0 as u0, LEAST_A0 as a0
+    from steps p join (select *, case when fault < 2 then fault else 1000000000 end as f from told) r on r.conv_id is not distinct from p.conv_id and r.i = p.i + 1))),
+ends as (
+  select steps.conv_id, list_min([z, a]) as e from steps join counts on counts.conv_id is not distinct from steps.conv_id and counts.n = steps.i)
+select d.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(e.c, 0) as cost, coalesce(e.a, '') as audit, sha256(coalesce(substr(e.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) d left join counts on counts.conv_id is not distinct from d.conv_id left join ends on ends.conv_id is not distinct from d.conv_id"""
+_AS = {x: f"chr(10) || '{role}:' || r.text" for x, role in (("u", "user"), ("a", "assistant"))}
+
+
+def _kept(place: str, initial: str) -> str:
+    return _edit(f"p.{place}", f"case when r.initial = '{initial}' then r.f else 1000000000 end", "K", "chr(10) || r.role || ':' || r.text")
+
+
+OP12_SQL = (
+    OP12_SQL.replace("DEL_Z", _edit("p.z", "3", "D"))
+    .replace("LEAST_S", _least(_edit("p.s", "3", "D"), _kept("z", "s")))
+    .replace("LEAST_U0", _least(_edit("p.u", "3", "D"), *[x for p in "zsa" for x in (_kept(p, "u"), _edit(f"p.{p}", "2 + r.f", "R", _AS["u"]))]))
+    .replace("LEAST_A0", _least(_edit("p.a", "3", "D"), _kept("u", "a"), _edit("p.u", "2 + r.f", "R", _AS["a"])))
+    .replace("LEAST_U", _least("u0", *[_edit(p, "2", "I", "chr(10) || 'user:'") for p in ("z", "s", "a0")]))
+    .replace("LEAST_A", _least("a0", _edit("u1", "2", "I", "chr(10) || 'assistant:'"))))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op3_quality_rules": OP3_SQL, "op8_minhash": OP8_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op3_quality_rules": OP3_SQL, "op8_minhash": OP8_SQL, "op12_conversation_repair": OP12_SQL}

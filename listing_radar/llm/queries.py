@@ -14,6 +14,7 @@ from listing_radar.llm.embedding_dedup import embedding_dedup
 from listing_radar.llm.minhash import minhash_dedup
 from listing_radar.llm.packing import pack
 from listing_radar.llm.quality_rules import STOP_WORDS, quality_rules
+from listing_radar.llm.secret_scan import find_secrets, shown
 from listing_radar.llm.suffix_dedup import repeat_digests
 from listing_radar.llm.token_output import segments, token_output
 from listing_radar.llm.toxicity import toxicity
@@ -79,6 +80,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("assign", "access", "hex")
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.col("spans.kind")
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in base]
+    own = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return found.select("doc_id", *counts, F.sha2(shown(own), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """The conversations damaged by a hash of their place; ``dropped`` rows stay to name their conversation. Nulls are one blank."""
     name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
@@ -95,7 +105,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_quality_rules, op4_packing, op5_suffix_dedup, op6_url_filter, op7_chat_format, op8_minhash, op9_token_output, op10_toxicity, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_quality_rules, op4_packing, op5_suffix_dedup, op6_url_filter, op7_chat_format, op8_minhash, op9_token_output, op10_toxicity, op11_secret_scan, op12_conversation_repair)}
 
 
 OP8_SQL = r"""

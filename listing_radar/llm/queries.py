@@ -11,6 +11,7 @@ from listing_radar.llm.bpe import encode_digests
 from listing_radar.llm.chat_format import canonical_turns, conversation_digests, format_turns
 from listing_radar.llm.conversation_repair import repair_digests
 from listing_radar.llm.embedding_dedup import embedding_dedup
+from listing_radar.llm.hard_negatives import hard_negatives
 from listing_radar.llm.minhash import minhash_dedup
 from listing_radar.llm.packing import pack
 from listing_radar.llm.quality_rules import STOP_WORDS, quality_rules
@@ -104,8 +105,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(damaged(table(spark, sf_dir, "conversations")), dropped=F.col("dropped"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(given.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_quality_rules, op4_packing, op5_suffix_dedup, op6_url_filter, op7_chat_format, op8_minhash, op9_token_output, op10_toxicity, op11_secret_scan, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_bpe, op3_quality_rules, op4_packing, op5_suffix_dedup, op6_url_filter, op7_chat_format, op8_minhash, op9_token_output, op10_toxicity, op11_secret_scan, op12_conversation_repair, op13_hard_negatives)}
 
 
 OP8_SQL = r"""
@@ -221,5 +228,20 @@ OP12_SQL = (
     .replace("LEAST_A", _least("a0", _edit("u1", "2", "I", "chr(10) || 'assistant:'"))))
 
 
+OP13_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+positives as (select * from scores where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, p.other_id as positive_id, row_number() over (partition by p.anchor_id, p.other_id order by n.score desc, n.other_id)::int as rank,
+  n.other_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scores n on n.anchor_id = p.anchor_id and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score
+qualify row_number() over (partition by p.anchor_id, p.other_id order by n.score desc, n.other_id) <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op3_quality_rules": OP3_SQL, "op8_minhash": OP8_SQL, "op12_conversation_repair": OP12_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op3_quality_rules": OP3_SQL, "op8_minhash": OP8_SQL, "op12_conversation_repair": OP12_SQL,
+            "op13_hard_negatives": OP13_SQL}

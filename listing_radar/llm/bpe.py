@@ -1,10 +1,11 @@
 """BPE encoding and decoding in batched numpy merge rounds.
 
 The vocabulary file describes a byte-level BPE with word ends, whose texts are normalized (NFC, lower case) and cut into words by
-a pattern; white space is dropped. A text is cut at white space, and each distinct chunk is encoded once per worker: the symbols
-of all new chunks' words stand in one flat array, every round looks up the ranks of all neighbouring pairs by binary search over
-the sorted pair keys, and merges each word's lowest-ranked pair at all its places. That equals merging one pair at a time as long
-as no merge makes a pair of a lower rank; the vocabulary is checked for it, otherwise one place per word and round is merged.
+a pattern; white space is dropped. A slice of texts is cut at white space, and its distinct chunks are found by hash and byte. What a
+worker has not met before is cut into words, and each new word is encoded once: the symbols of all new words stand in one flat array,
+every round looks up the ranks of all neighbouring pairs by binary search over the sorted pair keys, and merges each word's
+lowest-ranked pair at all its places. That equals merging one pair at a time as long as no merge makes a pair of a lower rank; the
+vocabulary is checked for it, otherwise one place per word and round is merged.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from listing_radar.llm import flat
+from listing_radar.llm.flat import U
 from listing_radar.llm.storage import bound_batches
 
 #: White space as the vocabulary's patterns mean it. str.split() also cuts at 1C-1F, which are symbols here.
 _SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}" + _SPACE[1:-1] + "]+")
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-_CUT = regex.compile(_SPACE + "+")
-#: A worker forgets its chunks beyond this number of chunks or bytes, which bounds its memory.
-CACHED_CHUNKS, CACHED_BYTES = 300_000, 32 << 20
+#: The words of chunks joined by line breaks; a line break is a word of its own here.
+_WORDS = regex.compile(_WORD.pattern + r"|\n")
+#: A worker keeps two generations of chunks and words; when the younger one reaches this many bytes, the older one is dropped.
+GENERATION_BYTES = 96 << 20
+#: What an entry takes beyond its own bytes, and what one of its ids takes.
+ENTRY_BYTES, ID_BYTES = 150, 4
 
 
 def byte_symbols() -> list[str]:
@@ -49,7 +53,7 @@ class Bpe:
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.tokens = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in described["added_tokens"]}
         self.special = {a["content"]: a["id"] for a in described["added_tokens"]}
-        self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))).encode()) if self.special else None
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], dtype=np.int64)
         self.final = np.array([vocab[s + end] for s in symbols], dtype=np.int64)
@@ -65,8 +69,7 @@ class Bpe:
         self.clear()
 
     def clear(self) -> None:
-        self.chunks = _Chunks()
-        self.ids, self.bounds, self.words = np.zeros(0, np.uint32), np.zeros(1, np.int64), []
+        self.chunks, self.words = (_Chunks(), _Chunks()), (_Words(), _Words())
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or a number above all ranks."""
@@ -81,86 +84,118 @@ class Bpe:
         ids, owner = self.inner[data], np.repeat(np.arange(len(words)), lengths)
         ids[np.cumsum(lengths) - 1] = self.final[data[np.cumsum(lengths) - 1]]
         done_ids, done_owner, none = [], [], len(self.made)
+        last = np.append(owner[1:] != owner[:-1], True)  # no pair begins at a word's last symbol
+        rank = np.full(len(ids), none, dtype=np.int64)
+        pair = np.flatnonzero(~last)
+        rank[pair] = self.ranks(ids[pair], ids[pair + 1])
         while len(ids):
-            inside = owner[1:] == owner[:-1]
-            rank = np.full(len(ids), none, dtype=np.int64)
-            rank[:-1][inside] = self.ranks(ids[:-1][inside], ids[1:][inside])
-            first = np.flatnonzero(np.concatenate([[True], ~inside]))
-            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
-            going_on = best < none
-            if not going_on.all():
+            first = np.flatnonzero(np.append(True, last[:-1]))
+            lengths = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(rank, first)
+            if (least == none).any():
+                going_on = np.repeat(least < none, lengths)
                 done_ids.append(ids[~going_on])
                 done_owner.append(owner[~going_on])
-                ids, owner, rank, best = ids[going_on], owner[going_on], rank[going_on], best[going_on]
+                ids, owner, rank, last = ids[going_on], owner[going_on], rank[going_on], last[going_on]
+                lengths, least = lengths[least < none], least[least < none]
                 if not len(ids):
                     break
-            hit = rank == best
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(rank == np.repeat(least, lengths))
             if self.ordered:  # of overlapping places every second one of a run, from the left
                 run_start = np.concatenate([[True], (np.diff(at) > 1) | (owner[at[1:]] != owner[at[:-1]])])
                 places = np.arange(len(at))
                 at = at[(places - np.maximum.accumulate(np.where(run_start, places, 0))) % 2 == 0]
             else:
                 at = at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])]
-            ids[at] = self.made[rank[at]]
+            ids[at], last[at] = self.made[rank[at]], last[at + 1]
             stay = np.ones(len(ids), dtype=bool)
             stay[at + 1] = False
-            ids, owner = ids[stay], owner[stay]
+            ids, owner, rank, last = ids[stay], owner[stay], rank[stay], last[stay]
+            made = at - np.arange(len(at))  # only pairs with a new symbol have a new rank
+            before = made[made > 0] - 1
+            pair = np.concatenate([made, before[~last[before]]])
+            rank[made] = none
+            pair = pair[~last[pair]]
+            rank[pair] = self.ranks(ids[pair], ids[pair + 1])
         if done_ids:
             ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
             order = np.argsort(owner, kind="stable")
             ids, owner = ids[order], owner[order]
         return ids, np.searchsorted(owner, np.arange(len(words) + 1))
 
-    def _learn(self) -> None:
-        """Encode the chunks met since the last call."""
-        new, self.chunks.new = self.chunks.new, []
-        words, owner = [], []
-        for k, chunk in enumerate(new):
-            if chunk in self.special and not self.chunks.plain:
-                continue
-            text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-            found = _WORD.findall(text.replace("Σ", "σ").lower())
-            words.extend(w.encode("utf-8", "surrogatepass") for w in found)
-            owner.extend([k] * len(found))
-        ids, bounds = self.merge_words(words) if words else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        counts = np.zeros(len(new), dtype=np.int64)
-        np.add.at(counts, np.array(owner, dtype=np.int64), np.diff(bounds))
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
-
-    def encode_chunks(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of lists of chunks in one array, and the bounds of the lists."""
-        if len(self.chunks) > CACHED_CHUNKS or self.chunks.size > CACHED_BYTES:
-            self.clear()
-        number = self.chunks.__getitem__
-        each = np.fromiter((n for chunks in lists for n in map(number, chunks)), dtype=np.int64)
-        if self.chunks.new:
-            self._learn()
-        counts = np.diff(self.bounds)[each]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.bounds[each], counts)]
-        return ids, ends[np.concatenate([[0], np.cumsum([len(c) for c in lists])]).astype(np.int64)]
+    def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in one array, and their bounds; each word that no generation holds is merged once. A line break has none."""
+        young, old = self.words
+        at = np.fromiter(map(young.__getitem__, words), dtype=np.int64, count=len(words))
+        if young.new:
+            known = [w for w in young.new if w in old]
+            new = [w for w in young.new if w not in old] if known else young.new
+            ids, bounds = self.merge_words([w.encode() for w in new]) if new else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+            if known:  # in the order of their numbers
+                more, upto = take_runs(old.ids, old.bounds, np.fromiter(map(old.__getitem__, known), dtype=np.int64, count=len(known)))
+                which = np.fromiter((w in old for w in young.new), dtype=bool, count=len(young.new))
+                order = np.empty(len(which), dtype=np.int64)
+                order[~which], order[which] = np.arange(len(new)), len(new) + np.arange(len(known))
+                ids, bounds = take_runs(np.concatenate([ids, more.astype(np.int64)]), np.concatenate([bounds, bounds[-1] + upto[1:]]), order)
+            young.learn(ids, bounds)
+        return take_runs(young.ids, young.bounds, at)
+
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks that no generation holds, in one array, and their bounds."""
+        text = b"\n".join(chunks).decode("utf-8", "replace")
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        words = _WORDS.findall(text.lower())
+        ids, bounds = self._ids_of_words(words)
+        breaks = np.flatnonzero(np.fromiter(map("\n".__eq__, words), dtype=bool, count=len(words)))
+        return ids, bounds[np.concatenate([[0], breaks, [len(words)]])]
+
+    def encode_chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, given by their bytes, in one array, and their bounds."""
+        if self.chunks[0].size + self.words[0].size > GENERATION_BYTES:
+            self.chunks, self.words = (_Chunks(), self.chunks[0]), (_Words(), self.words[0])
+        starts, ends, firsts = flat.words(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        hashes, first, number = distinct_runs(data, starts, ends)
+        starts, ends = starts[first], ends[first]
+        young, old = self.chunks
+        at = young.find(hashes, data, starts, ends)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            before = old.find(hashes[missing], data, starts[missing], ends[missing])
+            known, new = missing[before >= 0], missing[before < 0]
+            ids, bounds = take_runs(old.ids, old.bounds, before[before >= 0])
+            if len(new):
+                raw = data.tobytes()
+                more, upto = self._learn([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+                ids, bounds = np.concatenate([ids, more]), np.concatenate([bounds, bounds[-1] + upto[1:]])
+            some = np.concatenate([known, new])
+            at[some] = young.add(hashes[some], at[some] == ABSENT, data, starts[some], ends[some], ids, bounds)
+        ids, bounds = take_runs(young.ids, young.bounds, at[number])
+        return ids, bounds[firsts]
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (unsigned 32 bit) of all texts in one array, and their bounds. Special tokens in a text are found before all else."""
+        raw = data.tobytes()
+        met = [m for m in self.special_cut.finditer(raw) if m.end() <= offsets[np.searchsorted(offsets, m.start(), side="right")]] if self.special_cut and b"<|" in raw else []
+        if not met:
+            return self.encode_chunks(data, offsets)
+        data = data.copy()
+        for m in met:
+            data[m.start() : m.end()] = 32  # blank, at the head of the piece that begins here
+        at = np.array([m.start() for m in met], dtype=np.int64)
+        pieces = np.sort(np.concatenate([offsets, at]), kind="stable")
+        ids, bounds = self.encode_chunks(data, pieces)
+        place = np.searchsorted(pieces, at, side="right") - 1  # the piece that begins at each special token
+        ids = np.insert(ids, bounds[place], np.array([self.special[m[0].decode()] for m in met], dtype=np.uint32))
+        more = np.zeros(len(bounds), dtype=np.int64)
+        np.add.at(more, place + 1, 1)
+        return ids, (bounds + np.cumsum(more))[np.searchsorted(pieces, offsets, side="left")]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (unsigned 32 bit) of all texts in one array, and their bounds. Special tokens in a text are found before all else."""
-        parts, after = [], []  # chunk lists, and the special id that follows each
-        last = np.zeros(len(texts) + 1, dtype=np.int64)
-        for i, text in enumerate(texts):
-            text = text or ""
-            pieces = self.special_cut.split(text) if self.special_cut and "<|" in text else [text]
-            for k in range(0, len(pieces), 2):
-                piece = pieces[k]
-                parts.append([c for c in _CUT.split(piece) if c] if _ODD_SPACE.search(piece) else piece.split())
-                after.append(self.special[pieces[k + 1]] if k + 1 < len(pieces) else -1)
-            last[i + 1] = len(parts)
-        ids, bounds = self.encode_chunks(parts)
-        follow = np.array(after, dtype=np.int64)
-        if (follow >= 0).any():
-            at = np.flatnonzero(follow >= 0)
-            ids = np.insert(ids, bounds[at + 1], follow[at].astype(np.uint32))
-            bounds = bounds + np.concatenate([[0], np.cumsum(follow >= 0)])
-        return ids, bounds[last]
+        """``encode_bytes`` for a list of texts; null is empty."""
+        return self.encode_bytes(*flat.texts(pa.array(texts, pa.string())))
 
     @functools.cached_property
     def _pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,19 +216,113 @@ class Bpe:
         return out[keep], ends[bounds] - np.concatenate([[0], np.cumsum(np.diff(bounds) > 0)])
 
 
-class _Chunks(dict):
-    """Numbers of chunks; a new one gets the next number and waits in ``new``."""
+def take_runs(values: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs numbered ``at`` of ``values`` in one array, and their bounds."""
+    starts = bounds[at]
+    lengths = bounds[at + 1] - starts
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.arange(ends[-1]) - np.repeat(ends[:-1] - starts, lengths)], ends
+
+
+class _Words(dict):
+    """Words of one generation with their ids; a new word gets the next number and waits in ``new``. The line break is number 0."""
 
     def __init__(self):
-        super().__init__()
-        self.new, self.size, self.plain = [], 0, True
+        super().__init__({"\n": 0})
+        self.ids, self.bounds, self.new, self.size = np.zeros(0, np.uint32), np.zeros(2, np.int64), [], 0
 
-    def __missing__(self, chunk: str) -> int:
-        number = self[chunk] = len(self)
-        self.new.append(chunk)
-        self.size += len(chunk)
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
         return number
 
+    def learn(self, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Ids of the words in ``new``."""
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+        self.size += sum(map(len, self.new)) + ENTRY_BYTES * len(self.new) + ID_BYTES * len(ids)
+        self.new = []
+
+
+ABSENT, OTHER = -1, -2
+
+
+class _Chunks:
+    """Chunks of one generation with their ids, in arrays: a hash table whose hits are compared byte by byte."""
+
+    def __init__(self):
+        self.hashes, self.places, self.used = np.zeros(1 << 14, dtype=np.uint64), np.zeros(1 << 14, dtype=np.int64), 0
+        self.data, self.offsets = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    @property
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.places, self.data, self.offsets, self.ids, self.bounds))
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of chunks, ABSENT for new ones, OTHER for those whose hash belongs to another chunk."""
+        mask, at = len(self.hashes) - 1, np.full(len(hashes), ABSENT, dtype=np.int64)
+        going_on, slot = np.arange(len(hashes)), (hashes & U(len(self.hashes) - 1)).astype(np.int64)
+        while len(going_on):
+            there = self.hashes[slot]
+            hit = there == hashes[going_on]
+            at[going_on[hit]] = self.places[slot[hit]]
+            more = ~hit & (there != 0)
+            going_on, slot = going_on[more], slot[more] + 1 & mask
+        met = np.flatnonzero(at >= 0)
+        kept, upto = take_runs(self.data, self.offsets, at[met])
+        same = np.diff(upto) == ends[met] - starts[met]
+        if not same.all():
+            kept, upto = take_runs(self.data, self.offsets, at[met[same]])
+        own = take_runs(data, np.stack([starts[met[same]], ends[met[same]]], axis=1).ravel(), 2 * np.arange(same.sum()))[0]
+        unequal = np.add.reduceat((kept != own).astype(np.int64), upto[:-1]) if len(own) else np.zeros(0, np.int64)
+        at[met[~same]] = OTHER
+        at[met[same][unequal > 0]] = OTHER
+        return at
+
+    def add(self, hashes: np.ndarray, filed: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Take in chunks with their ids and return their numbers; only those ``filed`` can be found later."""
+        numbers = len(self.bounds) - 1 + np.arange(len(hashes))
+        own, upto = take_runs(data, np.stack([starts, ends], axis=1).ravel(), 2 * np.arange(len(starts)))
+        self.data, self.offsets = np.concatenate([self.data, own]), np.concatenate([self.offsets, self.offsets[-1] + upto[1:]])
+        self.ids, self.bounds = np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+        if 2 * (self.used + len(hashes)) > len(self.hashes):
+            taken = self.hashes != 0
+            held = self.hashes[taken], self.places[taken]
+            size = 1 << int(4 * (self.used + len(hashes))).bit_length()
+            self.hashes, self.places, self.used = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int64), 0
+            self._file(*held)
+        self._file(hashes[filed], numbers[filed])
+        return numbers
+
+    def _file(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Enter distinct hashes that are not in the table."""
+        mask = len(self.hashes) - 1
+        self.used += len(hashes)
+        slot = (hashes & U(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.hashes[slot] == 0
+            self.hashes[slot[free]] = hashes[free]  # of several the last one stays
+            done = free & (self.hashes[slot] == hashes)
+            self.places[slot[done]] = numbers[done]
+            hashes, numbers, slot = hashes[~done], numbers[~done], slot[~done] + 1 & mask
+
+
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct byte ranges: the hash (not 0) and place of one range of each, and for every range the number of its like."""
+    hashes = np.maximum(flat.word_hashes(data, starts, ends, fold=False), U(1))
+    kinds, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths, like = ends - starts, first[number]
+    if (lengths == lengths[like]).all():
+        repeated = np.flatnonzero(like != np.arange(len(starts)))
+        pairs = np.stack([starts, ends], axis=1).ravel()
+        if (take_runs(data, pairs, 2 * repeated)[0] == take_runs(data, pairs, 2 * like[repeated])[0]).all():
+            return kinds, first, number
+    raw, met = data.tobytes(), {}  # ranges that differ have one hash
+    number = np.array([met.setdefault(raw[a:b], len(met)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+    first = np.unique(number, return_index=True)[1]
+    return hashes[first], first, number
+
 
 def ship_vocabulary(spark: SparkSession, path: str) -> str:
     """Send the vocabulary file with the job; returns the name under which tasks find it."""
@@ -213,9 +342,9 @@ def encoded_slices(batches, name: str):
     """(batch, lo, hi, ids, bounds) for bounded row ranges of batches whose second column is the text."""
     bpe = load_shipped(name)
     for batch in batches:
-        _, offsets = flat.texts(batch.column(1))
+        data, offsets = flat.texts(batch.column(1))
         for lo, hi in flat.slices(offsets):
-            yield batch, lo, hi, *bpe.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
+            yield batch, lo, hi, *bpe.encode_bytes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
 def _digest_rows(batches, name: str):

@@ -22,7 +22,11 @@ SEQUENCE_TOKENS, END_ID = 4096, 2
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Every text's ids followed by ``end_id``."""
-    return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
+    ends = bounds[1:] + np.arange(len(bounds) - 1)
+    out, own = np.empty(len(ids) + len(ends), dtype=np.uint32), np.ones(len(ids) + len(ends), dtype=bool)
+    out[ends], own[ends] = end_id, False
+    out[own] = ids
+    return out, bounds + np.arange(len(bounds))
 
 
 def binary_rows(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -86,20 +86,21 @@ def _pack_block(ids, doc_ids: pa.Array, bounds: np.ndarray, part: int, first_row
     used = np.bincount(row_of, weights=length[order], minlength=len(rows)).astype(np.int64)
     offset = ends - length[order] - np.repeat(np.cumsum(used) - used, segments)
     matrix = np.full(len(rows) * width, pad, dtype="<u4")
-    run = np.arange(ends[-1]) - np.repeat(ends - length[order], length[order])
-    matrix[np.repeat(row_of * width + offset, length[order]) + run] = ids[np.repeat(bounds[:-1][doc[order]] + start[order], length[order]) + run]
+    places, sources = row_of * width + offset, bounds[:-1][doc[order]] + start[order]
+    for place, source, n in zip(places.tolist(), sources.tolist(), length[order].tolist(), strict=True):  # one copy per segment
+        matrix[place : place + n] = ids[source : source + n]
 
-    def lists(values, extra=None) -> pa.Array:
+    def lists(values, ends=None) -> pa.Array:
         bounds_ = np.concatenate([[0], np.cumsum(segments)])
-        if extra is not None:
-            values, bounds_ = np.insert(values, bounds_[1:], extra), bounds_ + np.arange(len(bounds_))
+        if ends is not None:
+            values, bounds_ = np.insert(values, bounds_[1:], ends), bounds_ + np.arange(len(bounds_))
         values = values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32))
         return pa.ListArray.from_arrays(pa.array(bounds_.astype(np.int32)), values)
 
     fixed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((4 * width * np.arange(len(rows) + 1)).astype(np.int32)), pa.py_buffer(matrix)])
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(rows), part, dtype=np.int32)), pa.array(first_row + np.arange(len(rows))), fixed, pa.array(used.astype(np.int32)),
-         lists(offset, used), lists(offset, used), lists(doc_ids.take(pa.array(doc[order]))), lists(start[order]), lists(counts[doc[order]])],
+         lists(offset, used), lists(offset), lists(doc_ids.take(pa.array(doc[order]))), lists(start[order]), lists(counts[doc[order]])],
         names=["part", "row", "ids", "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "doc_starts", "doc_tokens"])
 
 
@@ -128,7 +129,7 @@ def write_token_matrix(df: DataFrame, vocabulary: str, path: str, id_col: str =
     """Write the packed rows to ``path`` and return them as read back.
 
     A row (part, row) holds ``width`` little-endian unsigned 32-bit ids, of which ``n_tokens`` are not padding, ``cu_seqlens``
-    (from 0 to n_tokens), ``position_resets`` (where positions start again at 0, the padding's start included), and for each
+    (from 0 to n_tokens), ``position_resets`` (the places of the row at which positions start again at 0, one per segment), and for each
     segment its document, its start there and that document's number of ids. Null and empty texts have the end id only. Rows with
     a null or repeated id are documents of their own; other columns are not looked at; an empty table gives an empty output.
     """

@@ -255,11 +255,12 @@ def plan_repairs(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     bound_batches(df.sparkSession)
     dropped = F.lit(False) if dropped is None else F.coalesce(dropped, F.lit(False))
     rows = _described(df, conv_col, turn_col, role_col, text_col, dropped).drop("text")
-    place = F.struct(F.col("turn").isNotNull(), "turn")
-    met = rows.where("not dropped and fault <> 2").groupBy("id", "role", "print").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = met.select(F.col("id").alias("_id"), F.col("role").alias("_role"), F.col("print").alias("_print"), "first")
+    met = rows.where("not dropped and fault <> 2").groupBy("id", "role", "print").agg(
+        F.min(F.col("turn").isNotNull().cast("int")).alias("placed"), F.min("turn").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = met.select(F.col("id").alias("_id"), F.col("role").alias("_role"), F.col("print").alias("_print"), "placed", "first")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("role") == F.col("_role")) & (F.col("print") == F.col("_print"))
-    told = rows.join(met, same, "left").withColumn("later", F.coalesce(place > F.col("first"), F.lit(False)))
+    later = F.when(F.col("placed") == 0, F.col("turn").isNotNull()).otherwise(F.col("turn") > F.col("first"))  # rows without a turn come first
+    told = rows.join(met, same, "left").withColumn("later", F.coalesce(later, F.lit(False)))
     # a dropped row comes after the others of its conversation, so that it cannot stand between two equal ones
     ordered = told.repartition("id").sortWithinPartitions("id", "dropped", "turn", "role", "print").select("id", "turn", "role", "print", "class", "fault", "later", "dropped")
     return ordered.mapInArrow(_plan_rows, f"id {dict(rows.dtypes)['id']}, {PLAN}").withColumnRenamed("id", conv_col)

@@ -13,8 +13,11 @@ from listing_radar.functions import ids, scores
 from listing_radar.functions.text import clean_evidence, let, normalize_text, word_ngrams
 from listing_radar.functions.urls import is_https_url, normalize_url
 from listing_radar.operators.scale import broadcast_if_small, is_small, join_unique, small_rows
+from listing_radar.session import cut_to_table
 
 LITERAL_ROWS = 5_000
+#: Characters of the grams under which the spellings of a large catalog are filed, and spellings that one text verifies at a time.
+ANCHOR_LENGTH, CANDIDATES = 3, 10_000
 SCANNED_PHRASES = 100
 
 
@@ -68,9 +71,29 @@ def word_terms(municipalities: DataFrame) -> DataFrame:
                                                        F.min("ord").alias("ord"))
 
 
+def char_grams(text: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of the given lengths, each length found in one pass over the text."""
+    found = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *found))
+
+
+def anchored_terms(terms: DataFrame) -> DataFrame:
+    """``terms`` with ``gram`` added: every term is filed under the one of its grams that the fewest terms have; a term shorter
+    than a gram is filed under itself."""
+    gram = F.explode(F.when(F.length("term") < ANCHOR_LENGTH, F.array("term")).otherwise(char_grams(F.col("term"), [ANCHOR_LENGTH])))
+    parts = terms.select("term", gram.alias("gram"))
+    rarity = parts.groupBy("gram").agg(F.count("*").alias("n"))
+    anchors = parts.join(rarity, "gram").groupBy("term").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return terms.join(anchors, "term")
+
+
 def match_catalog(items: DataFrame, text: Column, municipalities: DataFrame, name: str,
                   literal_rows: int = LITERAL_ROWS) -> DataFrame:
-    """Official name of the longest spelling that occurs anywhere in the text (also inside a word)."""
+    """Official name of the longest spelling that occurs anywhere in the text (also inside a word).
+
+    A larger catalog is searched through its anchor grams: a text looks up only the grams under which spellings are filed, and the
+    spellings found are verified in the text, the longest first. Equal texts are searched once.
+    """
     terms = alias_terms(municipalities)
     normalized = normalize_text(text)
     rows = small_rows(terms, literal_rows)
@@ -80,15 +103,17 @@ def match_catalog(items: DataFrame, text: Column, municipalities: DataFrame, nam
         first = F.try_element_at(F.filter(spellings, lambda t: F.col("_text").contains(t)), F.lit(1))
         found = F.try_element_at(officials, F.nullif(F.array_position(spellings, first), F.lit(0)).cast("int"))
         return items.withColumn("_text", normalized).withColumn(name, found).drop("_text")
-    # every substring as long as some spelling is looked up by equality; equal texts are looked up once
-    lengths = sorted(r.n for r in terms.select(F.length("term").alias("n")).distinct().collect())
-    of_length = [F.when(F.length("_text") >= n, F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i, n=n: F.substring(F.col("_text"), i, F.lit(n))))
-                 for n in lengths]
-    none = F.array().cast("array<string>")
-    keyed = items.withColumn("_text", normalized).withColumn("_id", F.xxhash64("_text"))
-    parts = keyed.groupBy("_id").agg(F.min("_text").alias("_text")).select(
-        "_id", F.explode(F.array_distinct(F.concat(none, *[F.coalesce(part, none) for part in of_length]))).alias("term"))
-    best = parts.join(terms, "term").groupBy("_id").agg(F.min_by("official", F.struct(-F.length("term"), F.col("place"))).alias(name))
+    filed = cut_to_table(anchored_terms(terms))
+    sizes = filed.groupBy(F.length("gram").alias("length")).agg(F.count("*").alias("n")).collect()  # a row per gram length
+    lists = max(1, -(-sum(r.n for r in sizes) // CANDIDATES))
+    keyed = items.withColumn("_text", normalized).withColumn("_id", F.md5("_text"))
+    texts = keyed.groupBy("_id").agg(F.min("_text").alias("_text"))
+    grams = texts.select("_id", F.explode(char_grams(F.col("_text"), sorted(r.length for r in sizes))).alias("gram"))
+    met = grams.join(broadcast_if_small(filed.select("gram").distinct(), filed), "gram", "left_semi").join(broadcast_if_small(filed), "gram")
+    rank = F.struct((-F.length("term")).alias("length"), "place", "term", "official")
+    candidates = met.groupBy("_id", F.pmod(F.xxhash64("term"), F.lit(lists)).alias("list")).agg(F.sort_array(F.collect_list(rank)).alias("ranked"))
+    inside = candidates.join(texts, "_id").select("_id", F.try_element_at(F.filter("ranked", lambda r: F.col("_text").contains(r["term"])), F.lit(1)).alias("r"))
+    best = inside.where("r is not null").groupBy("_id").agg(F.min("r")["official"].alias(name))
     return keyed.drop("_text").join(best, "_id", "left").drop("_id")
 
 

@@ -85,12 +85,21 @@ def _(t):
     return M.match_words(t.items, normalize_text(F.concat_ws(" ", "title", "summary")), t.places, "municipality", literal_rows=0).select("seq", "municipality")
 
 
-@query("gazetteer_match_catalog", """select seq, official as municipality from (select n.seq, g.official, row_number() over (partition by n.seq order by length(g.term) desc, g.place) as rn from norm_items n
-  left join gaz_raw g on contains(n.s, g.term)) where rn = 1""")
+CATALOG_SQL = """select seq, official as municipality from (select n.seq, g.official, row_number() over (partition by n.seq order by length(g.term) desc, g.place) as rn from norm_items n
+  left join gaz_raw g on contains(n.s, g.term)) where rn = 1"""
+
+
+@query("gazetteer_match_catalog", CATALOG_SQL)
 def _(t):
     return M.match_catalog(t.items, F.concat_ws(" ", "title", "summary"), t.places, "municipality").select("seq", "municipality")
 
 
+@query("gazetteer_match_catalog_joined", CATALOG_SQL)
+def _(t):
+    """Same result through the anchor grams of the spellings, as for a catalog that is too large for literals."""
+    return M.match_catalog(t.items, F.concat_ws(" ", "title", "summary"), t.places, "municipality", literal_rows=0).select("seq", "municipality")
+
+
 @query("resolve_municipality", "select seq, municipality from resolved")
 def _(t):
     from listing_radar.functions.text import normalize_text

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listing_radar import schemas
+from listing_radar.functions.text import normalize_text
 from listing_radar.operators import candidates as C, changes as K, dedupe as D, enrich as N, health as H, matching as M, scale
 from listing_radar.plans.promotions import empty_facts
 
@@ -127,6 +128,30 @@ def test_gazetteer_ways_agree(spark):
         assert got == {1: "Villa Alta", 2: "Villa", 3: "Villa", 4: "Cerro"}
 
 
+def test_large_catalog_by_anchor_grams(spark, monkeypatch):
+    """Spellings of many lengths, one letter included, against plain containment; a fraction of all substrings is looked up."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    spellings = sorted({word(n) for n in range(3, 40) for _ in range(12)} | {"e f", "g", "hh", "\U00020000x", "ñu"})
+    places = spark.createDataFrame([(i, t, [], [t.upper()], True) for i, t in enumerate(spellings)],
+                                   "ord int, official_name string, aliases array<string>, localities array<string>, enabled boolean")
+    texts = [" ".join(rng.choice([word(rng.randrange(1, 12)), rng.choice(spellings)]) for _ in range(rng.randrange(12))) for _ in range(120)]
+    texts += ["", None, "x g x", "ahhb", "zz", "Ñu", "a\U00020000xb", "e  f"] * 2
+    items = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    normal = {r.i: r.n for r in items.select("i", normalize_text(F.col("t")).alias("n")).collect()}
+    terms = {r.term: r for r in M.alias_terms(places).collect()}
+    want = {i: min(([-len(t), tuple(r.place), r.official] for t, r in terms.items() if n and t in n), default=[None])[-1] for i, n in normal.items()}
+    for candidates in (10_000, 50):
+        monkeypatch.setattr(M, "CANDIDATES", candidates)
+        assert {r.i: r.m for r in M.match_catalog(items, F.col("t"), places, "m", 0).collect()} == want
+    assert {r.i: r.m for r in M.match_catalog(items, F.col("t"), places, "m").collect()} == want
+    lengths = {len(t) for t in terms}
+    substrings = sum(len({n[k : k + m] for k in range(len(n) - m + 1)}) for n in set(normal.values()) if n for m in lengths)
+    looked_up = sum(len({n[k : k + m] for k in range(len(n) - m + 1)}) for n in set(normal.values()) if n for m in (1, 2, 3))
+    exploded = items.select(F.explode(M.char_grams(normalize_text(F.col("t")), [1, 2, 3]))).distinct().count()
+    assert 0 < exploded <= looked_up < substrings / 10
+
+
 def snippet(text, keywords, room):
     if len(text) <= room:
         return text

@@ -39,8 +39,10 @@ def match(items: DataFrame, catalog: RadarCatalog, now: Column) -> DataFrame:
 
 def radar_run(items: DataFrame, failures: DataFrame, previous: DataFrame, previous_health: DataFrame,
               catalog: RadarCatalog, now: Column, max_items: int = 2**31 - 1) -> RadarRun:
-    """``failures`` (source_id, error): sources whose feed could not be read. They keep their candidates,
-    get a failed run and do not stop the others."""
+    """``failures`` (source_id, error): documents that could not be read, one or more rows per source. Their sources keep their
+    candidates, get one failed run and do not stop the others."""
+    enabled = catalog.sources.where("enabled").select("source_id")
+    failures = failures.join(enabled, "source_id", "left_semi").groupBy("source_id").agg(F.min("error").alias("error"))
     readable = items.join(failures.select("source_id"), "source_id", "left_anti")
     # the first item per source and key, then the first ``max_items`` of every source
     matched = match(C.first_per_key_capped(C.valid_feed_items(readable), max_items), catalog, now)
@@ -48,7 +50,7 @@ def radar_run(items: DataFrame, failures: DataFrame, previous: DataFrame, previo
     upserted = cut_to_table(C.upsert_candidates(previous, matched, [F.col("seq")]))
     state = C.apply_configured_reviews(upserted, catalog.sources)
     summary = H.radar_run_summary(readable, upserted)
-    good = catalog.sources.where("enabled").select("source_id").join(failures.select("source_id"), "source_id", "left_anti")
+    good = enabled.join(failures.select("source_id"), "source_id", "left_anti")
     runs = good.join(summary, "source_id", "left").select(
         "source_id", F.lit(True).alias("success"), F.coalesce("items_read", F.lit(0)).cast("int").alias("items_read"),
         F.coalesce("candidates_matched", F.lit(0)).cast("int").alias("candidates_matched"), F.lit(None).cast("string").alias("error"),

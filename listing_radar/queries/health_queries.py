@@ -1,5 +1,12 @@
 """Source health and coverage over runs derived from events."""
 
+import io
+import itertools
+import uuid
+import zipfile
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from listing_radar import schemas
@@ -132,8 +139,85 @@ def _(t):
     return B.backfill_report(rows.withColumns({"new_candidates": F.lit(0), "updated_candidates": F.lit(0)}))
 
 
-@query("isolate_failures", """select r.source_id, count(*) as kept from source_runs r where r.source_id not in (select source_id from last_state where not success) group by 1""")
+_FEEDS = """f as (select i.*, d.ord % 4 as kind, d.enabled from items i join doc_sources d using (source_id)), bad as (select distinct source_id from f where kind in (1, 3) and seq % 10 = 3),
+  n as (select source_id, count(distinct lower(case when trim(external_id) = '' then official_url else external_id end)) as items_read from f where trim(title) <> '' and (kind < 2 or trim(external_id) <> '') group by 1)"""
+
+
+def feed_documents(t):
+    """A document per item, RSS or nested JSON by source; every other source has damaged documents among them."""
+    plain = F.regexp_replace("title", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rss = F.concat(F.lit("<rss><channel><item><title>"), text(plain), F.lit("</title><link>"), text(F.col("official_url")), F.lit("</link><guid>"), text(F.col("external_id")), F.lit("</guid></item></channel></rss>"))
+    notice = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("external_id").alias("identificador"), plain.alias("titulo"), F.col("official_url").alias("url_html"))).alias("item")).alias("data")))
+    rows = t.items.join(t.doc_sources.select("source_id", (F.col("ord") % 4).alias("kind")), "source_id")
+    whole = F.when(F.col("kind") < 2, rss).otherwise(notice)
+    damaged = F.col("kind").isin(1, 3) & (F.col("seq") % 10 == 3)
+    return rows.withColumn("_w", whole).select(
+        "kind", "source_id", F.lit("https://feeds.example.org/").alias("source_url"), F.lit("2024-01-31").cast("date").alias("document_date"),
+        F.col("seq").alias("seq_base"), F.when(damaged, F.expr("left(_w, length(_w) - 9)")).otherwise(F.col("_w")).alias("content"))
+
+
+@query("isolate_failures", f"""with {_FEEDS}
+  select d.source_id, bad.source_id is null as success, case when bad.source_id is null then coalesce(n.items_read, 0) else 0 end as items_read, case when bad.source_id is null then 0 else 1 end as consecutive_failures,
+    case when bad.source_id is null then 'healthy' else 'degraded' end as status, bad.source_id is not null as has_error, coalesce(p.kept, 0) as failed_kept
+  from doc_sources d left join bad using (source_id) left join n using (source_id) left join (select source_id, count(*) as kept from (select *, row_number() over (partition by id order by seq desc) as rn from matched) m
+    where rn = 1 and doc_id % 3 <> 0 and source_id in (select source_id from bad) group by 1) p using (source_id) where d.enabled""")
+def _(t):
+    """A radar run over feeds of which some have several damaged documents: one failed run for each such source, whose candidates stay."""
+    from listing_radar.plans.radar import radar_run
+    from listing_radar.queries import radar_queries as R
+    from listing_radar.session import cut_to_table
+    from listing_radar.sources.feeds import read_feed
+
+    documents = feed_documents(t)
+    read = [read_feed(documents.where(which).drop("kind"), feed) for which, feed in (("kind < 2", "rss"), ("kind >= 2", "nestedJson"))]
+    items, failures = (a.unionByName(b) for a, b in zip(*read, strict=True))
+    run = radar_run(items, failures, cut_to_table(R.previous(t)), t.spark.createDataFrame([], schemas.SOURCE_HEALTH), R.catalog(t), R.now())
+    kept = run.candidates.join(failures.select("source_id"), "source_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("failed_kept"))
+    runs = run.source_runs.select("source_id", "success", "items_read", F.col("error").isNotNull().alias("has_error"))
+    out = runs.join(run.health.select("source_id", "consecutive_failures", "status"), "source_id").join(kept, "source_id", "left")
+    return out.select("source_id", "success", "items_read", "consecutive_failures", "status", "has_error", F.coalesce("failed_kept", F.lit(0)).alias("failed_kept"))
+
+
+@query("archive_members", f"""with e as (select source_id, seq, external_id from items where trim(external_id) <> '' and trim(title) <> ''),
+  bad as (select distinct source_id from items where seq % 97 = 5), o as (select source_id, ord from doc_sources)
+  select source_id, count(distinct lower(external_id)) as items, false as failed from e join o using (source_id) where source_id not in (select source_id from bad) group by 1
+  union all select source_id, 0, true from bad""")
 def _(t):
-    """Sources whose last run failed give no rows; all others are untouched."""
-    last = t.source_runs.groupBy("source_id").agg(F.max_by("success", F.struct("checked_at", "run_id")).alias("ok"))
-    return t.source_runs.groupBy("source_id").agg(F.count(F.lit(1)).alias("kept")).join(last.where("not ok"), "source_id", "left_anti")
+    """Archives of every source, a member per item, some members damaged; each member is read on its own."""
+    from listing_radar.session import cut_to_table, shared_folder
+    from listing_radar.sources.archives import read_archive_files
+    from listing_radar.sources.feeds import read_feed
+
+    folder = f"{shared_folder(t.spark)}/archives-{uuid.uuid4().hex}"
+    plain = F.regexp_replace("title", r"[\x00-\x08\x0b\x0c\x0e-\x1f&<>]", " ")
+    entry = F.concat(F.lit("<feed><entry><id>"), F.col("external_id"), F.lit("</id><title>"), plain, F.lit("</title><link href='"), F.col("official_url"), F.lit("'/></entry></feed>"))
+    rows = t.items.where("trim(external_id) <> '' or seq % 97 = 5").select(
+        F.concat("source_id", F.lit("-"), F.expr("seq div 2000"), F.lit(".zip")).alias("file"), "source_id", "seq", entry.alias("content"), (F.col("seq") % 97 == 5).alias("damaged"))
+    written = rows.repartition("file").sortWithinPartitions("file", "seq").mapInPandas(lambda batches: write_archives(batches, folder), "source_id string, file string")
+    files = cut_to_table(written)
+    sources = files.select("source_id", F.lit("https://feeds.example.org/").alias("source_url"), F.lit("2024-01-31").cast("date").alias("document_date"), "file")
+    items, failures = read_feed(read_archive_files(t.spark, folder, sources, partition_bytes=1 << 14), "zipAtom")
+    return items.groupBy("source_id").agg(F.count("*").alias("items")).withColumn("failed", F.lit(False)).unionByName(
+        failures.select("source_id", F.lit(0).cast("long").alias("items"), F.lit(True).alias("failed")))
+
+
+def write_archives(batches, folder: str):
+    """Rows (file, source_id, seq, content, damaged), a file's rows together, to one archive each; damaged members fail their checksum."""
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    rows = itertools.chain.from_iterable(batch.itertuples(index=False) for batch in batches)
+    for file, members in itertools.groupby(rows, key=lambda r: r.file):
+        data, spoilt, source = io.BytesIO(), [], None
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_STORED) as archive:
+            for member in members:
+                source = member.source_id
+                archive.writestr(f"{member.seq:012d}.atom", member.content)
+                if member.damaged:
+                    spoilt.append(data.tell() - 1)  # the last of the member's stored bytes
+        whole = bytearray(data.getvalue())
+        for at in spoilt:
+            whole[at] ^= 1
+        with system.open_output_stream(f"{path}/{file}") as out:
+            out.write(bytes(whole))
+        yield pd.DataFrame([(source, file)], columns=["source_id", "file"])

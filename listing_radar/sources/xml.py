@@ -1,14 +1,13 @@
 """Elements of XML documents at any depth, read by a streaming parser (expat).
 
 ``from_xml`` needs the depth of every element in its schema, while entries, folders and places stand at any depth; it also takes a
-document for good whose root is followed by further text. A document is parsed once for its faults and once for its elements, so
-that one with a fault gives an error and no elements. Namespaces are dropped; undeclared prefixes are no fault.
+document for good whose root is followed by further text. A document is parsed once: it gives its elements, or one row with its
+fault. Namespaces are dropped; undeclared prefixes are no fault.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
@@ -38,26 +37,14 @@ def _repaired(text: str | None) -> bytes:
     return text.encode("utf-8", "replace")
 
 
-def fault(data: bytes, roots: tuple[str, ...] = ()) -> str | None:
-    """What keeps a document from being read, or that its root is none of ``roots``."""
-    first = []
+class Fault(ValueError):
+    """What keeps a document from being read."""
 
-    def start(name, _):
-        first.append(_local(name))
-        parser.StartElementHandler = None
 
-    parser = _parser()
-    parser.StartElementHandler = start
-    try:
-        parser.Parse(data, True)
-    except expat.ExpatError as problem:
-        return f"ExpatError: {problem}"[:200]
-    return f"root element {first[0]} instead of {' or '.join(roots)}"[:200] if roots and first[0] not in roots else None
-
-
-def elements(data: bytes, tag: str, above: tuple[str, ...] = ()) -> Iterator[tuple[int, str, list[str]]]:
-    """(number in document order, XML without namespaces, ``nombre`` of the nearest ancestors called ``above``) of a good document."""
-    ready, opened, outer, count = [], [], {name: [] for name in above}, 0
+def elements(data: bytes, tag: str, above: tuple[str, ...] = (), roots: tuple[str, ...] = ()) -> list[tuple[int, str, list[str]]]:
+    """(number in document order, XML without namespaces, ``nombre`` of the nearest ancestors called ``above``) of all elements.
+    A document that is no whole XML document, or whose root is none of ``roots``, is a Fault."""
+    ready, opened, outer, count, first = [], [], {name: [] for name in above}, 0, True
     parser = _parser()
 
     def add(piece):
@@ -65,8 +52,11 @@ def elements(data: bytes, tag: str, above: tuple[str, ...] = ()) -> Iterator[tup
             parts.append(piece)
 
     def start(name, attributes):
-        nonlocal count
+        nonlocal count, first
         name = _local(name)
+        if first and roots and name not in roots:
+            raise Fault(f"root element {name} instead of {' or '.join(roots)}")
+        first = False
         if name == tag:
             opened.append((count, [], [outer[a][-1] if outer[a] else "" for a in above]))
             count += 1
@@ -91,16 +81,18 @@ def elements(data: bytes, tag: str, above: tuple[str, ...] = ()) -> Iterator[tup
 
     parser.StartElementHandler, parser.EndElementHandler = start, end
     parser.CharacterDataHandler = lambda text: add(escape(text)) if opened else None
-    step = 1 << 16
-    for lo in range(0, len(data), step):
-        parser.Parse(data[lo : lo + step], lo + step >= len(data))
-        yield from ready
-        ready.clear()
+    try:
+        parser.Parse(data, True)
+    except expat.ExpatError as problem:
+        raise Fault(f"ExpatError: {problem}") from problem
+    return ready
 
 
-def element_rows(files: DataFrame, tag: str, above: tuple[str, ...] = ()) -> DataFrame:
-    """One row per element of that local name, with ``seq``, ``xml`` and ``above``; documents with a fault have none."""
-    kept = [c for c in files.columns if c != "content"]
+def element_rows(files: DataFrame, tag: str, above: tuple[str, ...] = (), roots: tuple[str, ...] = ()) -> DataFrame:
+    """One row per element of that local name, with ``seq``, ``xml`` and ``above``, and null as ``error``; for a document with a fault
+    one row with its ``error`` alone. Documents that have an ``error`` already keep it."""
+    kept = [c for c in files.columns if c not in ("content", "error")]
+    given = "error" in files.columns
 
     def read(batches):
         for batch in batches:
@@ -108,33 +100,27 @@ def element_rows(files: DataFrame, tag: str, above: tuple[str, ...] = ()) -> Dat
 
             def out(batch, at, found):
                 rest = batch.select(kept).take(pa.array(at, pa.int32()))
-                seq, xml, names = zip(*found, strict=True)
-                return pa.RecordBatch.from_arrays([*rest.columns, pa.array(seq, pa.int64()), pa.array(xml), pa.array(names, pa.list_(pa.string()))],
-                                                  names=[*kept, "seq", "xml", "above"])
+                seq, xml, names, errors = zip(*found, strict=True)
+                return pa.RecordBatch.from_arrays([*rest.columns, pa.array(seq, pa.int64()), pa.array(xml, pa.string()), pa.array(names, pa.list_(pa.string())), pa.array(errors, pa.string())],
+                                                  names=[*kept, "seq", "xml", "above", "error"])
 
             for i in range(batch.num_rows):
-                data = _repaired(batch.column("content")[i].as_py())
-                for row in () if fault(data) else elements(data, tag, above):
+                error = batch.column("error")[i].as_py() if given else None
+                try:
+                    if error is not None:
+                        raise Fault(error)
+                    rows = [(*row, None) for row in elements(_repaired(batch.column("content")[i].as_py()), tag, above, roots)]
+                except Fault as problem:
+                    rows = [(-1, None, None, str(problem)[:200])]
+                for row in rows:
                     at.append(i)
                     found.append(row)
-                    size += len(row[1])
+                    size += len(row[1] or "")
                     if size > _FLUSH:
                         yield out(batch, at, found)
                         at, found, size = [], [], 0
             if found:
                 yield out(batch, at, found)
 
-    schema = files.drop("content").schema.add("seq", "long").add("xml", "string").add("above", ArrayType(StringType()))
-    return files.mapInArrow(read, schema)
-
-
-def fault_rows(files: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
-    """(source_id, error) of the documents that cannot be read."""
-
-    def read(batches):
-        for batch in batches:
-            faults = [fault(_repaired(text.as_py()), roots) for text in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([batch.column("source_id"), pa.array(faults, pa.string())], names=["source_id", "error"])
-
-    schema = files.select("source_id").schema.add("error", "string")
-    return files.select("source_id", "content").mapInArrow(read, schema).where("error is not null")
+    schema = files.select(*kept).schema.add("seq", "long").add("xml", "string").add("above", ArrayType(StringType())).add("error", "string")
+    return files.select(*kept, "content", *(["error"] if given else [])).mapInArrow(read, schema)

@@ -189,3 +189,75 @@ def test_state_snapshots(spark, tmp_path):
     for part in (tmp_path / "state" / newest.rsplit("/", 1)[1]).glob(".*.crc"):
         part.write_bytes(b"")
     assert tables.load_state(spark, path).count() == 4
+
+
+def test_every_format_tells_its_faults_apart(spark, files):
+    places = spark.createDataFrame([(0, "Villa", True)], "ord int, official_name string, enabled boolean")
+    deep = "[" * 200_000 + "]" * 200_000
+    notice = '{"identificador": "a\\ud800", "titulo": "T", "url_html": "https://x.example.org/1"}'
+    cases = [
+        ("nestedJson", [notice, "{}", "7"], ['{"a": ', "", None, deep], {}),
+        ("rss", ["<rss><item><title>T</title><link>/x</link></item></rss>", "<rss/>"], ["<rss><item><title>T</title></item>", None, "<rss/><rss/>"], {}),
+        ("sitemap", ["<urlset><url><loc>/a</loc></url></urlset>", "<sitemapindex/>"], ["<html/>"], {}),
+        ("gazetteXml", ["<sumario><disposicion><identificador>i</identificador><titulo>T</titulo><url_html>https://x.example.org/1</url_html></disposicion></sumario>"], ["<sumario>"], {}),
+        ("searchResults", ['{"query": "villa", "results": [{"url": "https://x.example.org/1", "title": "T"}]}', '{"query": "q", "results": []}'], ["{}", '{"query": "q"', None, '{"results": []}'], {"municipalities": places}),
+        ("detailPage", ["<h1>T</h1><main>text</main>"], ["<p>no block</p>"], {"content_selectors": ["main"], "link_selectors": ["a"], "allowed_hosts": []}),
+        ("htmlBlocks", ["<article>T <a href='/x'>x</a></article>", "", "<p>none</p>"], [], {}),
+    ]
+    for feed, good, bad, options in cases:
+        one, none = S.read_feed(files(good[0]), feed, **options)
+        assert (one.count(), none.count()) == (1, 0), feed
+        for text in good[1:]:
+            assert [x.count() for x in S.read_feed(files(text), feed, **options)] == [0, 0], (feed, text)
+        for text in bad:
+            items, failures = S.read_feed(files(text), feed, **options)
+            assert items.count() == 0 and [r.source_id for r in failures.collect()] == ["s1"] and failures.first().error, (feed, str(text)[:30])
+        both = files(good[0])
+        for text in [*good, *bad]:
+            both = both.unionByName(files(text))
+        items, failures = S.read_feed(both, feed, **options)
+        assert (items.count(), failures.count()) == ((0, 1) if bad else (1, 0)), feed
+
+
+def test_members_of_archives_are_read_apart(spark, tmp_path):
+    from listing_radar.sources.archives import read_archive_files
+
+    for name, members in (("good", 12), ("spoilt", 5)):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as archive:
+            for n in range(members):
+                archive.writestr(f"m{n:02d}.ATOM", ATOM.format(n=n))
+            archive.writestr("other.txt", "x")
+            end = data.tell()
+        whole = bytearray(data.getvalue())
+        if name == "spoilt":
+            whole[whole.index(b"<title>T 3") + 7] ^= 1
+        assert end < len(whole)
+        (tmp_path / f"{name}.zip").write_bytes(whole)
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    sources = spark.createDataFrame([(n, "https://h.example.org/z", date(2026, 7, 1), f"/any/{n}.zip") for n in ("good", "spoilt", "broken")],
+                                    "source_id string, source_url string, document_date date, file string")
+    members = read_archive_files(spark, str(tmp_path), sources, partition_bytes=1)
+    tasks = members.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert len(tasks) == 18 and {r.n for r in tasks} == {1}  # a task per member, and one for the archive that is none
+    items, failures = S.read_feed(members, "zipAtom", max_items=10)
+    assert [(r.source_id, r.title) for r in items.orderBy("seq").collect()] == [("good", f"T {n}") for n in range(10)]
+    assert {r.source_id: bool(r.error) for r in failures.collect()} == {"broken": True, "spoilt": True}
+    assert read_archive_files(spark, str(tmp_path / "good.zip"), sources).count() == 12
+    (tmp_path / "none").mkdir()
+    assert read_archive_files(spark, str(tmp_path / "none"), sources).count() == 0
+
+
+def test_query_numbers_order_search_results(spark, files):
+    from listing_radar.operators.candidates import distinct_by_url_capped
+
+    places = spark.createDataFrame([(0, "Villa", True)], "ord int, official_name string, enabled boolean")
+    answer = '{{"query": "q", "results": [{}]}}'
+    result = '{{"url": "https://x.example.org/{}", "title": "T{}"}}'
+    texts = [answer.format(",".join(result.format(u, u) for u in urls)) for urls in ([3, 1], [1, 2, 4], [5])]
+    answers = None
+    for number, text in enumerate(texts):
+        one = files(text).withColumn("query_no", F.lit(len(texts) - number))
+        answers = one if answers is None else answers.unionByName(one)
+    rows = S.scan_search_results(answers, places)
+    assert [r.title for r in distinct_by_url_capped(rows, 2, 4).orderBy("query_no", "seq").collect()] == ["T5", "T1", "T2", "T3"]

@@ -123,6 +123,14 @@ def test_radar_run(spark, catalog, places):
     assert queue.count() == 2 and totals.first().candidates == 2 and domains.count() == 1
 
 
+def test_several_faults_are_one_failed_run(spark, catalog):
+    failures = spark.createDataFrame([("s", "b"), ("s", "a"), ("other", "x")], "source_id string, error string")
+    run = radar.radar_run(items(spark, TEXTS), failures, spark.createDataFrame([], schemas.CANDIDATES), spark.createDataFrame([], schemas.SOURCE_HEALTH), catalog, F.lit(NOW))
+    assert [(r.source_id, r.success, r.error) for r in run.source_runs.collect()] == [("s", False, "a")]
+    health = run.health.first()
+    assert (health.status, health.consecutive_failures) == ("degraded", 1) and run.candidates.count() == 0
+
+
 def test_radar_stream_equals_batch(spark, catalog, tmp_path):
     source = tmp_path / "in"
     for n in range(2):

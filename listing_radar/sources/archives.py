@@ -16,6 +16,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from listing_radar.operators.scale import broadcast_if_small
+
 #: What opening an archive or unpacking a member may raise.
 UNREADABLE = (zipfile.BadZipFile, OSError, EOFError, RuntimeError, NotImplementedError, ValueError, struct.error, zlib.error)
 #: Unpacked bytes of small members that one partition takes together.
@@ -106,5 +108,5 @@ def read_archive_files(spark: SparkSession, path: str, sources: DataFrame, parti
     spark.dataSource.register(ZipMembers)
     members = spark.read.format("zip_members").option("partitionBytes", str(partition_bytes)).load(path)
     named = members.withColumn("_name", F.substring_index("file", "/", -1)).drop("file")
-    rows = named.join(sources.withColumn("_name", F.substring_index("file", "/", -1)), "_name")
+    rows = named.join(broadcast_if_small(sources.withColumn("_name", F.substring_index("file", "/", -1)), sources), "_name")
     return rows.select("source_id", "source_url", "document_date", "member", F.shiftleft(F.greatest("number", F.lit(0).cast("long")), 32).alias("seq_base"), "content", "error")

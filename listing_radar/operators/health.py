@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listing_radar import fixed_values as V
 from listing_radar.functions.urls import domain_of, strip_www
@@ -10,9 +10,7 @@ from listing_radar.operators.scale import (
     HEAVY_ROWS,
     attach_group_values,
     broadcast_if_small,
-    carry_forward,
     one_row,
-    running_sum_in_segments,
 )
 
 HEALTH = ["first_checked_utc", "last_attempt_utc", "last_success_utc", "last_failure_utc", "last_non_empty_utc",
@@ -24,26 +22,33 @@ def run_counters(runs: DataFrame, segment: Column) -> DataFrame:
     """Per run: failures in a row and empty runs in a row so far. A success ends the first series, a
     non-empty success the second; failures leave the second untouched.
 
-    ``segment`` (say the day of the run) slices the history of a busy source; see ``scale``.
+    ``segment`` (say the day of the run) must not decrease in time; it slices the history of a busy source. Inside a slice, totals
+    run from its start, with the total at the last success (the last non-empty one) beside them. A slice is told by its ends of
+    these four; ends of the slices before are composed in order and come back to the rows in one join.
     """
     order = [F.col("checked_at"), F.col("run_id")]
-    failed = (~F.col("success")).cast("long")
-    empty = (F.col("success") & (F.col("items_read") == 0)).cast("long")
-    out = running_sum_in_segments(runs, ["source_id"], segment, order, failed, "_failures")
-    out = running_sum_in_segments(out, ["source_id"], segment, order, empty, "_empties")
-    out = carry_forward(out, ["source_id"], segment, order, F.when(F.col("success"), F.col("_failures")), "_f0")
-    full = F.col("success") & (F.col("items_read") > 0)
-    out = carry_forward(out, ["source_id"], segment, order, F.when(full, F.col("_empties")), "_e0")
-    seen = F.col("_e0").isNotNull()
-    out = out.withColumns(
-        {
-            "consecutive_failures": F.col("_failures") - F.coalesce("_f0", F.lit(0)),
-            "consecutive_empty_runs": F.col("_empties") - F.coalesce("_e0", F.lit(0)),
-        }
-    )
+    inside = Window.partitionBy("source_id", "_segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("source_id").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    rows = runs.withColumn("_segment", segment)
+    total = lambda c: F.sum(c.cast("long")).over(inside)
+    rows = rows.withColumns({"_f": total(~F.col("success")), "_e": total(F.col("success") & (F.col("items_read") == 0))})
+    # totals never fall, so the latest of them is the greatest
+    rows = rows.withColumns({"_fs": F.max(F.when(F.col("success"), F.col("_f"))).over(inside),
+                             "_es": F.max(F.when(F.col("success") & (F.col("items_read") > 0), F.col("_e"))).over(inside)})
+    ends = rows.groupBy("source_id", "_segment").agg(*[F.max(c).alias(f"{c}_end") for c in ("_f", "_e", "_fs", "_es")])
+    ends = ends.withColumns({f"{c}_0": F.coalesce(F.sum(f"{c}_end").over(before), F.lit(0)) for c in ("_f", "_e")})
+    ends = ends.withColumns({f"{c}s_0": F.max(F.col(f"{c}_0") + F.col(f"{c}s_end")).over(before) for c in ("_f", "_e")})
+    out = rows.join(ends.select("source_id", "_segment", "_f_0", "_e_0", "_fs_0", "_es_0"), ["source_id", "_segment"], "left")
+
+    def since(c: str) -> Column:
+        """The running total less that at the last mark, in this slice or before it."""
+        return F.col(f"{c}_0") + F.col(c) - F.coalesce(F.col(f"{c}_0") + F.col(f"{c}s"), F.col(f"{c}s_0"), F.lit(0))
+
+    seen = F.coalesce("_es", "_es_0").isNotNull()
+    out = out.withColumns({"consecutive_failures": since("_f"), "consecutive_empty_runs": since("_e")})
     status = health_status(F.col("success"), F.col("items_read"), F.col("consecutive_failures"),
                            F.col("consecutive_empty_runs"), seen)
-    return out.withColumn("status", status).drop("_failures", "_empties", "_f0", "_e0")
+    return out.withColumn("status", status).select(*runs.columns, "consecutive_failures", "consecutive_empty_runs", "status")
 
 
 def health_status(success: Column, items: Column, failures: Column, empties: Column, had_data: Column) -> Column:

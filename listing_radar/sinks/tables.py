@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listing_radar.fixed_values import CSV_COLUMNS
 from listing_radar.operators.explore import dataset_order
 from listing_radar.operators.quality import by_municipality, dataset_statistics
+from listing_radar.sources.manifests import write_manifest
 from listing_radar.sources.tables import snapshot_folders
 
 
@@ -86,11 +87,12 @@ def write_report(report: DataFrame, items: DataFrame, path: str) -> None:
 def save_state(state: DataFrame, path: str, run_id: str, publishable: bool = True, dry_run: bool = False,
                keep: int = 3) -> bool:
     """Write a snapshot of its own folder and drop all but the last ``keep``. Nothing is written when the
-    run is not publishable. The write commits with its success marker, so a reader never sees half of it."""
+    run is not publishable. The manifest is written last, so a reader never takes half of a snapshot."""
     if dry_run or not publishable:
         return False
     state.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
     spark = state.sparkSession
+    write_manifest(spark, f"{path}/run_id={run_id}")
     for folder in snapshot_folders(spark, path)[keep:]:
         old = spark._jvm.org.apache.hadoop.fs.Path(folder)
         old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from listing_radar import schemas
 from listing_radar.functions.urls import is_http_url
+from listing_radar.sources.manifests import read_if_sound
 
 
 def read_page_dir(spark: SparkSession, path: str, start_urls: list[str]) -> DataFrame:
@@ -64,18 +65,16 @@ def read_centroid_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_state(spark: SparkSession, path: str, generations: int = 3) -> DataFrame | None:
-    """Newest readable snapshot of the last ``generations``; None without any, an error if all are broken."""
+    """Newest snapshot of the last ``generations`` whose files agree with its manifest; None without any, an error if none of them
+    agrees. The data are not read for it."""
     folders = snapshot_folders(spark, path)
     if not folders:
         return None
     for folder in folders[:generations]:
-        try:
-            state = spark.read.parquet(folder)
-            state.limit(1).count()
+        state = read_if_sound(spark, folder)
+        if state is not None:
             return state
-        except Exception as error:  # a broken snapshot falls back to the one before
-            last = error
-    raise ValueError(f"no readable snapshot in {path}") from last
+    raise ValueError(f"no sound snapshot in {path}")
 
 
 def snapshot_folders(spark: SparkSession, path: str) -> list[str]:

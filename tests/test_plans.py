@@ -8,8 +8,10 @@ from listing_radar import schemas
 from listing_radar.operators.candidates import upsert_candidates
 from listing_radar.plans import enrichment, promotions as P, radar
 from listing_radar.sinks import tables as K
-from listing_radar.sources.tables import snapshot_folders
-from listing_radar.streaming.radar import HealthProcessor, health_stream, radar_stream  # noqa: F401
+from listing_radar.sources import manifests
+from listing_radar.sources.tables import load_state, snapshot_folders
+from listing_radar.streaming import state as S
+from listing_radar.streaming.radar import candidate_state, health_stream, radar_stream
 
 NOW = datetime(2026, 7, 1)
 
@@ -137,22 +139,120 @@ def test_radar_stream_equals_batch(spark, catalog, tmp_path):
         items(spark, TEXTS).where(f"seq % 2 = {n}").coalesce(1).write.mode("append").parquet(str(source))
     query = radar_stream(spark, str(source), str(tmp_path / "state"), str(tmp_path / "cp"), catalog, F.lit(NOW), max_files=1)
     query.awaitTermination(120)
-    streamed = spark.read.parquet(snapshot_folders(spark, str(tmp_path / "state"))[0])
+    streamed = candidate_state(spark, str(tmp_path / "state"))
     batch = upsert_candidates(spark.createDataFrame([], schemas.CANDIDATES), radar.match(items(spark, TEXTS), catalog, F.lit(NOW)), [F.col("seq")])
     key = ["id", "title", "status", "municipality"]
     assert sorted(map(tuple, streamed.select(*key).collect())) == sorted(map(tuple, batch.select(*key).collect()))
 
 
-def test_health_stream_equals_counters(spark, tmp_path):
+def test_batches_rewrite_their_own_buckets(spark, tmp_path):
+    path, schema = str(tmp_path / "state"), "id long, n long"
+    fold = lambda old, new: old.unionByName(new).groupBy("id").agg(F.sum("n").alias("n"))
+    batches = [spark.range(200).selectExpr("id", "1L as n"), spark.createDataFrame([(3, 10), (4, 10), (900, 5)], schema), spark.createDataFrame([], schema), spark.createDataFrame([(3, 1)], schema)]
+    sizes = [len(S.fold_batch(spark, path, n, batch, "id", schema, fold, buckets=64)) for n, batch in enumerate(batches)]
+    assert sizes[0] > 55 and 1 < sizes[1] <= 3 and sizes[2:] == [0, 1]
+    want = {i: 1 for i in range(200)} | {3: 12, 4: 11, 900: 5}
+    assert dict(map(tuple, S.read_state(spark, path, schema).collect())) == want
+    for n in (1, 3):  # a batch that comes again, whatever it holds, changes nothing
+        assert S.fold_batch(spark, path, n, batches[0], "id", schema, fold) == []
+    assert dict(map(tuple, S.read_state(spark, path, schema).collect())) == want
+    assert S.committed(spark, path) == [1, 2, 3]
+    files = {n: len(list((tmp_path / "state" / "data" / f"batch={n:012d}").rglob("*.parquet"))) for n in (0, 1, 3)}
+    assert files[0] >= 55 and files[1] <= 3 and files[3] == 1  # as many as the batch has touched
+    before = sum(1 for _ in (tmp_path / "state" / "data").rglob("*.parquet"))
+    for n in range(4, 9):
+        S.fold_batch(spark, path, n, spark.createDataFrame([(3, 1)], schema), "id", schema, fold)
+    assert sum(1 for _ in (tmp_path / "state" / "data").rglob("*.parquet")) <= before + 2  # old buckets go
+    assert dict(map(tuple, S.read_state(spark, path, schema).collect())) == want | {3: 17}
+    crashed = tmp_path / "state" / "data" / "batch=000000000009" / "bucket=1"  # written, but without a manifest
+    crashed.mkdir(parents=True)
+    (crashed / "part.parquet").write_bytes(b"half")
+    assert S.fold_batch(spark, path, 9, spark.createDataFrame([(4, 1)], schema), "id", schema, fold) and S.read_state(spark, path, schema).count() == 201
+
+
+def test_damaged_files_fall_back_to_the_snapshot_before(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for n in range(3):
+        assert K.save_state(spark.range(10 * (n + 1)).repartition(3), path, f"{n:03d}")
+    newest = tmp_path / "state" / "run_id=002"
+    assert manifests.stated_rows(spark, str(newest)) == 30 and load_state(spark, path).count() == 30
+    last = sorted(newest.glob("part-*.parquet"))[-1]
+    whole = last.read_bytes()
+    last.write_bytes(whole[:-20])  # the last part file only
+    assert load_state(spark, path).count() == 20
+    last.unlink()
+    assert load_state(spark, path).count() == 20
+    (tmp_path / "state" / "run_id=001" / "_manifest.json").write_text("{")
+    assert load_state(spark, path).count() == 10
+    (tmp_path / "state" / "run_id=000" / "_manifest.json").unlink()
+    with pytest.raises(ValueError, match="no sound snapshot"):
+        load_state(spark, path)
+
+
+@pytest.mark.parametrize("batch_rows", [2000, 3])
+def test_health_stream_equals_counters(spark, tmp_path, batch_rows):
     from listing_radar.operators.health import run_counters
 
-    rows = [(f"s{i % 2}", i, NOW + timedelta(hours=i), i % 3 != 1, 0 if i % 4 else 2, 0, None) for i in range(24)]
+    rows = [(f"s{i % 2}", i, NOW + timedelta(minutes=25 * i), i % 3 != 1, 0 if i % 4 else 2, 0, None) for i in range(48)]
     runs = spark.createDataFrame(rows, schemas.SOURCE_RUNS)
-    for part in range(2):
-        runs.where(f"run_id div 12 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = health_stream(spark.readStream.schema(schemas.SOURCE_RUNS).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("health_out").outputMode("update")
-    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    got = {r.run_id: (r.consecutive_failures, r.consecutive_empty_runs, r.status) for r in spark.table("health_out").collect()}
+    for part in range(3):
+        runs.where(f"run_id div 16 = {part}").orderBy(F.xxhash64("run_id")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late = spark.createDataFrame([("s0", -1, NOW - timedelta(hours=1), False, 0, 0, None)], schemas.SOURCE_RUNS)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    given = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        stream = health_stream(spark.readStream.schema(schemas.SOURCE_RUNS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+        name = f"health_{batch_rows}"
+        query = stream.writeStream.format("memory").queryName(name).outputMode("update")
+        query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(240)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", given)
+    got = {r.run_id: (r.consecutive_failures, r.consecutive_empty_runs, r.status) for r in spark.table(name).collect()}
     expected = {r.run_id: (r.consecutive_failures, r.consecutive_empty_runs, r.status) for r in run_counters(runs, F.to_date("checked_at")).collect()}
-    assert got == expected
+    assert got.pop(-1)[2] == "late" and got == expected
+
+
+def test_a_busy_source_is_folded_slice_by_slice():
+    """A million runs of one source in disorder: no more than a slice of them is held."""
+    import numpy as np
+    import pandas as pd
+
+    from listing_radar.streaming.radar import HealthProcessor
+
+    class Kept(dict):
+        most = 0
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def getValue(self, key):
+            return self[key]
+
+        def removeKey(self, key):
+            del self[key]
+
+    class Value:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    n = 1_000_000
+    order = np.random.default_rng(1).permutation(n)
+    frame = pd.DataFrame({"checked_at": pd.Timestamp(NOW) + pd.to_timedelta(order * 60, unit="s"), "run_id": order, "success": order % 5 != 0, "items_read": order % 3})
+    processor = HealthProcessor(7 * 86_400)
+    processor.state, processor.waiting = Value(), Kept()
+    sizes, last = [], None
+    for out in processor.handleInputRows(("s",), (frame[k : k + 50_000] for k in range(0, n, 50_000)), None):
+        assert out.run_id.is_monotonic_increasing and (last is None or out.run_id.iloc[0] == last + 1)
+        sizes.append(len(out))
+        last = out.run_id.iloc[-1]
+    assert sum(sizes) == n and max(sizes) <= 10_000 and not processor.waiting
+    assert processor.state.value[:3] == (0, 1, True) and (out.status != "late").all()

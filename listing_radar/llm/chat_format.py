@@ -107,7 +107,7 @@ def field_texts(value, prefix: str = "") -> Iterator[tuple[str, str]]:
 
 
 def fingerprint(paths: set[str] | tuple[str, ...]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def known_fingerprints(layouts: tuple[Layout, ...]) -> dict[str, Layout]:
@@ -162,29 +162,50 @@ def whole_turns(record: dict, paths: set[str], layouts: tuple[Layout, ...]) -> t
     return None
 
 
+def whole_text(text: str) -> str:
+    """``text`` with half surrogate pairs replaced, so that it can be written."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def turn_number(place) -> int | None:
+    """A turn's place as a 64-bit number, also where it stands as a text or with a fraction of 0; anything else is a ValueError."""
+    if place is None:
+        return None
+    if isinstance(place, bool) or not isinstance(place, (int, float, str)) or isinstance(place, str) and len(place) > 40:
+        raise ValueError("a turn's place is no number")
+    number = int(place)  # a text that is no number and an infinite one are errors
+    if isinstance(place, float) and number != place or not -(2**63) <= number < 2**63:
+        raise ValueError("a turn's place is no 64-bit number")
+    return number
+
+
+def _record_rows(raw: str | None, known: dict[str, Layout], layouts: tuple[Layout, ...]) -> list[tuple]:
+    """(turn, role, text, fingerprint, layout) of one record, or its one row without a layout."""
+    mark = fingerprint(())
+    try:
+        record = json.loads(raw or "null")
+        paths = field_paths(record) if isinstance(record, dict) else set()
+        mark = fingerprint(paths)
+        layout = known.get(mark) if paths else None
+        # extra fields beside a layout's own do not hide it, unless they hold text that no turn has
+        found = (layout, turns_of(record, layout)) if layout else whole_turns(record, paths, layouts)
+        if found is not None:
+            numbered = [(turn_number(place), whole_text(role), whole_text(text)) for place, role, text in found[1]]
+            return [(k if place is None else place, role, text, mark, found[0].name) for k, (place, role, text) in enumerate(numbered)]
+    except (ValueError, OverflowError, RecursionError):
+        pass
+    return [(None, None, None, mark, None)]
+
+
 def _turn_rows(batches, layouts: tuple[Layout, ...]):
     known = known_fingerprints(layouts)
     types = [("id", None), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("fingerprint", pa.string()), ("layout", pa.string())]
     for batch in batches:
         at, rows = [], []
         for i, raw in enumerate(batch.column(1).to_pylist()):
-            try:
-                record = json.loads(raw or "null")
-            except (ValueError, RecursionError):
-                record = None
-            paths = field_paths(record) if isinstance(record, dict) else set()
-            mark = fingerprint(paths)
-            layout = known.get(mark) if paths else None
-            # extra fields beside a layout's own do not hide it, unless they hold text that no turn has
-            found = (layout, turns_of(record, layout)) if layout else whole_turns(record, paths, layouts)
-            if found is None:
-                at.append(i)
-                rows.append((None, None, None, mark, None))
-                continue
-            layout, turns = found
-            for k, (place, role, text) in enumerate(turns):
-                at.append(i)
-                rows.append((k if place is None else place, role, text, mark, layout.name))
+            found = _record_rows(raw, known, layouts)
+            at.extend([i] * len(found))
+            rows.extend(found)
         columns = [pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), types[1:], strict=True)] if rows else [pa.array([], t) for _, t in types[1:]]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], names=[n for n, _ in types])
 
@@ -193,7 +214,8 @@ def canonical_turns(df: DataFrame, id_col: str, record_col: str, layouts: tuple[
     """(id, turn, role, text, fingerprint, layout), one row per turn of every JSON record.
 
     A record that is null, no object, not readable or of no declared layout gives one row with a null layout, role and text; so
-    does one with text that the turns of no layout would hold, apart from ``METADATA``. Its conversation is never cut short.
+    does one with text that the turns of no layout would hold, apart from ``METADATA``, one whose turn's place is no 64-bit number,
+    and one nested too deep to read. Its conversation is never cut short. Half surrogate pairs become U+FFFD.
     Records of one id may be several, as for a conversation whose turns are rows.
     """
     bound_batches(df.sparkSession)

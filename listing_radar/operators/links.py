@@ -17,7 +17,7 @@ from listing_radar.operators.scale import (
     join_unique,
     top_n_per_key,
 )
-from listing_radar.session import cut_lineage
+from listing_radar.session import cut_lineage, cut_to_table
 
 LITERAL_ROWS = 5_000
 
@@ -146,16 +146,28 @@ def union_discovered(*lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     return firsts, per_url.groupBy("source_id").agg(F.sum("_extra").alias("duplicates"))
 
 
+def readable_pages(pages: DataFrame, sources: DataFrame | None = None, blocklist: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """Pages (source_id, url) that the URL policy (``sources`` with ``blocklist``) and the robots ``rules`` allow to read."""
+    known = pages.select("source_id", "url").distinct()
+    if sources is not None:
+        known = url_policy(known, sources, blocklist).where("skip_reason = 'none'").select("source_id", "url")
+    return known if rules is None else robots_filter(known, rules).select("source_id", "url")
+
+
 def reachable_pages(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int,
-                    spread: str = "url") -> DataFrame:
+                    spread: str = "url", sources: DataFrame | None = None, blocklist: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Breadth-first reading order over fetched pages: (source_id, url, depth, place).
 
     ``seeds`` (source_id, url, seq), ``links`` (source_id, from_url, to_url, rank) and ``pages`` use
     normalized URLs. One round per depth: frontier join, first way per URL, minus what was seen. The
     place of a page is the chain of link ranks that leads to it, which sorts like the queue of a
-    breadth-first walk without ever numbering a level. The page cap keeps the first ``max_pages``.
+    breadth-first walk without ever numbering a level. The page cap keeps the first ``max_pages``. Pages that
+    the policy or the robots rules deny (see ``readable_pages``) open no links and take no place; they are
+    found once, before the first round, and every round meets the others only.
     """
-    known = pages.select("source_id", "url").distinct()
+    known = readable_pages(pages, sources, blocklist, rules)
+    if sources is not None or rules is not None:
+        known = cut_to_table(known)
     ranked = seeds.withColumn("place", F.format_string("%012d", F.col("seq")))
     frontier = first_per_key(ranked.select("source_id", "url", "place"), ["source_id", "url"], [F.col("place")])
     frontier = cut_lineage(frontier.withColumn("depth", F.lit(0)).select("source_id", "url", "place", "depth"))

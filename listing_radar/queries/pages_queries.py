@@ -83,20 +83,41 @@ _REACH = """with recursive g as (select site, n, 0 as depth, lpad(cast(seq as va
   c as (select *, row_number() over (partition by site order by depth, place) as pos from k) select site, n, depth from c where pos <= 20"""
 
 
-@query("reachable_pages", _REACH)
-def _(t):
+def web(t):
+    """Pages, links and seeds of every site."""
     def url(n):
         return F.concat(F.lit("https://w.example.org/"), n.cast("string"))
 
-    web = t.orders.select((F.col("o_orderkey") % 12).alias("source_id"), F.floor(F.col("o_orderkey") / 12).alias("n"))
-    links = web.select("source_id", url(F.col("n")).alias("from_url"), F.posexplode(F.array(F.col("n") + 1, F.col("n") * 2, F.col("n") * 3 + 1)).alias("rank", "b"))
+    nodes = t.orders.select((F.col("o_orderkey") % 12).alias("source_id"), F.floor(F.col("o_orderkey") / 12).alias("n"))
+    links = nodes.select("source_id", url(F.col("n")).alias("from_url"), F.posexplode(F.array(F.col("n") + 1, F.col("n") * 2, F.col("n") * 3 + 1)).alias("rank", "b"))
     links = links.select("source_id", "from_url", url(F.col("b")).alias("to_url"), (F.col("rank") + 1).alias("rank"))
-    seeds = web.select("source_id").distinct().select("source_id", F.posexplode(F.array(F.lit(5), F.lit(2), F.lit(7))).alias("seq", "n"))
-    seeds = seeds.select("source_id", url(F.col("n")).alias("url"), F.col("seq").cast("long").alias("seq"))
-    out = L.reachable_pages(web.select("source_id", url(F.col("n")).alias("url")), links, seeds, 3, 20)
+    seeds = nodes.select("source_id").distinct().select("source_id", F.posexplode(F.array(F.lit(5), F.lit(2), F.lit(7))).alias("seq", "n"))
+    return nodes.select("source_id", url(F.col("n")).alias("url")), links, seeds.select("source_id", url(F.col("n")).alias("url"), F.col("seq").cast("long").alias("seq"))
+
+
+def reached(out):
     return out.select(F.col("source_id").alias("site"), F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("n"), "depth")
 
 
+@query("reachable_pages", _REACH)
+def _(t):
+    return reached(L.reachable_pages(*web(t), 3, 20))
+
+
+_DENIED = "(starts_with(cast(n as varchar), '1') or starts_with(cast(n as varchar), '24') or starts_with(cast(n as varchar), '8') or site = 3)"
+
+
+@query("reachable_pages_allowed", _REACH.replace("where g.depth < 3", f"where g.depth < 3 and not {_DENIED.replace('n as', 'g.n as').replace('site =', 'g.site =')}")
+       .replace("where rn = 1)", f"where rn = 1 and not {_DENIED})"))
+def _(t):
+    """The same walk where robots rules deny some prefixes and the policy a source: denied pages open no links and take no place."""
+    rules = t.nation.where("n_nationkey < 3").select(F.lit("w.example.org").alias("host"), F.lit("disallow").alias("kind"), F.element_at(F.array(F.lit("/1"), F.lit("/24"), F.lit("/8")), (F.col("n_nationkey") + 1).cast("int")).alias("value"),
+                                                     F.col("n_nationkey").alias("line_no"))
+    sources = t.orders.select((F.col("o_orderkey") % 12).alias("source_id")).distinct().withColumn("allowed_hosts", F.when(F.col("source_id") == 3, F.array(F.lit("other.example.org"))).otherwise(F.array(F.lit("example.org"))))
+    blocklist = t.nation.select(F.concat(F.lower("n_name"), F.lit(".example.net")).alias("domain"))
+    return reached(L.reachable_pages(*web(t), 3, 20, sources=sources, blocklist=blocklist, rules=rules))
+
+
 @query("link_frontier", "select page_id, count(*) as n from page_links_abs where not regexp_matches(lower(target), 'login|logout|carrito|cart|cookies|privacidad|privacy|legal|calendar|wp-admin') group by 1")
 def _(t):
     links = page_links(t).withColumnRenamed("url", "page_url").withColumnRenamed("target", "url")

@@ -185,6 +185,37 @@ def _(t):
     return rows.select("id", "title", "status", F.date_format("first_seen_utc", day).alias("first_seen"), F.date_format("last_seen_utc", day).alias("last_seen"), "is_new", "hits")
 
 
+_BATCH = "((cast(published_at as date) - date '2024-01-01') // 5 + 1)"
+_GOOD = f"doc_id % 7 <> 1 and published_at is not null and {_BATCH} % 3 <> 0"
+
+
+def failing_batches(t):
+    """Dated hits in batches of five days, and the batches, of which every third failed."""
+    hits = B.tag_batches(matched(t).where("seq % 7 <> 1 and published_at_utc is not null"), F.lit("2024-01-01").cast("date"), 5)
+    days = F.floor(F.datediff(F.to_date("published_at"), F.lit("2024-01-01").cast("date")) / 5).cast("int") + 1
+    read = t.items.where("published_at is not null").groupBy("source_id", days.alias("batch")).agg(F.count(F.lit(1)).alias("items_read"))
+    return hits, read.withColumn("success", F.col("batch") % 3 != 0)
+
+
+@query("backfill_failing", _FOLD.replace("doc_id % 7 <> 1", _GOOD).replace("arg_max(title, seq)", f"arg_max(title, {_BATCH} * 1000000000 + seq)").replace("arg_min(status, seq)", f"arg_min(status, {_BATCH} * 1000000000 + seq)"))
+def _(t):
+    """Every third batch failed: its hits leave no trace, later batches go on."""
+    hits, batches = failing_batches(t)
+    rows = B.backfill(previous(t), hits, batches)
+    day = "yyyy-MM-dd"
+    return rows.select("id", "title", "status", F.date_format("first_seen_utc", day).alias("first_seen"), F.date_format("last_seen_utc", day).alias("last_seen"), "is_new", "hits")
+
+
+@query("backfill_report_failing", f"""with b as (select source_id, {_BATCH} as batch, count(*) as items from items where published_at is not null group by 1, 2),
+  h as (select id, source_id, {_BATCH} as batch from matched where {_GOOD}), n as (select source_id, batch, count(*) as n from (select id, source_id, min(batch) as batch from h group by 1, 2) where id not in (select id from previous_candidates) group by 1, 2),
+  m as (select source_id, batch, count(*) as m from h group by 1, 2)
+  select b.source_id, bool_and(b.batch % 3 <> 0) as complete, sum(case when b.batch % 3 <> 0 then items else 0 end)::bigint as items_read, coalesce(sum(m), 0)::bigint as candidates_matched, coalesce(sum(n), 0)::bigint as new_candidates,
+    (coalesce(sum(m), 0) - coalesce(sum(n), 0))::bigint as updated_candidates, count(*) as batches from b left join m using (source_id, batch) left join n using (source_id, batch) group by 1""")
+def _(t):
+    hits, batches = failing_batches(t)
+    return B.backfill_report(B.batch_results(previous(t), hits, batches))
+
+
 @query("apply_configured_reviews", """select c.id, case when r.status is not null and c.status in ('new', 'monitoring') and d.enabled then r.status else c.status end as status,
    coalesce(r.status <> c.status and c.status in ('new', 'monitoring') and d.enabled, false) as reviewed from (select *, doc_id as k from candidates) c join doc_sources d using (source_id)
    left join (select id, (list_filter(s.review_rules, lambda x: contains(lower(official_url), lower(x.url_pattern)))[1]).status as status from candidates join doc_sources s using (source_id)) r on r.id = c.id""")

@@ -13,12 +13,10 @@ from listing_radar.functions.ids import proposal_id
 from listing_radar.functions.text import collapse_whitespace
 from listing_radar.functions.urls import host_of
 from listing_radar.operators.scale import (
-    attach_group_values,
     broadcast_if_small,
-    join_unique,
     top_n_per_key,
 )
-from listing_radar.session import cut_lineage
+from listing_radar.session import cut_to_table
 
 _COLUMNS = {**V.TEXT_FIELDS, **V.INTEGER_FIELDS, **V.DECIMAL_FIELDS}
 
@@ -141,8 +139,8 @@ def validate_proposals(proposals: DataFrame, evidence: DataFrame, missing: DataF
     ``evidence``: promotion_id, url, text. ``missing``: promotion_id, missing (array).
     """
     texts = evidence.select("promotion_id", F.col("url").alias("source_url"), F.lower(collapse_whitespace(F.col("text"))).alias("_page"))
-    out = join_unique(proposals, missing.select("promotion_id", "missing"), ["promotion_id"], F.col("ord"))
-    out = join_unique(out, texts, ["promotion_id", "source_url"], F.col("ord"))
+    # plain joins on keys of a handful of rows each; a key of very many is split by the engine's own skew join
+    out = proposals.join(missing.select("promotion_id", "missing"), "promotion_id", "left").join(texts, ["promotion_id", "source_url"], "left")
     quote = F.lower(collapse_whitespace(F.col("evidence_text")))
     field = F.col("field")
     reason = (
@@ -152,11 +150,10 @@ def validate_proposals(proposals: DataFrame, evidence: DataFrame, missing: DataF
         .when(~_fillable_value(field, F.col("value_text")), F.lit("invalidValue"))
     )
     out = out.withColumn("_reason", reason).drop("_page", "missing")
-    firsts = out.groupBy("promotion_id", "field").agg(
-        F.min(F.when(F.col("_reason").isNull(), F.col("ord"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    out = attach_group_values(out, firsts, ["promotion_id", "field"], "_n", F.col("ord"))
+    firsts = out.where("_reason is null").groupBy("promotion_id", "field").agg(F.min("ord").alias("_first"))
     duplicate = F.when(F.col("ord") > F.col("_first"), F.lit("duplicate"))
-    return out.withColumn("reject_reason", F.coalesce("_reason", duplicate)).drop("_reason", "_first", "_n")
+    out = out.join(firsts, ["promotion_id", "field"], "left")
+    return out.select(*proposals.columns, F.coalesce("_reason", duplicate).alias("reject_reason"))
 
 
 def latest_per_promotion(df: DataFrame, time: str, tie: str) -> DataFrame:
@@ -217,34 +214,47 @@ def cache_skip(queue: DataFrame, proposals: DataFrame) -> DataFrame:
     return out.withColumn("cached", F.coalesce(F.col("_hash") == F.col("content_hash"), F.lit(False))).drop("_hash")
 
 
-def budget_admission(queue: DataFrame, order: list[str], cost: str, max_cost: Decimal, max_calls: int) -> DataFrame:
+#: Ranges into which a queue is cut for the search of the next item that fits, for each shuffle partition of the session.
+RANGES_PER_PARTITION = 4
+
+
+def budget_admission(queue: DataFrame, order: list[str], cost: str, max_cost: Decimal, max_calls: int, used: str | None = None) -> DataFrame:
     """Adds ``decision``: cached, admitted, overBudget, or notReached after the last allowed call.
 
-    In queue order an item that would exceed the budget is passed over and smaller ones are still tried.
-    Items that no longer fit are filtered out by the cluster; only the next ``max_calls`` fitting rows
-    (a setting of the run) come to the driver, and a new round starts where the first of them fails.
+    In queue order an item whose reserve (``cost``) would exceed the budget is passed over and smaller ones are still tried. Once a call has
+    ended, its reserve is replaced by what it has ``used``; without that column the reserve stays spent.
+
+    The queue is sorted once into ranges, of which the driver knows the least reserve. A range without an item that fits is skipped unread;
+    only fitting rows, at most ``max_calls`` (a setting of the run), come to the driver. ``order`` must tell all rows apart.
     """
-    rows = cut_lineage(queue)
-    types = {c: rows.schema[c].dataType for c in order}
-    place = F.struct(*order)
+    types = {c: queue.schema[c].dataType for c in order}
+    count = RANGES_PER_PARTITION * int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = queue.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    rows = cut_to_table(ranges.withColumn("_range", F.spark_partition_id()))
+    open_rows = rows.where(~F.col("cached"))
+    least = sorted((r["_range"], r.least) for r in open_rows.groupBy("_range").agg(F.min(cost).alias("least")).collect() if r.least is not None)
+    place, wanted = F.struct(*order), list(dict.fromkeys([*order, cost, used or cost]))
 
     def position(row) -> Column:
         return F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in order])
 
-    spent, chosen, after = Decimal(0), [], None
-    while len(chosen) < max_calls:
-        fitting = rows.where(~F.col("cached") & (F.col(cost) <= F.lit(max_cost - spent)))
-        if after is not None:
-            fitting = fitting.where(place > position(after))
-        batch = fitting.orderBy(*order).limit(max_calls - len(chosen)).select(*order, cost).collect()
-        if not batch:
-            break
-        for row in batch:
+    spent, chosen = Decimal(0), []
+    for number, smallest in least:
+        after = None
+        while len(chosen) < max_calls and spent + smallest <= max_cost:
+            fitting = open_rows.where((F.col("_range") == number) & (F.col(cost) <= F.lit(max_cost - spent)))
+            if after is not None:
+                fitting = fitting.where(place > position(after))
+            batch = fitting.orderBy(*order).limit(max_calls - len(chosen)).select(*wanted).collect()
+            for row in batch:
+                if spent + row[cost] > max_cost:
+                    break  # look again, from here on, for what still fits
+                after = row
+                spent += row[cost] if used is None or row[used] is None else row[used]
+                chosen.append(row)
+            else:
+                break  # nothing else in this range fits
             after = row
-            if spent + row[cost] > max_cost:
-                break
-            spent += row[cost]
-            chosen.append(row)
     schema = rows.select(*order).schema
     winners = rows.sparkSession.createDataFrame([tuple(r[c] for c in order) for r in chosen], schema)
     out = rows.join(F.broadcast(winners.withColumn("_in", F.lit(True))), order, "left")
@@ -255,7 +265,7 @@ def budget_admission(queue: DataFrame, order: list[str], cost: str, max_cost: De
         .when(F.col("_in"), F.lit("admitted"))
         .otherwise(F.lit("overBudget"))
     )
-    return out.withColumn("decision", decision).drop("_in").select(*rows.columns, "decision")
+    return out.withColumn("decision", decision).select(*queue.columns, "decision")
 
 
 def usage_totals(proposals: DataFrame) -> DataFrame:

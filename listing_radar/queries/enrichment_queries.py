@@ -230,6 +230,17 @@ def _(t):
     return N.budget_admission(rows, ["o_custkey", "k"], "cost", Decimal("2000000.00"), 25).select("k", "decision")
 
 
+# a call uses a quarter of its reserve, or all of it
+_USED = "case when o_orderkey % 3 = 0 then cast(o_totalprice as decimal(14,2)) else cast(cast(o_totalprice as decimal(14,2)) / 4 as decimal(14,2)) end"
+
+
+@query("budget_admission_used", _BUDGET.replace("o_orderkey % 6 = 0 as cached", f"{_USED} as used, o_orderkey % 6 = 0 as cached").replace("g.spent + (select q.cost from q", "g.spent + (select q.used from q").replace("2000000.00", "1500000.00"))
+def _(t):
+    """What a call has used replaces its reserve once it has ended."""
+    rows = t.orders.select(F.col("o_orderkey").alias("k"), "o_custkey", F.col("o_totalprice").cast("decimal(14,2)").alias("cost"), (F.col("o_orderkey") % 6 == 0).alias("cached"), F.expr(_USED).alias("used"))
+    return N.budget_admission(rows, ["o_custkey", "k"], "cost", Decimal("1500000.00"), 25, "used").select("k", "decision")
+
+
 @query("max_cost", """select doc_id, cast(round((octet_length(encode(text)) + 256) * (case doc_id % 3 when 0 then 1.0 when 1 then 2.5 else 5.0 end) + 800 * (case doc_id % 3 when 0 then 6.0 when 1 then 15.0 else 30.0 end), 0) as double) / 1000000 as usd from documents""")
 def _(t):
     model = F.element_at(F.array(F.lit("gpt-5.6-luna"), F.lit("gpt-5.6-terra"), F.lit("gpt-5.6-sol")), (F.col("doc_id") % 3 + 1).cast("int"))

@@ -176,8 +176,8 @@ def deduplicate(promotions: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFram
 
 
 def distinct_on_page(promotions: DataFrame) -> DataFrame:
-    """First listing per (url, name, prices), whatever the case; within a page if there is a column ``_page``."""
-    page = [F.col("_page")] if "_page" in promotions.columns else []
+    """First listing per (url, name, prices), whatever the case; within a page (of a source) if there is a column ``_page``."""
+    page = [F.col(c) for c in ("source_id", "_page") if "_page" in promotions.columns and c in promotions.columns]
     key = F.lower(F.concat_ws("\u001f", *page, "canonical_url", "name", F.coalesce(F.col("price_from").cast("string"), F.lit("")),
                               F.coalesce(F.col("price_to").cast("string"), F.lit(""))))
     columns = promotions.columns

@@ -87,23 +87,31 @@ def anchored_terms(terms: DataFrame) -> DataFrame:
     return terms.join(anchors, "term")
 
 
-def match_catalog(items: DataFrame, text: Column, municipalities: DataFrame, name: str,
+class Catalog:
+    """The spellings of a gazetteer for several searches: read once, as literals if they are few, else filed under their grams."""
+
+    def __init__(self, municipalities: DataFrame, literal_rows: int = LITERAL_ROWS):
+        terms = alias_terms(municipalities)
+        self.rows = small_rows(terms, literal_rows)
+        self.filed = cut_to_table(anchored_terms(terms)) if self.rows is None else None
+
+
+def match_catalog(items: DataFrame, text: Column, municipalities: DataFrame | Catalog, name: str,
                   literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """Official name of the longest spelling that occurs anywhere in the text (also inside a word).
 
     A larger catalog is searched through its anchor grams: a text looks up only the grams under which spellings are filed, and the
     spellings found are verified in the text, the longest first. Equal texts are searched once.
     """
-    terms = alias_terms(municipalities)
+    catalog = municipalities if isinstance(municipalities, Catalog) else Catalog(municipalities, literal_rows)
     normalized = normalize_text(text)
-    rows = small_rows(terms, literal_rows)
-    if rows is not None:
-        ranked = sorted(rows, key=lambda r: (-len(r.term), tuple(r.place)))
+    if catalog.rows is not None:
+        ranked = sorted(catalog.rows, key=lambda r: (-len(r.term), tuple(r.place)))
         spellings, officials = _strings([r.term for r in ranked]), _strings([r.official for r in ranked])
         first = F.try_element_at(F.filter(spellings, lambda t: F.col("_text").contains(t)), F.lit(1))
         found = F.try_element_at(officials, F.nullif(F.array_position(spellings, first), F.lit(0)).cast("int"))
         return items.withColumn("_text", normalized).withColumn(name, found).drop("_text")
-    filed = cut_to_table(anchored_terms(terms))
+    filed = catalog.filed
     sizes = filed.groupBy(F.length("gram").alias("length")).agg(F.count("*").alias("n")).collect()  # a row per gram length
     lists = max(1, -(-sum(r.n for r in sizes) // CANDIDATES))
     keyed = items.withColumn("_text", normalized).withColumn("_id", F.md5("_text"))

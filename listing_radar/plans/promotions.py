@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listing_radar import fixed_values as V, schemas
 from listing_radar.functions import ids, patterns as P, scores, urls as U
 from listing_radar.functions.text import clean_evidence, collapse_whitespace, normalize_text
 from listing_radar.operators import changes, dedupe, enrich, geo, quality
-from listing_radar.operators.matching import match_catalog
+from listing_radar.operators.matching import Catalog, match_catalog
 from listing_radar.operators.scale import broadcast_if_small
-from listing_radar.sources.html import html_facts
 from listing_radar.session import cut_lineage
+from listing_radar.sources.html import html_facts
 from listing_radar.sources.jsonld import node_address, offer_range
 
 _EVIDENCE_ARRAY = f"array<{schemas.EVIDENCE}>"
@@ -129,38 +129,60 @@ def empty_facts(df: DataFrame) -> DataFrame:
     return df.withColumns(missing)
 
 
-def extract_promotions(pages: DataFrame, source: dict, municipalities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(listings, failed pages) of one source's pages (url, html, fetched_at).
+#: What a source says about its pages.
+SOURCE_COLUMNS = {
+    "source_id": "string", "source_kind": "string", "fixed_municipality": "string", "municipality_hints": "array<string>", "content_selector": "string",
+    "additional_content_selectors": "array<string>", "custom_selectors": "map<string,string>", "allowed_hosts": "array<string>",
+}
+
+
+def source_table(spark: SparkSession, sources: list[dict]) -> DataFrame:
+    """Sources given as dicts as a table; what they leave out is empty."""
+    return spark.createDataFrame([tuple(s.get(c) for c in SOURCE_COLUMNS) for s in sources], schemas.ddl(SOURCE_COLUMNS))
 
-    ``source``: source_id, source_kind, fixed_municipality, municipality_hints, content_selector,
-    additional_content_selectors, custom_selectors, allowed_hosts. Structured data first, markup only on
-    pages without any.
+
+def extract_promotions(pages: DataFrame, sources: DataFrame | dict, municipalities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listings, failed pages) of the pages (source_id, url, html, fetched_at) of any number of sources in one plan.
+
+    ``sources``: rows of ``SOURCE_COLUMNS``, whose selectors, fixed places and hosts are data like the pages; or one source as a
+    dict, whose pages need no source_id. Structured data first, markup only on pages without any. A source whose selectors cannot be
+    read fails its own pages only; pages of an unknown source have no listings.
     """
-    roots = [s for s in [source.get("content_selector"), *source.get("additional_content_selectors", [])] if s]
-    custom = source.get("custom_selectors", {})
-    facts = html_facts(pages, roots=roots, overrides=custom, nodes=True).withColumnRenamed("url", "_page")
+    if isinstance(sources, dict):
+        pages = pages.withColumn("source_id", F.lit(sources["source_id"]))
+        sources = source_table(pages.sparkSession, [sources])
+    catalog = Catalog(municipalities)
+    none = F.array().cast("array<string>")
+    given = sources.select(*[F.col(c).cast(k).alias(f"_{c}") for c, k in SOURCE_COLUMNS.items()])
+    roots = F.filter(F.concat(F.array("_content_selector"), F.coalesce("_additional_content_selectors", none)), lambda s: F.coalesce(s, F.lit("")) != "")
+    given = given.withColumn("_root_selectors", roots).drop("_additional_content_selectors")
+    joined = pages.join(broadcast_if_small(given), F.col("source_id") == F.col("_source_id")).drop("source_id")
+    facts = html_facts(joined, nodes=True, selectors=("_root_selectors", "_custom_selectors")).withColumnRenamed("url", "_page")
     complete = F.forall("roots", lambda r: r.isNotNull()) & F.col("error").isNull()
     failed = facts.where(~complete).select(
-        F.lit(source["source_id"]).alias("source_id"), F.col("_page").alias("page_url"),
+        F.col("_source_id").alias("source_id"), F.col("_page").alias("page_url"),
         F.coalesce("error", F.lit("content selector not found")).alias("error"))
-    text = F.array_join("roots", " ") if source.get("content_selector") else F.concat_ws(" ", "text", F.array_join("roots", " "))
+    found = F.array_join("roots", " ")
+    text = F.when(F.coalesce("_content_selector", F.lit("")) != "", found).otherwise(F.concat_ws(" ", "text", found))
     url = canonical_url(F.col("_page"), F.col("canonical"), F.try_element_at("meta", F.lit("og:url")))
     stated = F.coalesce(F.try_element_at("meta", F.lit("og:title")), "h1", "title")
+    carried = ["_source_id", "_source_kind", "_fixed_municipality", "_allowed_hosts"]
     facts = facts.where(complete).select(
-        "_page", url.alias("page_url"), collapse_whitespace(text).alias("text"), "links", "overrides", "fetched_at", stated.alias("_stated"), "nodes")
-    fallback = F.coalesce(F.lit(source.get("fixed_municipality")), *[F.lit(h) for h in source.get("municipality_hints", [])[:1]])
+        "_page", url.alias("page_url"), collapse_whitespace(text).alias("text"), "links", "overrides", "fetched_at", stated.alias("_stated"), "nodes", *carried,
+        (F.coalesce(F.size("_custom_selectors"), F.lit(0)) > 0).alias("_custom"), F.try_element_at("_municipality_hints", F.lit(1)).alias("_hint"))
+    fallback = F.coalesce("_fixed_municipality", "_hint")
 
     # one row per structured listing, or one for a page without any: no join, the page stays with its rows
     rows = facts.select("*", F.inline_outer("nodes")).drop("nodes")
     from_node = F.col("node_no").isNotNull()
-    rows = match_catalog(rows, F.coalesce("locality", F.lit("")), municipalities, "_by_locality")
-    rows = match_catalog(rows, F.coalesce(node_address(rows), F.lit("")), municipalities, "_by_address")
-    rows = match_catalog(rows, F.when(from_node, "").otherwise(F.col("text")), municipalities, "_by_text")
+    rows = match_catalog(rows, F.coalesce("locality", F.lit("")), catalog, "_by_locality")
+    rows = match_catalog(rows, F.coalesce(node_address(rows), F.lit("")), catalog, "_by_address")
+    rows = match_catalog(rows, F.when(from_node, "").otherwise(F.col("text")), catalog, "_by_text")
     price = offer_range(F.coalesce("offer_prices", F.array().cast("array<string>")))
     number = F.replace(F.col("latitude"), F.lit(","), F.lit(".")).try_cast("double")
     place = F.when(from_node, F.coalesce("_by_locality", "_by_address", fallback, F.lit(""))).otherwise(F.coalesce("_by_text", fallback))
     own_url = F.coalesce(F.nullif(U.resolve_url(F.col("page_url"), F.col("url")), F.lit("")), F.col("page_url"))
-    relevant = F.lit(bool(custom)) | P.is_listing_text(F.col("text"))
+    relevant = F.col("_custom") | P.is_listing_text(F.col("text"))
     rows = rows.withColumn("municipality", place).where(from_node | (
         relevant & (F.trim(F.coalesce("municipality", F.lit(""))) != "") & (F.trim(F.coalesce("_stated", F.lit(""))) != "")))
     rows = rows.select(
@@ -174,10 +196,10 @@ def extract_promotions(pages: DataFrame, source: dict, municipalities: DataFrame
         price["price_to"].alias("price_to"), "municipality",
         F.when(from_node, "JsonLdPromotionExtractor").otherwise("HtmlMetadataExtractor").alias("_extractor"),
         F.when(from_node, F.col("raw")).otherwise(F.col("_stated")).alias("_raw"),
-        "text", "links", "overrides", "fetched_at", "_page", F.coalesce("script_no", F.lit(-1)).alias("_script"), F.coalesce("node_no", F.lit(-1)).alias("_node"))
+        "text", "links", "overrides", "fetched_at", "_page", F.coalesce("script_no", F.lit(-1)).alias("_script"), F.coalesce("node_no", F.lit(-1)).alias("_node"), *carried)
 
     out = empty_facts(rows)
-    out = out.withColumns({"source_kind": F.lit(source["source_kind"]), "source_urls": F.array("page_url"),
+    out = out.withColumns({"source_kind": F.col("_source_kind"), "source_urls": F.array("page_url"),
                            "location_precision": F.coalesce("location_precision", F.lit("unknown"))})
     from_json = F.col("_extractor") == "JsonLdPromotionExtractor"
     url_at = (F.col("page_url"), F.col("fetched_at"))
@@ -186,26 +208,27 @@ def extract_promotions(pages: DataFrame, source: dict, municipalities: DataFrame
     priced = F.when(from_json & F.col("price_from").isNotNull(), evidence_item(
         "priceFrom", F.col("price_from").cast("string"), *url_at, "JsonLdPromotionExtractor", "0.94", "explicit", F.col("_raw")))
     out = add_text_facts(out.withColumn("evidence", F.array_compact(F.array(named, priced))))
-    out = apply_overrides(out, municipalities)
-    out = apply_fixed_municipality(out, source.get("fixed_municipality"))
-    out = out.withColumn("brochure_urls", brochure_urls(F.col("page_url"), F.col("links"), source.get("allowed_hosts", [])))
+    out = apply_overrides(out, catalog)
+    out = apply_fixed_municipality(out, F.col("_fixed_municipality"))
+    out = out.withColumn("brochure_urls", brochure_urls(F.col("page_url"), F.col("links"), F.col("_allowed_hosts")))
     out = out.withColumn("row_id", F.xxhash64("_page", "_script", "_node", "canonical_url", "name", F.col("price_from"), F.col("price_to")))
-    out = dedupe.distinct_on_page(out.select(*schemas.PROMOTION_FIELDS, "row_id", "_page")).drop("_page")
-    return out.withColumn("source_id", F.lit(source["source_id"])), failed
+    out = out.withColumn("source_id", F.col("_source_id"))
+    return dedupe.distinct_on_page(out.select(*schemas.PROMOTION_FIELDS, "row_id", "_page", "source_id")).drop("_page"), failed
 
 
-def brochure_urls(base: Column, links: Column, allowed_hosts: list[str]) -> Column:
-    hosts = F.array(*[F.lit(h.lower()) for h in allowed_hosts]) if allowed_hosts else None
+def brochure_urls(base: Column, links: Column, allowed_hosts: Column) -> Column:
+    """PDF links, absolute; of the allowed hosts only if there are any."""
+    hosts = F.transform(F.coalesce(allowed_hosts, F.array().cast("array<string>")), F.lower)
     absolute = F.transform(links, lambda l: U.resolve_url(base, l["href"]))
 
     def wanted(u: Column) -> Column:
         pdf = F.lower(U.path_of(u)).endswith(".pdf") & (u != "")
-        return pdf if hosts is None else pdf & F.array_contains(hosts, U.host_of(u))
+        return pdf & ((F.size(hosts) == 0) | F.array_contains(hosts, U.host_of(u)))
 
     return F.array_sort(F.array_distinct(F.filter(absolute, wanted)))
 
 
-def apply_overrides(df: DataFrame, municipalities: DataFrame) -> DataFrame:
+def apply_overrides(df: DataFrame, municipalities: DataFrame | Catalog) -> DataFrame:
     """Facts named by the source's own selectors replace what the patterns found."""
     def value(name: str) -> Column:
         keys = F.map_from_entries(F.transform(F.map_entries("overrides"), lambda e: F.struct(F.lower(e["key"]), e["value"])))
@@ -238,12 +261,13 @@ def apply_overrides(df: DataFrame, municipalities: DataFrame) -> DataFrame:
     ).drop("_place", "_place_text")
 
 
-def apply_fixed_municipality(df: DataFrame, place: str | None) -> DataFrame:
-    if not (place or "").strip():
-        return df
-    proof = evidence_item("municipality", F.lit(place), F.col("page_url"), F.col("fetched_at"), "ReviewedSourceConfiguration",
-                          "0.98", "explicit", F.lit(f"Municipio fijo revisado para la URL de inicio: {place}"))
-    return df.withColumns({"municipality": F.lit(place), "evidence": F.array_append("evidence", proof)})
+def apply_fixed_municipality(df: DataFrame, place: Column) -> DataFrame:
+    """The place that a source states for all its listings, with its proof; an empty one changes nothing."""
+    proof = evidence_item("municipality", place, F.col("page_url"), F.col("fetched_at"), "ReviewedSourceConfiguration",
+                          "0.98", "explicit", F.concat(F.lit("Municipio fijo revisado para la URL de inicio: "), place))
+    stated = F.trim(F.coalesce(place, F.lit(""))) != ""
+    return df.withColumns({"municipality": F.when(stated, place).otherwise(F.col("municipality")),
+                           "evidence": F.when(stated, F.array_append("evidence", proof)).otherwise(F.col("evidence"))})
 
 
 def normalize_promotions(df: DataFrame, sources: DataFrame) -> DataFrame:

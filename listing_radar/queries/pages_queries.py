@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from listing_radar.functions import urls as U
 from listing_radar.operators import links as L
 from listing_radar.plans.enrichment import pattern_proposals
-from listing_radar.plans.promotions import canonical_url, extract_promotions
+from listing_radar.plans.promotions import canonical_url, extract_promotions, source_table
 from listing_radar.queries.logical import NOW
 from listing_radar.queries.registry import query, shared
 from listing_radar.queries.urls_queries import page_links
@@ -136,6 +136,46 @@ def _(t):
     return rows.select("canonical_url", "name", "municipality", F.col("price_from").cast("double").alias("price_from"), "commercial_status", F.size("evidence").alias("evidence"))
 
 
+# a page of one of 24 sources, which differ in selectors, fixed places, hosts and structured data
+_N, _S = "cast(page_id as string)", "cast(page_id % 24 as string)"
+_PLANTED = f"""concat('<title>t</title><h1>Casa ', {_N}, '</h1>', case when page_id % 24 % 6 = 4 then concat('<script type="application/ld+json">{{"@type":"Product","name":"LD ', {_N}, '","address":{{"addressLocality":"Thtion"}},"offers":[{{"price":"', cast(500000 + page_id as string), '"}},{{"price":"900000"}}]}}</script>') else '' end,
+  '<div class="noise">Eriner Thanea</div><div class="c', {_S}, '"><p>Promoción de obra nueva en Attion: desde ', cast(100 + page_id % 300 as string), '.000 €. 3 dormitorios. En venta</p><b class="n', {_S}, '">Nombre ', {_N},
+  '</b><i class="p', {_S}, '">450.000 €</i><a href="/d', {_N}, '.pdf">d</a><a href="https://other.example.net/e.pdf">e</a></div>')"""
+
+
+def planted_sources(t):
+    sources = [{
+        "source_id": f"x{s}", "source_kind": "builder", "content_selector": f".c{s}" if s % 3 == 0 else ".missing" if s % 12 == 7 else "",
+        "custom_selectors": {"name": f".n{s}", "priceFrom": f".p{s}"} if s % 4 == 1 else {"name": "a > b"} if s == 11 else {}, "fixed_municipality": "Nicht" if s % 5 == 2 else None,
+        "allowed_hosts": ["site.example.org"] if s % 2 == 0 else []} for s in range(24)]
+    pages = t.pages.select(F.concat(F.lit("x"), (F.col("page_id") % 24).cast("string")).alias("source_id"), F.concat(F.lit("https://site.example.org/p/"), F.col("page_id").cast("string")).alias("url"),
+                           F.expr(_PLANTED).alias("html"), F.lit(NOW).cast("timestamp").alias("fetched_at"))
+    return extract_promotions(pages, source_table(t.spark, sources), t.places)
+
+
+@query("extract_many_sources", """with p as (select page_id as n, page_id % 24 as s from pages where page_id % 24 % 12 <> 7 and page_id % 24 <> 11)
+  select 'x' || cast(s as varchar) as source_id, 'https://site.example.org/p/' || cast(n as varchar) as url, case when s % 4 = 1 then 'Nombre ' when s % 6 = 4 then 'LD ' else 'Casa ' end || cast(n as varchar) as name,
+    case when s % 5 = 2 then 'Nicht' when s % 6 = 4 then 'Thtion' when s % 3 = 0 then 'Attion' else 'Eriner Thanea' end as municipality,
+    cast(case when s % 4 = 1 then 450000 when s % 6 = 4 then 500000 + n else (100 + n % 300) * 1000 end as double) as price_from, cast(case when s % 6 = 4 then 900000 end as double) as offer_to,
+    'https://site.example.org/d' || cast(n as varchar) || '.pdf' as first_brochure, case when s % 2 = 0 then 1 else 2 end as brochures, 3 as bedrooms,
+    case when s % 4 = 1 then 2 else 0 end as selector_proofs, case when s % 5 = 2 then 1 else 0 end as place_proofs, case when s % 6 = 4 then 'JsonLdPromotionExtractor' else 'HtmlMetadataExtractor' end as extractor from p""")
+def _(t):
+    """Listings of all sources in one plan: structured data, markup, selectors, fixed places, offers and brochures of every source."""
+    rows, _ = planted_sources(t)
+    proofs = lambda name: F.size(F.filter("evidence", lambda e: e["extractor"] == name))
+    own = F.filter("brochure_urls", lambda u: u.startswith("https://site."))
+    return rows.select("source_id", F.col("canonical_url").alias("url"), "name", "municipality", F.col("price_from").cast("double").alias("price_from"),
+                       F.when(F.col("evidence")[0]["extractor"] == "JsonLdPromotionExtractor", F.col("price_to")).cast("double").alias("offer_to"), own[0].alias("first_brochure"),
+                       F.size("brochure_urls").alias("brochures"), F.col("bedrooms_min").alias("bedrooms"), proofs("DomainSpecificSelectorExtractor").alias("selector_proofs"),
+                       proofs("ReviewedSourceConfiguration").alias("place_proofs"), F.col("evidence")[0]["extractor"].alias("extractor"))
+
+
+@query("failed_pages", """select 'x' || cast(page_id % 24 as varchar) as source_id, 'https://site.example.org/p/' || cast(page_id as varchar) as page_url from pages where page_id % 24 % 12 = 7 or page_id % 24 = 11""")
+def _(t):
+    """Pages of sources whose content selector finds nothing, or whose selectors cannot be read."""
+    return planted_sources(t)[1].select("source_id", "page_url")
+
+
 @query("pattern_proposals")
 def _(t):
     text = F.concat(F.col("text"), F.lit(" desde "), (100 + F.col("doc_id") % 300).cast("string"), F.lit(".000 € y 3 dormitorios"))

@@ -7,6 +7,7 @@ notes what the selectors ask for. Selectors may use a tag name, ``.class``, ``#i
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -180,14 +181,25 @@ def _read_page(html: str | None, tests, override_tests, link_mark: str) -> tuple
         return _Reader(*tests, override_tests, link_mark).finish(), f"{type(problem).__name__}: {problem}"[:200]
 
 
+@functools.lru_cache(maxsize=4096)
+def _own_tests(roots: tuple[str, ...], overrides: tuple[tuple[str, str], ...]) -> tuple[list, dict, str | None]:
+    """Compiled selectors of a source, and what is wrong with them."""
+    try:
+        return [compile_selector(s) for s in roots], {name: compile_selector(s) for name, s in overrides if s}, None
+    except (ValueError, AttributeError) as problem:
+        return [], {}, f"{type(problem).__name__}: {problem}"[:200]
+
+
 def html_facts(pages: DataFrame, blocks: list[str] | None = None, roots: list[str] | None = None,
-               overrides: dict[str, str] | None = None, link_mark: str = "", nodes: bool = False) -> DataFrame:
+               overrides: dict[str, str] | None = None, link_mark: str = "", nodes: bool = False,
+               selectors: tuple[str, str] | None = None) -> DataFrame:
     """Adds the markup facts of every page (column ``html``); the html itself is dropped.
 
     ``blocks`` are selectors whose elements are listed with title, first link, cells and text, ``roots``
     selectors whose first element's text is needed, ``overrides`` named selectors for single facts. With ``nodes``
-    the listings of the page's JSON-LD scripts come along. A page that cannot be read has its facts empty and says so in
-    ``error``.
+    the listings of the page's JSON-LD scripts come along. ``selectors`` names two columns with a page's own roots (array) and
+    overrides (map), in the place of the common ones; a worker compiles each of them once. A page that cannot be read, or whose
+    own selectors cannot, has its facts empty and says so in ``error``.
     """
     kept = [c for c in pages.columns if c != "html"]
     facts_schema = T.StructType.fromDDL(FACTS)
@@ -203,8 +215,13 @@ def html_facts(pages: DataFrame, blocks: list[str] | None = None, roots: list[st
         override_tests = {name: compile_selector(s) for name, s in named.items()}
         for batch in batches:
             found = []
-            for html in batch["html"]:
-                facts, error = _read_page(html, tests, override_tests, link_mark)
+            for i, html in enumerate(batch["html"]):
+                if selectors:
+                    own, named_own = batch[selectors[0]].iloc[i], batch[selectors[1]].iloc[i]
+                    own_tests, own_overrides, error = _own_tests(tuple(own if own is not None else ()), tuple(sorted((named_own or {}).items())))
+                    facts, error = (_read_page("", tests, {}, link_mark)[0], error) if error else _read_page(html, (tests[0], own_tests), own_overrides, link_mark)
+                else:
+                    facts, error = _read_page(html, tests, override_tests, link_mark)
                 row = [facts[n] for n in names] + [error]
                 found.append([*row, listing_nodes(facts["json_ld"])] if nodes else row)
             out = batch[kept].copy()

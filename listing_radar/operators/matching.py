@@ -174,20 +174,28 @@ def resolve_municipality(items: DataFrame, by_text: Column, municipalities: Data
 
 
 class TermMatcher:
-    """Rule, context and exclusion words as literals. Word lists are catalogs of limited size."""
-
-    def __init__(self, terms: DataFrame, context_terms: DataFrame, exclusion_terms: DataFrame):
-        self.rules = [r for r in _norm_terms(terms, "term") if r[0]]
-        self.context = [r[0] for r in _norm_terms(context_terms, "term") if r[0]]
-        self.excluded = [r[0] for r in _norm_terms(exclusion_terms, "term") if r[0]]
+    """Rule, context and exclusion words. Few of them become literals; ``literal`` says so."""
+
+    def __init__(self, terms: DataFrame, context_terms: DataFrame, exclusion_terms: DataFrame, literal_rows: int = LITERAL_ROWS):
+        lists = [_norm_terms(df).where("n != ''") for df in (terms, context_terms, exclusion_terms)]
+        known = [small_rows(df, literal_rows) for df in lists]
+        self.literal = all(rows is not None for rows in known)
+        if self.literal:
+            self.rules, self.context, self.excluded = known[0], [r.n for r in known[1]], [r.n for r in known[2]]
+        else:
+            none = F.lit(None).cast("string")
+            rules, *words = lists
+            self.table = rules.select("n", "term", "kind", F.lit("rule").alias("role"))
+            for df, role in zip(words, ("context", "excluded"), strict=True):
+                self.table = self.table.unionByName(df.select("n", none.alias("term"), none.alias("kind"), F.lit(role).alias("role")))
 
     @property
     def phrases(self) -> list[str]:
-        return [r[0] for r in self.rules] + self.context + self.excluded
+        return [r.n for r in self.rules] + self.context + self.excluded
 
     def facts(self, hits: Column) -> dict[str, Column]:
         rules = F.array(*[
-            F.struct(F.lit(r[0]).alias("n"), F.lit(r[1]).alias("term"), F.lit(r[2]).alias("kind")) for r in self.rules])
+            F.struct(F.lit(r.n).alias("n"), F.lit(r.term).alias("term"), F.lit(r.kind).alias("kind")) for r in self.rules])
         matched = F.transform(
             F.filter(rules, lambda r: F.array_contains(hits, r["n"])),
             lambda r: F.struct(r["term"].alias("term"), r["kind"].alias("kind")),
@@ -198,19 +206,32 @@ class TermMatcher:
             "is_excluded": F.arrays_overlap(hits, _strings(self.excluded)),
         }
 
+    def joined(self, items: DataFrame, normalized: Column) -> DataFrame:
+        """The same facts for lists of any size: the word runs of distinct texts meet the words by equality."""
+        longest = self.table.agg(F.max(F.size(F.split("n", " ")))).first()[0] or 1
+        keyed = items.withColumn("_text", normalized).withColumn("_id", F.md5("_text"))
+        texts = keyed.groupBy("_id").agg(F.min("_text").alias("_text"))
+        runs = texts.select("_id", F.explode(word_ngrams(F.col("_text"), longest)).alias("n"))
+        rule = F.when(F.col("role") == "rule", F.struct("term", "kind"))
+        met = runs.join(broadcast_if_small(self.table), "n").groupBy("_id").agg(
+            F.sort_array(F.collect_list(rule)).alias("matched_rules"),  # collect_list leaves nulls out
+            F.bool_or(F.col("role") == "context").alias("has_context"), F.bool_or(F.col("role") == "excluded").alias("is_excluded"))
+        out = keyed.drop("_text").join(met, "_id", "left").drop("_id")
+        none = F.array().cast("array<struct<term:string,kind:string>>")
+        return out.withColumns({"matched_rules": F.coalesce("matched_rules", none), "has_context": F.coalesce("has_context", F.lit(False)), "is_excluded": F.coalesce("is_excluded", F.lit(False))})
 
-def _norm_terms(df: DataFrame, column: str) -> list[tuple]:
-    """Small word lists (checked) as (normalized, original, ...) tuples."""
-    rows = small_rows(df.select(normalize_text(F.col(column)).alias("n"), *df.columns), LITERAL_ROWS)
-    if rows is None:
-        raise ValueError(f"{column}: the word list is a catalog of at most {LITERAL_ROWS} entries")
-    return [tuple(r) for r in rows]
+
+def _norm_terms(df: DataFrame) -> DataFrame:
+    """A word list with its normalized words as ``n``."""
+    return df.select(normalize_text(F.col("term")).alias("n"), *df.columns)
 
 
 def match_terms(items: DataFrame, normalized: Column, terms: DataFrame, context_terms: DataFrame,
-                exclusion_terms: DataFrame) -> DataFrame:
+                exclusion_terms: DataFrame, literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """Adds matched_rules (array of term and kind), has_context and is_excluded, all by whole words."""
-    matcher = TermMatcher(terms, context_terms, exclusion_terms)
+    matcher = TermMatcher(terms, context_terms, exclusion_terms, literal_rows)
+    if not matcher.literal:
+        return matcher.joined(items, normalized)
 
     def facts(hits: Column) -> Column:
         return F.struct(*[c.alias(n) for n, c in matcher.facts(hits).items()])
@@ -269,15 +290,15 @@ def related_https(urls: Column, limit: int = 10) -> Column:
 
 def match_items(items: DataFrame, sources: DataFrame, municipalities: DataFrame, terms: DataFrame,
                 context_terms: DataFrame, exclusion_terms: DataFrame, known_urls: DataFrame | None,
-                observed_at: Column) -> DataFrame:
+                observed_at: Column, literal_rows: int = LITERAL_ROWS) -> DataFrame:
     """Feed items to candidates: place, at least one rule, a context word and no exclusion word."""
     config = sources.select(
         "source_id", "source_name", "source_kind", "fixed_municipality", "ignore_exclusion_terms", "review_rules")
     out = items.join(broadcast_if_small(config), "source_id")
-    matcher, places = TermMatcher(terms, context_terms, exclusion_terms), word_terms(municipalities)
+    matcher, places = TermMatcher(terms, context_terms, exclusion_terms, literal_rows), word_terms(municipalities)
     whole = F.col("search_text") if "search_text" in items.columns else F.lit(None).cast("string")
     text = normalize_text(F.coalesce(whole, F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))))
-    ranked = ranked_terms(places)
+    ranked = ranked_terms(places, literal_rows) if matcher.literal else None
     literal, (spellings, officials) = ranked is not None, ranked or ([], [])
 
     def facts(hits: Column) -> Column:
@@ -289,11 +310,15 @@ def match_items(items: DataFrame, sources: DataFrame, municipalities: DataFrame,
                 & (F.col("ignore_exclusion_terms") | ~found["is_excluded"]))
 
     # a generator keeps the filter and the columns on one evaluation of the text
-    found = let(let(text, lambda t: phrase_hits(t, matcher.phrases + spellings)), facts)
-    out = out.select("*", F.inline(F.filter(F.array(found), wanted)))
+    if matcher.literal:
+        found = let(let(text, lambda t: phrase_hits(t, matcher.phrases + spellings)), facts)
+        out = out.select("*", F.inline(F.filter(F.array(found), wanted)))
+    else:
+        told = F.struct("matched_rules", "has_context", "is_excluded")
+        out = matcher.joined(out, text).where(wanted(told)).withColumn("_by_text", F.lit(None).cast("string"))
     out = out.withColumn("_row", F.concat_ws("|", "source_id", "external_id", "official_url"))
     if not literal:
-        out = match_words(out.drop("_by_text"), text, municipalities, "_by_text")
+        out = match_words(out.drop("_by_text"), text, municipalities, "_by_text", literal_rows)
     out = resolve_municipality(out, F.col("_by_text"), municipalities).where("municipality is not null")
     if known_urls is None:
         out = out.withColumn("is_known", F.lit(False))

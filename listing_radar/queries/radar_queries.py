@@ -109,20 +109,48 @@ def _(t):
     return M.resolve_municipality(rows, F.col("by_text"), t.places).select("seq", "municipality")
 
 
-@query("match_terms", "select n.seq, coalesce(l.terms, '') as terms, k.kind, f.ctx as has_context, f.excl as is_excluded from norm_items n left join term_lists l using (seq) left join top_kind k using (seq) join flags f using (seq)")
-def _(t):
+TERMS_SQL = "select n.seq, coalesce(l.terms, '') as terms, k.kind, f.ctx as has_context, f.excl as is_excluded from norm_items n left join term_lists l using (seq) left join top_kind k using (seq) join flags f using (seq)"
+
+
+def matched_terms(t, **settings):
     from listing_radar.functions.text import normalize_text
 
-    rows = M.match_terms(t.items, normalize_text(F.concat_ws(" ", "title", "summary")), t.rule_terms, t.context_words, t.exclusion_words)
+    rows = M.match_terms(t.items, normalize_text(F.concat_ws(" ", "title", "summary")), t.rule_terms, t.context_words, t.exclusion_words, **settings)
     kind = F.when(F.size("matched_rules") > 0, M.dominant_kind(F.col("matched_rules")))
     return rows.select("seq", F.array_join(M.sorted_terms(F.col("matched_rules")), "|").alias("terms"), kind.alias("kind"), "has_context", "is_excluded")
 
 
-@query("match_items", f"""select id, seq, source_id, title, sha256(summary) as summary, array_to_string(list_slice(list_distinct_in_order, 1, 10), '|') as related, {duck_ts('published_at')} as published, municipality, kind,
-  cast(confidence as double) as confidence, terms, status from (select *, list_filter(related_urls, lambda u: starts_with(u, 'https:')) as list_distinct_in_order from matched)""")
+@query("match_terms", TERMS_SQL)
+def _(t):
+    return matched_terms(t)
+
+
+@query("match_terms_joined", TERMS_SQL)
+def _(t):
+    """Same result through exploded word runs and a join, as for word lists that are too large for literals."""
+    return matched_terms(t, literal_rows=0)
+
+
+ITEMS_SQL = f"""select id, seq, source_id, title, sha256(summary) as summary, array_to_string(list_slice(list_distinct_in_order, 1, 10), '|') as related, {duck_ts('published_at')} as published, municipality, kind,
+  cast(confidence as double) as confidence, terms, status from (select *, list_filter(related_urls, lambda u: starts_with(u, 'https:')) as list_distinct_in_order from matched)"""
+
+
+def told_items(rows):
+    return rows.select("id", "seq", "source_id", "title", F.sha2("summary", 256).alias("summary"), F.array_join("related_urls", "|").alias("related"), ts("published_at_utc", "published"),
+                       "municipality", "kind", num("confidence"), F.array_join("matched_terms", "|").alias("terms"), "status")
+
+
+@query("match_items", ITEMS_SQL)
+def _(t):
+    return told_items(matched(t))
+
+
+@query("match_items_joined", ITEMS_SQL)
 def _(t):
-    return matched(t).select("id", "seq", "source_id", "title", F.sha2("summary", 256).alias("summary"), F.array_join("related_urls", "|").alias("related"), ts("published_at_utc", "published"),
-                             "municipality", "kind", num("confidence"), F.array_join("matched_terms", "|").alias("terms"), "status")
+    """Same result where neither the words nor the gazetteer fit into literals."""
+    c = catalog(t)
+    enabled = c.sources.where("enabled")
+    return told_items(M.match_items(C.valid_feed_items(t.items), enabled, c.municipalities, c.terms, c.context_terms, c.exclusion_terms, c.known_urls, now(), literal_rows=0))
 
 
 @query("known_url_status", "select seq, normalized in (select normalized from known_norm) as is_known from item_norm")

@@ -45,7 +45,7 @@ def test_stages_catch_what_is_planted(spark, tmp_path):
 
 
 def test_registered_names():
-    assert [n.split("_")[0] for n in Q.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.queries()] == [f"op{n}" for n in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
     with pytest.raises(KeyError):
-        Q.queries()["op11"]
+        Q.queries()["op14"]

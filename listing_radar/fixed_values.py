@@ -116,6 +116,8 @@ MIN_PROPOSAL_CONFIDENCE = "0.8"
 MAX_VALUE_LENGTH = 200
 ACCEPTED_MAX_AGE_DAYS = 30
 PAGE_EVIDENCE_LENGTH = 3500
+ENRICHMENT_NO_SOURCE = "No hay una fuente configurada para '%s'."
+ENRICHMENT_NO_EVIDENCE = "No se obtuvo evidencia textual para '%s'."
 CHUNK_LENGTH = 520
 CHUNK_STEP = 440
 CHUNK_SEPARATOR = " … "

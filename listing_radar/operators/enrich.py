@@ -66,18 +66,9 @@ def chunk_scores(text: Column, keywords: Column) -> Column:
     return F.transform(F.filter(chunks, lambda c: c["text"] != ""), score)
 
 
-def relevant_text(text: Column, keywords: Column, length: Column) -> Column:
-    """The text itself if it fits, else its best chunks within ``length``, back in reading order."""
+def _taken(chunks: Column, length: Column) -> Column:
+    """The first chunks that fit into ``length`` with separators between them; the last one is cut."""
     separator = len(V.CHUNK_SEPARATOR)
-    ranked = F.transform(
-        F.array_sort(
-            F.transform(
-                chunk_scores(text, keywords),
-                lambda c: F.struct((-c["score"]).alias("o"), c["start"].alias("start"), c["text"].alias("text")),
-            )
-        ),
-        lambda c: F.struct(c["start"].alias("start"), c["text"].alias("text")),
-    )
     empty = F.struct(
         F.lit(0).alias("used"), F.array().cast("array<struct<start:int,text:string>>").alias("chosen"))
 
@@ -91,29 +82,46 @@ def relevant_text(text: Column, keywords: Column, length: Column) -> Column:
         )
         return F.when(room <= 0, acc).otherwise(taken)
 
-    chosen = F.aggregate(ranked, empty, take)["chosen"]
-    joined = F.array_join(F.transform(F.array_sort(chosen), lambda c: c["text"]), V.CHUNK_SEPARATOR)
-    return F.when(F.length(text) <= length, text).otherwise(joined)
+    return F.aggregate(chunks, empty, take)["chosen"]
+
+
+def best_chunks(text: Column, keywords: Column) -> Column:
+    """array<struct<start,text>>: the chunks that a page can show at most, best first."""
+    ranked = F.transform(
+        F.array_sort(
+            F.transform(
+                chunk_scores(text, keywords),
+                lambda c: F.struct((-c["score"]).alias("o"), c["start"].alias("start"), c["text"].alias("text")),
+            )
+        ),
+        lambda c: F.struct(c["start"].alias("start"), c["text"].alias("text")),
+    )
+    return _taken(ranked, F.lit(V.PAGE_EVIDENCE_LENGTH))
 
 
 def evidence_snippets(pages: DataFrame, max_pages: int, budget: int) -> DataFrame:
-    """Evidence of every listing: (promotion_id, pages array<struct<url,text>>, content_hash, fetched_at).
+    """Evidence of every listing: (promotion_id, fetched_at, pages array<struct<url,text>>).
 
-    ``pages``: promotion_id, url, text, fetched_at, keywords. At most ``max_pages`` pages per listing are
-    read (the setting of a run), so the ordered array of a listing is bounded; the character budget is
-    spent page by page in URL order.
+    ``pages``: promotion_id, url, text, fetched_at, keywords. Whole texts are read where they stand: a page leaves its task as its
+    best chunks (and as itself, if short), which no budget exceeds, so full texts are not shuffled. At most ``max_pages`` pages per
+    listing are used (the setting of a run); the character budget is spent page by page in URL order. A page that fits is shown
+    whole, else its best chunks in reading order.
     """
     clean = pages.withColumn("text", collapse_whitespace(F.col("text")))
-    few = top_n_per_key(clean, ["promotion_id"], [F.col("url")], max_pages, F.col("url"))
+    short = F.when(F.length("text") <= V.PAGE_EVIDENCE_LENGTH, F.col("text"))
+    shown = clean.select("promotion_id", "url", "fetched_at", (F.col("text") != "").alias("some"), short.alias("whole"),
+                         best_chunks(F.col("text"), F.col("keywords")).alias("chunks"))
+    few = top_n_per_key(shown, ["promotion_id"], [F.col("url")], max_pages, F.col("url"))
     grouped = few.groupBy("promotion_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("url", "text")))).alias("_pages"),
-        F.first("keywords").alias("_keywords"), F.max("fetched_at").alias("fetched_at"))
+        F.array_sort(F.collect_list(F.when(F.col("some"), F.struct("url", "whole", "chunks")))).alias("_pages"),
+        F.max("fetched_at").alias("fetched_at"))
     start = F.struct(
         F.lit(budget).alias("left"), F.array().cast("array<struct<url:string,text:string>>").alias("kept"))
 
     def take(acc: Column, page: Column) -> Column:
         room = F.least(acc["left"], F.lit(V.PAGE_EVIDENCE_LENGTH))
-        text = relevant_text(page["text"], F.col("_keywords"), room)
+        best = F.array_join(F.transform(F.array_sort(_taken(page["chunks"], room)), lambda c: c["text"]), V.CHUNK_SEPARATOR)
+        text = F.when(F.length(page["whole"]) <= room, page["whole"]).otherwise(best)
         kept = F.concat(acc["kept"], F.array(F.struct(page["url"].alias("url"), text.alias("text"))))
         return F.when(acc["left"] <= 0, acc).otherwise(
             F.struct((acc["left"] - F.length(text)).alias("left"), kept.alias("kept")))
@@ -363,12 +371,6 @@ def mark_stale_and_upsert(proposals: DataFrame, new: DataFrame, now: Column) ->
     return kept.unionByName(new.select(*proposals.columns))
 
 
-def new_proposals(evidence: DataFrame, now: Column) -> DataFrame:
-    return evidence.select(
-        proposal_id(F.col("promotion_id"), F.col("content_hash")).alias("proposal_id"), "promotion_id", "content_hash",
-        F.col("fetched_at").alias("evidence_fetched_at"), now.alias("generated_at"))
-
-
 def last_runs(runs: DataFrame, keep: int = 100) -> DataFrame:
     """Run history as long as the state keeps it."""
     return runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(keep)

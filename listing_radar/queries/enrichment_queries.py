@@ -4,6 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from listing_radar import fixed_values as V
 from listing_radar.functions import ids, scores
 from listing_radar.operators import enrich as N
 from listing_radar.plans.promotions import empty_facts
@@ -60,15 +61,104 @@ def _(t):
     return rows.select("doc_id", "start", "score", F.length("text").alias("n"))
 
 
-@query("evidence_snippets")
+def _snippet_sql(pages: str, max_pages: int, budget: int) -> str:
+    """Tables ending in ``evidence(promotion_id, h)``: the hash of each listing's evidence. ``pages`` (promotion_id, url, x, words) has texts
+    with single spaces; a chunk is taken while the chunks before it leave room, and is cut to what is left."""
+    out = f"""top as (select * from (select *, row_number() over (partition by promotion_id order by url) as page_no from ({pages})) where page_no <= {max_pages}),
+  full_pages as (select *, row_number() over (partition by promotion_id order by url) as n from top where x <> ''),
+  pieces as (select promotion_id, n, words, x, unnest(range(0, length(x), {V.CHUNK_STEP})) as s from full_pages),
+  scored as (select promotion_id, n, s, trim(substr(x, s + 1, {V.CHUNK_LENGTH})) as c, words from pieces),
+  ranked as (select promotion_id, n, s, c, row_number() over w as r, coalesce(sum(length(c) + 3) over (w rows between unbounded preceding and 1 preceding), 0) as before from (select *, len(list_filter(words, lambda k: contains(lower(c), k))) as score from scored where c <> '')
+    window w as (partition by promotion_id, n order by score desc, s)),
+  room0 as (select promotion_id, {budget} as room from full_pages group by 1)"""
+    for n in range(1, max_pages + 1):
+        out += f""",
+  page{n} as (select f.promotion_id, f.url, least(room, {V.PAGE_EVIDENCE_LENGTH}) as room, f.x from full_pages f join room{n - 1} using (promotion_id) where f.n = {n} and room > 0),
+  shown{n} as (select p.promotion_id, any_value(p.url) as url, case when any_value(length(p.x) <= p.room) then any_value(p.x) else string_agg(left(c, cast(room - before as bigint)), '{V.CHUNK_SEPARATOR}' order by s) end as t
+    from page{n} p join ranked k on k.promotion_id = p.promotion_id and k.n = {n} and before < room group by 1),
+  room{n} as (select promotion_id, r.room - coalesce(length(t), 0) as room from room{n - 1} r left join shown{n} using (promotion_id))"""
+    every = " union all ".join(f"select *, {n} as n from shown{n}" for n in range(1, max_pages + 1))
+    return out + f""",
+  evidence as (select promotion_id, count(*) as pages, upper(sha256(string_agg(url || chr(10) || t, chr(10) order by n))) as content_hash, string_agg(url || t, chr(10) order by n) as request from ({every}) group by 1)"""
+
+
+_DOC_PAGES = f"select doc_id % 97 as promotion_id, 'https://p/' || lpad(cast(doc_id as varchar), 9, '0') as url, {_TEXT} as x, ['the', 'que'] as words from documents"
+
+
+@query("evidence_snippets", f"with {_snippet_sql(_DOC_PAGES, 5, 8000)} select * exclude (request) from evidence")
 def _(t):
-    """Pages of a listing: ten documents each. Checked against a plain loop in the tests."""
+    """Pages of a listing: ten documents each at the smallest scale."""
     pages = t.documents.select((F.col("doc_id") % F.lit(97)).alias("promotion_id"), F.concat(F.lit("https://p/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("url"), "text",
                                F.lit(NOW).cast("timestamp").alias("fetched_at"), F.array(F.lit("the"), F.lit("que")).alias("keywords"))
-    rows = N.evidence_snippets(pages, 5, 8000)
+    rows = N.evidence_snippets(pages, 5, 8000).where(F.size("pages") > 0)
     return rows.select("promotion_id", F.size("pages").alias("pages"), ids.content_hash(F.col("pages")).alias("content_hash"))
 
 
+def _in_promotions(name: str) -> str | None:
+    column = {**V.TEXT_FIELDS, **V.INTEGER_FIELDS, **V.DECIMAL_FIELDS}[name]
+    return column if column in _NULLABLE else None
+
+
+def _strings(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_GAPS = "list_filter([" + ", ".join(f"case when {_in_promotions(n)} is null then '{n}' end" if _in_promotions(n) else f"'{n}'" for n in V.FILLABLE_FIELDS) + "], lambda g: g is not null)"
+_WORDS = " || ".join(["[name, municipality]"] + [f"case when list_has_any(missing, {_strings(f)}) then {_strings(k)} else [] end" for f, k in V.EVIDENCE_KEYWORDS.items()])
+# listing k has the documents 2k and 2k + 1; what the last run knew of every fourth listing were the plain texts
+_RUN = f"""with recursive gaps as (select *, {_GAPS} as missing, 'www.site' || cast(site as varchar) || '.example.org' as host from promotions where active),
+  hosts as (select distinct 'www.site' || cast(user_id % 40 as varchar) || '.example.org' as host from user_sources),
+  asked as (select *, host in (select host from hosts) as known, list_distinct(list_transform({_WORDS}, lambda w: lower(w))) as words from gaps),
+  texts as (select doc_id // 2 as row_id, 'https://p/' || lpad(cast(doc_id as varchar), 9, '0') as url, {_TEXT} as x from documents),
+  {_snippet_sql("select id as promotion_id, url, x, words from asked join texts using (row_id) where known", 2, 5000)},
+  old as (select row_id, upper(sha256(string_agg(url || chr(10) || x, chr(10) order by url))) as h from texts where row_id % 4 = 0 group by 1),
+  q as (select a.id, a.row_id, row_number() over (order by len(missing) desc, a.id) as ord, coalesce(h = content_hash, false) as cached, content_hash, h,
+    case when not known then 'No hay una fuente configurada para ' || chr(39) || canonical_url || chr(39) || '.' when content_hash is null then 'No se obtuvo evidencia textual para ' || chr(39) || name || chr(39) || '.' end as error,
+    octet_length(encode(array_to_string(missing, ',') || request)) + 256 + 4800 as cost from asked a left join evidence e on e.promotion_id = a.id left join old using (row_id)),
+  g as (select cast(0 as bigint) as ord, cast(0 as bigint) as spent, 0 as calls union all
+    select n.ord, n.spent, n.calls from (select (select min(q.ord) from q where q.ord > g.ord and not q.cached and g.spent + q.cost <= 200000) as ord, g.spent + (select q.cost from q where q.ord = (select min(q.ord) from q where q.ord > g.ord and not q.cached and g.spent + q.cost <= 200000)) as spent, g.calls + 1 as calls
+     from g where g.calls < 25) n where n.ord is not null),
+  d as (select *, case when (select count(*) from g where ord > 0) = 25 and ord > (select max(ord) from g) then 'notReached' when cached then 'cached' when ord in (select ord from g) then 'admitted' when error is not null then 'failed' else 'overBudget' end as decision from q)"""
+
+
+def run_of(t):
+    """A run over all listings with gaps."""
+    from listing_radar import schemas
+    from listing_radar.functions.text import collapse_whitespace
+    from listing_radar.plans.enrichment import enrichment_run
+
+    key = F.concat(F.lit("sn-"), F.lpad(F.floor(F.col("doc_id") / 2).cast("string"), 12, "0"))
+    url = F.concat(F.lit("https://p/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    pages = t.documents.select(key.alias("promotion_id"), url.alias("url"), "text", now().alias("fetched_at"), F.floor(F.col("doc_id") / 2).alias("k"))
+    plain = pages.where("k % 4 = 0").groupBy("promotion_id", "k").agg(F.array_sort(F.collect_list(F.struct("url", collapse_whitespace(F.col("text")).alias("text")))).alias("p"))
+    known = {"proposal_id": F.concat(F.lit("old-"), "promotion_id"), "promotion_id": F.col("promotion_id"), "content_hash": ids.content_hash(F.col("p")),
+             "generated_at": F.lit("2024-01-10").cast("timestamp"), "status": F.when(F.col("k") % 8 == 0, "accepted").otherwise("rejected")}
+    state = plain.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.struct(schemas.ENRICHMENTS)])
+    host = F.concat(F.lit("https://www.site"), (F.col("user_id") % 40).cast("string"), F.lit(".example.org/"))
+    sources = t.user_sources.withColumns({"ord": F.col("user_id"), "base_url": host})
+    return enrichment_run(full(t), pages, sources, state, "gpt-5.6-luna", 800, Decimal("0.2"), 25, 2, 5000, now())
+
+
+@query("enrichment_run", _RUN + " select id, decision, error from d")
+def _(t):
+    return run_of(t).queue.select(F.col("promotion_id").alias("id"), "decision", "error")
+
+
+@query("enrichment_state", _RUN + """ select 'enr-' || id || '-' || lower(left(content_hash, 12)) as proposal_id, 'pending' as status, 0 as warnings from d where decision = 'admitted'
+  union all select 'enr-error-' || id || '-20240201000000', 'pending', 1 from d where decision = 'failed'
+  union all select 'old-sn-' || lpad(cast(o.row_id as varchar), 12, '0'), case when o.row_id % 8 <> 0 then 'rejected' when decision = 'admitted' then 'stale' else 'accepted' end, 0 from old o left join d using (row_id)""")
+def _(t):
+    """Proposals after the run: new ones, error rows, stale ones."""
+    rows = run_of(t).state
+    return rows.select("proposal_id", "status", F.when(F.col("proposal_id").startswith("enr-error"), F.size("warnings")).otherwise(0).alias("warnings"))
+
+
+@query("enrichment_report", _RUN + """ select count(*) as eligible, count(*) filter (decision = 'admitted') as processed, count(*) filter (decision = 'cached') as cached, count(*) filter (decision = 'overBudget') as budget_skipped,
+  count(*) filter (decision = 'failed') as failed, cast(coalesce(sum(cost) filter (decision = 'admitted'), 0) as double) / 1000000 as reserved from d""")
+def _(t):
+    return run_of(t).report.select("eligible", "processed", "cached", "budget_skipped", "failed", F.col("reserved_max_cost_usd").cast("double").alias("reserved"))
+
+
 @query("content_hash", """select doc_id % 97 as k, upper(sha256(string_agg('https://p/' || lpad(cast(doc_id as varchar), 9, '0') || chr(10) || text, chr(10) order by doc_id))) as h from documents group by 1""")
 def _(t):
     page = F.struct(F.concat(F.lit("https://p/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("url"), "text")

@@ -68,6 +68,17 @@ SOURCE_RUNS = (
     "source_id string, run_id bigint, checked_at timestamp, success boolean, items_read int, candidates_matched int, "
     "error string"
 )
+USAGE = (
+    "input_tokens bigint, cached_input_tokens bigint, cache_write_tokens bigint, output_tokens bigint, reasoning_tokens bigint, "
+    "total_tokens bigint, estimated_cost_usd decimal(12,6)"
+)
+ENRICHMENTS = (
+    "proposal_id string, promotion_id string, promotion_name string, canonical_url string, content_hash string, provider string, "
+    "model string, evidence_fetched_at timestamp, generated_at timestamp, reviewed_at timestamp, status string, "
+    f"max_cost_usd decimal(12,6), {USAGE}, warnings array<string>, "
+    "fields array<struct<field:string,value_text:string,source_url:string,evidence_text:string,confidence:decimal(5,2),"
+    "status:string,reviewed_at:timestamp>>"
+)
 CENTROID_CSV = (
     "COD_GEO string, NOMBRE_ACTUAL string, LONGITUD_ETRS89 double, LATITUD_ETRS89 double, ORIGENCOOR string"
 )

@@ -85,14 +85,36 @@ def test_promotion_run(spark, places, tmp_path):
 
 
 def test_enrichment_run(spark):
-    promotions = P.empty_facts(spark.createDataFrame([("sn-1", "Pinos", "Villa"), ("sn-2", "Sur", "Cerro")], "id string, name string, municipality string"))
+    promotions = P.empty_facts(spark.createDataFrame([
+        ("sn-1", "Pinos", "Villa", "https://x/1"), ("sn-2", "Sur", "Cerro", "https://x/2"), ("sn-3", "Oeste", "Cerro", "https://x/3"), ("sn-4", "Este", "Cerro", "https://y/4")],
+        "id string, name string, municipality string, canonical_url string"))
     pages = spark.createDataFrame([("sn-1", "https://x/1", "Pinos desde 450.000 € y 3 dormitorios", NOW), ("sn-2", "https://x/2", "nada", NOW)],
                                   "promotion_id string, url string, text string, fetched_at timestamp")
-    proposals = spark.createDataFrame([], "promotion_id string, generated_at timestamp, proposal_id string, content_hash string")
-    queue, made, checked = enrichment.enrichment_run(promotions, pages, proposals, "gpt-5.6-luna", 800, Decimal("1"), 5, 3, 8000, F.lit(NOW))
-    assert {r.decision for r in queue.collect()} == {"admitted"} and made.count() == 2
-    good = {r.field: r.value_text for r in checked.where("reject_reason is null").collect()}
-    assert good == {"priceFrom": "450000.00", "bedroomsMin": "3"}
+    proposals = spark.createDataFrame([], schemas.ENRICHMENTS)
+    sources = spark.createDataFrame([(1, "s", "https://x/", [])], "ord int, source_id string, base_url string, allowed_hosts array<string>")
+    usage = spark.createDataFrame([("sn-1", 70, 0, 0, 30, 0, 100, Decimal("0.000250"))], "promotion_id string, " + schemas.USAGE)
+
+    def run(state, **options):
+        return enrichment.enrichment_run(promotions, pages, sources, state, "gpt-5.6-luna", 800, Decimal("1"), 5, 3, 8000, F.lit(NOW), **options)
+
+    first = run(proposals, usage=usage)
+    assert {r.promotion_id: r.decision for r in first.queue.collect()} == {"sn-1": "admitted", "sn-2": "admitted", "sn-3": "failed", "sn-4": "failed"}
+    assert {r.field: r.value_text for r in first.fields.where("reject_reason is null").collect()} == {"priceFrom": "450000.00", "bedroomsMin": "3"}
+    state = {r.promotion_id: r for r in first.state.collect()}
+    assert len(state) == 4 and [f.field for f in state["sn-1"].fields] == ["priceFrom", "bedroomsMin"] and state["sn-2"].fields == []
+    assert state["sn-3"].warnings == ["No se obtuvo evidencia textual para 'Oeste'."] and "fuente" in state["sn-4"].warnings[0]
+    report = first.report.first()
+    assert (report.eligible, report.processed, report.failed, report.proposed_fields, report.total_tokens, report.estimated_cost_usd) == (4, 2, 2, 2, 100, Decimal("0.000250"))
+
+    # an accepted proposal goes stale when its page changes; what has not changed is not asked again
+    kept = spark.createDataFrame(
+        [r.asDict(recursive=True) | {"status": "accepted" if r.promotion_id == "sn-1" else r.status} for r in state.values()], schemas.ENRICHMENTS)
+    pages = pages.withColumn("text", F.when(F.col("promotion_id") == "sn-1", "Pinos desde 460.000 €").otherwise(F.col("text")))
+    second = run(kept)
+    assert {r.promotion_id: r.decision for r in second.queue.collect()} == {"sn-1": "admitted", "sn-2": "cached", "sn-3": "failed", "sn-4": "failed"}
+    assert sorted(r.status for r in second.state.where("promotion_id = 'sn-1'").collect()) == ["pending", "stale"]
+    planned = run(kept, dry_run=True)
+    assert planned.report.first().planned == 1 and planned.state.count() == kept.count()
 
 
 def items(spark, texts):

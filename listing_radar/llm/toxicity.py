@@ -206,6 +206,22 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     return fit_toxicity(docs.join(F.broadcast(chosen), "id"), s)  # about training_rows ids of a few bytes
 
 
+def fold_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", s: Ftrl = Ftrl()) -> DataFrame:
+    """(id, score, label) of every labelled row that is not held out, scored by a model that has not learnt from its fold.
+
+    The folds are the remainders 1 to 4. Settings are compared with these rows, so held-out labels decide nothing. Null labels and
+    ids are left out; repeated labels of one id count once, as the largest.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null and id is not null")
+    known = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("fold", _remainder()).where("fold <> 0")
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+    out = []
+    for fold in range(1, 5):
+        model = learn_toxicity(docs, known.where(F.col("fold") != fold), "id", "label", s)
+        out.append(score_toxicity(docs.join(known.where(F.col("fold") == fold), "id").select("id", "body", "label"), model, s.bits))
+    return functools.reduce(DataFrame.unionByName, out).withColumnRenamed("id", id_col)
+
+
 def reject_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", s: Ftrl = Ftrl()) -> DataFrame:
     """The rows of ``df`` that score below one half, with all their columns."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"), F.struct(*_columns(df)).alias("row"))

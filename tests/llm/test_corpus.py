@@ -22,7 +22,7 @@ from listing_radar.llm.packing import pack
 from listing_radar.llm.quality_rules import keep_good, quality_rules
 from listing_radar.llm.suffix_dedup import longest_previous_factors, remove_repeats, repeat_digests
 from listing_radar.llm.token_output import best_fit_decreasing, segments, token_output
-from listing_radar.llm.toxicity import Ftrl, reject_toxic, toxicity
+from listing_radar.llm.toxicity import Ftrl, fold_scores, reject_toxic, toxicity
 from listing_radar.llm.url_filter import url_filter
 
 WORDS = "the of and alpha beta gamma delta river stone cloud märz señor x1 . ,".split()
@@ -110,6 +110,23 @@ def test_toxicity_learns_and_holds_out(spark):
     assert [r.score for r in toxicity(docs.limit(1), labels.limit(0)).collect()] == [0.5]
 
 
+def test_folds_leave_out_held_out_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30) + (" vile brute" if i % 4 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (None, "x"), (900, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows] + [(3, 0), (900, None)], "doc_id long, toxic int")
+    s = Ftrl(bits=18, l1=2.0)
+    got = {r.doc_id: r for r in fold_scores(docs, labels, s=s).collect()}
+    remainder = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    assert set(got) == {i for i in remainder if remainder[i]}
+    assert sum((r.score >= 0.5) == r.label for r in got.values()) >= 0.97 * len(got)
+    # neither held-out labels nor those of a row's own fold have an influence on its score
+    for changed, fold in ((0, None), (2, 2)):
+        other = spark.createDataFrame([(i, int((i % 4 == 0) != (remainder[i] == changed))) for i, _ in rows], "doc_id long, toxic int")
+        again = {r.doc_id: r.score for r in fold_scores(docs, other, s=s).collect()}
+        assert all(again[i] == r.score for i, r in got.items() if fold is None or remainder[i] == fold)
+
+
 def test_url_copies_do_not_fill_the_training_sample(spark):
     by_hash = spark.createDataFrame([(f"http://h{i}.org/{i}",) for i in range(100)] + [(f"http://h{i}.com/de/{i}",) for i in range(100)], "url string").orderBy(F.xxhash64("url"))
     urls = [r.url for r in by_hash.collect()]

@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from listing_radar import fixed_values as V
 from listing_radar.functions import ids, scores
 from listing_radar.operators import explore as E, geo as G, quality as Q
 from listing_radar.plans.promotions import empty_facts, normalize_promotions
@@ -224,10 +225,23 @@ def _(t):
     return rows.select("id", scores.completeness_pct({c: F.col(c) for c in rows.columns}).alias("pct"))
 
 
-@query("csv_rows", """select id, name, concat_ws(' | ', property_types[1], property_types[2]) as "propertyTypes", coalesce(cast(cast(price_from as double) as varchar), '') as price from promotions""")
+def _exported(column: str) -> str:
+    if column == "property_types":
+        return "concat_ws(' | ', property_types[1], property_types[2])"
+    if column == "last_seen_utc":
+        return "strftime(last_seen_utc, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00'"
+    if column in ("price_from", "price_to", "latitude", "longitude", "source_confidence") or column.endswith("_sqm"):
+        return f"regexp_replace(regexp_replace(cast({column} as varchar), '([.][0-9]*?)0+$', '\\1'), '[.]$', '')"
+    return f"cast({column} as varchar)"
+
+
+_CSV = ", ".join(f"""coalesce({_exported(column)}, '') as "{name}\"""" for name, column in V.CSV_COLUMNS.items())
+
+
+@query("csv_rows", f"select {_CSV} from (select * replace (cast(price_from + 1000 as decimal(14,2)) as price_to) from promotions)")
 def _(t):
-    rows = S.csv_rows(full(t))
-    return rows.select("id", "name", "propertyTypes", F.coalesce(F.expr("try_cast(priceFrom as double)").cast("string"), F.lit("")).alias("price"))
+    """All columns; the upper price is set anew, since the engines round the halves of the table's doubles differently."""
+    return S.csv_rows(full(t).withColumn("price_to", (F.col("price_from") + 1000).cast("decimal(14,2)")))
 
 
 @query("geojson_features", """select id, 'Point' as kind, cast(longitude as double) as lon, cast(latitude as double) as lat, commercial_status as status from promotions where latitude is not null and longitude is not null""")

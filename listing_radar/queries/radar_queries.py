@@ -288,15 +288,47 @@ def _(t):
     return H.radar_run_summary(C.valid_feed_items(t.items), rows)
 
 
-@query("candidate_run")
-def _(t):
-    """Whole radar run with a failed source; checked part by part elsewhere."""
+# a run in which source 3 failed: the first item of each key, the fold of its hits into the state before, then the sources' review rules
+_AFTER_RUN = """with firsts as (select source_id, lower(case when trim(external_id) = '' then official_url else external_id end) as k, min(seq) as seq from items where trim(title) <> '' group by 1, 2),
+  run_hits as (select * from matched where seq in (select seq from firsts) and source_id not in (select source_id from doc_sources where ord = 3)),
+  h as (select id, bool_or(status = 'verifiedSource') as v, arg_min(status, seq) filter (status in ('rejected', 'stale')) as c, bool_or(status = 'monitoring') as m, max(seq) as seq from run_hits group by id),
+  folded as (select coalesce(h.id, p.id) as id, coalesce(h.seq, p.doc_id) as seq, case when h.id is null then p.status when v then 'verifiedSource' when coalesce(p.status, 'new') not in ('new', 'monitoring') then p.status
+    when c is not null then c when m then 'monitoring' else coalesce(p.status, 'new') end as status from previous_candidates p full join h on h.id = p.id),
+  after_run as (select f.id, w.source_id, w.source_kind, w.municipality, w.related_urls, case when f.status in ('new', 'monitoring') and d.enabled then coalesce((list_filter(d.review_rules, lambda x: contains(lower(w.official_url), lower(x.url_pattern)))[1]).status, f.status) else f.status end as status
+    from folded f join matched w on w.seq = f.seq join doc_sources d on d.source_id = w.source_id),
+  checked as (select *, case when ord = 3 then 'degraded' else 'healthy' end as status from doc_sources where enabled),
+  domains as (select distinct regexp_replace(lower(unnest(allowed_hosts)), '^www[.]', '') as domain, status from checked where source_kind = 'officialCommercialWebsite'),
+  referenced as (select distinct regexp_replace(regexp_extract(u, '^https://([^/]+)', 1), '^www[.]', '') as domain from (select unnest(related_urls) as u from after_run where status in ('new', 'monitoring', 'verifiedSource')) where u like 'https:%'),
+  direct as (select lower(fixed_municipality) as k, count(*) as n, count(*) filter (status = 'healthy') as ok from checked where source_kind = 'municipalNoticeBoard' group by 1),
+  places_after as (select official_name, coalesce(n, 0) as n, coalesce(ok, 0) as ok from places left join direct on k = lower(official_name) where enabled),
+  central as (select count(*) filter (status = 'healthy') as ok from checked where source_kind in ('regionalGazette', 'stateGazette', 'publicProcurement', 'publicLandPortal'))"""
+
+
+def radar_run_of(t):
+    """Whole radar run with a failed source."""
     from listing_radar.plans.radar import radar_run
 
     failures = t.doc_sources.where("ord = 3").select("source_id", F.lit("timeout").alias("error"))
     empty_health = t.spark.createDataFrame([], schemas.SOURCE_HEALTH)
-    run = radar_run(t.items, failures, previous(t), empty_health, catalog(t), now())
-    return run.snapshot
+    return radar_run(t.items, failures, previous(t), empty_health, catalog(t), now())
+
+
+@query("radar_run_candidates", _AFTER_RUN + " select id, source_id, municipality, status from after_run")
+def _(t):
+    return radar_run_of(t).candidates.select("id", "source_id", "municipality", "status")
+
+
+@query("candidate_run", _AFTER_RUN + """ select (select count(*) from checked) as enabled_sources, (select count(*) from checked where status = 'healthy') as healthy_sources, (select count(*) from checked where status = 'degraded') as degraded_sources, 0 as failing_sources,
+  (select count(*) from checked where source_kind = 'officialCommercialWebsite') as commercial_sources, (select count(*) from checked where source_kind = 'officialCommercialWebsite' and status = 'healthy') as healthy_commercial_sources,
+  (select count(distinct domain) from domains) as commercial_domains_monitored, (select count(distinct domain) from domains where status = 'healthy') as healthy_commercial_domains,
+  (select count(*) from referenced) as referenced_domains_discovered, (select count(*) from referenced where domain not in (select domain from domains)) as unmonitored_referenced_domains,
+  (select count(*) from places_after) as municipalities_total, (select count(*) from places_after where n > 0) as municipalities_with_direct_source, (select count(*) from places_after where ok > 0) as municipalities_with_healthy_direct_source,
+  (select count(*) from places_after, central where places_after.ok > 0 or central.ok > 0) as municipalities_with_healthy_coverage, count(*) filter (status in ('new', 'monitoring')) as pending_candidates, count(*) filter (status = 'new') as new_candidates,
+  count(*) filter (status = 'monitoring') as monitoring_candidates, count(*) filter (status = 'rejected') as rejected_candidates, count(*) filter (status = 'verifiedSource') as verified_source_candidates, count(*) filter (status = 'stale') as stale_candidates,
+  count(distinct lower(municipality)) filter (source_kind = 'officialCommercialWebsite') as municipalities_with_commercial_signals from after_run""")
+def _(t):
+    """The coverage after the run."""
+    return radar_run_of(t).snapshot
 
 
 @query("enabled_sources", "select source_id, row_number() over (order by source_id) as place from (select 'S' || cast(s_suppkey as varchar) as source_id, s_suppkey from supplier) where s_suppkey % 3 <> 0")

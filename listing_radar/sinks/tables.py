@@ -36,6 +36,10 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(text, r"\.$", "")
 
 
+#: Tells spreadsheet programs that a file is UTF-8.
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def csv_rows(promotions: DataFrame) -> DataFrame:
     """The 24 exported columns as text, arrays joined by `` | ``."""
     out = []
@@ -52,9 +56,10 @@ def csv_rows(promotions: DataFrame) -> DataFrame:
 
 
 def write_csv(promotions: DataFrame, path: str) -> None:
-    """Range-sorted by id over all tasks; quotes are doubled."""
+    """Range-sorted by id over all tasks; quotes are doubled. Every part is a file of its own, with byte-order mark and header."""
     rows = csv_rows(promotions).orderBy("id")
-    rows.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", encoding="UTF-8")
+    first, *rest = rows.columns
+    rows.select(F.col(first).alias(BYTE_ORDER_MARK + first), *rest).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", encoding="UTF-8")
 
 
 def geojson_features(promotions: DataFrame) -> DataFrame:

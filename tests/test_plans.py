@@ -78,7 +78,7 @@ def test_promotion_run(spark, places, tmp_path):
     assert (report.status, report.publishable, report.new_promotions, report.duration_seconds) == ("success", True, 2, 2.0)
     K.write_csv(written, str(tmp_path / "csv"))
     lines = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("*.csv"))).splitlines()
-    assert lines[0].startswith("id,name,municipality") and len([x for x in lines if x.startswith("sn-")]) == 2
+    assert lines[0].startswith("\ufeffid,name,municipality") and len([x for x in lines if x.startswith("sn-")]) == 2
     K.write_geojson(written, str(tmp_path / "geo"))
     K.write_dataset_json(written, str(tmp_path / "json"))
     assert "coordinates" in "".join(p.read_text() for p in (tmp_path / "geo").glob("*.txt"))

@@ -316,10 +316,13 @@ def scan_detail_page(files: DataFrame, content_selectors: list[str], link_select
 
 def find_calendar_summary(files: DataFrame) -> DataFrame:
     """First link of each page into the gazette folder that ends in .xml."""
-    links = html_facts(_pages(files)).select("source_id", "source_url", F.inline("links"))
-    wanted = links.where(F.lower("href").contains(CALENDAR_LINK_FOLDER.lower()) & F.lower("href").endswith(".xml"))
-    resolved = wanted.withColumn("url", U.resolve_url(F.col("source_url"), F.col("href"))).where("url != ''")
-    return resolved.groupBy("source_id", "source_url").agg(F.min_by("url", "pos").alias("url"))
+    def wanted(link: Column) -> Column:
+        return F.lower(link["href"]).contains(CALENDAR_LINK_FOLDER.lower()) & F.lower(link["href"]).endswith(".xml")
+
+    # within the row, since two pages may have one URL
+    urls = F.transform(F.filter("links", wanted), lambda link: U.resolve_url(F.col("source_url"), link["href"]))
+    first = F.try_element_at(F.filter(urls, lambda url: url != ""), F.lit(1))
+    return html_facts(_pages(files)).select("source_id", "source_url", first.alias("url")).where("url is not null")
 
 
 #: Per format its one pass over documents: items, and a row with ``error`` for every document that cannot be read.

@@ -261,3 +261,17 @@ def test_query_numbers_order_search_results(spark, files):
         answers = one if answers is None else answers.unionByName(one)
     rows = S.scan_search_results(answers, places)
     assert [r.title for r in distinct_by_url_capped(rows, 2, 4).orderBy("query_no", "seq").collect()] == ["T5", "T1", "T2", "T3"]
+
+
+def test_calendar_pages_of_one_url_each_have_their_link(spark):
+    rows = [("s", "https://h.example.org/a", None, f'<a href="/x.pdf">a</a><a href="/CM_Boletin_BOCM/{n}.xml">b</a>') for n in (1, 2)]
+    pages = spark.createDataFrame(rows, "source_id string, source_url string, document_date date, content string")
+    assert sorted(r.url for r in S.find_calendar_summary(pages).collect()) == [f"https://h.example.org/CM_Boletin_BOCM/{n}.xml" for n in (1, 2)]
+
+
+def test_references_without_semicolon(spark):
+    html = "<title>a&amp;b&amp</title><script type='application/ld+json'>{\"a\": \"x&y\"}</script><p>c&lt d&#65;</p>"
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string")
+    as_written = html_facts(pages, ended_references=True).first()
+    assert (as_written.title, as_written.text, as_written.json_ld) == ("a&b&amp", "c&lt dA", ['{"a": "x&y"}'])
+    assert html_facts(pages).first().title == "a&b&"

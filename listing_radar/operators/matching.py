@@ -108,18 +108,20 @@ def match_catalog(items: DataFrame, text: Column, municipalities: DataFrame | Ca
     if catalog.rows is not None:
         ranked = sorted(catalog.rows, key=lambda r: (-len(r.term), tuple(r.place)))
         spellings, officials = _strings([r.term for r in ranked]), _strings([r.official for r in ranked])
-        first = F.try_element_at(F.filter(spellings, lambda t: F.col("_text").contains(t)), F.lit(1))
-        found = F.try_element_at(officials, F.nullif(F.array_position(spellings, first), F.lit(0)).cast("int"))
-        return items.withColumn("_text", normalized).withColumn(name, found).drop("_text")
+        # bound, since the optimizer would write the whole normalization into the test of every spelling
+        first = let(normalized, lambda x: F.try_element_at(F.filter(spellings, lambda t: x.contains(t)), F.lit(1)))
+        found = let(first, lambda f: F.try_element_at(officials, F.nullif(F.array_position(spellings, f), F.lit(0)).cast("int")))
+        return items.withColumn(name, found)
     filed = catalog.filed
     sizes = filed.groupBy(F.length("gram").alias("length")).agg(F.count("*").alias("n")).collect()  # a row per gram length
     lists = max(1, -(-sum(r.n for r in sizes) // CANDIDATES))
     keyed = items.withColumn("_text", normalized).withColumn("_id", F.md5("_text"))
     texts = keyed.groupBy("_id").agg(F.min("_text").alias("_text"))
-    grams = texts.select("_id", F.explode(char_grams(F.col("_text"), sorted(r.length for r in sizes))).alias("gram"))
+    # explode_outer: before a plain explode the optimizer would compute the grams twice more, to test that there are some
+    grams = keyed.select("_id", F.explode_outer(char_grams(F.col("_text"), sorted(r.length for r in sizes))).alias("gram"))
     met = grams.join(broadcast_if_small(filed.select("gram").distinct(), filed), "gram", "left_semi").join(broadcast_if_small(filed), "gram")
     rank = F.struct((-F.length("term")).alias("length"), "place", "term", "official")
-    candidates = met.groupBy("_id", F.pmod(F.xxhash64("term"), F.lit(lists)).alias("list")).agg(F.sort_array(F.collect_list(rank)).alias("ranked"))
+    candidates = met.groupBy("_id", F.pmod(F.xxhash64("term"), F.lit(lists)).alias("list")).agg(F.sort_array(F.collect_set(rank)).alias("ranked"))
     inside = candidates.join(texts, "_id").select("_id", F.try_element_at(F.filter("ranked", lambda r: F.col("_text").contains(r["term"])), F.lit(1)).alias("r"))
     best = inside.where("r is not null").groupBy("_id").agg(F.min("r")["official"].alias(name))
     return keyed.drop("_text").join(best, "_id", "left").drop("_id")
@@ -148,10 +150,10 @@ def match_words(items: DataFrame, normalized: Column, municipalities: DataFrame,
         spellings, officials = ranked
         place = let(normalized, lambda text: place_of_hits(phrase_hits(text, spellings), spellings, officials))
         return items.withColumn(name, place)
+    terms = cut_to_table(terms)  # as constants they would be written out into a test of every run
     longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     keyed = items.withColumn("_text", normalized).withColumn("_id", F.xxhash64("_text"))
-    texts = keyed.groupBy("_id").agg(F.min("_text").alias("_text"))
-    grams = texts.select("_id", F.explode(word_ngrams(F.col("_text"), longest)).alias("term"))
+    grams = keyed.select("_id", F.explode_outer(word_ngrams(F.col("_text"), longest)).alias("term"))
     best = (
         grams.join(broadcast_if_small(terms), "term")
         .groupBy("_id")
@@ -206,16 +208,32 @@ class TermMatcher:
             "is_excluded": F.arrays_overlap(hits, _strings(self.excluded)),
         }
 
-    def joined(self, items: DataFrame, normalized: Column) -> DataFrame:
-        """The same facts for lists of any size: the word runs of distinct texts meet the words by equality."""
-        longest = self.table.agg(F.max(F.size(F.split("n", " ")))).first()[0] or 1
+    def joined(self, items: DataFrame, normalized: Column, places: DataFrame | None = None) -> DataFrame:
+        """The same facts for lists of any size: the word runs of every text meet the words by equality. With ``places`` (see
+        ``word_terms``) the same runs find the place, as ``_by_text``.
+
+        Texts are cut into runs where they stand, only hits are shuffled. Equal texts give equal hits, which the set takes once; words
+        that a list has several times are counted there and come back as often.
+        """
+        # written once: of a catalog made of constants the optimizer would test every run against each normalization written out
+        table = self.table.withColumn("ord", F.lit(None).cast("long"))
+        if places is not None:
+            table = table.unionByName(places.select(F.col("term").alias("n"), F.col("official").alias("term"), F.lit(None).cast("string").alias("kind"),
+                                                    F.lit("place").alias("role"), F.col("ord").cast("long").alias("ord")))
+        words = cut_to_table(table.groupBy(*table.columns).agg(F.count(F.lit(1)).cast("int").alias("times")))
+        longest = words.agg(F.max(F.size(F.split("n", " ")))).first()[0] or 1
         keyed = items.withColumn("_text", normalized).withColumn("_id", F.md5("_text"))
-        texts = keyed.groupBy("_id").agg(F.min("_text").alias("_text"))
-        runs = texts.select("_id", F.explode(word_ngrams(F.col("_text"), longest)).alias("n"))
-        rule = F.when(F.col("role") == "rule", F.struct("term", "kind"))
-        met = runs.join(broadcast_if_small(self.table), "n").groupBy("_id").agg(
-            F.sort_array(F.collect_list(rule)).alias("matched_rules"),  # collect_list leaves nulls out
+        # explode_outer: before a plain explode the optimizer would compute the runs twice more, to test that there are some
+        runs = keyed.select("_id", F.explode_outer(word_ngrams(F.col("_text"), longest)).alias("n"))
+        rule = F.when(F.col("role") == "rule", F.struct("term", "kind", "n", "times"))
+        is_place = F.col("role") == "place"
+        place = F.min_by(F.when(is_place, F.col("term")), F.when(is_place, F.struct(-F.length("n"), F.col("ord"))))
+        met = runs.join(broadcast_if_small(words), "n").groupBy("_id").agg(
+            *([] if places is None else [place.alias("_by_text")]),
+            F.sort_array(F.collect_set(rule)).alias("_rules"),  # collect_set leaves nulls out
             F.bool_or(F.col("role") == "context").alias("has_context"), F.bool_or(F.col("role") == "excluded").alias("is_excluded"))
+        told = F.flatten(F.transform("_rules", lambda r: F.array_repeat(F.struct(r["term"].alias("term"), r["kind"].alias("kind")), r["times"])))
+        met = met.withColumn("matched_rules", told).drop("_rules")
         out = keyed.drop("_text").join(met, "_id", "left").drop("_id")
         none = F.array().cast("array<struct<term:string,kind:string>>")
         return out.withColumns({"matched_rules": F.coalesce("matched_rules", none), "has_context": F.coalesce("has_context", F.lit(False)), "is_excluded": F.coalesce("is_excluded", F.lit(False))})
@@ -315,9 +333,9 @@ def match_items(items: DataFrame, sources: DataFrame, municipalities: DataFrame,
         out = out.select("*", F.inline(F.filter(F.array(found), wanted)))
     else:
         told = F.struct("matched_rules", "has_context", "is_excluded")
-        out = matcher.joined(out, text).where(wanted(told)).withColumn("_by_text", F.lit(None).cast("string"))
+        out = matcher.joined(out, text, places).where(wanted(told))
     out = out.withColumn("_row", F.concat_ws("|", "source_id", "external_id", "official_url"))
-    if not literal:
+    if matcher.literal and not literal:
         out = match_words(out.drop("_by_text"), text, municipalities, "_by_text", literal_rows)
     out = resolve_municipality(out, F.col("_by_text"), municipalities).where("municipality is not null")
     if known_urls is None:

@@ -227,3 +227,21 @@ def test_plans_have_no_products(spark):
     state = snapshot(spark, [("a", Decimal("1.00"))])
     for plan in (plan_of(D.assign_survivors(df)), plan_of(K.state_diff(state, state, F.lit(NOW), True))):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_large_lists_are_read_once_and_meet_texts_in_place(spark):
+    """Equal texts, a rule listed twice, a place of two words; no text is shuffled and no run is tested against written-out constants."""
+    items = spark.createDataFrame([(1, "Árbol in San Juan"), (2, "Árbol in San Juan"), (3, "x"), (4, "")], "seq int, x string")
+    terms = spark.sql("select 'árbol' as term, 'planning' as kind union all select 'árbol', 'planning' union all select 'none', 'other'")
+    words, none = spark.sql("select 'in' as term"), spark.sql("select 'x' as term")
+    rows = M.match_terms(items, normalize_text(F.col("x")), terms, words, none, literal_rows=0)
+    told = {r.seq: ([(m.term, m.kind) for m in r.matched_rules], r.has_context, r.is_excluded) for r in rows.collect()}
+    rule = ("árbol", "planning")
+    assert told == {1: ([rule, rule], True, False), 2: ([rule, rule], True, False), 3: ([], False, True), 4: ([], False, False)}
+    assert "planning" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    places = spark.createDataFrame([(0, "San", [], [], True), (1, "San Juan", [], [], True)],
+                                   "ord int, official_name string, aliases array<string>, localities array<string>, enabled boolean")
+    found = M.TermMatcher(terms, words, none, 0).joined(items, normalize_text(F.col("x")), M.word_terms(places)).select("seq", "_by_text").collect()
+    assert {r.seq: r[1] for r in found} == {1: "San Juan", 2: "San Juan", 3: None, 4: None}
+    plan = M.match_catalog(items, F.col("x"), places, "m").select("m")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\p{L}") == 1

@@ -162,31 +162,35 @@ def reachable_pages(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_de
     normalized URLs. One round per depth: frontier join, first way per URL, minus what was seen. The
     place of a page is the chain of link ranks that leads to it, which sorts like the queue of a
     breadth-first walk without ever numbering a level. The page cap keeps the first ``max_pages``. Pages that
-    the policy or the robots rules deny (see ``readable_pages``) open no links and take no place; they are
-    found once, before the first round, and every round meets the others only.
+    the policy or the robots rules deny (see ``readable_pages``) open no links and take no place. Only pages that
+    a round has reached are looked up and judged, each in its own round; a small frontier is broadcast to pages and
+    links, so that neither table is shuffled or made distinct as a whole.
     """
-    known = readable_pages(pages, sources, blocklist, rules)
-    if sources is not None or rules is not None:
-        known = cut_to_table(known)
+    def reached(frontier: DataFrame) -> DataFrame:
+        """The rows of a frontier whose page is there and may be read."""
+        keys = frontier.select("source_id", "url")
+        met = pages.select("source_id", "url").join(broadcast_if_small(keys), ["source_id", "url"], "left_semi").distinct()
+        if sources is not None or rules is not None:
+            met = readable_pages(cut_to_table(met), sources, blocklist, rules)
+        return cut_to_table(frontier.join(met, ["source_id", "url"], "left_semi"))
+
     ranked = seeds.withColumn("place", F.format_string("%012d", F.col("seq")))
     frontier = first_per_key(ranked.select("source_id", "url", "place"), ["source_id", "url"], [F.col("place")])
     frontier = cut_lineage(frontier.withColumn("depth", F.lit(0)).select("source_id", "url", "place", "depth"))
-    seen = frontier
+    seen, read = frontier, reached(frontier)
+    every = read
     for depth in range(1, max_depth + 1):
-        readable = frontier.join(known, ["source_id", "url"], "left_semi")
-        steps = readable.join(
-            links.withColumnRenamed("from_url", "_from"),
-            (readable["source_id"] == links["source_id"]) & (readable["url"] == F.col("_from")),
-        ).select(readable["source_id"], F.col("to_url").alias("url"),
-                 F.concat_ws("/", "place", F.format_string("%06d", "rank")).alias("place"))
+        opened = read.select("source_id", F.col("url").alias("from_url"), "place")
+        steps = links.join(broadcast_if_small(opened), ["source_id", "from_url"]).select(
+            "source_id", F.col("to_url").alias("url"), F.concat_ws("/", "place", F.format_string("%06d", "rank")).alias("place"))
         firsts = first_per_key(steps, ["source_id", "url"], [F.col("place")])
         frontier = firsts.join(seen.select("source_id", "url"), ["source_id", "url"], "left_anti")
         frontier = cut_lineage(frontier.withColumn("depth", F.lit(depth)).select("source_id", "url", "place", "depth"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    readable = seen.join(known, ["source_id", "url"], "left_semi")
-    return top_n_per_key(readable, ["source_id"], [F.col("depth"), F.col("place")], max_pages, F.col(spread))
+        seen, read = seen.unionByName(frontier), reached(frontier)
+        every = every.unionByName(read)
+    return top_n_per_key(every, ["source_id"], [F.col("depth"), F.col("place")], max_pages, F.col(spread))
 
 
 def crawl_report(urls: DataFrame) -> DataFrame:

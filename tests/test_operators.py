@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from listing_radar import schemas
+from listing_radar.functions.scores import evidence_keywords
 from listing_radar.functions.text import normalize_text
-from listing_radar.operators import candidates as C, changes as K, dedupe as D, enrich as N, health as H, matching as M, scale
+from listing_radar.operators import candidates as C, changes as K, dedupe as D, enrich as N, health as H, links as L, matching as M, scale
+from listing_radar.plans.enrichment import pattern_proposals
 from listing_radar.plans.promotions import empty_facts
 
 NOW = datetime(2026, 7, 1)
@@ -245,3 +247,30 @@ def test_large_lists_are_read_once_and_meet_texts_in_place(spark):
     assert {r.seq: r[1] for r in found} == {1: "San Juan", 2: "San Juan", 3: None, 4: None}
     plan = M.match_catalog(items, F.col("x"), places, "m").select("m")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\\p{L}") == 1
+
+
+def test_walk_judges_reached_pages_only(spark, monkeypatch):
+    judged, judge = [], L.readable_pages
+    monkeypatch.setattr(L, "readable_pages", lambda pages, *rest: judged.extend(r.url for r in pages.collect()) or judge(pages, *rest))
+    urls = [f"https://w.example.org/{n}" for n in range(50)]
+    pages = spark.createDataFrame([(1, u) for u in urls] * 2, "source_id int, url string")
+    links = spark.createDataFrame([(1, urls[0], urls[2], 1), (1, urls[0], urls[3], 2), (1, urls[2], urls[4], 1), (1, urls[3], urls[5], 1)],
+                                  "source_id int, from_url string, to_url string, rank int")
+    seeds = spark.createDataFrame([(1, urls[0], 0)], "source_id int, url string, seq long")
+    rules = spark.createDataFrame([("w.example.org", "disallow", "/2", 0)], "host string, kind string, value string, line_no int")
+    found = L.reachable_pages(pages, links, seeds, 3, 20, rules=rules).select("url", "depth").collect()
+    assert sorted((r.url, r.depth) for r in found) == [(urls[0], 0), (urls[3], 1), (urls[5], 2)]
+    assert sorted(judged) == [urls[0], urls[2], urls[3], urls[5]]
+
+
+def test_keywords_and_proposals_are_computed_once(spark):
+    df = spark.createDataFrame([(1, "Precio", "precio", ["priceFrom", "usableAreaMinSqm", "builtAreaMinSqm"]), (2, " ", None, ["plotAreaMinSqm"])],
+                               "id int, name string, place string, missing array<string>")
+    rows = df.select("id", evidence_keywords(F.col("name"), F.col("place"), F.col("missing")).alias("w"))
+    assert {r.id: r.w for r in rows.collect()} == {
+        1: ["Precio", "desde", "hasta", "euros", "€", "útiles", "utiles", "superficie", "m²", "m2", "construidos", "construida"],
+        2: ["parcela", "jardín", "jardin", "m²", "m2"]}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("euros") == 1
+    pages = df.select(F.col("id").alias("promotion_id"), F.array(F.struct(F.lit("u").alias("url"), F.concat("name", F.lit(" 3 dormitorios")).alias("text"))).alias("pages"))
+    made = pattern_proposals(pages)
+    assert {(r.promotion_id, r.field, r.value_text) for r in made.collect()} == {(n, "bedroomsMin", "3") for n in (1, 2)}

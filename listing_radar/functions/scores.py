@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from listing_radar import fixed_values as V
@@ -155,15 +157,37 @@ def missing_fields(row: dict[str, Column]) -> Column:
 
 
 def evidence_keywords(name: Column, municipality: Column, missing: Column) -> Column:
-    """Name, place and the words that go with the missing fields; first spelling wins whatever the case."""
-    words = F.array(name, municipality)
-    for fields, keywords in V.EVIDENCE_KEYWORDS.items():
-        wanted = F.arrays_overlap(missing, F.array(*[F.lit(f) for f in fields]))
-        none = F.array().cast("array<string>")
-        words = F.concat(words, F.when(wanted, F.array(*[F.lit(k) for k in keywords])).otherwise(none))
-    words = F.filter(words, lambda w: F.trim(F.coalesce(w, F.lit(""))) != "")
-    folded = F.transform(words, F.lower)
-    return F.filter(words, lambda w, i: F.array_position(folded, F.lower(w)) == i + 1)
+    """Name, place and the words that go with the missing fields; first spelling wins whatever the case.
+
+    The word lists are constants, so which of them share a word is known before any row is read: a row compares its words with its
+    name and place only.
+    """
+    def wanted(known: Column, fields: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, [F.array_contains(known, f) for f in fields])
+
+    def listed(known: Column) -> Column:
+        seen: dict[str, list[tuple[str, ...]]] = {}
+        words = []
+        for fields, keywords in V.EVIDENCE_KEYWORDS.items():
+            for k in keywords:
+                before = seen.setdefault(k.lower(), [])
+                if fields not in before:
+                    shown = reduce(lambda a, f: a & ~wanted(known, f), before, wanted(known, fields))
+                    words.append(F.when(shown, F.lit(k)))
+                    before.append(fields)
+        return F.array(*words)
+
+    def spelled(word: Column) -> Column:
+        return F.when(F.trim(F.coalesce(word, F.lit(""))) != "", word)
+
+    def distinct(own: Column) -> Column:
+        place = F.when(~own["municipality"].eqNullSafe(own["name"]), own["place"])
+        others = F.filter(let(missing, listed), lambda w: w.isNotNull() & ~F.lower(w).eqNullSafe(own["name"]) & ~F.lower(w).eqNullSafe(own["municipality"]))
+        return F.concat(F.array_compact(F.array(own["title"], place)), others)
+
+    title, place = spelled(name), spelled(municipality)
+    own = F.struct(title.alias("title"), place.alias("place"), F.lower(title).alias("name"), F.lower(place).alias("municipality"))
+    return let(own, distinct)
 
 
 def _price(model: Column, position: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_radar import fixed_values as V, schemas
 from listing_radar.functions import ids, patterns as P, scores
-from listing_radar.functions.text import clean_evidence
+from listing_radar.functions.text import clean_evidence, let
 from listing_radar.operators import enrich
 from listing_radar.operators.scale import one_row
 from listing_radar.session import cut_to_table
@@ -24,29 +24,38 @@ def pattern_proposals(evidence: DataFrame) -> DataFrame:
     pages = evidence.select("promotion_id", F.posexplode("pages").alias("page_no", "p")).select(
         "promotion_id", "page_no", F.col("p.url").alias("source_url"), F.col("p.text").alias("text"))
     text = F.col("text")
-    found = [
-        ("priceFrom", P.price_range(text)["price_from"], V.PAT_PRICE),
-        ("priceTo", P.price_range(text)["price_to"], V.PAT_PRICE),
-        ("builtAreaMinSqm", P.built_area(text)["min"], V.PAT_BUILT_AREA),
-        ("builtAreaMaxSqm", P.built_area(text)["max"], V.PAT_BUILT_AREA),
-        ("plotAreaMinSqm", P.plot_area(text)["min"], V.PAT_PLOT_AREA),
-        ("plotAreaMaxSqm", P.plot_area(text)["max"], V.PAT_PLOT_AREA),
-        ("bedroomsMin", P.bedrooms(text)["min"], V.PAT_BEDROOMS),
-        ("bedroomsMax", P.bedrooms(text)["max"], V.PAT_BEDROOMS),
-        ("bathroomsMin", P.bathrooms(text)["min"], V.PAT_BATHROOMS),
-        ("bathroomsMax", P.bathrooms(text)["max"], V.PAT_BATHROOMS),
-        ("garageSpacesMin", P.garage_spaces(text)["min"], V.PAT_GARAGE),
-        ("garageSpacesMax", P.garage_spaces(text)["max"], V.PAT_GARAGE),
-        ("totalUnits", P.total_units(text), V.PAT_UNITS),
-        ("deliveryDateText", P.delivery(text)["text"], V.PAT_DELIVERY),
-        ("developerName", P.developer_name(text), V.PAT_DEVELOPER),
-    ]
-    proposals = F.array_compact(F.array(*[
-        F.when(value.isNotNull(), F.struct(
-            F.lit(name).alias("field"), value.cast("string").alias("value_text"),
-            F.regexp_substr(text, F.lit(V.FLAGS + pattern)).alias("evidence_text")))
-        for name, value, pattern in found]))
-    rows = pages.select("promotion_id", "source_url", "page_no", F.posexplode(proposals).alias("pos", "f"))
+    # every fact is read once and bound: written out, a text would be searched again for each use of a value
+    facts = F.struct(
+        P.price_range(text).alias("price"), P.built_area(text).alias("built"), P.plot_area(text).alias("plot"), P.bedrooms(text).alias("bedrooms"),
+        P.bathrooms(text).alias("bathrooms"), P.garage_spaces(text).alias("garage"), P.total_units(text).alias("units"),
+        P.delivery(text).alias("delivery"), P.developer_name(text).alias("developer"))
+
+    def proposals(f: Column) -> Column:
+        found = [
+            ("priceFrom", f["price"]["price_from"], V.PAT_PRICE),
+            ("priceTo", f["price"]["price_to"], V.PAT_PRICE),
+            ("builtAreaMinSqm", f["built"]["min"], V.PAT_BUILT_AREA),
+            ("builtAreaMaxSqm", f["built"]["max"], V.PAT_BUILT_AREA),
+            ("plotAreaMinSqm", f["plot"]["min"], V.PAT_PLOT_AREA),
+            ("plotAreaMaxSqm", f["plot"]["max"], V.PAT_PLOT_AREA),
+            ("bedroomsMin", f["bedrooms"]["min"], V.PAT_BEDROOMS),
+            ("bedroomsMax", f["bedrooms"]["max"], V.PAT_BEDROOMS),
+            ("bathroomsMin", f["bathrooms"]["min"], V.PAT_BATHROOMS),
+            ("bathroomsMax", f["bathrooms"]["max"], V.PAT_BATHROOMS),
+            ("garageSpacesMin", f["garage"]["min"], V.PAT_GARAGE),
+            ("garageSpacesMax", f["garage"]["max"], V.PAT_GARAGE),
+            ("totalUnits", f["units"], V.PAT_UNITS),
+            ("deliveryDateText", f["delivery"]["text"], V.PAT_DELIVERY),
+            ("developerName", f["developer"], V.PAT_DEVELOPER),
+        ]
+        return F.array_compact(F.array(*[
+            F.when(value.isNotNull(), F.struct(
+                F.lit(name).alias("field"), value.cast("string").alias("value_text"),
+                F.regexp_substr(text, F.lit(V.FLAGS + pattern)).alias("evidence_text")))
+            for name, value, pattern in found]))
+
+    # posexplode_outer: before a plain one the optimizer would compute the list twice more, to test that it is not empty
+    rows = pages.select("promotion_id", "source_url", "page_no", F.posexplode_outer(let(facts, proposals)).alias("pos", "f"))
     return rows.where("f.evidence_text is not null").select(
         "promotion_id", (F.col("page_no") * 100 + F.col("pos")).cast("int").alias("ord"), F.col("f.field").alias("field"),
         F.col("f.value_text").alias("value_text"), "source_url", F.col("f.evidence_text").alias("evidence_text"),

@@ -6,6 +6,8 @@ captured groups behind a control character, which no collapsed text contains.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from listing_radar import fixed_values as V
@@ -15,16 +17,32 @@ from listing_radar.functions.text import clean_evidence, let
 _MARK = "\u0001"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike(V.FLAGS + pattern), F.lit(False))
+def folded(text: Column) -> Column:
+    """Lower case as the patterns compare letters: long s, dotless and dotted i are plain ones."""
+    plain = F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))
+    return F.replace(plain, F.lit("\u0307"), F.lit(""))
+
+
+def _possible(text: Column, pattern: str, low: Column | None) -> Column:
+    """The text has the literals without which the pattern cannot match: far cheaper than the pattern, and false for most."""
+    low, out = folded(text) if low is None else low, F.lit(True)
+    for words in V.PAT_NEEDS.get(pattern, ()):
+        out = out & reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    return out
+
+
+def matches(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """``low``: the folded text, for callers that ask for many facts; here and below it is made where it is not given."""
+    return F.coalesce(_possible(text, pattern, low) & text.rlike(V.FLAGS + pattern), F.lit(False))
 
 
-def first_groups(text: Column, pattern: str, *groups: str) -> Column:
+def first_groups(text: Column, pattern: str, *groups: str, low: Column | None = None) -> Column:
     """Group texts of the first match as an array, null without a match."""
     rewritten = F.regexp_replace(
         text, F.lit(V.FLAGS + "(?s)^.*?(?:" + pattern + ").*$"), F.lit(_MARK + _MARK.join(groups))
     )
-    return let(rewritten, lambda r: F.when(r.startswith(_MARK), F.slice(F.split(r, _MARK), 2, len(groups))))
+    found = let(rewritten, lambda r: F.when(r.startswith(_MARK), F.slice(F.split(r, _MARK), 2, len(groups))))
+    return F.when(_possible(text, pattern, low), found)
 
 
 def _group(found: Column, position: int) -> Column:
@@ -58,7 +76,7 @@ def _smallest_and_largest(values: Column, low: str, high: str) -> Column:
     )
 
 
-def _plausible_prices(text: Column) -> Column:
+def _plausible_prices(text: Column, low: Column | None = None) -> Column:
     """Prices that are no monthly amounts. Works on the pieces around every match: 30 characters before
     it (70 in all around it) decide whether the amount is paid per month."""
     end = "\u0002"
@@ -84,108 +102,110 @@ def _plausible_prices(text: Column) -> Column:
             F.size(pieces) > 1, F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: describe(pieces, i))
         ).otherwise(F.array().cast("array<decimal(14,2)>"))
 
-    return F.filter(let(F.split(marked, _MARK), read), lambda v: v.between(*V.PRICE_RANGE))
+    found = F.filter(let(F.split(marked, _MARK), read), lambda v: v.between(*V.PRICE_RANGE))
+    return F.when(_possible(text, V.PAT_PRICE, low), found).otherwise(F.array().cast("array<decimal(14,2)>"))
 
 
-def price_range(text: Column) -> Column:
+def price_range(text: Column, low: Column | None = None) -> Column:
     """struct(price_from, price_to): smallest and, if there are two, largest plausible price."""
-    return _smallest_and_largest(_plausible_prices(text), "price_from", "price_to")
+    return _smallest_and_largest(_plausible_prices(text, low), "price_from", "price_to")
 
 
-def _decimal_range(text: Column, pattern: str, groups: tuple[str, str], allowed: tuple[int, int]) -> Column:
+def _decimal_range(text: Column, pattern: str, groups: tuple[str, str], allowed: tuple[int, int], low: Column | None) -> Column:
     def read(pair: Column) -> Column:
-        low, high = pair["min"], pair["max"]
-        ok = low.between(*allowed) & (high.isNull() | high.between(*allowed))
-        return F.struct(F.when(ok, low).alias("min"), F.when(ok, high).alias("max"))
+        least, most = pair["min"], pair["max"]
+        ok = least.between(*allowed) & (most.isNull() | most.between(*allowed))
+        return F.struct(F.when(ok, least).alias("min"), F.when(ok, most).alias("max"))
 
     def numbers(found: Column) -> Column:
         return F.struct(
             parse_spanish_decimal(_group(found, 1)).alias("min"), parse_spanish_decimal(_group(found, 2)).alias("max"))
 
-    return let(let(first_groups(text, pattern, *groups), numbers), read)
+    return let(let(first_groups(text, pattern, *groups, low=low), numbers), read)
 
 
-def built_area(text: Column) -> Column:
-    return _decimal_range(text, V.PAT_BUILT_AREA, V.BUILT_AREA_GROUPS, V.BUILT_AREA_RANGE)
+def built_area(text: Column, low: Column | None = None) -> Column:
+    return _decimal_range(text, V.PAT_BUILT_AREA, V.BUILT_AREA_GROUPS, V.BUILT_AREA_RANGE, low)
 
 
-def plot_area(text: Column) -> Column:
+def plot_area(text: Column, low: Column | None = None) -> Column:
     """First plot range; failing that the smallest and largest 'N metros de parcela'."""
     texts = F.regexp_extract_all(text, F.lit(V.FLAGS + V.PAT_PLOT_VALUE), F.lit(1))
     values = F.filter(F.transform(texts, parse_spanish_decimal), lambda v: v.between(*V.PLOT_AREA_RANGE))
+    values = F.when(_possible(text, V.PAT_PLOT_VALUE, low), values)
     every = _smallest_and_largest(values, "min", "max")
-    first = _decimal_range(text, V.PAT_PLOT_AREA, ("$1", "$2"), V.PLOT_AREA_RANGE)
+    first = _decimal_range(text, V.PAT_PLOT_AREA, ("$1", "$2"), V.PLOT_AREA_RANGE, low)
     return let(first, lambda f: F.when(f["min"].isNotNull(), f).otherwise(every))
 
 
-def _int_range(text: Column, pattern: str) -> Column:
+def _int_range(text: Column, pattern: str, low: Column | None) -> Column:
     def read(found: Column) -> Column:
-        low, high = _group(found, 1).try_cast("int"), _group(found, 2).try_cast("int")
-        return F.struct(low.alias("min"), F.when(low.isNotNull(), high).alias("max"))
+        least, most = _group(found, 1).try_cast("int"), _group(found, 2).try_cast("int")
+        return F.struct(least.alias("min"), F.when(least.isNotNull(), most).alias("max"))
 
-    return let(first_groups(text, pattern, "$1", "$2"), read)
+    return let(first_groups(text, pattern, "$1", "$2", low=low), read)
 
 
-def bedrooms(text: Column) -> Column:
-    return _int_range(text, V.PAT_BEDROOMS)
+def bedrooms(text: Column, low: Column | None = None) -> Column:
+    return _int_range(text, V.PAT_BEDROOMS, low)
 
 
-def bathrooms(text: Column) -> Column:
-    return _int_range(text, V.PAT_BATHROOMS)
+def bathrooms(text: Column, low: Column | None = None) -> Column:
+    return _int_range(text, V.PAT_BATHROOMS, low)
 
 
-def garage_spaces(text: Column) -> Column:
-    return _int_range(text, V.PAT_GARAGE)
+def garage_spaces(text: Column, low: Column | None = None) -> Column:
+    return _int_range(text, V.PAT_GARAGE, low)
 
 
-def property_types(text: Column) -> Column:
+def property_types(text: Column, low: Column | None = None) -> Column:
     """Sorted array of the three house types the text names."""
-    town = matches(text, V.PAT_TOWNHOUSE) & ~matches(text, V.PAT_NOT_TOWNHOUSE)
+    town = matches(text, V.PAT_TOWNHOUSE, low) & ~matches(text, V.PAT_NOT_TOWNHOUSE, low)
     return F.array_compact(
         F.array(
             F.when(town, F.lit("Adosado")),
-            F.when(matches(text, V.PAT_INDEPENDENT), F.lit("Independiente")),
-            F.when(matches(text, V.PAT_SEMI_DETACHED), F.lit("Pareado")),
+            F.when(matches(text, V.PAT_INDEPENDENT, low), F.lit("Independiente")),
+            F.when(matches(text, V.PAT_SEMI_DETACHED, low), F.lit("Pareado")),
         )
     )
 
 
-def private_pool(text: Column) -> Column:
-    return F.when(matches(text, V.PAT_PRIVATE_POOL), F.lit(True))
+def private_pool(text: Column, low: Column | None = None) -> Column:
+    return F.when(matches(text, V.PAT_PRIVATE_POOL, low), F.lit(True))
 
 
-def community_pool(text: Column) -> Column:
-    return F.when(matches(text, V.PAT_COMMUNITY_POOL), F.lit(True))
+def community_pool(text: Column, low: Column | None = None) -> Column:
+    return F.when(matches(text, V.PAT_COMMUNITY_POOL, low), F.lit(True))
 
 
-def commercial_status(text: Column, previous: Column | None = None) -> Column:
+def commercial_status(text: Column, previous: Column | None = None, low: Column | None = None) -> Column:
     return (
-        F.when(matches(text, V.PAT_SOLD_OUT), F.lit("soldOut"))
-        .when(matches(text, V.PAT_LAST_UNITS), F.lit("lastUnits"))
-        .when(matches(text, V.PAT_UPCOMING), F.lit("upcoming"))
-        .when(matches(text, V.PAT_PRE_SALES), F.lit("preSales"))
-        .when(matches(text, V.PAT_ON_SALE), F.lit("onSale"))
+        F.when(matches(text, V.PAT_SOLD_OUT, low), F.lit("soldOut"))
+        .when(matches(text, V.PAT_LAST_UNITS, low), F.lit("lastUnits"))
+        .when(matches(text, V.PAT_UPCOMING, low), F.lit("upcoming"))
+        .when(matches(text, V.PAT_PRE_SALES, low), F.lit("preSales"))
+        .when(matches(text, V.PAT_ON_SALE, low), F.lit("onSale"))
         .otherwise(F.lit("unknown") if previous is None else previous)
     )
 
 
-def construction_status(text: Column, previous: Column | None = None) -> Column:
+def construction_status(text: Column, previous: Column | None = None, low: Column | None = None) -> Column:
     return (
-        F.when(matches(text, V.PAT_COMPLETED), F.lit("completed"))
-        .when(matches(text, V.PAT_UNDER_CONSTRUCTION), F.lit("underConstruction"))
-        .when(matches(text, V.PAT_LICENSED), F.lit("licensed"))
-        .when(matches(text, V.PAT_LICENCE_REQUESTED), F.lit("planned"))
+        F.when(matches(text, V.PAT_COMPLETED, low), F.lit("completed"))
+        .when(matches(text, V.PAT_UNDER_CONSTRUCTION, low), F.lit("underConstruction"))
+        .when(matches(text, V.PAT_LICENSED, low), F.lit("licensed"))
+        .when(matches(text, V.PAT_LICENCE_REQUESTED, low), F.lit("planned"))
         .otherwise(F.lit("unknown") if previous is None else previous)
     )
 
 
-def licence_status(text: Column) -> Column:
-    return F.when(matches(text, V.PAT_LICENSED), F.lit("Concedida")).when(
-        matches(text, V.PAT_LICENCE_REQUESTED), F.lit("Solicitada")
+def licence_status(text: Column, low: Column | None = None) -> Column:
+    return F.when(matches(text, V.PAT_LICENSED, low), F.lit("Concedida")).when(
+        matches(text, V.PAT_LICENCE_REQUESTED, low), F.lit("Solicitada")
     )
 
 
-def delivery(text: Column) -> Column:
+def delivery(text: Column, low: Column | None = None) -> Column:
     """struct(text, date) of the first delivery statement."""
     def read(found: Column) -> Column:
         return F.struct(
@@ -193,33 +213,33 @@ def delivery(text: Column) -> Column:
             estimate_delivery(_group(found, 3).try_cast("int"), _group(found, 2).try_cast("int")).alias("date"),
         )
 
-    return let(first_groups(text, V.PAT_DELIVERY, "$1", "$2", "$3"), read)
+    return let(first_groups(text, V.PAT_DELIVERY, "$1", "$2", "$3", low=low), read)
 
 
-def total_units(text: Column) -> Column:
-    return _group(first_groups(text, V.PAT_UNITS, "$1"), 1).try_cast("int")
+def total_units(text: Column, low: Column | None = None) -> Column:
+    return _group(first_groups(text, V.PAT_UNITS, "$1", low=low), 1).try_cast("int")
 
 
-def available_units(text: Column) -> Column:
-    stated = _group(first_groups(text, V.PAT_AVAILABLE, "$1$2"), 1).try_cast("int")
-    return F.coalesce(stated, F.when(matches(text, V.PAT_SINGLE_AVAILABLE), F.lit(1)))
+def available_units(text: Column, low: Column | None = None) -> Column:
+    stated = _group(first_groups(text, V.PAT_AVAILABLE, "$1$2", low=low), 1).try_cast("int")
+    return F.coalesce(stated, F.when(matches(text, V.PAT_SINGLE_AVAILABLE, low), F.lit(1)))
 
 
-def developer_name(text: Column) -> Column:
-    value = _group(first_groups(text, V.PAT_DEVELOPER, "$1"), 1)
+def developer_name(text: Column, low: Column | None = None) -> Column:
+    value = _group(first_groups(text, V.PAT_DEVELOPER, "$1", low=low), 1)
     return let(value, lambda v: F.when(v.isNotNull(), clean_evidence(v, 120)))
 
 
-def brochure_title(text: Column) -> Column:
-    value = _group(first_groups(text, V.PAT_BROCHURE_TITLE, "$1"), 1)
+def brochure_title(text: Column, low: Column | None = None) -> Column:
+    value = _group(first_groups(text, V.PAT_BROCHURE_TITLE, "$1", low=low), 1)
     return let(value, lambda v: F.when(v.isNotNull(), clean_evidence(v, 160)))
 
 
-def is_listing_text(text: Column) -> Column:
-    return matches(text, V.PAT_TERMS)
+def is_listing_text(text: Column, low: Column | None = None) -> Column:
+    return matches(text, V.PAT_TERMS, low)
 
 
-def evidence_fragment(text: Column, pattern: str) -> Column:
+def evidence_fragment(text: Column, pattern: str, low: Column | None = None) -> Column:
     """Excerpt with 60 characters on both sides of the first match; '' without a match."""
     full = F.lit(V.FLAGS + pattern)
 
@@ -227,4 +247,4 @@ def evidence_fragment(text: Column, pattern: str) -> Column:
         excerpt = F.substring(text, F.greatest(at - 60, F.lit(1)), F.length(F.regexp_substr(text, full)) + 120)
         return F.when(at > 0, clean_evidence(excerpt)).otherwise(F.lit(""))
 
-    return let(F.regexp_instr(text, full), cut)
+    return F.when(_possible(text, pattern, low), let(F.regexp_instr(text, full), cut)).otherwise(F.lit(""))

@@ -107,3 +107,37 @@ def test_batches_cover_the_range(spark):
 
 def test_ngrams(values):
     assert values(lambda c: X.word_ngrams(c, 2), "a b a", "") == [["a", "b", "a b", "b a"], []]
+
+
+def test_literals_of_patterns_lose_no_match(spark):
+    """A pattern is left out only where it cannot match, also with letters that Java folds to plain ones."""
+    from listing_radar import fixed_values as V
+
+    examples = {
+        V.PAT_TERMS: "Obra nueva", V.PAT_PRICE: "desde 325.000 €", V.PAT_BUILT_AREA: "120 m2 construidos", V.PAT_PLOT_AREA: "parcela de 300 m²",
+        V.PAT_PLOT_VALUE: "300 metros de parcela", V.PAT_BEDROOMS: "3 habitaciones", V.PAT_BATHROOMS: "2 baños", V.PAT_GARAGE: "2 plazas de garaje",
+        V.PAT_INDEPENDENT: "chalets independientes", V.PAT_SEMI_DETACHED: "pareados", V.PAT_TOWNHOUSE: "adosadas", V.PAT_NOT_TOWNHOUSE: "no son adosados",
+        V.PAT_PRIVATE_POOL: "piscina privada", V.PAT_COMMUNITY_POOL: "piscina común", V.PAT_SOLD_OUT: "agotada", V.PAT_LAST_UNITS: "últimas unidades",
+        V.PAT_UPCOMING: "próxima fase", V.PAT_ON_SALE: "a la venta", V.PAT_PRE_SALES: "precomercialización", V.PAT_COMPLETED: "llave en mano",
+        V.PAT_UNDER_CONSTRUCTION: "obras iniciadas", V.PAT_LICENSED: "licencia obtenida", V.PAT_LICENCE_REQUESTED: "licencia de obra solicitada",
+        V.PAT_DELIVERY: "entrega prevista 2026", V.PAT_UNITS: "12 viviendas", V.PAT_AVAILABLE: "3 unidades disponibles", V.PAT_SINGLE_AVAILABLE: "última vivienda",
+        V.PAT_DEVELOPER: "Promueve: Casa Norte", V.PAT_BROCHURE_TITLE: "Residencial Sur", V.PAT_COMMERCIAL_EVIDENCE: "próximamente", V.PAT_CONSTRUCTION_EVIDENCE: "en construcción"}
+    assert examples.keys() == V.PAT_NEEDS.keys()
+    spellings = [lambda x: x, str.upper, lambda x: x.replace("s", "ſ"), lambda x: x.replace("i", "İ"), lambda x: x.replace("i", "ı").replace("k", "K"), lambda x: f"xx {x}. yy"]
+    texts = [(make(x),) for x in [*examples.values(), "nada", ""] for make in spellings] + [(None,)]
+    df = spark.createDataFrame(texts, "x string").select("x", P.folded(F.col("x")).alias("low"))
+    x, low = F.col("x"), F.col("low")
+    for pattern, example in examples.items():
+        rows = df.select("x", F.coalesce(x.rlike(V.FLAGS + pattern), F.lit(False)).alias("raw"), P.matches(x, pattern, low).alias("m")).collect()
+        assert [r.x for r in rows if r.raw != r.m] == [] and example in [r.x for r in rows if r.m]
+    priced = df.where("x = 'nada' or x is null").select(P.price_range(x, low)["price_from"].alias("p"), P.bedrooms(x)["min"].alias("b"), P.evidence_fragment(x, V.PAT_PRICE, low).alias("e"))
+    assert {tuple(r) for r in priced.collect()} == {(None, None, "")}
+
+
+def test_brochures_of_links_and_of_the_page_itself(spark):
+    from listing_radar.plans.promotions import brochure_urls
+
+    links = F.array(*[F.struct(F.lit(h).alias("href")) for h in ("/A.PDF?x=1", "c.html?f=.pdf", "#top", " ?a", "x/../b.pdf", "")])
+    found = spark.range(1).select(brochure_urls(F.lit("https://h.example.org/d/p.pdf"), links, F.lit(None).cast("array<string>")).alias("u")).first().u
+    base = "https://h.example.org"
+    assert found == sorted([f"{base}/A.PDF?x=1", f"{base}/d/p.pdf#top", f"{base}/d/p.pdf?a", f"{base}/d/b.pdf", f"{base}/d/p.pdf"])

@@ -274,3 +274,16 @@ def test_keywords_and_proposals_are_computed_once(spark):
     pages = df.select(F.col("id").alias("promotion_id"), F.array(F.struct(F.lit("u").alias("url"), F.concat("name", F.lit(" 3 dormitorios")).alias("text"))).alias("pages"))
     made = pattern_proposals(pages)
     assert {(r.promotion_id, r.field, r.value_text) for r in made.collect()} == {(n, "bedroomsMin", "3") for n in (1, 2)}
+
+
+def test_dedupe_rounds_move_numbers(spark):
+    """Edges are numbered in their order and each end is named by its first edge, with and without heavy keys; nulls come first."""
+    from listing_radar.operators import dedupe
+
+    rows = [("u2", "f1", ("b", "n", 5)), ("u1", "f1", ("a", None, 7)), ("u1", "f2", ("a", "n", 2)), ("u3", "f2", ("c", "n", 1))]
+    edges = spark.createDataFrame([(*r, 1) for r in rows], "_u string, _f string, _o struct<canonical_url:string,name:string,row_id:bigint>, _members bigint")
+    for heavy in (1, 2, 1000):
+        got = sorted(dedupe._numbered(edges, heavy).collect(), key=lambda r: r["_o"]["_p"])
+        first = [r["_o"]["_p"] for r in got]
+        assert [r["_o"]["row_id"] for r in got] == [7, 2, 5, 1] and first == sorted(set(first))
+        assert [(first.index(r.u), first.index(r.f), r["_nu"], r["_nf"]) for r in got] == [(0, 0, 2, 2), (0, 1, 2, 2), (2, 0, 1, 2), (3, 1, 1, 2)]

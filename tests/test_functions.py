@@ -141,3 +141,13 @@ def test_brochures_of_links_and_of_the_page_itself(spark):
     found = spark.range(1).select(brochure_urls(F.lit("https://h.example.org/d/p.pdf"), links, F.lit(None).cast("array<string>")).alias("u")).first().u
     base = "https://h.example.org"
     assert found == sorted([f"{base}/A.PDF?x=1", f"{base}/d/p.pdf#top", f"{base}/d/p.pdf?a", f"{base}/d/b.pdf", f"{base}/d/p.pdf"])
+
+
+def test_pages_of_a_batch_are_read_a_few_at_a_time():
+    import pandas as pd
+    from listing_radar.sources import html
+
+    batches = [pd.DataFrame({"html": range(n)}) for n in (0, html.PAGES_AT_ONCE, 2 * html.PAGES_AT_ONCE + 1)]
+    found = list(html.slices(batches))
+    assert [len(f) for f in found] == [html.PAGES_AT_ONCE] * 3 + [1]
+    assert [v for f in found for v in f["html"]] == [v for b in batches for v in b["html"]]

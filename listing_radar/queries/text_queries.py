@@ -147,13 +147,14 @@ _AREA = """(text || '. ' || cast(80 + doc_id % 90 as string) || ' m2 construidos
 @query("areas_and_units")
 def _(t):
     """Patterns that need look-ahead: no equivalent in the reference engine."""
-    x = F.col("x")
-    rows = t.documents.select("doc_id", X.collapse_whitespace(F.expr(_AREA)).alias("x"))
+    x, low = F.col("x"), F.col("low")
+    rows = t.documents.select("doc_id", X.collapse_whitespace(F.expr(_AREA)).alias("x")).withColumn("low", P.folded(x))
+    rows = rows.withColumn("plot", P.plot_area(x, low))
     return rows.select(
-        "doc_id", P.built_area(x)["min"].cast("double").alias("built_min"), P.plot_area(x)["min"].cast("double").alias("plot_min"),
-        P.plot_area(x)["max"].cast("double").alias("plot_max"), P.total_units(x).alias("total_units"),
-        P.available_units(x).alias("available_units"), P.developer_name(x).alias("developer"), P.garage_spaces(x)["min"].alias("garage"),
-        P.brochure_title(x).alias("brochure_title"))
+        "doc_id", P.built_area(x, low)["min"].cast("double").alias("built_min"), F.col("plot.min").cast("double").alias("plot_min"),
+        F.col("plot.max").cast("double").alias("plot_max"), P.total_units(x, low).alias("total_units"),
+        P.available_units(x, low).alias("available_units"), P.developer_name(x, low).alias("developer"), P.garage_spaces(x, low)["min"].alias("garage"),
+        P.brochure_title(x, low).alias("brochure_title"))
 
 
 @query("evidence_fragment", f"""with {_CLEAN}, m as (select doc_id, x, regexp_extract(x, '(?i)entrega\\s+prevista') as m from facts_text),

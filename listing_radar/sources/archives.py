@@ -22,16 +22,16 @@ from listing_radar.operators.scale import broadcast_if_small
 UNREADABLE = (zipfile.BadZipFile, OSError, EOFError, RuntimeError, NotImplementedError, ValueError, struct.error, zlib.error)
 #: Unpacked bytes of small members that one partition takes together.
 PARTITION_BYTES = 32 << 20
+#: Partitions that a smaller size may lead to; with more members they grow up to ``PARTITION_BYTES`` first.
+PARTITIONS = 256
 SCHEMA = "file string, member string, number long, content string, error string"
 
 
 @dataclass
 class Members(InputPartition):
-    """Some members of one archive by name and number, or the reason why the archive has none."""
+    """Some members of archives: a file with members by name and number, or with the reason why it has none."""
 
-    file: str
-    members: list[tuple[str, int]]
-    error: str | None = None
+    archives: list[tuple[str, list[tuple[str, int]], str | None]]
 
 
 def reason(problem: Exception) -> str:
@@ -55,37 +55,43 @@ class MemberReader(DataSourceReader):
             files = sorted(f.path for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and f.path.lower().endswith(".zip"))
         else:
             files = [path]
-        out: list[Members] = []
+        entries, total = [], 0  # (file, member's name and number or None, size, error)
         for file in files:
             try:
                 with system.open_input_file(file) as data, zipfile.ZipFile(data) as archive:
                     named = named_members(archive, self.suffix)
             except UNREADABLE as problem:
-                out.append(Members(file, [], reason(problem)))
+                entries.append((file, None, 0, reason(problem)))
                 continue
-            some, size = [], 0
             for number, member in named:
-                if some and size + member.file_size > self.most:
-                    out.append(Members(file, some))
-                    some, size = [], 0
-                some.append((member.filename, number))
-                size += member.file_size
-            if some:
-                out.append(Members(file, some))
-        return out or [Members("", [])]
+                entries.append((file, (member.filename, number), member.file_size, None))
+                total += member.file_size
+        most = max(self.most, min(PARTITION_BYTES, total // PARTITIONS))
+        out, size = [Members([])], 0
+        for file, member, length, error in entries:
+            if out[-1].archives and size + length > most:
+                out.append(Members([]))
+                size = 0
+            archives = out[-1].archives
+            if not archives or archives[-1][0] != file:
+                archives.append((file, [], error))
+            if member is not None:
+                archives[-1][1].append(member)
+            size += length
+        return out
 
     def read(self, partition: Members):
-        if partition.error is not None:
-            yield partition.file, None, -1, None, partition.error
-        if not partition.members:
-            return
         system, _ = fs.FileSystem.from_uri(self.path)
-        with system.open_input_file(partition.file) as data, zipfile.ZipFile(data) as archive:
-            for name, number in partition.members:
-                try:
-                    yield partition.file, name, number, archive.read(name).decode("utf-8", "replace"), None
-                except UNREADABLE as problem:
-                    yield partition.file, name, number, None, reason(problem)
+        for file, members, error in partition.archives:
+            if error is not None:
+                yield file, None, -1, None, error
+                continue
+            with system.open_input_file(file) as data, zipfile.ZipFile(data) as archive:
+                for name, number in members:
+                    try:
+                        yield file, name, number, archive.read(name).decode("utf-8", "replace"), None
+                    except UNREADABLE as problem:
+                        yield file, name, number, None, reason(problem)
 
 
 class ZipMembers(DataSource):

@@ -248,6 +248,21 @@ def test_members_of_archives_are_read_apart(spark, tmp_path):
     assert read_archive_files(spark, str(tmp_path / "none"), sources).count() == 0
 
 
+def test_many_small_archives_share_partitions(tmp_path):
+    from listing_radar.sources import archives as A
+
+    for n in range(600):
+        with zipfile.ZipFile(tmp_path / f"a{n:03d}.zip", "w") as archive:
+            archive.writestr("m.atom", ATOM.format(n=n))
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    reader = A.MemberReader({"path": str(tmp_path), "partitionbytes": "1"})
+    parts = reader.partitions()
+    assert len(parts) <= 2 * A.PARTITIONS < 600
+    rows = [row for part in parts for row in reader.read(part)]
+    assert sorted(row[0].rsplit("/", 1)[1] for row in rows) == sorted([f"a{n:03d}.zip" for n in range(600)] + ["broken.zip"])
+    assert [row[0].rsplit("/", 1)[1] for row in rows if row[4]] == ["broken.zip"]
+
+
 def test_query_numbers_order_search_results(spark, files):
     from listing_radar.operators.candidates import distinct_by_url_capped
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listing_radar import fixed_values as V
 from listing_radar.functions import scores
@@ -300,42 +300,48 @@ def apply_field_review(fields: DataFrame, decisions: DataFrame, now: Column) ->
 
     A decision without a field needs a proposal with exactly one pending field. Stale proposals, unknown
     proposals and unknown fields are refused with a reason.
+
+    Field rows and decisions are stacked and meet in one shuffle and one sort; what is told of a field or proposal is a window over
+    its few rows. The hash before the key spares the sort comparing ids that begin alike.
     """
-    facts = fields.groupBy("proposal_id").agg(
-        F.count_if(F.col("field_status") == "pending").alias("_pending"),
-        F.max(F.when(F.col("field_status") == "pending", F.col("field"))).alias("_single"),
-        F.bool_or(F.col("proposal_status") == "stale").alias("_stale"))
-    asked = decisions.join(facts, "proposal_id", "left").withColumn(
-        "_target", F.coalesce("field", F.when(F.col("_pending") == 1, F.col("_single"))))
-    present = fields.select("proposal_id", F.col("field").alias("_target"), F.lit(True).alias("_present")).distinct()
-    asked = asked.join(present, ["proposal_id", "_target"], "left")
+    asks = decisions.select("proposal_id", "field", F.col("decision").alias("_decision"), F.col("seq").alias("_seq"), F.lit(True).alias("_asks"))
+    rows = fields.where("proposal_id is not null").withColumn("_asks", F.lit(False)).unionByName(asks, allowMissingColumns=True)
+    rows = rows.withColumn("_hash", F.xxhash64("proposal_id")).repartition("_hash", "proposal_id")  # serves the windows by field too
+    proposal, named = Window.partitionBy("_hash", "proposal_id"), Window.partitionBy("_hash", "proposal_id", "field")
+    is_field, pending = ~F.col("_asks"), F.col("field_status") == "pending"
+    allowed = F.coalesce(F.col("_decision").isin("accepted", "rejected"), F.lit(False))
+    decision = F.when(F.col("_asks") & allowed, F.struct("_seq", "_decision"))
+    rows = rows.withColumns({"_known": F.bool_or(is_field).over(named), "_named": F.max(decision).over(named)})
+    rows = rows.withColumns({
+        "_pending": F.count_if(is_field & pending).over(proposal),
+        "_single": F.count_if(is_field & pending & F.col("field").isNotNull()).over(proposal),
+        "_stale": F.bool_or(F.when(is_field, F.col("proposal_status") == "stale")).over(proposal),
+        "_unnamed": F.max(F.when(F.col("field").isNull(), decision)).over(proposal),
+    })
+    sole = (F.col("_pending") == 1) & (F.col("_single") == 1)
     reason = (
-        F.when(~F.col("decision").isin("accepted", "rejected"), F.lit("decisionNotAllowed"))
+        F.when(~allowed, F.lit("decisionNotAllowed"))
         .when(F.col("_stale").isNull(), F.lit("unknownProposal"))
         .when(F.col("_stale"), F.lit("staleProposal"))
-        .when(F.col("_target").isNull(), F.when(F.col("_pending") == 0, F.lit("nothingPending")).otherwise(F.lit("fieldNeeded")))
-        .when(F.col("_present").isNull(), F.lit("unknownField"))
-    )
-    asked = asked.withColumn("reason", reason)
-    good = asked.where("reason is null").groupBy("proposal_id", F.col("_target").alias("field")).agg(
-        F.max_by("decision", "seq").alias("_decision"))
-    touched = good.select("proposal_id").distinct().withColumn("_touched", F.lit(True))
-    out = fields.join(good, ["proposal_id", "field"], "left").join(touched, "proposal_id", "left")
-    out = out.withColumns(
-        {
-            "field_status": F.coalesce("_decision", "field_status"),
-            "field_reviewed_at": F.when(F.col("_decision").isNotNull(), now).otherwise(F.col("field_reviewed_at")),
-        }
-    )
-    status = statuses_from_fields(out).withColumnRenamed("status", "_status")
-    out = out.join(status, "proposal_id")
-    out = out.withColumns(
-        {
-            "proposal_status": F.when(F.col("_touched"), F.col("_status")).otherwise(F.col("proposal_status")),
-            "proposal_reviewed_at": F.when(F.col("_touched"), now).otherwise(F.col("proposal_reviewed_at")),
-        }
+        .when(F.col("field").isNull(), F.when(F.col("_pending") == 0, F.lit("nothingPending")).when(~sole, F.lit("fieldNeeded")))
+        .when(~F.col("_known"), F.lit("unknownField"))
     )
-    return out.select(*fields.columns), asked.where("reason is not null").select("proposal_id", "field", "decision", "reason")
+    refused = rows.where("_asks").withColumn("reason", reason).where("reason is not null")
+
+    last = F.greatest(F.when(F.col("field").isNotNull(), F.col("_named")), F.when(pending & sole, F.col("_unnamed")))
+    out = rows.withColumn("_last", F.when(is_field & ~F.col("_stale"), last))
+    status = F.coalesce("_last._decision", "field_status")
+    out = out.withColumns({
+        "_touched": F.bool_or(F.col("_last").isNotNull()).over(proposal),
+        "_status": proposal_status(F.bool_or(is_field & (status == "pending")).over(proposal),
+                                   F.bool_or(is_field & (status == "accepted")).over(proposal)),
+    }).where(is_field).withColumns({
+        "field_status": status,
+        "field_reviewed_at": F.when(F.col("_last").isNotNull(), now).otherwise(F.col("field_reviewed_at")),
+        "proposal_status": F.when(F.col("_touched"), F.col("_status")).otherwise(F.col("proposal_status")),
+        "proposal_reviewed_at": F.when(F.col("_touched"), now).otherwise(F.col("proposal_reviewed_at")),
+    })
+    return out.select(*fields.columns), refused.select("proposal_id", "field", F.col("_decision").alias("decision"), "reason")
 
 
 def review_field_counts(fields: DataFrame) -> DataFrame:

@@ -193,28 +193,30 @@ _FIELDS = """select 'pr-' || cast(promotion_id as varchar) || '-' || cast(l_line
 shared(field_rows=_FIELDS)
 
 
-def field_rows(t):
+def field_rows(t, told=("ord", "value_text", "source_url", "evidence_text", "confidence")):
+    """``told``: columns beside keys and statuses; the first rows are taken as structs, of which the optimizer leaves nothing out."""
     from listing_radar.operators.scale import first_per_key
 
-    rows = first_per_key(t.proposals, ["promotion_id", "field"], [F.col("ord")])
+    proposals = t.proposals.select("promotion_id", "field", "l_linenumber", "l_returnflag", *dict.fromkeys(["ord", *told]))
+    rows = first_per_key(proposals, ["promotion_id", "field"], [F.col("ord")])
     flag = F.col("l_returnflag")
     stamp = F.lit("2024-01-20").cast("timestamp")
     key = F.col("promotion_id")
     return rows.select(
-        F.concat(F.lit("pr-"), key.cast("string"), F.lit("-"), (F.col("l_linenumber") % 2).cast("string")).alias("proposal_id"), "promotion_id", "field", "ord", "value_text", "source_url", "evidence_text", "confidence",
+        F.concat(F.lit("pr-"), key.cast("string"), F.lit("-"), (F.col("l_linenumber") % 2).cast("string")).alias("proposal_id"), "promotion_id", "field", *told,
         F.when(flag == "A", "accepted").when(flag == "R", "rejected").otherwise("pending").alias("field_status"), F.when(flag.isin("A", "R"), stamp).alias("field_reviewed_at"),
         F.when(key % 5 == 0, "stale").when(key % 3 == 0, "accepted").otherwise("pending").alias("proposal_status"), F.when(key % 3 == 0, stamp).alias("proposal_reviewed_at"))
 
 
 @query("proposal_status", "select proposal_id, case when bool_or(field_status = 'pending') then 'pending' when bool_or(field_status = 'accepted') then 'accepted' else 'rejected' end as status from field_rows group by 1")
 def _(t):
-    return N.statuses_from_fields(field_rows(t))
+    return N.statuses_from_fields(field_rows(t, ()))
 
 
 @query("review_field_counts", """with l as (select proposal_id, bool_and(field_status = 'pending' and not field_reviewed) and bool_or(proposal_reviewed) as legacy from field_rows group by 1)
   select case when legacy then proposal_status else field_status end as status, count(*) as n from field_rows join l using (proposal_id) group by 1""")
 def _(t):
-    return N.review_field_counts(field_rows(t))
+    return N.review_field_counts(field_rows(t, ()))
 
 
 _DECIDE = """with d as (select distinct proposal_id, case when promotion_id % 4 = 0 then null when promotion_id % 4 = 1 then 'priceFrom' else 'bedroomsMin' end as field, case when promotion_id % 7 = 0 then 'maybe' when promotion_id % 2 = 0 then 'accepted' else 'rejected' end as decision from field_rows),
@@ -225,8 +227,9 @@ _DECIDE = """with d as (select distinct proposal_id, case when promotion_id % 4
 
 def decisions(t):
     key = F.col("promotion_id")
-    rows = field_rows(t).select("proposal_id", "promotion_id").distinct()
-    return rows.select("proposal_id", F.when(key % 4 == 0, F.lit(None).cast("string")).when(key % 4 == 1, "priceFrom").otherwise("bedroomsMin").alias("field"),
+    # a field fixes its line number, so the lines name the same proposals as their first rows per field
+    rows = t.proposals.select("promotion_id", (F.col("l_linenumber") % 2).alias("half")).distinct()
+    return rows.select(F.concat(F.lit("pr-"), key.cast("string"), F.lit("-"), F.col("half").cast("string")).alias("proposal_id"), F.when(key % 4 == 0, F.lit(None).cast("string")).when(key % 4 == 1, "priceFrom").otherwise("bedroomsMin").alias("field"),
                        F.when(key % 7 == 0, "maybe").when(key % 2 == 0, "accepted").otherwise("rejected").alias("decision"), key.alias("seq"))
 
 
@@ -234,13 +237,13 @@ def decisions(t):
   s as (select proposal_id, case when bool_or(field_status = 'pending') then 'pending' when bool_or(field_status = 'accepted') then 'accepted' else 'rejected' end as s from n group by 1)
   select n.proposal_id, n.field, n.field_status, case when n.proposal_id in (select proposal_id from c where reason is null) then s.s else n.proposal_status end as proposal_status from n join s using (proposal_id)""")
 def _(t):
-    out, _ = N.apply_field_review(field_rows(t), decisions(t), now())
+    out, _ = N.apply_field_review(field_rows(t, ()), decisions(t), now())
     return out.select("proposal_id", "field", "field_status", "proposal_status")
 
 
 @query("refused_reviews", _DECIDE + " select proposal_id, reason from c where reason is not null")
 def _(t):
-    _, refused = N.apply_field_review(field_rows(t), decisions(t), now())
+    _, refused = N.apply_field_review(field_rows(t, ()), decisions(t), now())
     return refused.select("proposal_id", "reason")
 
 

@@ -32,9 +32,16 @@ def item_key() -> Column:
     return F.lower(F.when(external == "", F.col("official_url")).otherwise(F.col("external_id")))
 
 
+#: This many items of a source are all of them.
+NO_LIMIT = 2**31 - 1
+
+
 def first_per_key_capped(items: DataFrame, max_items: int) -> DataFrame:
-    """First item per source and key, then the first ``max_items`` of every source in input order."""
+    """First item per source and key, then the first ``max_items`` of every source in input order. Without a limit nothing is ranked,
+    so the items of a source do not meet in one task."""
     firsts = first_per_key(items.withColumn("_key", item_key()), ["source_id", "_key"], [F.col("seq")])
+    if max_items >= NO_LIMIT:
+        return firsts.drop("_key")
     return top_n_per_key(firsts, ["source_id"], [F.col("seq")], max_items, F.col("_key")).drop("_key")
 
 

@@ -31,6 +31,10 @@ class RadarRun:
     summary: DataFrame
 
 
+#: What matching reads of a feed item.
+ITEM = ["source_id", "external_id", "title", "summary", "search_text", "official_url", "related_urls", "municipality_hint", "published_at", "seq"]
+
+
 def match(items: DataFrame, catalog: RadarCatalog, now: Column) -> DataFrame:
     enabled = catalog.sources.where("enabled")
     return match_items(C.valid_feed_items(items), enabled, catalog.municipalities, catalog.terms, catalog.context_terms,
@@ -43,7 +47,9 @@ def radar_run(items: DataFrame, failures: DataFrame, previous: DataFrame, previo
     candidates, get one failed run and do not stop the others."""
     enabled = catalog.sources.where("enabled").select("source_id")
     failures = failures.join(enabled, "source_id", "left_semi").groupBy("source_id").agg(F.min("error").alias("error"))
-    readable = items.join(failures.select("source_id"), "source_id", "left_anti")
+    # the firsts are taken as structs, of which the optimizer leaves nothing out: columns that matching does not read stay behind
+    wanted = items.select(*[c for c in items.columns if c in ITEM])
+    readable = wanted.join(failures.select("source_id"), "source_id", "left_anti")
     # the first item per source and key, then the first ``max_items`` of every source
     matched = match(C.first_per_key_capped(C.valid_feed_items(readable), max_items), catalog, now)
     # read by every branch below: texts are matched once

@@ -9,6 +9,7 @@ from listing_radar.queries.logical import NOW
 from listing_radar.queries.registry import duck_clean, duck_norm, duck_ts, num, query, shared, ts
 from listing_radar.queries.urls_queries import duck_url
 from listing_radar.plans.radar import RadarCatalog, match
+from listing_radar.session import cut_to_table
 
 _KINDS = "['landDisposal', 'surfaceRight', 'planning', 'urbanizationWorks', 'buildingPermit', 'residentialDevelopment', 'other']"
 
@@ -188,8 +189,8 @@ _FOLD = """with prev as (select * from previous_candidates), h as (select id, bo
 shared(previous_candidates=_PREV)
 
 
-def previous(t):
-    hits = matched(t)
+def previous(t, hits=None):
+    hits = matched(t) if hits is None else hits
     rows = hits.groupBy("id").agg(F.max_by(F.struct(*[c for c in hits.columns if c != "id"]), "seq").alias("r")).select("id", "r.*").where("seq % 3 <> 0")
     old = F.expr("case seq % 5 when 0 then 'rejected' when 1 then 'stale' when 2 then 'monitoring' when 3 then 'verifiedSource' else 'new' end")
     rows = rows.withColumns({"title": F.when(F.col("seq") % 4 == 0, "old title").otherwise(F.col("title")), "status": old,
@@ -217,9 +218,9 @@ _BATCH = "((cast(published_at as date) - date '2024-01-01') // 5 + 1)"
 _GOOD = f"doc_id % 7 <> 1 and published_at is not null and {_BATCH} % 3 <> 0"
 
 
-def failing_batches(t):
+def failing_batches(t, hits):
     """Dated hits in batches of five days, and the batches, of which every third failed."""
-    hits = B.tag_batches(matched(t).where("seq % 7 <> 1 and published_at_utc is not null"), F.lit("2024-01-01").cast("date"), 5)
+    hits = B.tag_batches(hits.where("seq % 7 <> 1 and published_at_utc is not null"), F.lit("2024-01-01").cast("date"), 5)
     days = F.floor(F.datediff(F.to_date("published_at"), F.lit("2024-01-01").cast("date")) / 5).cast("int") + 1
     read = t.items.where("published_at is not null").groupBy("source_id", days.alias("batch")).agg(F.count(F.lit(1)).alias("items_read"))
     return hits, read.withColumn("success", F.col("batch") % 3 != 0)
@@ -228,8 +229,9 @@ def failing_batches(t):
 @query("backfill_failing", _FOLD.replace("doc_id % 7 <> 1", _GOOD).replace("arg_max(title, seq)", f"arg_max(title, {_BATCH} * 1000000000 + seq)").replace("arg_min(status, seq)", f"arg_min(status, {_BATCH} * 1000000000 + seq)"))
 def _(t):
     """Every third batch failed: its hits leave no trace, later batches go on."""
-    hits, batches = failing_batches(t)
-    rows = B.backfill(previous(t), hits, batches)
+    found = cut_to_table(matched(t))  # read by both: texts are matched once
+    hits, batches = failing_batches(t, found)
+    rows = B.backfill(previous(t, found), hits, batches)
     day = "yyyy-MM-dd"
     return rows.select("id", "title", "status", F.date_format("first_seen_utc", day).alias("first_seen"), F.date_format("last_seen_utc", day).alias("last_seen"), "is_new", "hits")
 
@@ -240,8 +242,9 @@ def _(t):
   select b.source_id, bool_and(b.batch % 3 <> 0) as complete, sum(case when b.batch % 3 <> 0 then items else 0 end)::bigint as items_read, coalesce(sum(m), 0)::bigint as candidates_matched, coalesce(sum(n), 0)::bigint as new_candidates,
     (coalesce(sum(m), 0) - coalesce(sum(n), 0))::bigint as updated_candidates, count(*) as batches from b left join m using (source_id, batch) left join n using (source_id, batch) group by 1""")
 def _(t):
-    hits, batches = failing_batches(t)
-    return B.backfill_report(B.batch_results(previous(t), hits, batches))
+    found = cut_to_table(matched(t))  # read three times: texts are matched once
+    hits, batches = failing_batches(t, found)
+    return B.backfill_report(B.batch_results(previous(t, found), hits, batches))
 
 
 @query("apply_configured_reviews", """select c.id, case when r.status is not null and c.status in ('new', 'monitoring') and d.enabled then r.status else c.status end as status,
